@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import aho_bpe, rank_merge, winnowing
+from framewright.llm import aho_bpe, metric_join, multiprobe_lsh, rank_merge, string_kernel, url_boosting, warc, winnowing
 from framewright.llm._common import small_batches, table
 
 
+def op1_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiprobe_lsh.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -44,6 +48,57 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
+    model = string_kernel.fit(docs.filter(fold != 1))
+    return string_kernel.with_language(docs.withColumn("held_out", fold == 1), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+#: Fixed by the query's contract.
+URL_RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_boosting.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, {1 + 10 * i}, 10) AS BIGINT) >> {35 - 5 * j}) & 31 AS BIGINT) + 1, 1)" for i in range(4) for j in range(8)
+)
+OP8_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
+def op9_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return metric_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, share=90)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+n AS (SELECT doc_id, w, least(len(w), 3) AS k FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM n)),
+c AS (SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN c cx ON cx.doc_id = x JOIN c cy ON cy.doc_id = y WHERE 100 * m >= 90 * (cx.n_shingles + cy.n_shingles - m)),
+r AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.seen = l.x)
+SELECT doc_id, CAST(coalesce(any_value(n_shingles), 0) AS BIGINT) AS n_shingles, min(seen) AS component_id FROM r LEFT JOIN c USING (doc_id) GROUP BY doc_id
+"""
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -51,9 +106,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_multiprobe_lsh": op1_multiprobe_lsh,
     "op4_token_counts": op4_token_counts,
     "op5_winnowing": op5_winnowing,
+    "op6_language": op6_language,
+    "op7_url_filter": op7_url_filter,
+    "op8_warc": op8_warc,
+    "op9_metric_join": op9_metric_join,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_winnowing": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_winnowing": OP5_SQL, "op8_warc": OP8_SQL, "op9_metric_join": OP9_SQL}
