@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import aho_bpe, metric_join, multiprobe_lsh, rank_merge, string_kernel, url_boosting, warc, winnowing
+from framewright.llm import aho_bpe, metric_join, multiprobe_lsh, ppm, rank_merge, string_kernel, url_boosting, warc, winnowing
 from framewright.llm._common import small_batches, table
 
 
@@ -16,6 +16,12 @@ def op1_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiprobe_lsh.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ppm.score(docs, F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) != 0)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -107,6 +113,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multiprobe_lsh": op1_multiprobe_lsh,
+    "op3_ppm": op3_ppm,
     "op4_token_counts": op4_token_counts,
     "op5_winnowing": op5_winnowing,
     "op6_language": op6_language,
