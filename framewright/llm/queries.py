@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import aho_bpe, metric_join, multiprobe_lsh, ppm, rank_merge, string_kernel, url_boosting, warc, winnowing
+from framewright.llm import aho_bpe, metric_join, multiprobe_lsh, ppm, rank_merge, string_kernel, tool_calls, url_boosting, warc, winnowing
 from framewright.llm._common import small_batches, table
 
 
@@ -16,6 +16,28 @@ def op1_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiprobe_lsh.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+#: Tools that the turns of `conversations` stand for, by JSON schema.
+TOOL_SCHEMAS = {
+    "search": {"required": ["query", "limit"], "additionalProperties": False, "properties": {"query": {"type": "string", "minLength": 20}, "limit": {"type": "integer", "minimum": 1, "maximum": 60}}},
+    "lookup": {"required": ["query"], "properties": {"query": {"type": "string"}, "limit": {"type": "string"}}},
+    "ask": {"required": ["query", "lang"], "properties": {"query": {"type": "string"}, "lang": {"type": "string", "enum": ["en", "de"]}}},
+}
+
+
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn is a call of a tool by its length, depending on the user turn two before it; each assistant turn is
+    the result of the turn before it."""
+    turns = table(spark, sf_dir, "conversations").withColumn("t", F.coalesce("text", F.lit("")))
+    size, words = F.length("t"), F.size(F.split("t", " ")).cast("bigint")
+    tool = F.element_at(F.array(F.lit("search"), F.lit("lookup"), F.lit("ask"), F.lit("fetch")), (F.pmod(size, F.lit(4)) + 1).cast("int"))
+    arguments = F.to_json(F.struct(F.col("t").alias("query"), words.alias("limit"), F.when(size % 5 == 0, "de").alias("lang")))
+    call = lambda shift: F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") - shift).cast("string"))
+    calls = turns.filter("role = 'user'").select("conv_id", call(0).alias("call_id"), F.col("turn").alias("ord"), tool.alias("tool"), arguments.alias("arguments"), F.when(F.col("turn") >= 2, F.array(call(2))).alias("depends_on"))
+    results = turns.filter("role = 'assistant'").select("conv_id", call(1).alias("call_id"), F.col("t").alias("content"))
+    linked = tool_calls.link(calls, results, TOOL_SCHEMAS)
+    return linked.select("conv_id", "call_id", "position", "level", "status", F.array_join("errors", ";").alias("errors"), F.array_join("missing", ";").alias("missing"), F.sha2("json", 256).alias("json_sha256"))
+
+
 def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -113,6 +135,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multiprobe_lsh": op1_multiprobe_lsh,
+    "op2_tool_calls": op2_tool_calls,
     "op3_ppm": op3_ppm,
     "op4_token_counts": op4_token_counts,
     "op5_winnowing": op5_winnowing,
