@@ -6,13 +6,17 @@ A document is its set of k-word shingles; the Jaccard distance between sets is a
 1. Equal sets are one class, stood for by its smallest id; copies are never paired.
 2. Unrelated texts all lie at a distance of almost 1 from any document, so distances to documents alone can't part
    them. Anchors do: of the shingles, in one global order with common ones last, the first n - ceil(share * n) + 1 of
-   each set. Linked sets share an anchor. The pivot of an anchor is the smallest id that holds it, a pivot's region
-   all classes that share an anchor with it; so linked classes meet in a region.
-3. A region of up to `leaf` classes is joined exactly in one task. A larger one is cut again: by the exact distances to
+   each set, each for the set's band of sizes (and for the next if a link can reach it). Linked sets share an anchor.
+   The pivot of an anchor is the smallest id that holds it, a pivot's region all classes that share an anchor with
+   it; so linked classes meet in a region.
+3. Regions of up to `sketched` classes first meet as sketches: numbers of shingles by hash in about n / 8 buckets, whose
+   smaller ones add up to a bound of the intersection. That bound gives a distance below the true one, so only
+   groups that it holds together go on, each with its smallest id as the pivot.
+4. A region of up to `leaf` classes is joined exactly in one task. A larger one is cut again: by the exact distances to
    its pivot into shells of width r / 2, and these by hash into cells of about `leaf` classes. Classes within r of the
    pivot are linked by it and need no comparing among themselves; by the triangle inequality only cells whose
    distances differ by r at most are replicated to each other; each such pair of cells is joined exactly.
-4. Components of the links by alternating large-star and small-star rounds.
+5. Components of the links by alternating large-star and small-star rounds.
 
 The order of shingles comes from a table of counts of fixed size (2 ** 18 slots for all shingles of the corpus). It
 steers the work only, any order gives the same links.
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm._common import materialise, slices
-from framewright.llm._words import NOT_SPACE, Words, grams
+from framewright.llm._words import NOT_SPACE, Words, grams, mix
 
 _SLOTS = 18
 
@@ -64,21 +68,72 @@ def _slot_counts(k: int):
 
 
 def _anchored(k: int, share: int, levels):
-    """id, n, sig, anchors. An anchor is a shingle as its place in the global order: level of commonness, then hash."""
+    """id, n, sig, anchors, sketch. An anchor is a shingle and a band of sizes; the first shingles of the global order,
+    level of commonness, then hash, give a set's anchors."""
+    width = 4 * np.log(100 / share)
 
     def run(batches):
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text"), k)
-            sig, anchors = [], []
+            sig, anchors, sketches = [], [], []
             for h in sets:
-                sig.append(xxhash.xxh3_128_digest(h) if len(h) else None)
-                p = len(h) - (share * len(h) + 99) // 100 + 1 if len(h) else 0
+                n = len(h)
+                sig.append(xxhash.xxh3_128_digest(h) if n else None)
+                p = n - (share * n + 99) // 100 + 1 if n else 0
                 place = (levels.value[(h >> np.uint64(64 - _SLOTS)).astype(np.int64)] << np.uint64(57)) | (h >> np.uint64(7))
-                anchors.append((np.partition(place, p - 1)[:p] if p else place[:0]).view(np.int64))
+                first = np.partition(place, p - 1)[:p] if p else place[:0]
+                bands = range(int(np.log(n) / width), int((np.log(n * 100 / share) + 1e-9) / width) + 1) if n else []
+                anchors.append(np.concatenate([mix(first + np.uint64(b << 1)) for b in bands] or [first]).view(np.int64))
+                size = 1 << max(3, (n // 8).bit_length())
+                sketches.append(np.minimum(np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes())
             offsets = np.zeros(len(sets) + 1, np.int32)
             np.cumsum([len(a) for a in anchors], out=offsets[1:])
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(anchors) if anchors else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(h) for h in sets], pa.int64()), pa.array(sig, pa.binary()), lists], names=["id", "n", "sig", "anchors"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(h) for h in sets], pa.int64()), pa.array(sig, pa.binary()), lists, pa.array(sketches, pa.binary())], names=["id", "n", "sig", "anchors", "sketch"])
+
+    return run
+
+
+def _may_link(n: np.ndarray, sketches: list[np.ndarray], share: int) -> np.ndarray:
+    """The square matrix of pairs whose sketches allow a link. Sketches have sizes of powers of two; where two differ by
+    one power the larger is folded, where by more the sets' sizes rule out a link."""
+    links = np.eye(len(n), dtype=bool)
+    size = np.array([len(x) for x in sketches])
+    for b in np.unique(size):
+        at = np.flatnonzero((size == b) | (size == 2 * b))
+        rows = np.array([sketches[i] if size[i] == b else sketches[i].reshape(2, -1).sum(0) for i in at], np.int32)
+        for j in np.flatnonzero(size[at] == b):
+            most = np.minimum(rows[j], rows).sum(1)
+            ok = 100 * most >= share * (n[at[j]] + n[at] - most)
+            links[at[j], at] |= ok
+            links[at, at[j]] |= ok
+    return links
+
+
+def _sifted(share: int):
+    """Rows (g, id, n, sketch), sorted by g, to (g, id) of what may link, g being the smallest id of its group."""
+
+    def run(batches):
+        now, held, out = None, [], []
+
+        def close():
+            if len(held) > 1:
+                ids = np.array([x[0] for x in held], np.int64)
+                edges = _stars(ids, _may_link(np.array([x[1] for x in held]), [np.frombuffer(x[2], np.uint8) for x in held], share))
+                out.extend((v, u) for u, v in edges)
+                out.extend((v, v) for v in {v for _, v in edges})
+
+        for batch in batches:
+            for g, *row in zip(*(batch.column(c).to_pylist() for c in ("g", "id", "n", "sketch")), strict=True):
+                if g != now:
+                    close()
+                    now, held = g, []
+                held.append(row)
+            if len(out) > 10_000:
+                yield _edges(out, ["g", "id"])
+                out = []
+        close()
+        yield _edges(out, ["g", "id"])
 
     return run
 
@@ -147,9 +202,9 @@ def _grouped(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list[i
         yield ids, sets
 
 
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+def _edges(pairs: list[tuple[int, int]], names: list[str]) -> pa.RecordBatch:
     u, v = zip(*pairs, strict=True) if pairs else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=names)
 
 
 def _joined(k: int, share: int):
@@ -159,9 +214,9 @@ def _joined(k: int, share: int):
             if len(ids) > 1:
                 out += _stars(np.array(ids, np.int64), _linked(sets, share))
             if len(out) > 10_000:
-                yield _edges(out)
+                yield _edges(out, ["u", "v"])
                 out = []
-        yield _edges(out)
+        yield _edges(out, ["u", "v"])
 
     return run
 
@@ -203,14 +258,18 @@ def components(edges: DataFrame) -> DataFrame:
         edges = materialise(small.filter("u > v").distinct(), "edges")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: int = 80, leaf: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: int = 80, leaf: int = 256, sketched: int = 2048) -> DataFrame:
     """id_col, n_shingles, component_id (smallest id that links reach, the row's own included) for every row."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = materialise(docs.mapInArrow(_anchored(k, share, _levels(docs, k)), "id bigint, n bigint, sig binary, anchors array<bigint>"), "sets")
-    classes = sets.filter("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.any_value("anchors").alias("anchors"))
+    sets = materialise(docs.mapInArrow(_anchored(k, share, _levels(docs, k)), "id bigint, n bigint, sig binary, anchors array<bigint>, sketch binary"), "sets")
+    classes = sets.filter("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.any_value("anchors").alias("anchors"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
     held = classes.select(F.col("rep").alias("id"), F.explode("anchors").alias("anchor"))
     pivots = held.groupBy("anchor").agg(F.min("id").alias("g"), F.count("*").alias("c")).filter("c > 1").select("anchor", "g")
     regions = materialise(held.join(pivots, "anchor").select("g", "id").distinct(), "regions")
+    large = regions.groupBy("g").agg(F.count("*").alias("size")).filter(F.col("size") > sketched).select("g")
+    meet = regions.join(large, "g", "left_anti").join(classes.select(F.col("rep").alias("id"), "n", "sketch"), "id").select("g", "id", "n", "sketch")
+    sifted = meet.repartition("g").sortWithinPartitions("g").mapInArrow(_sifted(share), "g bigint, id bigint")
+    regions = materialise(sifted.unionByName(regions.join(large, "g", "left_semi")).distinct(), "regions")
     sized = regions.groupBy("g").agg(F.count("*").alias("size"))
     texts = materialise(docs.join(regions.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
 
