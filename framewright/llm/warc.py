@@ -141,9 +141,9 @@ class WarcReader(DataSourceReader):
     def partitions(self):
         fs, path = _store(self.path)
         infos = sorted((i for i in fs.get_file_info(pafs.FileSelector(path)) if i.is_file and i.base_name.endswith(".warc.gz") and i.base_name[0] not in "._"), key=lambda i: i.path)
-        groups, size = [], self.per
+        groups, size = [], 0
         for i in infos:
-            if size + i.size > self.per:
+            if not groups or size + i.size > self.per:
                 groups.append([])
                 size = 0
             groups[-1].append(i.path)
