@@ -70,3 +70,8 @@ def join_sequential(results: DataFrame, frames: DataFrame, frame_count: DataFram
     stop = seen.groupBy("video_id").agg(F.coalesce(F.min(F.when(F.col("step") > 1, F.col("before") + 1)), F.max("frame_idx") + 1).alias("stop"))
     kept = asked.filter("there").drop("there").join(stop, "video_id").filter(F.col("frame_idx") < F.col("stop")).drop("stop")
     return kept.join(frame_count, "video_id").filter(F.col("frame_idx") < F.col("frame_count")).drop("frame_count").join(frames, ["video_id", "frame_idx"])
+
+
+def chronological(results: DataFrame) -> DataFrame:
+    """O1: by video and frame."""
+    return results.orderBy("video_id", "frame_idx")
