@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: the lineage is cut and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -50,3 +52,29 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def sieve(ids: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test that all values of ids' column pass and few others do, by a bit map of fixed size (2 MB, at most 262,144 longs
+    on the driver). It only keeps rows from a shuffle; with very many ids it fills up and keeps none."""
+    slot = F.shiftrightunsigned(F.xxhash64(column), 40)
+    words = ids.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64({column}), 40) & 63 as int))")).alias("b"))
+    bits = np.zeros(1 << 18, np.int64)
+    for w, b in words.toLocalIterator():
+        bits[w] = b
+    held = ids.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+
+    @F.arrow_udf("boolean")
+    def maybe(hashes: pa.Array) -> pa.Array:
+        at = (np.array(hashes).view(np.uint64) >> np.uint64(40)).astype(np.int64)
+        return pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return lambda c: maybe(F.xxhash64(c))
+
+
+def without_ids(df: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """df without the rows whose id is in gone: only rows that may be among them are shuffled, not all texts."""
+    maybe = sieve(gone, column)
+    flagged = df.withColumn("_maybe", maybe(F.col(column)))
+    kept = flagged.filter("not _maybe").drop("_maybe")
+    return kept.unionByName(flagged.filter("_maybe").drop("_maybe").join(gone.select(column).distinct(), column, "left_anti").select(*df.columns))
