@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm._common import materialise, slices
+from framewright.llm._common import materialise, sieve, slices
 from framewright.llm._words import NOT_SPACE, Words, grams, mix
 
 _SLOTS = 18
@@ -259,7 +259,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: int = 80, leaf: int = 256, sketched: int = 2048) -> DataFrame:
-    """id_col, n_shingles, component_id (smallest id that links reach, the row's own included) for every row."""
+    """id_col, n_shingles, component_id (smallest id that links reach, the row's own included) for every row.
+
+    share: the least similarity in hundredths, over 50."""
+    if not 50 < share <= 100:
+        raise ValueError("share must be over 50 (sketches of sets that differ by more than a factor of two aren't compared)")
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = materialise(docs.mapInArrow(_anchored(k, share, _levels(docs, k)), "id bigint, n bigint, sig binary, anchors array<bigint>, sketch binary"), "sets")
     classes = sets.filter("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.any_value("anchors").alias("anchors"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
@@ -271,7 +275,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sifted = meet.repartition("g").sortWithinPartitions("g").mapInArrow(_sifted(share), "g bigint, id bigint")
     regions = materialise(sifted.unionByName(regions.join(large, "g", "left_semi")).distinct(), "regions")
     sized = regions.groupBy("g").agg(F.count("*").alias("size"))
-    texts = materialise(docs.join(regions.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    needed = regions.select("id").distinct()
+    maybe = sieve(needed, "id")
+    texts = materialise(docs.filter(maybe(F.col("id"))).join(needed, "id", "left_semi").dropDuplicates(["id"]), "texts")
 
     small = regions.join(sized.filter(F.col("size") <= leaf).select("g"), "g", "left_semi")
     local = _local(small.join(texts, "id").select("g", "id", "text"), k, share)
