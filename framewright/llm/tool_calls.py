@@ -65,23 +65,37 @@ def schema_errors(tool: Column, arguments: Column, schemas: dict[str, dict]) ->
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level for calls (conv_id, call_id, depends_on) that aren't in or behind a circle."""
-    calls = materialise(calls.select("conv_id", "call_id", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on")), "calls")
-    known = calls.select("conv_id", "call_id")
-    edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("needs"))
-    edges = materialise(edges.join(known.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"]), "needs")
-    waiting = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("open"))
-    done = calls.join(waiting, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"))
-    done = materialise(done, "level")
-    last, level, edges_left = done, 0, waiting
-    while last.limit(1).count():
-        level += 1
-        freed = edges.join(last.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"]).groupBy("conv_id", "call_id").agg(F.count("*").alias("met"))
-        edges_left = materialise(edges_left.join(freed, ["conv_id", "call_id"], "left").select("conv_id", "call_id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")).filter(F.lit(True)), "open")
-        last = edges_left.filter("open = 0").select("conv_id", "call_id", F.lit(level).alias("level"))
-        done = done.unionByName(last)
-        edges_left = edges_left.filter("open > 0")
-    return done
+    """conv_id, call_id, level for calls (conv_id, call_id, depends_on) that aren't in or behind a circle.
+
+    A call with one dependency points to it, and the pointers of all such calls double in each round, so that a chain
+    takes as many rounds as its length has binary digits. A call with several is ready once all of them have levels. When
+    no call got a level for as many rounds as the longest conversation could need, the rest is in or behind a circle."""
+    key = ["conv_id", "call_id"]
+    calls = materialise(calls.select(*key, F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on")), "calls")
+    edges = calls.select(*key, F.explode(F.array_distinct("depends_on")).alias("needs"))
+    edges = materialise(edges.join(calls.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"]), "needs")
+    fan = edges.groupBy(*key).agg(F.count("*").alias("k"), F.min("needs").alias("needs"))
+    state = calls.select(*key).join(fan, key, "left").select(*key, F.when(F.col("k") == 1, F.col("needs")).alias("to"), F.when(F.col("k") == 1, 1).alias("far"), F.when(F.col("k").isNull(), 0).alias("level"))
+    state = materialise(state, "levels")
+    many = edges.join(fan.filter("k > 1").select(*key), key, "left_semi")
+    any_many = bool(many.limit(1).count())
+    longest = calls.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    idle, before = 0, None
+    while idle <= longest.bit_length():
+        left = state.filter("level is null").count()
+        idle = idle + 1 if left == before else 0
+        before = left
+        if not left:
+            break
+        other = state.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("to2"), F.col("far").alias("far2"), F.col("level").alias("level2"))
+        moved = state.join(other, ["conv_id", "to"], "left")
+        level = F.coalesce(F.col("level"), F.col("level2") + F.col("far"))
+        state = moved.select(*key, F.coalesce("to2", "to").alias("to"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), level.alias("level"))
+        if any_many:
+            ready = many.join(moved.filter("level is not null").select("conv_id", F.col("call_id").alias("needs"), F.col("level").alias("l")), ["conv_id", "needs"], "left").groupBy(*key).agg(F.max("l").alias("l"), F.min(F.col("l").isNotNull()).alias("all")).filter("all").select(*key, (F.col("l") + 1).alias("own"))
+            state = state.join(ready, key, "left").select(*key, "to", "far", F.coalesce("level", "own").cast("int").alias("level"))
+        state = materialise(state, "levels")
+    return state.filter("level is not null").select(*key, "level")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
