@@ -105,23 +105,24 @@ def _asked(tables, sample, k: int, radius: float, success: float):
             for lo in range(0, whole.num_rows, 64):
                 batch = whole.slice(lo, 64)
                 x, own = _matrix(batch.column("vec")), np.array(batch.column("id"))
-                rows: dict[str, list] = {n: [] for n in ("id", "t", "key", "other", "d", "vec")}
+                kinds = {"t": pa.int32(), "d": pa.float64(), "vec": pa.list_(pa.float64())}
+                names = ["id", "t", "key", "other", "d", "vec"]
+                as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(v, kinds.get(n, pa.int64())) for n, v in zip(names, rows, strict=True)], names=names)
                 bounds = []
                 for i in range(len(x)):
                     d = np.sqrt(((vecs - x[i]) ** 2).sum(1))
                     d[ids == own[i]] = np.inf
-                    near = [j for j in np.lexsort((ids, d))[:k] if np.isfinite(d[j])]
+                    near = np.lexsort((ids, d))[:k]
+                    near = near[np.isfinite(d[near])]
                     bounds.append(float(d[near[-1]]) if len(near) == k else math.inf)
-                    for j in near:
-                        for name, v in zip(rows, (int(own[i]), -1, 0, int(ids[j]), float(d[j]), None), strict=True):
-                            rows[name].append(v)
+                    n = len(near)
+                    yield as_batch([[int(own[i])] * n, [-1] * n, [0] * n, ids[near].tolist(), d[near].tolist(), [None] * n])
                 for t in range(tables.value.tables):
                     for i, keys in enumerate(tables.value.probes(x, t, radius, success)):
-                        n = len(keys)
-                        for name, v in zip(rows, ([int(own[i])] * n, [t] * n, keys.tolist(), [None] * n, [bounds[i]] * n, [x[i]] * n), strict=True):
-                            rows[name] += v
-                kinds = {"t": pa.int32(), "d": pa.float64(), "vec": pa.list_(pa.float64())}
-                yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(n, pa.int64())) for n, v in rows.items()], names=list(rows))
+                        for a in range(0, len(keys), 2000):  # a query's many probes each carry its vector
+                            part = keys[a : a + 2000].tolist()
+                            n = len(part)
+                            yield as_batch([[int(own[i])] * n, [t] * n, part, [None] * n, [bounds[i]] * n, [x[i]] * n])
 
     return run
 
@@ -146,7 +147,7 @@ def _nearest(k: int):
     return run
 
 
-def search(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, tables: int = 6, success: float = 0.97, bucket: int = 128, block: int = 4096, sample: int = 4096, seed: int = 11) -> DataFrame:
+def search(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, tables: int = 6, success: float = 0.97, bucket: int = 128, block: int = 1024, sample: int = 4096, seed: int = 11) -> DataFrame:
     """query_id, rank (from 1), id_col, score (the distance). is_query: a condition on the rows of vectors."""
     spark = vectors.sparkSession
     schema = f"query_id bigint, rank int, {id_col} bigint, score double"
