@@ -6,15 +6,17 @@ with their distance as deviation, so the chance that a neighbour at distance R f
 the query lies in its own. Buckets are visited in falling order of that chance until the chances add up to what gives
 all tables together the success asked for. Candidates of all tables are merged by exact distances in double precision.
 
-K follows the number of vectors, so that buckets keep their size; R is the distance of the k-th neighbour, estimated
-from a bounded sample of `sample` vectors (chosen by a hash of their ids), which also gives each query an upper bound
-of its k-th distance: what lies beyond it isn't sent on. Every vector is indexed. Buckets of over `block` vectors are
-split by a hash of the id and queries go to all their parts.
+K follows the number of vectors, so that buckets keep their size. R is each query's own distance of its k-th neighbour,
+carried on from its distances to a bounded sample of `sample` vectors (chosen by a hash of their ids), so that a large
+group of near copies doesn't shorten the reach of others. The k-th distance found is never below the true one: where it
+is over R, or fewer than k were found, the query probes a second time with it. The sample also bounds what is sent on; it
+gives no results. Every vector is indexed. Buckets of over `block` vectors are split by a hash of the id and queries go
+to all their parts.
 
 Edge cases: vectors that are null, zero, hold null or non-finite components or have another dimension than the sample's
 first vector take no part; ties go to the smaller id; with fewer candidates than k all are returned; equal vectors
-of different ids are neighbours at distance 0; repeated rows of one id count once; other columns are ignored; an
-empty table gives an empty result.
+of different ids are neighbours at distance 0; repeated rows of one id count once; other columns are ignored; a table
+of k vectors or fewer is compared in full; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framewright.llm._common import materialise
+
 
 def _normal(x: np.ndarray) -> np.ndarray:
     """The normal distribution function (Abramowitz and Stegun 7.1.26, error below 2e-7)."""
@@ -52,14 +56,15 @@ class Tables:
         with np.errstate(over="ignore"):
             return (cells.astype(np.int64) * self.code[t]).sum(-1)
 
-    def probes(self, x: np.ndarray, t: int, radius: float, success: float) -> list[np.ndarray]:
-        """For each query the keys of buckets in falling order of chance, until `success` is reached."""
+    def probes(self, x: np.ndarray, t: int, radius: np.ndarray, success: float) -> list[np.ndarray]:
+        """For each query the keys of buckets in falling order of chance, until `success` is reached. radius: one a query."""
         at = self.places(x, t)
         cell = np.floor(at)
-        reach = max(1, math.ceil(3 * radius / self.width))
+        reach = max(1, math.ceil(3 * radius.max() / self.width))
         shifts = np.arange(-reach, reach + 1)
-        low = (cell[:, :, None] + shifts - at[:, :, None]) * self.width / radius
-        chance = _normal(low + self.width / radius) - _normal(low)  # query x projection x shift
+        unit = self.width / radius[:, None, None]
+        low = (cell[:, :, None] + shifts - at[:, :, None]) * unit
+        chance = _normal(low + unit) - _normal(low)  # query x projection x shift
         out: list[np.ndarray | None] = [None] * len(x)
         todo, most = np.arange(len(x)), 256
         while len(todo):
@@ -96,33 +101,64 @@ def _indexed(tables):
     return run
 
 
-def _asked(tables, sample, k: int, radius: float, success: float):
-    """Rows of a query: its probes, with its bound, and (t = -1) its nearest in the sample, as first candidates."""
+def _expected(d: np.ndarray, k: int, total: int) -> float:
+    """The k-th of `total` distances, from the sorted ones of a sample: carried on by how they grow with their rank."""
+    rank = k * len(d) / max(total, len(d))
+    if rank >= k / 2:
+        return float(d[min(math.ceil(rank), len(d)) - 1])
+    t = min(len(d), 100)
+    h = max(1, t // 4)
+    if d[h - 1] <= 0 or t == h:
+        return float(d[h - 1])
+    return float(d[t - 1] * math.exp(math.log(rank / t) * math.log(d[t - 1] / d[h - 1]) / math.log(t / h)))
+
+
+def _asked(tables, sample, k: int, total: int, success: float, again: bool):
+    """Rows of a query: its probes, with the bound of what is sent on. again: only queries whose k-th distance found (null
+    where fewer were) is over what they first probed with."""
 
     def run(batches):
         ids, vecs = sample.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 64):
                 batch = whole.slice(lo, 64)
-                x, own = _matrix(batch.column("vec")), np.array(batch.column("id"))
-                kinds = {"t": pa.int32(), "d": pa.float64(), "vec": pa.list_(pa.float64())}
-                names = ["id", "t", "key", "other", "d", "vec"]
-                as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(v, kinds.get(n, pa.int64())) for n, v in zip(names, rows, strict=True)], names=names)
-                bounds = []
+                x, own, reach = _matrix(batch.column("vec")), np.array(batch.column("id")), batch.column("reach").to_pylist()
+                radius, bounds = np.zeros(len(x)), np.zeros(len(x))
                 for i in range(len(x)):
-                    d = np.sqrt(((vecs - x[i]) ** 2).sum(1))
-                    d[ids == own[i]] = np.inf
-                    near = np.lexsort((ids, d))[:k]
-                    near = near[np.isfinite(d[near])]
-                    bounds.append(float(d[near[-1]]) if len(near) == k else math.inf)
-                    n = len(near)
-                    yield as_batch([[int(own[i])] * n, [-1] * n, [0] * n, ids[near].tolist(), d[near].tolist(), [None] * n])
+                    d = np.sort(np.sqrt(((vecs - x[i]) ** 2).sum(1))[ids != own[i]])
+                    most = max(k, math.ceil(3 * k * len(d) / total))  # about 3k vectors of the table lie within
+                    bounds[i] = d[most - 1] if len(d) >= most else math.inf
+                    farthest = min(bounds[i], float(d[-1]) if len(d) else 1.0)
+                    radius[i] = min(farthest, 1.05 * _expected(d, k, total)) if len(d) else farthest
+                    if again:
+                        found = farthest if reach[i] is None else reach[i]
+                        bounds[i] = bounds[i] if reach[i] is None else reach[i]
+                        radius[i] = found if reach[i] is None or found > radius[i] else -1
+                radius = np.where(radius >= 0, np.maximum(radius, 1e-9), -1)
+                asks = np.flatnonzero(radius > 0)
+                if not len(asks):
+                    continue
                 for t in range(tables.value.tables):
-                    for i, keys in enumerate(tables.value.probes(x, t, radius, success)):
+                    for i, keys in zip(asks, tables.value.probes(x[asks], t, radius[asks], success), strict=True):
                         for a in range(0, len(keys), 2000):  # a query's many probes each carry its vector
-                            part = keys[a : a + 2000].tolist()
+                            part = keys[a : a + 2000]
                             n = len(part)
-                            yield as_batch([[int(own[i])] * n, [t] * n, part, [None] * n, [bounds[i]] * n, [x[i]] * n])
+                            columns = [pa.array(np.full(n, own[i])), pa.array(np.full(n, t, np.int32)), pa.array(part), pa.array(np.full(n, bounds[i])), pa.array([x[i]] * n, pa.list_(pa.float64()))]
+                            yield pa.RecordBatch.from_arrays(columns, names=["q", "t", "key", "bound", "qvec"])
+
+    return run
+
+
+def _all_pairs(sample):
+    """A query's distances to all of a few vectors."""
+
+    def run(batches):
+        ids, vecs = sample.value
+        for batch in batches:
+            for own, x in zip(batch.column("id").to_pylist(), batch.column("vec").to_pylist(), strict=True):
+                other = ids != own
+                d = np.sqrt(((vecs[other] - np.array(x)) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), own)), pa.array(ids[other]), pa.array(d)], names=["q", "id", "d"])
 
     return run
 
@@ -165,25 +201,35 @@ def search(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: str
     drawn = list({r.id: r for r in drawn if len(r.vec) == dim}.values())
     ids, vecs = np.array([r.id for r in drawn]), np.array([r.vec for r in drawn])
     good = good.filter(F.size("vec") == dim)
-    some = vecs[: min(len(vecs), 256)]
-    apart = np.sqrt(np.maximum(0, (some**2).sum(1)[:, None] + (vecs**2).sum(1)[None] - 2 * some @ vecs.T))
-    apart[np.arange(len(some)), np.arange(len(some))] = np.nan
-    radius = float(np.nanquantile(apart, min(1.0, (k + 1) / total))) if apart.size > 1 and len(vecs) > 1 else 1.0
-    radius = max(radius, 1e-9)
     spread = float(np.sqrt(vecs.var(0).sum())) if len(vecs) > 1 else 1.0
     width = max(spread, 1e-9)
     n = max(1, math.ceil(math.log2(max(2.0, total / bucket)) / 2.05))
     shared, first = spark.sparkContext.broadcast(Tables(dim, tables, n, width, seed)), spark.sparkContext.broadcast((ids, vecs))
     each = 1 - (1 - success) ** (1 / tables)
 
+    def ranked(found: DataFrame) -> DataFrame:
+        best = found.groupBy("q", "id").agg(F.min("d").alias("d"))
+        return best.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("d", "id"))).filter(F.col("rank") <= k)
+
+    pairs = "q bigint, id bigint, d double"
+    queries = good.filter("asks").select("id", "vec")
+    if total <= sample and len(ids) <= k:
+        nearest = ranked(queries.mapInArrow(_all_pairs(first), pairs))
+        return nearest.select(F.col("q").alias("query_id"), "rank", F.col("id").alias(id_col), F.col("d").alias("score"))
+
     index = good.select("id", "vec").mapInArrow(_indexed(shared), "t int, key bigint, id bigint, vec array<double>")
-    asked = good.filter("asks").select("id", "vec").mapInArrow(_asked(shared, first, k, radius, each), "id bigint, t int, key bigint, other bigint, d double, vec array<double>")
     parts = index.groupBy("t", "key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     placed = index.join(parts.filter("parts > 1").withColumnRenamed("parts", "split"), ["t", "key"], "left").withColumn("part", F.expr("cast(coalesce(pmod(xxhash64(id), split), 0) as int)"))
-    probes = asked.filter("t >= 0").select(F.col("id").alias("q"), "t", "key", F.col("d").alias("bound"), F.col("vec").alias("qvec")).join(parts, ["t", "key"])
-    probes = probes.withColumn("part", F.expr("explode(sequence(0, parts - 1))"))
-    found = probes.groupBy("t", "key", "part").cogroup(placed.groupBy("t", "key", "part")).applyInArrow(_nearest(k), "q bigint, id bigint, d double")
-    seeds = asked.filter("t < 0").select(F.col("id").alias("q"), F.col("other").alias("id"), "d")
-    merged = found.unionByName(seeds).groupBy("q", "id").agg(F.min("d").alias("d"))
-    ranked = merged.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("d", "id"))).filter(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias("query_id"), "rank", F.col("id").alias(id_col), F.col("d").alias("score"))
+
+    def asked(of: DataFrame, again: bool) -> DataFrame:
+        return of.select("id", "vec", "reach").mapInArrow(_asked(shared, first, k, total, each, again), "q bigint, t int, key bigint, bound double, qvec array<double>")
+
+    def found(probes: DataFrame) -> DataFrame:
+        probes = probes.join(parts, ["t", "key"]).withColumn("part", F.expr("explode(sequence(0, parts - 1))"))
+        return probes.groupBy("t", "key", "part").cogroup(placed.groupBy("t", "key", "part")).applyInArrow(_nearest(k), pairs)
+
+    once = materialise(ranked(found(asked(queries.withColumn("reach", F.lit(None).cast("double")), False))).select("q", "id", "d"), "neighbours")
+    last = once.groupBy(F.col("q").alias("id")).agg(F.when(F.count("*") >= k, F.max("d")).alias("reach"))
+    more = materialise(asked(queries.join(last, "id", "left"), True), "probes")
+    nearest = ranked(once if more.isEmpty() else once.unionByName(found(more)))
+    return nearest.select(F.col("q").alias("query_id"), "rank", F.col("id").alias(id_col), F.col("d").alias("score"))

@@ -46,6 +46,22 @@ def test_split_buckets_find_the_same(spark, sf_dir):
     assert rows() == rows(block=7)
 
 
+def test_recall_beside_a_large_group_of_copies(spark):
+    draw = np.random.default_rng(3)
+    x = draw.standard_normal((6000, 64))
+    x[::3] = x[0] + 0.01 * draw.standard_normal((2000, 64))
+    x /= np.sqrt((x**2).sum(1, keepdims=True))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    asks = [i for i in range(6000) if i % 100 == 0]
+    got = multiprobe_lsh.search(df, F.col("vec_id").isin(asks), sample=512).toPandas()
+    hits = {True: [], False: []}
+    for q in asks:
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits[q % 3 == 0].append(len(set(np.argsort(d)[:10]) & set(got[got.query_id == q].vec_id)) / 10)
+    assert np.mean(hits[False]) >= 0.9 and np.mean(hits[True]) >= 0.9
+
+
 URLS = [None, "", "nothing", "http://A.Example.ORG/es/1", "https://x.org", "https://x.org/", "http://example.org/en/12?a=1", "http://notexample.org/en/1", "http://a.com/fr/1#x", "http://com/de/", "http://a.net/de/1", "ftp://b.com?x://y.org/", "://q.com/de/x", "http://x.com:80/de/"]
 
 
