@@ -6,12 +6,14 @@ which it was seen; each longer one costs an escape (half a count for each differ
 seen under a longer context is excluded from the shorter one. Below the empty context all symbols not seen there are
 equally likely. The end of a text is a symbol too, so that the probabilities of all texts add up to 1.
 
-The trie is counted by Spark over all training texts and, sorted, broadcast for scoring. Its size is bounded by
-`max_grams` contexts with a follower per order: beyond it the rarest are left to the shorter contexts, which keep the
-counts of all texts.
+The model is a distributed table of all contexts of the training texts with their followers, of which none is pruned; it
+grows with the corpus. Texts are put together to pieces of 16 MB. The different contexts with a follower of all pieces are
+dealt out by the last two symbols of the context, so that a part holds all longer contexts that end in them and works
+out the probabilities of its own; only the counts of the orders 0 and 1 (at most 257 x 257) are broadcast. The
+probabilities are joined to the pieces that hold them, and each piece's texts are scored with just those.
 
 The base score is that of single words, with 0.1 added to each count. Counts of words meet the documents that hold
-them in a shuffle join; each row carries a word's list of documents of one piece of 16 MB, so that a common word
+them in a shuffle join; each row carries a word's list of documents of one piece of 8 MB, so that a common word
 brings a row for each piece, which the join may split.
 
 Edge cases: a null or empty text has just its end; without training rows every symbol is equally likely; rows with a
@@ -82,6 +84,30 @@ def _gram_counts(order: int):
     return run
 
 
+class _Places:
+    """Where numbers stand among sorted ones: by a hash table, by bisection where two collide."""
+
+    def __init__(self, own: np.ndarray):
+        self.own, self.slots = own, np.zeros(1 << _TABLE, np.int32)
+        self.slots[self._spot(own)] = np.arange(len(own))
+
+    @staticmethod
+    def _spot(code: np.ndarray) -> np.ndarray:
+        return (mix(code.view(np.uint64)) >> np.uint64(64 - _TABLE)).astype(np.int64)
+
+    def of(self, code: np.ndarray) -> np.ndarray:
+        """-1 for what isn't there."""
+        own = self.own
+        if not len(own):
+            return np.full(len(code), -1)
+        at = self.slots[self._spot(code)]
+        lost = np.flatnonzero(own[at] != code)
+        if len(lost):
+            near = np.minimum(np.searchsorted(own, code[lost]), len(own) - 1)
+            at[lost] = np.where(own[near] == code[lost], near, -1)
+        return at
+
+
 class Trie:
     """Counts by order, each as sorted numbers of context and follower."""
 
@@ -113,20 +139,10 @@ class Trie:
         return cls(grams)
 
     def _place(self, code: np.ndarray) -> np.ndarray:
-        """Where each number stands among the longest ones, or -1: by a hash table, by bisection where two collide."""
-        own = self.grams[-1][0]
-        if not len(own):
-            return np.full(len(code), -1)
-        spot = lambda c: (mix(c.view(np.uint64)) >> np.uint64(64 - _TABLE)).astype(np.int64)
-        if not hasattr(self, "_slots"):
-            self._slots = np.zeros(1 << _TABLE, np.int32)
-            self._slots[spot(own)] = np.arange(len(own))
-        at = self._slots[spot(code)]
-        lost = np.flatnonzero(own[at] != code)
-        if len(lost):
-            near = np.minimum(np.searchsorted(own, code[lost]), len(own) - 1)
-            at[lost] = np.where(own[near] == code[lost], near, -1)
-        return at
+        """Where each number stands among the longest ones, or -1."""
+        if not hasattr(self, "_places"):
+            self._places = _Places(self.grams[-1][0])
+        return self._places.of(code)
 
     def _backed_off(self, code: np.ndarray) -> np.ndarray:
         """Of symbols not seen under their longest context."""
@@ -150,20 +166,10 @@ class Trie:
         out[todo] -= np.log10(END + 1 - len(self.grams[0][0]))
         return out
 
-    def score(self, texts: pa.Array) -> np.ndarray:
-        """log10 of each text's probability."""
-        code, first = _codes(texts, len(self.grams) - 1)
-        at = self._place(code)
-        logs = self.log[at] if len(self.log) else np.zeros(len(code))
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            different, back = np.unique(code[new], return_inverse=True)
-            logs[new] = self._backed_off(different)[back]
-        return np.add.reduceat(logs, first[:-1]) if len(first) > 1 else np.empty(0)
-
 
 def train(texts: DataFrame, *, order: int = 5, max_grams: int = 4_000_000) -> Trie:
-    """texts: a column text."""
+    """A model on the driver, bounded to max_grams contexts with a follower an order by leaving out the rarest; score() uses
+    none of it. texts: a column text."""
     counted = materialise(texts.select("text").mapInArrow(_gram_counts(order), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")), "grams")
     size = counted.count()
     if size <= max_grams:
@@ -178,11 +184,90 @@ def train(texts: DataFrame, *, order: int = 5, max_grams: int = 4_000_000) -> Tr
     return Trie(grams)
 
 
-def _scored(model):
+def _pieces(batches):
+    """The texts as compressed batches of about 1 MB, with the piece of 16 MB that they belong to."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get().partitionId() if TaskContext.get() else 0
+    for number, batch in enumerate(_gathered(batches)):
+        for part in slices([batch], "text", 1 << 20):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(part)
+            yield pa.RecordBatch.from_arrays([pa.array([task << 32 | number]), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["piece", "texts"])
+
+
+def _unpacked(blob: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob.as_buffer()).read_next_batch()
+
+
+def _piece_codes(order: int):
+    """The different codes of each piece and how often they are in training texts."""
+
     def run(batches):
-        for batch in slices(batches, "text", 1 << 20):
-            words = Words(batch.column("text"), NOT_SPACE).counts()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), batch.column("train"), pa.array(words, pa.int64()), pa.array(model.value.score(batch.column("text")))], names=["id", "key", "train", "n_words", "score"])
+        piece, codes, counts = None, [], []
+
+        def done():
+            c, n = _summed(codes, counts)
+            for i in range(0, len(c), 100_000):
+                m = min(100_000, len(c) - i)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, piece)), pa.array(c[i : i + m]), pa.array(n[i : i + m])], names=["piece", "code", "n"])
+
+        for batch in batches:
+            for of, blob in zip(batch.column("piece").to_pylist(), batch.column("texts"), strict=True):
+                if of != piece and codes:
+                    yield from done()
+                    codes, counts = [], []
+                piece, part = of, _unpacked(blob)
+                code, first = _codes(part.column("text"), order)
+                train = np.array(part.column("train").to_pylist(), np.int64)
+                c = np.sort(code << 1 | np.repeat(train, np.diff(first)))
+                new = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+                code, n = c[new] >> 1, np.diff(np.append(new, len(c))) * (c[new] & 1)
+                new = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+                codes.append(code[new])
+                counts.append(np.add.reduceat(n, new))
+                if sum(map(len, codes[1:])) > 500_000:
+                    c, n = _summed(codes, counts)
+                    codes, counts = [c], [n]
+        if codes:
+            yield from done()
+
+    return run
+
+
+def _logs(low, order: int):
+    """log10 of the probabilities of a part's codes; those with a count are the part's share of the model."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        code, n = _summed([np.array(rows["code"])], [np.array(rows["n"])])
+        seen = n > 0
+        grams = list(low.value)
+        for j in range(2, order + 1):
+            grams.append(_summed([code[seen] & ((1 << (_BITS * (j + 1))) - 1)], [n[seen]]))
+        trie = Trie(grams)
+        out = np.zeros(len(code))
+        out[seen] = trie.log[np.searchsorted(trie.grams[-1][0], code[seen])]
+        out[~seen] = trie._backed_off(code[~seen])
+        return pa.table({"code": code, "log": out})
+
+    return run
+
+
+def _scored(order: int):
+    """A piece's texts, with the logarithms of its codes."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        own, logs = np.array(right["code"]), np.array(right["log"])
+        by = np.argsort(own, kind="stable")
+        places, logs, out = _Places(own[by]), logs[by], []
+        for blob in left["texts"]:
+            part = _unpacked(blob)
+            code, first = _codes(part.column("text"), order)
+            score = np.add.reduceat(logs[places.of(code)], first[:-1])
+            words = Words(part.column("text"), NOT_SPACE).counts()
+            out.append(pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), part.column("train"), pa.array(words, pa.int64()), pa.array(score)], names=["id", "key", "train", "n_words", "score"]))
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -207,7 +292,7 @@ def _word_lists(batches):
 
     names = ["piece", "word", "n", "at", "keys"]
     task = TaskContext.get().partitionId() if TaskContext.get() else 0
-    for number, batch in enumerate(_gathered(batches)):
+    for number, batch in enumerate(_gathered(batches, 8 << 20)):
         piece = task << 32 | number
         words = Words(batch.column("text"), NOT_SPACE)
         key, train = np.array(batch.column("key")), np.array(batch.column("train").to_pylist(), bool)
@@ -236,14 +321,24 @@ def _word_lists(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(m, piece)), strings.slice(i, m), pa.array(n[i : i + m]), lists.slice(i, m), pa.nulls(m, pa.list_(pa.int64()))], names=names)
 
 
-def score(docs: DataFrame, is_training, *, id_col: str = "doc_id", text_col: str = "text", order: int = 5, max_grams: int = 4_000_000) -> DataFrame:
+def score(docs: DataFrame, is_training, *, id_col: str = "doc_id", text_col: str = "text", order: int = 5) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; is_training: a condition."""
     docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(is_training, F.lit(False)).alias("train"))
     docs = docs.withColumn("key", F.xxhash64("id", "text"))
-    trie = train(docs.filter("train"), order=order, max_grams=max_grams)
-    shared = docs.sparkSession.sparkContext.broadcast(trie)  # of at most max_grams rows an order
+    spark = docs.sparkSession
     kind = docs.schema["id"].dataType.simpleString()
-    scored = docs.select("id", "key", "train", "text").mapInArrow(_scored(shared), f"id {kind}, key bigint, train boolean, n_words bigint, score double")
+    texts = materialise(docs.select("id", "key", "train", "text").mapInArrow(_pieces, "piece bigint, texts binary"), "texts")
+    codes = materialise(texts.mapInArrow(_piece_codes(order), "piece bigint, code bigint, n bigint"), "codes")
+    model = materialise(codes.groupBy("code").agg(F.sum("n").alias("n")), "model")
+    short = min(order, 1)
+    low = model.filter("n > 0").groupBy(F.col("code").bitwiseAND((1 << (_BITS * (short + 1))) - 1).alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    code, n = np.array(low["code"], np.int64), np.array(low["n"], np.int64)
+    shared = spark.sparkContext.broadcast([_summed([code & ((1 << (_BITS * (j + 1))) - 1)], [n]) for j in range(short + 1)])  # of at most 257 x 257 rows
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), model.count() // 250_000)
+    ends_in = F.shiftright("code", _BITS).bitwiseAND((1 << (2 * _BITS)) - 1)
+    logs = model.groupBy(F.pmod(F.xxhash64(ends_in), F.lit(parts)).alias("part")).applyInArrow(_logs(shared, order), "code bigint, log double")
+    of_piece = codes.select("piece", "code").join(logs, "code")
+    scored = texts.groupBy("piece").cogroup(of_piece.groupBy("piece")).applyInArrow(_scored(order), f"id {kind}, key bigint, train boolean, n_words bigint, score double")
 
     lists = materialise(docs.select("key", "train", "text").mapInArrow(_word_lists, "piece bigint, word binary, n bigint, at array<int>, keys array<bigint>"), "words")
     words = lists.filter("word is not null")

@@ -169,6 +169,24 @@ def test_pruned_trie_still_adds_up(spark, docs):
         assert (10 ** np.where(at >= 0, trie.log[at], trie._backed_off(code))).sum() == pytest.approx(1)
 
 
+def test_no_part_of_the_model_is_broadcast_whole(spark, docs, monkeypatch):
+    """Scores are those of the whole model however large it is: nothing prunes it or gathers it on the driver."""
+    df = docs.filter("text is not null").select("doc_id", "text")
+    train = F.col("doc_id") % 2 == 0
+    whole = {r.doc_id: r.score for r in ppm.score(df, train).collect()}
+
+    def never(*args, **options):
+        raise AssertionError("the model is gathered")
+
+    monkeypatch.setattr(ppm, "train", never)
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        split = {r.doc_id: r.score for r in ppm.score(df, train).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert split == pytest.approx(whole)
+
+
 def test_language(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
