@@ -48,8 +48,8 @@ def with_features(df: DataFrame, url_col: str = "url") -> DataFrame:
     """df, which has host and path, with all lexical features but those of the suffix."""
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     size = F.greatest(F.length(url), F.lit(1))
-    letters = F.split(F.substring(url, 1, 2048), "")  # beyond it the entropy hardly changes
-    share = F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda x: x == c)) / F.size(letters))
+    letters = F.filter(F.array_distinct(F.split(url, "")), lambda c: c != "")
+    share = F.transform(letters, lambda c: (F.length(url) - F.length(F.replace(url, c, F.lit("")))) / size)  # one pass for each different letter
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     return (
         df.withColumn("url_length", F.length(url).cast("double"))

@@ -93,6 +93,14 @@ def test_url_rules_and_trees(spark):
     assert url_boosting.judge(df.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_entropy_is_of_the_whole_url(spark):
+    urls = ["", "http://a.com/é𝒳é", "http://a.com/?" + "a" * 5000, "http://a.com/?" + "a" * 2500 + "0123456789bcdef" * 400]
+    df = url_boosting.with_parts(spark.createDataFrame([(u,) for u in urls], "url string"))
+    for r in url_boosting.with_features(df).collect():
+        n = len(r.url)
+        assert r.entropy == pytest.approx(-sum(r.url.count(c) / n * np.log2(r.url.count(c) / n) for c in set(r.url)))
+
+
 def test_warc_round_trip(spark, tmp_path):
     html = [None, "", "x", "x", "é" * 5000, "a\r\n\r\nWARC/1.1\r\n", "x"]
     pages = spark.createDataFrame([(i, None if i == 1 else f"http://h/{i}\r\n", h, 0) for i, h in enumerate(html)], "page_id bigint, url string, html string, payload int")
