@@ -100,8 +100,7 @@ def _sample(labelled: DataFrame, id_col: str, lang_col: str, max_rows: int) -> l
 
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 1200, landmarks: int = 96, ridge: float = 0.1) -> KernelModel:
     """labelled: rows to learn from. The sample of max_rows texts is gathered on the driver."""
-    usable = labelled.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), F.col(lang_col)).filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = _sample(usable, id_col, lang_col, max_rows)
+    rows = _sample(_usable(labelled, id_col, text_col, lang_col), id_col, lang_col, max_rows)
     langs = sorted({lang for lang, _ in rows})
     if not langs:
         return KernelModel([], np.empty(0, np.int64), np.empty((0, 0), np.float32), np.empty((0, 0), np.float32))
@@ -127,6 +126,22 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return KernelModel(langs, grams, held, (root @ w).astype(np.float32))
 
 
+#: Up to so many bytes a text is judged with those of its size: short ones score lower.
+SIZES = [64, 256]
+
+
+def _usable(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    return labelled.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), F.col(lang_col)).filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col("text").rlike(r"\p{L}"))
+
+
+def least_scores(model: KernelModel, held_out: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 2000) -> list[float]:
+    """For each class of SIZES (and what is longer) a low threshold of the score: 0.95 times the least that a bounded sample
+    of labelled rows that the model hasn't seen reaches, at most 0.5 (where the best language is as likely not it); 0
+    without such rows."""
+    texts = pa.array([t for _, t in _sample(_usable(held_out, id_col, text_col, lang_col), id_col, lang_col, max_rows)], pa.string())
+    scores = np.array(model.predict(texts)[1] if len(texts) else [])
+    sizes = np.searchsorted(SIZES, [len(t.encode()) for t in texts.to_pylist()], "right")
+    return [min(0.5, 0.95 * float(scores[sizes == i].min())) if (sizes == i).any() else 0.0 for i in range(len(SIZES) + 1)]
 
 
 def predicted(text: Column, model: KernelModel, spark) -> Column:

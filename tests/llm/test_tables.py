@@ -167,6 +167,21 @@ def test_query(spark, sf_dir, name):
         assert rows(got) == rows(twin(queries.ORACLE_SQL[name], sf_dir))
 
 
+def test_language_stage_decides_by_score(spark, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    junk = spark.createDataFrame([(10**9, "QmFzZTY0IGVuY29kZWQgc3RyaW5nMTIzNDU2Nzg5MA==" * 20), (10**9 + 1, "12 34 " * 50)], "doc_id bigint, text string")
+    kept = {r.doc_id for r in pipeline.language(spark, docs.unionByName(junk, allowMissingColumns=True), sf_dir).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.filter(F.col("text").rlike(r"\p{L}")).collect()}
+
+
+def test_language_stage_without_labels(spark, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    kept = {r.doc_id for r in pipeline.language(spark, docs, sf_dir).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.filter(F.col("text").rlike(r"\p{L}")).collect()} != set()
+
+
 def test_pipeline(spark, sf_dir):
     """run() against its decisions worked out apart."""
     pipeline = pytest.importorskip("corpus_pipeline")
