@@ -52,6 +52,16 @@ def gray_to_rgb(v: Column) -> Column:
     return F.array(v, v, v)
 
 
+def bytes_of(values: Column) -> Column:
+    """binary: an array of whole numbers from 0 to 255 as bytes."""
+    return F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+
+
+def byte_at(data: Column, place: Column) -> Column:
+    """The byte at a place (from 0) as a number."""
+    return F.conv(F.hex(F.substring(data, place + 1, F.lit(1))), 16, 10).cast("int")
+
+
 def to_rgb(pixel: Column) -> Column:
     """F8: blue, green, red (and alpha, which goes) to red, green, blue."""
     return F.reverse(F.slice(pixel, 1, 3))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,8 +50,30 @@ def frame_range(frames: DataFrame, pixels: str = "px") -> DataFrame:
     return frames.withColumn("lo", F.array_min(pixels)).withColumn("hi", F.array_max(pixels))
 
 
+#: Sample types of decoded frames, little-endian, by depth and whether they are real numbers.
+SAMPLES = {(8, False): "u1", (16, False): "<u2", (32, False): "<i4", (32, True): "<f4", (64, True): "<f8"}
+
+
+def samples_to_uint8(px: Column, bits: Column, is_float: Column) -> Column:
+    """A6, P6 on whole frames of bytes: eight-bit ones stay, others spread over 0..255 by their own range."""
+
+    @F.arrow_udf("binary")
+    def reduced(frames: pa.Array, depths: pa.Array, reals: pa.Array) -> pa.Array:
+        out = []
+        for raw, depth, real in zip(frames.to_pylist(), depths.to_pylist(), reals.to_pylist(), strict=True):
+            if raw is not None and depth != 8:
+                v = np.frombuffer(raw, SAMPLES[depth, real]).astype(np.float64)
+                lo, hi = (v.min(), v.max()) if len(v) else (0.0, 0.0)
+                scaled = np.zeros(len(v)) if hi == lo else (v - lo) * 255.0 / (hi - lo)
+                raw = (np.floor(scaled) if real else np.rint(scaled)).astype(np.uint8).tobytes()
+            out.append(raw)
+        return pa.array(out, pa.binary())
+
+    return reduced(px, bits, is_float)
+
+
 def to_uint8(frames: DataFrame, pixels: str = "px") -> DataFrame:
-    """P6 on frames (px, bits, is_float)."""
+    """P6 on frames (px as an array, bits, is_float), in the JVM."""
     ranged = frame_range(frames, pixels)
     return ranged.withColumn("px8", F.transform(pixels, lambda v: depth_to_uint8(v, F.col("lo"), F.col("hi"), F.col("bits"), F.col("is_float"))))
 
@@ -60,16 +84,15 @@ def join_results(results: DataFrame, frames: DataFrame, masks: DataFrame | None
     return joined if masks is None else joined.join(masks, ["video_id", "frame_idx"], "left")
 
 
-def join_sequential(results: DataFrame, frames: DataFrame, frame_count: DataFrame) -> DataFrame:
+def join_sequential(results: DataFrame, frames: DataFrame, frame_count: DataFrame | None = None) -> DataFrame:
     """Like reading a video forward: results count only before the first frame that can't be read.
 
-    frame_count: video_id, frame_count, how many frames the results may ask for. The first gap of a video comes from
-    partial aggregates: without a gap among the frames read, their number is the least index that is missing."""
-    asked = results.join(frames.select("video_id", "frame_idx").withColumn("there", F.lit(True)), ["video_id", "frame_idx"], "left")
-    seen = frames.select("video_id", "frame_idx", (F.col("frame_idx") - F.lag("frame_idx", 1, -1).over(W.partitionBy("video_id").orderBy("frame_idx"))).alias("step"), F.lag("frame_idx", 1, -1).over(W.partitionBy("video_id").orderBy("frame_idx")).alias("before"))
-    stop = seen.groupBy("video_id").agg(F.coalesce(F.min(F.when(F.col("step") > 1, F.col("before") + 1)), F.max("frame_idx") + 1).alias("stop"))
-    kept = asked.filter("there").drop("there").join(stop, "video_id").filter(F.col("frame_idx") < F.col("stop")).drop("stop")
-    return kept.join(frame_count, "video_id").filter(F.col("frame_idx") < F.col("frame_count")).drop("frame_count").join(frames, ["video_id", "frame_idx"])
+    frame_count: video_id, frame_count, how many frames the results may ask for; without it as many as were read. A frame
+    whose place among its video's frames is its index has no gap before it: one window, then one join."""
+    place = F.row_number().over(W.partitionBy("video_id").orderBy("frame_idx")) - 1
+    readable = frames.withColumn("_place", place).filter(F.col("_place") == F.col("frame_idx")).drop("_place")
+    kept = results.join(readable, ["video_id", "frame_idx"])
+    return kept if frame_count is None else kept.join(frame_count, "video_id").filter(F.col("frame_idx") < F.col("frame_count")).drop("frame_count")
 
 
 def chronological(results: DataFrame) -> DataFrame:

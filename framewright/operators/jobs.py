@@ -11,7 +11,7 @@ from framewright.functions.scalar import normalise_precision, resolve_path, suff
 def video_mode(mode: Column, path: Column, decoder: Column) -> tuple[Column, Column]:
     """Jpg as told; mp4 needs the suffix, then the decoder; else mp4 if both are there."""
     suffix = suffix_lower(path)
-    error = F.when((mode == "mp4") & (suffix != ".mp4"), F.concat(F.lit("mp4 mode requires a .mp4 file, got "), suffix)).when((mode == "mp4") & ~decoder, "mp4 mode needs a decoder")
+    error = F.when((mode == "mp4") & (suffix != ".mp4"), F.concat(F.lit("only .mp4 files can be read as mp4, not "), suffix)).when((mode == "mp4") & ~decoder, "mp4 mode needs a decoder")
     return F.when(error.isNotNull(), None).when(mode == "jpg", "jpg").when((suffix == ".mp4") & decoder, "mp4").otherwise("jpg"), error
 
 

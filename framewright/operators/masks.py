@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.functions.scalar import colour_rgb, label_anchor_y, object_label
@@ -50,9 +49,10 @@ def bbox_of_runs(r: Column, w: Column) -> Column:
     )
 
 
-def masks_of_logits(logits: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """UD4: video_id, frame_idx, obj_id, w, h, runs; masks without a pixel stay, as results with an empty mask."""
-    return logits.select("video_id", "frame_idx", "obj_id", "w", "h", runs(mask_threshold(F.col("logits"), threshold)).alias("runs"))
+def masks_of_logits(logits: DataFrame, threshold: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """UD4: video_id, frame_idx, obj_id, w, h, runs and the columns to keep; masks without a pixel stay, as results with an empty
+    mask."""
+    return logits.select("video_id", "frame_idx", "obj_id", "w", "h", *keep, runs(mask_threshold(F.col("logits"), threshold)).alias("runs"))
 
 
 def mask_boxes(masks: DataFrame) -> DataFrame:
@@ -62,25 +62,22 @@ def mask_boxes(masks: DataFrame) -> DataFrame:
 
 
 def mask_map(masks: DataFrame, order: str | None = None) -> DataFrame:
-    """Per frame a map of object to mask; of repeated objects the last by `order` (else the largest mask) stays."""
-    last = F.max_by("runs", F.col(order)) if order else F.max("runs")
-    one = masks.groupBy("video_id", "frame_idx", "obj_id").agg(last.alias("runs"))
+    """Per frame a map of object to mask; of repeated objects the last by `order`, else by the order of the rows, stays."""
+    placed = masks.withColumn("_at", F.col(order) if order else F.monotonically_increasing_id())
+    one = placed.groupBy("video_id", "frame_idx", "obj_id").agg(F.max_by("runs", "_at").alias("runs"))
     return one.groupBy("video_id", "frame_idx").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("obj_id", "runs")))).alias("masks"))
 
 
 def annotations(masks: DataFrame, draw: Column | None = None) -> DataFrame:
-    """A row for each box to draw, with label, anchor and colour; `draw` leaves out others."""
-    boxes = mask_boxes(masks)
-    boxes = boxes if draw is None else boxes.filter(draw)
-    colour = colour_rgb(F.col("obj_id"))
-    return boxes.select("video_id", "frame_idx", "obj_id", "x1", "y1", "x2", "y2", object_label(F.col("obj_id")).alias("label"), F.col("x1").alias("label_x"), label_anchor_y(F.col("y1")).alias("label_y"), colour[0].alias("r"), colour[1].alias("g"), colour[2].alias("b"))
+    """A row for each box, with colour, and `drawn`: whether `draw` holds (it does without one). Only boxes that
+    are drawn have a label and its anchor."""
+    drawn = F.lit(True) if draw is None else F.coalesce(draw, F.lit(False))
+    boxes = mask_boxes(masks).withColumn("drawn", drawn)
+    colour, shown = colour_rgb(F.col("obj_id")), lambda c: F.when(F.col("drawn"), c)
+    return boxes.select("video_id", "frame_idx", "obj_id", "x1", "y1", "x2", "y2", "drawn", shown(object_label(F.col("obj_id"))).alias("label"), shown(F.col("x1")).alias("label_x"), shown(label_anchor_y(F.col("y1"))).alias("label_y"), colour[0].alias("r"), colour[1].alias("g"), colour[2].alias("b"))
 
 
 def composite_order(masks: DataFrame, rank: str = "obj_id") -> DataFrame:
     """O3: per frame the masks as an array in the order in which they cover each other."""
     return masks.groupBy("video_id", "frame_idx").agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("rank"), "obj_id", "runs"))).alias("layers"))
 
-
-def with_last_writer(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Of rows with equal keys the last by order."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(F.col(order).desc()))).filter("_n = 1").drop("_n")

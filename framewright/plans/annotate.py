@@ -1,22 +1,36 @@
-"""The flagship: frames, prompts and a backend to rendered frames, annotations and timing."""
+"""The flagship: frames, prompts and a backend to rendered frames, annotations and timing, and all of it to a sink."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.operators.frames import join_results
 from framewright.operators.masks import annotations
+from framewright.operators.metrics import fps_summary
 from framewright.operators.overlay import overlay
 from framewright.plans.backends import build_backend
+from framewright.sources.frames import write_results
 
 
-def annotate(frames: DataFrame, prompts: DataFrame | None, backend: str = "logits", *, inputs: dict | None = None, alpha: float = 0.5, draw_bbox: bool = True) -> dict[str, DataFrame]:
-    """masks, rendered (frames that have a result, blended) and annotations (none without draw_bbox).
+def annotate(frames: DataFrame, prompts: DataFrame, timings: DataFrame, backend: str = "prompted", *, inputs: dict | None = None, alpha: float = 0.5, draw: Column | None = None, warmup: int = 0) -> dict[str, DataFrame]:
+    """masks, rendered (frames that have a result, blended), annotations (their boxes, and which are drawn) and fps (a row a run).
 
-    frames: video_id, frame_idx, r, g, b. inputs: what the backend takes, else frames and prompts. Frames without a
-    result aren't rendered; those whose masks are empty stay as they are."""
+    frames: video_id, frame_idx, rgb. timings: run_id (the video), frame_idx, dt. inputs: what the backend takes, else frames
+    and prompts. Frames without a result aren't rendered; those whose masks are empty stay as they are."""
     masks = build_backend(backend)(**(inputs or {"frames": frames, "prompts": prompts}))
     results = masks.select("video_id", "frame_idx").distinct()
     shown = join_results(results, frames)
-    return {"masks": masks, "rendered": overlay(shown, masks, alpha), "annotations": annotations(masks, F.lit(draw_bbox))}
+    return {"masks": masks, "rendered": overlay(shown, masks, alpha), "annotations": annotations(masks, draw), "fps": fps_summary(timings, warmup)}
+
+
+def by_frame(run: dict[str, DataFrame]) -> DataFrame:
+    """A row for each rendered frame: its pixels, its boxes (an array by object) and the timing of its run."""
+    box = F.struct("obj_id", "x1", "y1", "x2", "y2", "drawn", "label", "label_x", "label_y", "r", "g", "b")
+    boxes = run["annotations"].groupBy("video_id", "frame_idx").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    return run["rendered"].join(boxes, ["video_id", "frame_idx"], "left").join(run["fps"].withColumnRenamed("run_id", "video_id"), "video_id", "left")
+
+
+def write_run(run: dict[str, DataFrame], path: str) -> None:
+    """The sink: rendered frames with boxes and timing, in order."""
+    write_results(by_frame(run), path)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,45 +67,60 @@ def unsupported_backend(*_args, **_kwargs) -> DataFrame:
     raise NotImplementedError("this backend isn't supported")
 
 
+@register_backend("prompted")
+def prompted_backend(logits: DataFrame, prompts: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """UD4 with prompts: masks of the prompted objects, each from the first frame that it is prompted on."""
+    first = prompts.groupBy("video_id", "obj_id").agg(F.min("frame_idx").alias("_from"))
+    return masks_of_logits(logits.join(first, ["video_id", "obj_id"]).filter("frame_idx >= _from"), threshold)
+
+
 class StepBackend(ABC):
-    """UD2: a model that sees the frames of one video in order. It is built once for each Python worker."""
+    """UD2: a model that sees the frames of one video in order. Each Python worker builds it once and keeps it for the tasks
+    that follow."""
 
     @abstractmethod
     def init(self, video_id: int, prompts: pd.DataFrame) -> object:
         """A video's first state from its prompts."""
 
     @abstractmethod
-    def step(self, state: object, frame: pd.Series) -> tuple[object, list[tuple[int, list[float]]]]:
-        """The next state, and object ids with logits."""
+    def step(self, state: object, frame: object) -> tuple[object, list[tuple[int, list[float]]]]:
+        """The next state, and object ids with logits. frame: a named tuple of video_id, frame_idx and the frame's columns."""
 
     def reset(self, state: object) -> None:
         """ST3: lets go of a state; called also after an error."""
 
 
+@lru_cache(4)
+def _model(pickled: bytes) -> StepBackend:
+    """A worker's own model; the same backend isn't built again."""
+    return cloudpickle.loads(pickled)()
+
+
 def run_steps(frames: DataFrame, prompts: DataFrame, backend: Callable[[], StepBackend], frame_cols: list[str]) -> DataFrame:
     """UD2: video_id, frame_idx, obj_id, logits. Frames of a video pass through one task in order, a batch at a time, with a
     video's prompts before its frames; memory holds one Arrow batch and the state, however long the video is."""
-    rows = frames.select("video_id", "frame_idx", F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("obj_id"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("array<double>").alias("xyxy"), F.lit(None).cast("array<double>").alias("xy"), F.lit(None).cast("int").alias("label"), F.lit(None).cast("int").alias("seq"), *frame_cols)
-    told = prompts.select("video_id", "frame_idx", F.lit(0).alias("_kind"), "obj_id", "kind", "xyxy", "xy", "label", "seq")
-    order = ["video_id", "_kind", "frame_idx", "seq"]
-    mixed = told.unionByName(rows, allowMissingColumns=True).repartition("video_id").sortWithinPartitions(*order)
+    told_cols = ["obj_id", "kind", "xyxy", "xy", "label", "seq"]
+    told = prompts.select("video_id", "frame_idx", F.lit(False).alias("is_frame"), *told_cols)
+    rows = frames.select("video_id", "frame_idx", F.lit(True).alias("is_frame"), *frame_cols)
+    mixed = told.unionByName(rows, allowMissingColumns=True).repartition("video_id").sortWithinPartitions("video_id", "is_frame", "frame_idx", "seq")
+    pickled = cloudpickle.dumps(backend)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, state, now, held = backend(), None, None, []
+        model, state, now, held = _model(pickled), None, None, []
         begun = False
         try:
             for pdf in batches:
                 out = []
-                for _, row in pdf.iterrows():
+                for row in pdf.itertuples(index=False):
                     if row.video_id != now:
                         if begun:
                             model.reset(state)
                         now, held, begun = row.video_id, [], False
-                    if row["_kind"] == 0:
+                    if not row.is_frame:
                         held.append(row)
                         continue
                     if not begun:
-                        state, begun = model.init(now, pd.DataFrame(held)), True
+                        state, begun = model.init(now, pd.DataFrame(held, columns=pdf.columns)), True
                     state, found = model.step(state, row)
                     out += [(now, row.frame_idx, o, v) for o, v in found]
                 yield pd.DataFrame(out, columns=["video_id", "frame_idx", "obj_id", "logits"])
@@ -111,4 +128,4 @@ def run_steps(frames: DataFrame, prompts: DataFrame, backend: Callable[[], StepB
             if begun:
                 model.reset(state)
 
-    return mixed.mapInPandas(run, "video_id bigint, frame_idx bigint, obj_id bigint, logits array<float>")
+    return mixed.mapInPandas(run, "video_id bigint, frame_idx bigint, obj_id bigint, logits array<double>")

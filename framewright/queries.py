@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright import views
-from framewright.functions.scalar import PALETTE_BGR, PRECISIONS
+from framewright.functions.scalar import PALETTE_BGR, PRECISIONS, byte_at, bytes_of, glob_match, slice_tail, suffix_lower, to_rgb
 from framewright.operators import frames as fr
 from framewright.operators import jobs, masks, metrics, overlay, parity, prompts
-from framewright.plans.annotate import annotate as annotated
+from framewright.plans import annotate as flagship
 from framewright.plans.backends import StepBackend, build_backend, run_steps
+from framewright.shared import fresh_path
 from framewright.sources import frames as sources
 from framewright.streaming import frames as streams
 
@@ -79,6 +79,20 @@ def mask_map_objects(spark, sf_dir):
     return m.select("video_id", "frame_idx", F.size("masks").cast("bigint").alias("n_objects"), F.array_join(F.map_keys("masks"), ",").alias("objects"), F.array_join(F.transform(F.map_values("masks"), area), ",").alias("areas"))
 
 
+@query(
+    """WITH l AS (SELECT vec_id // 100 AS video_id, (vec_id // 5) % 20 AS frame_idx, vec_id % 3 AS obj_id, vec_id, list_sum(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END)) AS n FROM embeddings),
+o AS (SELECT video_id, frame_idx, obj_id, arg_max(n, vec_id) AS n FROM l GROUP BY ALL)
+SELECT video_id, frame_idx, string_agg(CAST(obj_id AS VARCHAR), ',' ORDER BY obj_id) AS objects, string_agg(CAST(CAST(n AS BIGINT) AS VARCHAR), ',' ORDER BY obj_id) AS areas FROM o GROUP BY ALL"""
+)
+def mask_map_last(spark, sf_dir):
+    """Of an object's several masks on a frame the last stays"""
+    rows = views.logits(spark, sf_dir).withColumn("seq", F.col("video_id") * 100 + F.col("frame_idx") * 5 + F.col("obj_id") - 1)
+    again = masks.masks_of_logits(rows.withColumn("obj_id", F.col("seq") % 3), keep=("seq",))
+    m = masks.mask_map(again, "seq")
+    area = lambda r: F.aggregate(r, F.lit(0), lambda n, x: n + x["len"])
+    return m.select("video_id", "frame_idx", F.array_join(F.map_keys("masks"), ",").alias("objects"), F.array_join(F.transform(F.map_values("masks"), area), ",").alias("areas"))
+
+
 _PX8 = """
 WITH v AS (SELECT vec_id // 100 AS video_id, (vec_id // 5) % 20 AS frame_idx, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS pos FROM embeddings WHERE vec_id % 5 = 0),
 raw AS (SELECT video_id, frame_idx, false AS is_float, pos, floor(v * 10000) AS v FROM v UNION ALL SELECT video_id, frame_idx, true, pos, v FROM v),
@@ -93,8 +107,37 @@ def depth_to_uint8(spark, sf_dir):
     return fr.to_uint8(views.raw_frames(spark, sf_dir)).select("video_id", "frame_idx", "is_float", "lo", "hi", F.array_join("px8", ",").alias("px"))
 
 
-def _overlay_sql() -> str:
-    flags = ", ".join(f"bool_or(obj_id = {o} AND v > 0) AS o{o}" for o in range(1, 6))
+@query(_PX8 + "SELECT video_id, frame_idx, 8 AS width, 8 AS height, 16 AS bits, string_agg(CAST(p AS VARCHAR), ',' ORDER BY pos) AS px FROM px8 WHERE NOT is_float GROUP BY ALL")
+def frame_files(spark, sf_dir):
+    """Frames written as files, scanned by folder and name, decoded and reduced"""
+    raw = views.raw_frames(spark, sf_dir).filter("not is_float")
+    path = fresh_path(spark, "files")
+    shifted = F.transform("px", lambda v: (v + 32768).cast("int"))  # samples of 16 bits aren't negative
+    low_first = F.flatten(F.transform(shifted, lambda v: F.array(v % 256, F.floor(v / 256).cast("int"))))
+    named = raw.select("video_id", F.format_string("frame_%06d.pgm", "frame_idx").alias("name"), bytes_of(low_first).alias("px"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("channels"), "bits")
+    sources.write_frame_files(named, path)
+    files = sources.scan_frames(spark, f"{path}/*", "*.pgm")
+    decoded = sources.decode_frames(files, sources.netpbm, ["video_id", "frame_idx"])
+    px8 = fr.samples_to_uint8(F.col("px"), F.col("bits"), F.col("is_float"))
+    values = F.transform(F.sequence(F.lit(0), F.octet_length("px8") - 1), lambda i: byte_at(F.col("px8"), i))
+    return decoded.withColumn("px8", px8).select(F.col("video_id").cast("bigint").alias("video_id"), "frame_idx", "width", "height", "bits", F.array_join(values, ",").alias("px"))
+
+
+_TIMES_100 = "CAST(floor(embedding[{}]::DOUBLE * 100) AS INT)"
+
+
+@query(f"SELECT vec_id, vec_id % 4 AS skip, {_TIMES_100.format(3)} AS r, {_TIMES_100.format(2)} AS g, {_TIMES_100.format(1)} AS b, 64 - vec_id % 4 AS n, round(list_sum(list_transform(embedding[vec_id % 4 + 1 :], lambda x: x::DOUBLE)), 9) AS total FROM embeddings")
+def pixel_order(spark, sf_dir):
+    """Blue, green, red and alpha to red, green, blue; what is left of an array after its first values"""
+    e = views.table(spark, sf_dir, "embeddings").withColumn("skip", F.col("vec_id") % 4)
+    px = to_rgb(F.transform(F.slice("embedding", 1, 4), lambda v: F.floor(v.cast("double") * 100).cast("int")))
+    tail = slice_tail(F.transform("embedding", lambda v: v.cast("double")), F.col("skip").cast("int"))
+    return e.select("vec_id", "skip", px[0].alias("r"), px[1].alias("g"), px[2].alias("b"), F.size(tail).cast("bigint").alias("n"), F.round(F.aggregate(tail, F.lit(0.0), lambda a, v: a + v), 9).alias("total"))
+
+
+def _overlay_sql(when: str = "true", cte: str = "") -> str:
+    """Pixels of all frames, in s5. when: which masks count."""
+    flags = ", ".join(f"bool_or(obj_id = {o} AND v > 0 AND {when}) AS o{o}" for o in range(1, 6))
     steps, last = [], "base"
     for o in range(1, 6):
         cols = ", ".join(f"CASE WHEN o{o} THEN floor(0.5 * {PALETTE_BGR[o - 1][2 - i]} + (1 - 0.5) * {c}) ELSE {c} END AS {c}" for i, c in enumerate("rgb"))
@@ -103,41 +146,61 @@ def _overlay_sql() -> str:
     return (
         _PX8
         + f""", lg AS (SELECT vec_id // 100 AS video_id, (vec_id // 5) % 20 AS frame_idx, vec_id % 5 + 1 AS obj_id, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS pos FROM embeddings),
-fl AS (SELECT video_id, frame_idx, pos, {flags} FROM lg GROUP BY ALL),
+{cte}fl AS (SELECT video_id, frame_idx, pos, {flags} FROM lg GROUP BY ALL),
 base AS (SELECT video_id, frame_idx, pos, o1, o2, o3, o4, o5, CAST(p AS DOUBLE) AS r, CAST(p AS DOUBLE) AS g, CAST(p AS DOUBLE) AS b FROM px8 JOIN fl USING (video_id, frame_idx, pos) WHERE NOT is_float),
 """
         + ",\n".join(steps)
-        + " SELECT video_id, frame_idx, CAST(pos AS INT) AS pos, CAST(r AS INT) AS r, CAST(g AS INT) AS g, CAST(b AS INT) AS b FROM s5"
     )
 
 
-@query(_overlay_sql())
+@query(_overlay_sql() + " SELECT video_id, frame_idx, CAST(pos AS INT) AS pos, CAST(r AS INT) AS r, CAST(g AS INT) AS g, CAST(b AS INT) AS b FROM s5")
 def overlay_blend(spark, sf_dir):
-    """J1, J5, O3, F6-F8"""
+    """J1, J5, O3, F6, F7"""
     out = overlay.overlay(views.rgb_frames(spark, sf_dir), _masks(spark, sf_dir))
-    return out.select("video_id", "frame_idx", F.posexplode(F.arrays_zip("r", "g", "b")).alias("pos", "p")).select("video_id", "frame_idx", "pos", "p.r", "p.g", "p.b")
+    pixels = out.select("video_id", "frame_idx", "rgb", F.explode(F.sequence(F.lit(0), (F.octet_length("rgb") / 3).cast("int") - 1)).alias("pos"))
+    return pixels.select("video_id", "frame_idx", "pos", *[byte_at(F.col("rgb"), F.col("pos") * 3 + i).alias(c) for i, c in enumerate("rgb")])
 
 
 def _colour_sql(channel: int) -> str:
     return "CASE (obj_id - 1) % 6 " + " ".join(f"WHEN {i} THEN {c[2 - channel]}" for i, c in enumerate(PALETTE_BGR)) + " END"
 
 
-_ANNOTATIONS = _BOXES + f"SELECT video_id, frame_idx, obj_id, x1, y1, x2, y2, 'id=' || obj_id AS label, x1 AS label_x, greatest(0, y1 - 6) AS label_y, {_colour_sql(0)} AS r, {_colour_sql(1)} AS g, {_colour_sql(2)} AS b FROM b"
+_DRAWN = "video_id % 2 = 0"
+_ANNOTATIONS = f"SELECT video_id, frame_idx, obj_id, x1, y1, x2, y2, {_DRAWN} AS drawn, CASE WHEN {_DRAWN} THEN 'id=' || obj_id END AS label, CASE WHEN {_DRAWN} THEN x1 END AS label_x, CASE WHEN {_DRAWN} THEN greatest(0, y1 - 6) END AS label_y, {_colour_sql(0)} AS r, {_colour_sql(1)} AS g, {_colour_sql(2)} AS b FROM b"
 
 
-@query(_ANNOTATIONS + " WHERE video_id % 2 = 0")
+@query(_BOXES + _ANNOTATIONS)
 def annotations(spark, sf_dir):
     """Boxes are drawn on videos of even number"""
-    return masks.annotations(_masks(spark, sf_dir), F.col("video_id") % 2 == 0)
+    return masks.annotations(_masks(spark, sf_dir), F.expr(_DRAWN))
+
+
+_PROMPTED = "pr AS (SELECT video_id, obj_id, min(frame_idx) + obj_id AS since FROM (SELECT DISTINCT video_id, frame_idx, obj_id FROM lg) GROUP BY video_id, obj_id),\n"
+_RUN_SQL = (
+    _overlay_sql("frame_idx >= (SELECT since FROM pr WHERE pr.video_id = lg.video_id AND pr.obj_id = lg.obj_id)", _PROMPTED)
+    + f""", res AS (SELECT DISTINCT lg.video_id, lg.frame_idx FROM lg JOIN pr USING (video_id, obj_id) WHERE lg.frame_idx >= since),
+px AS (SELECT video_id, frame_idx, string_agg(printf('%02X%02X%02X', CAST(r AS INT), CAST(g AS INT), CAST(b AS INT)), '' ORDER BY pos) AS px FROM s5 JOIN res USING (video_id, frame_idx) GROUP BY ALL),
+b AS (SELECT video_id, frame_idx, obj_id, min(pos % 8) AS x1, min(pos // 8) AS y1, max(pos % 8) AS x2, max(pos // 8) AS y2 FROM lg JOIN pr USING (video_id, obj_id) WHERE v > 0 AND frame_idx >= since GROUP BY ALL),
+bx AS (SELECT video_id, frame_idx, string_agg(obj_id || ':' || x1 || ',' || y1 || ',' || x2 || ',' || y2 || CASE WHEN {_DRAWN} THEN ' id=' || obj_id ELSE '' END, ' ' ORDER BY obj_id) AS boxes FROM b GROUP BY ALL),
+tm AS (SELECT video_id, frame_idx, (video_id * 7 + frame_idx * 3) % 5 / 1000 + 0.01 AS dt FROM (SELECT DISTINCT video_id, frame_idx FROM lg WHERE obj_id = 1)),
+fp AS (SELECT video_id, count(*) AS frames, round(count(*) / sum(dt), 6) AS avg_fps_all, round(count(*) FILTER (frame_idx >= least({WARMUP}, n - 1)) / sum(dt) FILTER (frame_idx >= least({WARMUP}, n - 1)), 6) AS avg_fps_post_warmup FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM tm) GROUP BY video_id)
+SELECT video_id, frame_idx, px, coalesce(boxes, '') AS boxes, frames, avg_fps_all, avg_fps_post_warmup FROM px LEFT JOIN bx USING (video_id, frame_idx) LEFT JOIN fp USING (video_id)
+"""
+)
 
 
-@query(_ANNOTATIONS)
+@query(_RUN_SQL)
 def annotate(spark, sf_dir):
-    """The flagship composite"""
-    return annotated(views.rgb_frames(spark, sf_dir), None, "logits", inputs={"logits": views.logits(spark, sf_dir)})["annotations"]
+    """The flagship: prompts, frames and a backend to rendered pixels, boxes and timing, through the sink"""
+    told = views.mask_prompts(spark, sf_dir)
+    run = flagship.annotate(views.rgb_frames(spark, sf_dir), told, views.render_timings(spark, sf_dir), inputs={"logits": views.logits(spark, sf_dir), "prompts": told}, draw=F.expr(_DRAWN), warmup=WARMUP)
+    path = fresh_path(spark, "annotated")
+    flagship.write_run(run, path)
+    text = F.transform("boxes", lambda b: F.concat(b["obj_id"].cast("string"), F.lit(":"), F.concat_ws(",", b["x1"], b["y1"], b["x2"], b["y2"]), F.coalesce(F.concat(F.lit(" "), b["label"]), F.lit(""))))
+    return spark.read.parquet(path).select("video_id", "frame_idx", F.hex("rgb").alias("px"), F.coalesce(F.array_join(text, " "), F.lit("")).alias("boxes"), "frames", _r("avg_fps_all", 6), _r("avg_fps_post_warmup", 6))
 
 
-_TIMINGS = "WITH t AS (SELECT l_suppkey AS run_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) - 1 AS frame_idx, l_quantity / 1000 AS dt FROM lineitem)"
+_TIMINGS = "WITH t AS MATERIALIZED (SELECT l_suppkey AS run_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) - 1 AS frame_idx, l_quantity / 1000 AS dt FROM lineitem)"
 _SUMMARY = (
     _TIMINGS
     + f""", n AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS n FROM t),
@@ -150,7 +213,7 @@ s AS (SELECT run_id, count(*) AS frames, sum(dt) AS total_s, CASE WHEN sum(dt) >
 
 @query(_SUMMARY + "SELECT run_id, frames, round(total_s, 9) AS total_s, round(avg_fps_all, 9) AS avg_fps_all, warmup, kept_frames, round(avg_fps_post_warmup, 9) AS avg_fps_post_warmup FROM s")
 def fps_summary(spark, sf_dir):
-    """A1, W3, F5, F9"""
+    """A1, W3, F5"""
     return metrics.fps_summary(views.timings(spark, sf_dir), WARMUP).select("run_id", "frames", _r("total_s"), _r("avg_fps_all"), "warmup", "kept_frames", _r("avg_fps_post_warmup"))
 
 
@@ -184,12 +247,16 @@ def frame_dt(spark, sf_dir):
 _FRAMES = _EVENTS + ", f AS (SELECT user_id AS video_id, printf('frame_%06d.tiff', seq) AS name, row_number() OVER (PARTITION BY user_id ORDER BY printf('frame_%06d.tiff', seq)) - 1 AS frame_idx, CAST(k % 3 + 640 AS INT) AS width, CAST(k % 2 + 480 AS INT) AS height, k FROM e)"
 
 
-@query(_FRAMES + " SELECT video_id, name, frame_idx, printf('%05d.jpg', frame_idx) AS cache_name, '.tiff' AS suffix FROM f")
+@query(
+    _EVENTS
+    + """, n AS (SELECT user_id AS video_id, CASE WHEN k % 10 = 0 THEN printf('notes_%06d.txt', seq) WHEN k % 2 = 0 THEN printf('frame_%06d.tif', seq) ELSE printf('frame_%06d.TIFF', seq) END AS name FROM e),
+g AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY name) - 1 AS frame_idx FROM n WHERE lower(name) LIKE '%.tif%')
+SELECT video_id, name, frame_idx, printf('%05d.jpg', frame_idx) AS cache_name, lower(regexp_extract(name, '\\.[^.]+$')) AS suffix FROM g"""
+)
 def frame_index(spark, sf_dir):
-    """W1, O1, O4, F1, F2, F4"""
-    from framewright.functions.scalar import glob_match, suffix_lower
-
-    return views.frames(spark, sf_dir).filter(glob_match(F.col("name"))).select("video_id", "name", "frame_idx", "cache_name", suffix_lower(F.col("name")).alias("suffix"))
+    """S1 on a listing, W1, O4, F1, F2, F4"""
+    listed = views.frame_names(spark, sf_dir).filter(glob_match(F.lower("name"), "*.tif*"))
+    return fr.assign_frame_idx(listed, ["name"]).select("video_id", "name", "frame_idx", "cache_name", suffix_lower(F.col("name")).alias("suffix"))
 
 
 @query(_FRAMES + " SELECT video_id, frame_idx, name, width, height FROM f WHERE frame_idx = 0")
@@ -304,7 +371,7 @@ y AS (SELECT *, CASE WHEN used NOT IN (SELECT config FROM b WHERE config IS NOT
 WHEN prec NOT IN ('bfloat16', 'float16', 'float32') THEN 'unsupported precision ' || coalesce(precision, prec)
 WHEN prompt_mode = 'file' AND coalesce(prompts_file, '') = '' THEN 'file mode needs a prompt file'
 WHEN frames_dir IS NULL AND video_path IS NULL THEN 'needs a video or a frame directory'
-WHEN frames_dir IS NULL AND video_mode = 'mp4' AND suffix <> '.mp4' THEN 'mp4 mode requires a .mp4 file, got ' || suffix
+WHEN frames_dir IS NULL AND video_mode = 'mp4' AND suffix <> '.mp4' THEN 'only .mp4 files can be read as mp4, not ' || suffix
 WHEN frames_dir IS NULL AND video_mode = 'mp4' AND NOT decoder THEN 'mp4 mode needs a decoder'
 WHEN NOT supported THEN 'backend not supported: ' || tracker WHEN engine_ok = false AND strict THEN 'engine unavailable for ' || tracker END AS error FROM x)
 """
@@ -378,7 +445,7 @@ def join_results(spark, sf_dir):
 def sequential_join(spark, sf_dir):
     """J2"""
     decoded, results = _decoded(spark, sf_dir)
-    return fr.join_sequential(results, decoded, views.videos(spark, sf_dir).select("video_id", "frame_count"))
+    return fr.join_sequential(results, decoded)
 
 
 @query(_JOINED + """, v AS (SELECT video_id, count(*) + CASE WHEN video_id % 3 = 0 THEN 1 ELSE 0 END AS frame_count FROM f GROUP BY video_id)
@@ -412,54 +479,59 @@ def parity_worst(spark, sf_dir):
     return parity.worst(compared, "video_id").withColumn("worst", F.round("worst", 12))
 
 
-def _path(spark: SparkSession, name: str) -> str:
-    return f"{streams.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-@query(_FRAMES + " SELECT video_id, frame_idx, name, width, height FROM f")
+@query(_FRAMES + " SELECT video_id, frame_idx, name, width, height, printf('%05d.jpg', frame_idx) AS cache_name FROM f")
 def write_frames(spark, sf_dir):
-    """Written by video and read back"""
-    path = _path(spark, "frames")
+    """Written under a partition for each video and read back"""
+    path = fresh_path(spark, "frames")
     small = views.frames(spark, sf_dir).select("video_id", "frame_idx", "name", "width", "height")
-    sources.write_results(small, path)
-    return spark.read.parquet(path)
+    sources.write_frames(small, path)
+    return spark.read.parquet(path).select(F.col("video_id").cast("bigint").alias("video_id"), "frame_idx", "name", "width", "height", "cache_name")
 
 
 @query(_FRAMES + " SELECT video_id, frame_idx, name, width, height, width <> 640 OR height <> 480 AS size_mismatch FROM f")
 def write_results(spark, sf_dir):
-    """Flagged, written in order and read back"""
-    path = _path(spark, "results")
+    """Flagged, written in order and read back"""
+    path = fresh_path(spark, "results")
     sources.write_results(sources.with_size_mismatch(views.frames(spark, sf_dir).select("video_id", "frame_idx", "name", "width", "height"), views.videos(spark, sf_dir)), path)
     return spark.read.parquet(path)
 
 
-class _Carry(StepBackend):
-    """UD2: the carry-forward baseline as a step backend."""
+class _Smooth(StepBackend):
+    """UD2: logits that follow the frames half way, for each object from the frame of its prompt on."""
 
     def init(self, video_id, prompts):
-        return {}, {} if prompts.empty else dict(iter(prompts.sort_values("seq").groupby("frame_idx")))
+        return dict(zip(prompts.obj_id.tolist(), prompts.frame_idx.tolist(), strict=True)), {}
 
     def step(self, state, frame):
-        boxes, told = state
-        for p in told[frame.frame_idx].itertuples() if frame.frame_idx in told else ():
-            boxes[int(p.obj_id)] = [float(x) for x in p.xyxy]
-        return state, [(o, boxes[o]) for o in sorted(boxes)]
-
-
-_STEPPED = _CARRY + ", s AS (SELECT g.video_id, g.frame_idx, g.obj_id, last_value(b.x IGNORE NULLS) OVER w AS x, last_value(b.y IGNORE NULLS) OVER w AS y FROM g LEFT JOIN b USING (video_id, frame_idx, obj_id) WINDOW w AS (PARTITION BY g.video_id, g.obj_id ORDER BY g.frame_idx ROWS UNBOUNDED PRECEDING))"
+        since, held = state
+        for o in sorted(o for o, first in since.items() if first <= frame.frame_idx):
+            held[o] = [float((a + b) // 2) for a, b in zip(held[o], frame.px, strict=True)] if o in held else list(map(float, frame.px))
+        return state, [(int(o), v) for o, v in held.items()]
 
 
-@query(_STEPPED + " SELECT video_id, frame_idx, obj_id, round(x::FLOAT::DOUBLE, 4) AS x, y FROM s WHERE x IS NOT NULL")
+@query(
+    """WITH RECURSIVE v AS (SELECT vec_id // 100 AS video_id, (vec_id // 5) % 20 AS frame_idx, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS pos FROM embeddings WHERE vec_id % 5 = 0),
+x AS (SELECT video_id, frame_idx, pos, CAST(floor(v * 10000) AS BIGINT) AS x, row_number() OVER (PARTITION BY video_id, pos ORDER BY frame_idx) AS place FROM v),
+o AS (SELECT DISTINCT vec_id // 100 AS video_id, vec_id % 5 + 1 AS obj_id, min((vec_id // 5) % 20) OVER (PARTITION BY vec_id // 100, vec_id % 5) + vec_id % 5 + 1 AS since FROM embeddings),
+f AS (SELECT o.video_id, o.obj_id, min(place) AS place FROM o JOIN x ON x.video_id = o.video_id AND frame_idx >= since GROUP BY ALL),
+r AS (SELECT x.video_id, f.obj_id, x.place, x.frame_idx, x.pos, x.x AS s FROM x JOIN f ON f.video_id = x.video_id AND f.place = x.place
+UNION ALL SELECT r.video_id, r.obj_id, x.place, x.frame_idx, x.pos, CAST(floor((r.s + x.x) / 2.0) AS BIGINT) FROM r JOIN x ON x.video_id = r.video_id AND x.pos = r.pos AND x.place = r.place + 1)
+SELECT video_id, frame_idx, obj_id, CAST(sum(s) AS BIGINT) AS total, count(*) FILTER (s > 0) AS above FROM r GROUP BY ALL"""
+)
 def step_backend(spark, sf_dir):
     """UD1, UD2"""
-    out = run_steps(views.frames(spark, sf_dir).select("video_id", "frame_idx", "name"), _boxes(spark, sf_dir), _Carry, ["name"])
-    return out.select("video_id", "frame_idx", "obj_id", F.round(F.col("logits")[0].cast("double"), 4).alias("x"), F.col("logits")[1].cast("double").alias("y"))
+    rows = views.raw_frames(spark, sf_dir).filter("not is_float").select("video_id", "frame_idx", "px")
+    out = run_steps(rows, views.mask_prompts(spark, sf_dir), _Smooth, ["px"])
+    return out.select("video_id", "frame_idx", "obj_id", F.aggregate("logits", F.lit(0.0), lambda a, v: a + v).cast("bigint").alias("total"), F.size(F.filter("logits", lambda v: v > 0)).cast("bigint").alias("above"))
+
+
+_STEPPED = _CARRY + ", s AS (SELECT g.video_id, g.frame_idx, g.obj_id, last_value(b.x IGNORE NULLS) OVER w AS x, last_value(b.y IGNORE NULLS) OVER w AS y FROM g LEFT JOIN b USING (video_id, frame_idx, obj_id) WINDOW w AS (PARTITION BY g.video_id, g.obj_id ORDER BY g.frame_idx ROWS UNBOUNDED PRECEDING))"
 
 
-def _written_stream(spark: SparkSession, df: DataFrame, parts: int = 3) -> DataFrame:
-    """A table as files in the shared folder, read as a stream of one file after the other."""
-    path = _path(spark, "arriving")
-    df.repartition(parts).write.parquet(path)
+def _written_stream(spark: SparkSession, df: DataFrame, files: int = 6) -> DataFrame:
+    """A table as files in the shared folder, its rows dealt out to them in turn, read as a stream of two files a batch."""
+    path = fresh_path(spark, "arriving")
+    df.repartition(files).write.parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
@@ -476,9 +548,9 @@ def propagate_stream(spark, sf_dir):
 
 @query(_CLICKS + "SELECT session, seq, CAST(active AS BIGINT) AS obj_id, CASE WHEN action = 'left' THEN 1 ELSE 0 END AS label FROM a WHERE action IN ('left', 'right')")
 def active_object_stream(spark, sf_dir):
-    """ST4: a session's events arrive together"""
+    """ST4: a session's events are spread over three batches at least"""
     log = views.click_log(spark, sf_dir).select("session", "seq", "action", "digit")
-    out = streams.finish(streams.active_object_stream(_written_stream(spark, log, 1)))
+    out = streams.finish(streams.active_object_stream(_written_stream(spark, log)))
     gone = out.filter("action = 'escape'").select("session")
     return out.filter("obj_id is not null").join(gone, "session", "left_anti").select("session", "seq", "obj_id", "label")
 
@@ -487,4 +559,4 @@ def active_object_stream(spark, sf_dir):
 def fps_stream(spark, sf_dir):
     """ST5"""
     counters = streams.finish(streams.fps_stream(_written_stream(spark, views.timings(spark, sf_dir)), WARMUP), "complete")
-    return streams.fps_of(counters, WARMUP).select("run_id", "frames", _r("total_s"), _r("avg_fps_all"), "warmup", "kept_frames", _r("avg_fps_post_warmup"))
+    return metrics.fps_of(counters, WARMUP).select("run_id", "frames", _r("total_s"), _r("avg_fps_all"), "warmup", "kept_frames", _r("avg_fps_post_warmup"))

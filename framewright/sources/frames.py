@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.operators.frames import assign_frame_idx
+from framewright.functions.scalar import frame_name
+from framewright.operators.frames import SAMPLES, assign_frame_idx, chronological
 
 BINARY = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -33,27 +38,57 @@ def stream_frames(spark: SparkSession, path: str, pattern: str = "*.tif*") -> Da
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """S2 for eight-bit PNG, JPG and BMP by Spark's image source: origin, width, height, channels and rgb, a binary of interleaved
-    values. The source gives blue, green, red (and alpha) per pixel and the low byte of deeper samples: those need decode_frames."""
+    values. The source gives blue, green, red (and alpha) per pixel and the low byte of deeper samples: those need
+    decode_frames. A file that can't be read is an error."""
     images = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
-    return images.select(F.col("origin"), "width", "height", "nChannels", "data").mapInPandas(_to_rgb, "origin string, width int, height int, channels int, rgb binary")
-
-
-def _to_rgb(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import numpy as np
-
-    for pdf in batches:
-        rgb = []
-        for c, data in zip(pdf.nChannels, pdf.data, strict=True):
-            px = np.frombuffer(data, np.uint8).reshape(-1, max(1, c))
-            rgb.append((np.repeat(px, 3, 1) if c == 1 else px[:, 2::-1]).tobytes())
-        yield pd.DataFrame({"origin": pdf.origin, "width": pdf.width, "height": pdf.height, "channels": pdf.nChannels, "rgb": rgb})
-
-
-def decode_frames(files: DataFrame, decoder: Callable[[bytes], tuple[list[float], int, int, int, int, bool]], keys: list[str]) -> DataFrame:
-    """S2 for any depth, by the caller's decoder: bytes to (values of all pixels, width, height, channels, bits, is_float), values as
-    stored (blue first). Returns keys, width, height, channels, bits, is_float, px; an unreadable file is an error."""
+    return images.select(F.col("origin"), "width", "height", F.col("nChannels").alias("channels"), _rgb_of(F.col("origin"), F.col("data"), F.col("nChannels")).alias("rgb"))
+
+
+def _rgb_of(origin: Column, data: Column, channels: Column) -> Column:
+    """F7, F8 on whole frames: gray, or blue, green, red (and alpha), to red, green, blue."""
+
+    @F.arrow_udf("binary")
+    def turned(origins: pa.Array, frames: pa.Array, counts: pa.Array) -> pa.Array:
+        out = []
+        for name, raw, c in zip(origins.to_pylist(), frames.to_pylist(), counts.to_pylist(), strict=True):
+            if c is None or c < 1:
+                raise ValueError(f"can't be read as a frame: {name}")
+            px = np.frombuffer(raw, np.uint8).reshape(-1, c)
+            out.append((np.repeat(px, 3, 1) if c == 1 else px[:, 2::-1]).tobytes())
+        return pa.array(out, pa.binary())
+
+    return turned(origin, data, channels)
+
+
+def netpbm(content: bytes) -> tuple[np.ndarray, int, int, int, int, bool]:
+    """A decoder for decode_frames: binary netpbm frames (P5 gray, P6 colour; samples of one byte, or of two, high one first)."""
+    fields, at = [], 0
+    while len(fields) < 4:
+        end = at
+        while end < len(content) and content[end : end + 1] not in (b" ", b"\n", b"\t", b"\r"):
+            end += 1
+        if end == at or end == len(content):
+            raise ValueError("not a netpbm frame")
+        fields.append(content[at:end])
+        at = end + 1
+    kind, width, height, top = fields[0], *map(int, fields[1:])
+    channels = {b"P5": 1, b"P6": 3}[kind]
+    px = np.frombuffer(content, "u1" if top < 256 else ">u2", width * height * channels, at)
+    return px, width, height, channels, 8 if top < 256 else 16, False
+
+
+def to_netpbm(px: bytes, width: int, height: int, channels: int, bits: int) -> bytes:
+    """What netpbm() reads, from samples of one byte or little-endian ones of two."""
+    data = px if bits == 8 else np.frombuffer(px, "<u2").astype(">u2").tobytes()
+    return b"%s\n%d %d\n%d\n" % (b"P5" if channels == 1 else b"P6", width, height, (1 << bits) - 1) + data
+
+
+def decode_frames(files: DataFrame, decoder: Callable[[bytes], tuple], keys: list[str]) -> DataFrame:
+    """S2 for any depth, by a decoder (netpbm() or the caller's): bytes to (samples, width, height, channels, bits, is_float), blue
+    first if the caller's are. Returns keys, width, height, channels, bits, is_float and px, the samples' little-endian
+    bytes; a file that can't be read is an error."""
     kept = files.select(*keys, "content")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name != "content") + ", width int, height int, channels int, bits int, is_float boolean, px array<double>"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name != "content") + ", width int, height int, channels int, bits int, is_float boolean, px binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -62,16 +97,38 @@ def decode_frames(files: DataFrame, decoder: Callable[[bytes], tuple[list[float]
                 decoded = decoder(bytes(content))
                 if decoded is None:
                     raise ValueError("a frame can't be read")
-                out.append(decoded)
-            got = pd.DataFrame(out, columns=["px", "width", "height", "channels", "bits", "is_float"])
-            yield pd.concat([pdf[keys].reset_index(drop=True), got[["width", "height", "channels", "bits", "is_float", "px"]]], axis=1)
+                samples, *told = decoded
+                out.append([*told, np.asarray(samples, SAMPLES[told[3], told[4]]).tobytes()])
+            got = pd.DataFrame(out, columns=["width", "height", "channels", "bits", "is_float", "px"])
+            yield pd.concat([pdf[keys].reset_index(drop=True), got], axis=1)
 
     return kept.mapInPandas(run, schema)
 
 
+def write_frame_files(frames: DataFrame, path: str) -> None:
+    """A netpbm file for each frame (video_id, name, px, width, height, channels, bits) under its video's folder. A task that is
+    run again replaces its files by equal ones."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = pafs.FileSystem.from_uri(path)
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                folder = f"{root}/{r.video_id}"
+                fs.create_dir(folder, recursive=True)
+                hidden = f"{folder}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(hidden) as out:
+                    out.write(to_netpbm(r.px, r.width, r.height, r.channels, r.bits))
+                fs.move(hidden, f"{folder}/{r.name}")
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    frames.select("video_id", "name", "px", "width", "height", "channels", "bits").mapInPandas(run, "n bigint").agg(F.sum("n")).collect()
+
+
 def write_frames(frames: DataFrame, path: str) -> None:
-    """All frames of a video under its own partition, with numeric index and cache name."""
-    frames.write.partitionBy("video_id").mode("overwrite").parquet(path)
+    """All frames of a video under its own partition, with numeric index and cache name (F2), in frame order. Ranges of video
+    and index spread a long video over tasks and keep a short one in one file."""
+    named = frames.withColumn("cache_name", frame_name(F.col("frame_idx")))
+    named.repartitionByRange("video_id", "frame_idx").sortWithinPartitions("video_id", "frame_idx").write.partitionBy("video_id").mode("overwrite").parquet(path)
 
 
 def with_size_mismatch(results: DataFrame, videos: DataFrame) -> DataFrame:
@@ -81,5 +138,5 @@ def with_size_mismatch(results: DataFrame, videos: DataFrame) -> DataFrame:
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """Rendered frames in order, by ranges of video and index, so that a long video spreads over tasks."""
-    results.repartitionByRange("video_id", "frame_idx").sortWithinPartitions("video_id", "frame_idx").write.mode("overwrite").parquet(path)
+    """Rendered frames in order: files hold ranges of video and index, so that a long video spreads over tasks."""
+    chronological(results).write.mode("overwrite").parquet(path)

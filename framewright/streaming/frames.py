@@ -2,103 +2,109 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Where driver and executors both write (spark.checkpoint.dir); a folder of our own only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from framewright.operators.metrics import fps_counters
+from framewright.shared import fresh_path
 
 
 def finish(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a streaming DataFrame over the input that is there, and reads what it wrote. Complete results, which a file sink
     can't take, are written batch by batch, each in place of the one before."""
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = fresh_path(spark, "stream")
     writer = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").outputMode(mode).trigger(availableNow=True)
+    idle = "spark.sql.streaming.noDataMicroBatches.enabled"  # with a timeout, batches without data would follow for ever
+    before = spark.conf.get(idle)
+    spark.conf.set(idle, "false")
     if mode == "append":
         query = writer.format("parquet").option("path", f"{root}/out").start()
     else:
         query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{root}/out")).start()
+    spark.conf.set(idle, before)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-def _propagated(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _after(batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """No rows come with a timeout."""
+    return iter(()) if state.hasTimedOut else batches
+
+
+def _propagated(key, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int) -> Iterator[pd.DataFrame]:
     following, boxes, waiting = state.get if state.exists else (0, [], [])
-    held = {int(f): (list(o), list(b)) for f, o, b in waiting}
+    held = {int(f): (list(o), list(b), bool(e)) for f, o, b, e in waiting}
     carried = {int(o): list(b) for o, b in boxes}
-    ended = False
-    for pdf in batches:
+    for pdf in _after(batches, state):
         for f, o, b, end in zip(pdf.frame_idx, pdf.objs, pdf.xyxys, pdf.ended, strict=True):
-            held[int(f)] = ([int(x) for x in o], [list(map(float, x)) for x in b])
-            ended |= bool(end)
-    out = []
-    while following in held:
-        objs, new = held.pop(following)
+            held[int(f)] = ([int(x) for x in o], [list(map(float, x)) for x in b], bool(end))
+    out, ended = [], False
+    while held and (following in held or state.hasTimedOut):  # what is missing after so long won't come
+        following = following if following in held else min(held)
+        objs, new, ended = held.pop(following)
         carried |= dict(zip(objs, new, strict=True))
         out += [(key[0], following, o, carried[o]) for o in sorted(carried)] or [(key[0], following, None, None)]
         following += 1
-    if ended and not held:
+    if state.hasTimedOut or (ended and not held):
         state.remove()
     else:
         state.update((following, [(o, b) for o, b in sorted(carried.items())], [(f, *v) for f, v in sorted(held.items())]))
+        state.setTimeoutDuration(idle_ms)
     yield pd.DataFrame(out, columns=["video_id", "frame_idx", "obj_id", "xyxy"])
 
 
-def propagate_stream(frames: DataFrame) -> DataFrame:
+def propagate_stream(frames: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
     """ST1-ST3: frames (video_id, frame_idx, objs, xyxys: the boxes prompted on it, ended: true on a video's last) in any order
     of arrival to one result for each frame and object, in frame order: the object's latest box (a frame before any box
-    has one result without an object). Frames that come too early wait in the state, which is dropped at the end."""
-    state = "following bigint, boxes array<struct<obj:bigint,xyxy:array<double>>>, waiting array<struct<frame:bigint,objs:array<bigint>,xyxys:array<array<double>>>>"
-    return frames.groupBy("video_id").applyInPandasWithState(_propagated, "video_id bigint, frame_idx bigint, obj_id bigint, xyxy array<double>", state, "append", GroupStateTimeout.NoTimeout)
-
-
-def _clicked(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    active, done = state.get if state.exists else (1, False)
+    has one result without an object). Frames that come too early wait in the state, which is dropped at the end. A video
+    of which nothing comes for idle_ms is ended: what waits is given out over the gaps, and its state is dropped."""
+    state = "following bigint, boxes array<struct<obj:bigint,xyxy:array<double>>>, waiting array<struct<frame:bigint,objs:array<bigint>,xyxys:array<array<double>>,ended:boolean>>"
+    step = lambda key, batches, held: _propagated(key, batches, held, idle_ms)
+    return frames.groupBy("video_id").applyInPandasWithState(step, "video_id bigint, frame_idx bigint, obj_id bigint, xyxy array<double>", state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def _clicked(key, batches: Iterator[pd.DataFrame], state: GroupState, start: int, idle_ms: int) -> Iterator[pd.DataFrame]:
+    active, following, done, waiting = state.get if state.exists else (start, 0, False, [])
+    held = {int(n): (a, d) for n, a, d in waiting}
+    for pdf in _after(batches, state):
+        for n, action, digit in zip(pdf.seq, pdf.action, pdf.digit, strict=True):
+            held[int(n)] = (action, None if pd.isna(digit) else int(digit))
     out = []
-    for row in pd.concat(list(batches)).sort_values("seq").itertuples():
-        if done:
-            break
-        if row.action in ("enter", "escape"):
+    while held and not done and (following in held or state.hasTimedOut):
+        following = following if following in held else min(held)
+        action, digit = held.pop(following)
+        if action in ("enter", "escape"):
             done = True
-            out.append((key[0], int(row.seq), None, None, row.action))
-        elif row.action == "digit":
-            active = int(row.digit)
-        elif row.action == "next":
+            out.append((key[0], following, None, None, action))
+        elif action == "digit":
+            active = digit
+        elif action == "next":
             active += 1
-        elif row.action in ("left", "right"):
-            out.append((key[0], int(row.seq), int(active), int(row.action == "left"), row.action))
-    state.update((int(active), bool(done)))
+        elif action in ("left", "right"):
+            out.append((key[0], following, int(active), int(action == "left"), action))
+        following += 1
+    if state.hasTimedOut:
+        state.remove()
+    else:
+        state.update((int(active), following, done, [] if done else [(n, *v) for n, v in sorted(held.items())]))
+        state.setTimeoutDuration(idle_ms)
     yield pd.DataFrame(out, columns=["session", "seq", "obj_id", "label", "action"])
 
 
-def active_object_stream(log: DataFrame) -> DataFrame:
-    """ST4: the points of click logs (session, seq, action, digit) as they come, in order within a session, and the event that
-    ended it; a reader drops sessions that end by escape."""
-    return log.groupBy("session").applyInPandasWithState(_clicked, "session bigint, seq bigint, obj_id bigint, label int, action string", "active bigint, done boolean", "append", GroupStateTimeout.NoTimeout)
+def active_object_stream(log: DataFrame, start: int = 1, idle_ms: int = 3_600_000) -> DataFrame:
+    """ST4: the points of click logs (session, seq from 0 without gaps, action, digit), and the event that ended each; a reader
+    drops sessions that end by escape. Events count in the order of seq, whichever batch they come in: early ones wait in
+    the state. Of an ended session only that it ended is kept. A session of which nothing comes for idle_ms is dropped
+    after what waits has counted."""
+    step = lambda key, batches, held: _clicked(key, batches, held, start, idle_ms)
+    state = "active bigint, following bigint, done boolean, waiting array<struct<seq:bigint,action:string,digit:int>>"
+    return log.groupBy("session").applyInPandasWithState(step, "session bigint, seq bigint, obj_id bigint, label int, action string", state, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def fps_stream(timings: DataFrame, warmup: int = 0) -> DataFrame:
-    """ST5: running counters of fps_summary, one row a run; they are finished by fps_of."""
-    return timings.groupBy("run_id").agg(F.count("*").alias("frames"), F.sum("dt").alias("total_s"), F.sum(F.when(F.col("frame_idx") >= warmup, F.col("dt")).otherwise(0.0)).alias("tail"), F.max_by("dt", "frame_idx").alias("last"))
-
-
-def fps_of(counters: DataFrame, warmup: int = 0) -> DataFrame:
-    """The summary that the counters of fps_stream stand for."""
-    n = F.col("frames")
-    w = F.when(n > 1, F.greatest(F.lit(0), F.least(F.lit(warmup), n - 1))).otherwise(0).cast("bigint")
-    kept = F.when(n == 1, F.col("total_s")).when(n > warmup, F.col("tail")).otherwise(F.col("last"))
-    rate = lambda a, s: F.when(s > 0, a / s).otherwise(0.0)
-    return counters.select("run_id", "frames", "total_s", rate(n, F.col("total_s")).alias("avg_fps_all"), w.alias("warmup"), (n - w).alias("kept_frames"), rate(n - w, kept).alias("avg_fps_post_warmup"))
+    """ST5: running counters of fps_summary, one row a run; metrics.fps_of finishes them."""
+    return fps_counters(timings, warmup)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framewright.functions.scalar import gray_to_rgb
+from framewright.functions.scalar import bytes_of, gray_to_rgb
 from framewright.operators.frames import assign_frame_idx, to_uint8
 from framewright.operators.metrics import frame_dt
 from framewright.schemas import BACKENDS
@@ -34,9 +34,27 @@ def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rgb_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames reduced to eight bits and three channels."""
-    gray = to_uint8(raw_frames(spark, sf_dir).filter("not is_float")).withColumn("rgb", F.transform("px8", gray_to_rgb))
-    return gray.select("video_id", "frame_idx", *[F.col("rgb").alias(c) for c in "rgb"]).select("video_id", "frame_idx", F.transform("r", lambda p: p[0]).alias("r"), F.transform("g", lambda p: p[1]).alias("g"), F.transform("b", lambda p: p[2]).alias("b"))
+    """Frames reduced to eight bits and three channels: rgb, interleaved bytes."""
+    gray = to_uint8(raw_frames(spark, sf_dir).filter("not is_float"))
+    return gray.select("video_id", "frame_idx", bytes_of(F.flatten(F.transform("px8", gray_to_rgb))).alias("rgb"))
+
+
+def mask_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box prompt for each object of a video of `logits`, as many frames after the video's first as its number."""
+    first = logits(spark, sf_dir).groupBy("video_id", "obj_id").agg(F.min("frame_idx").alias("first"))
+    return first.select("video_id", F.lit("box").alias("kind"), "obj_id", (F.col("first") + F.col("obj_id")).alias("frame_idx"), F.lit(None).cast("array<double>").alias("xyxy"), F.lit(None).cast("array<double>").alias("xy"), F.lit(None).cast("int").alias("label"), F.col("obj_id").cast("int").alias("seq"))
+
+
+def render_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds for each frame of `logits`."""
+    one = logits(spark, sf_dir).filter("obj_id = 1")
+    return one.select(F.col("video_id").alias("run_id"), "frame_idx", ((F.col("video_id") * 7 + F.col("frame_idx") * 3) % 5 / 1000 + 0.01).alias("dt"))
+
+
+def frame_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a folder for each user lists: a frame or, at every tenth k, another file for each event."""
+    name = F.when(F.col("k") % 10 == 0, F.format_string("notes_%06d.txt", "seq")).when(F.col("k") % 2 == 0, F.format_string("frame_%06d.tif", "seq")).otherwise(F.format_string("frame_%06d.TIFF", "seq"))
+    return events(spark, sf_dir).select(F.col("user_id").alias("video_id"), name.alias("name"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

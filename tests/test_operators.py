@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import struct
 
 import pandas as pd
 import pytest
@@ -111,12 +112,12 @@ def test_frame_sequence(spark, tmp_path):
     assert [(r.frame_idx, r.name, r.cache_name) for r in files.orderBy("frame_idx").collect()][1] == (1, "frame_000001.tiff", "00001.jpg")
 
     def decoder(content):
-        v = content[0] * 1000 + 100.0
+        v = content[0] * 1000 + 100
         return [v] * 48 + [v * 2] * 48, 12, 8, 1, 16, False
 
     px = sources.decode_frames(files, decoder, ["video_id", "frame_idx"])
-    out = fr.to_uint8(px).filter("frame_idx = 1").first()
-    assert len(out.px8) == 96 and set(out.px8) == {0, 255}
+    out = px.withColumn("px8", fr.samples_to_uint8(F.col("px"), F.col("bits"), F.col("is_float"))).filter("frame_idx = 1").first()
+    assert len(out.px) == 192 and len(out.px8) == 96 and set(out.px8) == {0, 255}
     told = fr.sequence_catalog(px, 24.0).first()
     assert (told.width, told.height, told.frame_count, told.fps) == (12, 8, 4, 24.0)
     assert fr.first_frame(px.select("video_id", "frame_idx", "width")).first().frame_idx == 0
@@ -177,11 +178,73 @@ def test_blend_stays_in_range(spark, px, colours, alpha):
 
 
 def test_overlay(spark):
-    black = spark.createDataFrame([(1, i, [0] * 6, [0] * 6, [0] * 6) for i in range(2)], "video_id bigint, frame_idx bigint, r array<int>, g array<int>, b array<int>")
+    black = spark.createDataFrame([(1, i, bytes(18)) for i in range(2)], "video_id bigint, frame_idx bigint, rgb binary")
     m = spark.createDataFrame([(1, 0, 1, [(1, 2)]), (1, 0, 2, [(2, 2)])], "video_id bigint, frame_idx bigint, obj_id bigint, runs array<struct<start:int,len:int>>")
     out = {r.frame_idx: r for r in overlay.overlay(black, m).collect()}
-    assert out[1].r == [0] * 6
-    assert out[0].b == [0, 127, 91, 28, 0, 0] and out[0].g == [0, 28, 141, 127, 0, 0]
+    assert out[1].rgb == bytes(18)
+    assert list(out[0].rgb[2::3]) == [0, 127, 91, 28, 0, 0] and list(out[0].rgb[1::3]) == [0, 28, 141, 127, 0, 0]
+
+
+@quick
+@given(st.lists(st.integers(0, 255), min_size=3, max_size=60), st.lists(st.tuples(st.integers(1, 9), st.integers(0, 8), st.integers(1, 9)), max_size=4), st.floats(0, 1))
+def test_blending_a_frame_is_blending_its_pixels(spark, values, layers, alpha):
+    rgb = bytes(values[: len(values) // 3 * 3])
+    n = len(rgb) // 3
+    layers = [{"runs": [{"start": s, "len": min(k, n - s)}], "colour": one(spark, scalar.colour_rgb(F.lit(o)))} for o, s, k in layers if s < n]
+    got = overlay.blended(rgb, layers, alpha)
+    for p in range(n):
+        for c in range(3):
+            v = rgb[3 * p + c]
+            for x in layers:
+                if x["runs"][0]["start"] <= p < x["runs"][0]["start"] + x["runs"][0]["len"]:
+                    v = int(alpha * x["colour"][c] + (1 - alpha) * v)
+            assert got[3 * p + c] == v
+
+
+def test_of_repeated_masks_the_last_stays(spark):
+    rows = [(1, 0, 7, [(0, 9)], 1), (1, 0, 7, [(5, 1)], 3), (1, 0, 7, [(2, 4)], 2), (1, 0, 8, [], 0)]
+    m = spark.createDataFrame(rows, "video_id bigint, frame_idx bigint, obj_id bigint, runs array<struct<start:int,len:int>>, at int").coalesce(1)
+    told = masks.mask_map(m, "at").first().masks
+    assert [tuple(x) for x in told[7]] == [(5, 1)] and told[8] == []
+    assert [tuple(x) for x in masks.mask_map(m.drop("at")).first().masks[7]] == [(2, 4)]
+
+
+def test_boxes_that_are_not_drawn(spark):
+    m = spark.createDataFrame([(v, 0, 1, 4, 4, [(9, 2)]) for v in (1, 2)], "video_id bigint, frame_idx bigint, obj_id bigint, w int, h int, runs array<struct<start:int,len:int>>")
+    got = {r.video_id: r for r in masks.annotations(m, F.col("video_id") == 2).collect()}
+    assert (got[1].drawn, got[1].label, got[2].drawn, got[2].label, got[2].label_y) == (False, None, True, "id=1", 0)
+    assert got[1].x1 == got[2].x1 == 1
+    assert {r.drawn for r in masks.annotations(m).collect()} == {True}
+
+
+def test_results_without_a_mask_stay(spark):
+    frames = spark.createDataFrame([(1, 0), (1, 1), (1, 2)], "video_id bigint, frame_idx bigint")
+    found = spark.createDataFrame([(1, 1, "m")], "video_id bigint, frame_idx bigint, mask string")
+    got = fr.join_results(frames.filter("frame_idx < 2"), frames, found).orderBy("frame_idx").collect()
+    assert [(r.frame_idx, r.mask) for r in got] == [(0, None), (1, "m")]
+
+
+def test_names_sort_as_text(spark):
+    df = spark.createDataFrame([(1, f"frame_{i:05d}.tif") for i in (99999, 100000, 2)], "video_id bigint, name string")
+    assert [r.name for r in fr.assign_frame_idx(df, ["name"]).orderBy("frame_idx").collect()] == ["frame_00002.tif", "frame_100000.tif", "frame_99999.tif"]
+
+
+def test_first_duration_is_from_the_start(spark):
+    df = spark.sql("select 1L run_id, id frame_idx, timestamp_micros(1000000 * (id + 1) * (id + 1)) ts, timestamp_micros(500000) s from range(3)")
+    assert [r.dt for r in metrics.frame_dt(df, "s").orderBy("frame_idx").collect()] == [0.5, 3.0, 5.0]
+
+
+def test_netpbm_round_trip(spark, tmp_path):
+    px = [bytes(range(24)), bytes([0, 1, 255, 3] * 6)]
+    df = spark.createDataFrame([(1, "frame_0.ppm", px[0], 4, 2, 3, 8), (1, "frame_1.pgm", px[1], 4, 3, 1, 16)], "video_id bigint, name string, px binary, width int, height int, channels int, bits int")
+    path = f"file://{tmp_path}/f"
+    sources.write_frame_files(df, path)
+    sources.write_frame_files(df, path)
+    got = sources.decode_frames(sources.scan_frames(spark, f"{path}/*", "*.p?m"), sources.netpbm, ["frame_idx"]).orderBy("frame_idx").collect()
+    assert [(bytes(r.px), r.width, r.height, r.channels, r.bits) for r in got] == [(px[0], 4, 2, 3, 8), (px[1], 4, 3, 1, 16)]
+    (tmp_path / "f/1/frame_2.pgm").write_bytes(b"junk")
+    with pytest.raises(Exception, match="netpbm"):
+        sources.decode_frames(sources.scan_frames(spark, f"{path}/*", "*.p?m"), sources.netpbm, ["frame_idx"]).collect()
 
 
 # Metrics
@@ -224,6 +287,26 @@ def test_step_backend_sees_prompts_before_frames(spark):
     assert got == [(1, 0, [1.0]), (1, 1, [2.0]), (2, 0, [0.0])]
 
 
+def test_a_worker_builds_a_model_once():
+    from pyspark import cloudpickle
+
+    pickled = cloudpickle.dumps(list)
+    assert backends._model(pickled) is backends._model(pickled)
+
+
+def test_prompted_objects_start_at_their_prompts(spark):
+    rows = [(1, f, o, 1, 1, [1.0]) for f in range(3) for o in (1, 2, 3)]
+    logits = spark.createDataFrame(rows, "video_id bigint, frame_idx bigint, obj_id bigint, w int, h int, logits array<float>")
+    told = spark.createDataFrame([(1, 1, 2), (1, 1, 1), (1, 2, 0)], "video_id bigint, obj_id bigint, frame_idx bigint")
+    got = sorted((r.frame_idx, r.obj_id) for r in backends.build_backend("prompted")(logits, told).collect())
+    assert got == [(0, 2), (1, 1), (1, 2), (2, 1), (2, 2)]
+
+
+def test_registered_backends_as_a_table(spark):
+    wanted = spark.createDataFrame([("carry",), ("nobody",)], "tracker string")
+    assert [r.tracker for r in jobs.unknown_backends(wanted, backends.backends_table(spark)).collect()] == ["nobody"]
+
+
 def test_parity(spark):
     left = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, [float("nan")]), (4, [1.0]), (5, [0.0])], "k int, output array<double>")
     right = spark.createDataFrame([(1, [1.0, 2.0005]), (2, [1.0, 2.0]), (3, [1.0]), (5, [0.1])], "k int, output array<double>")
@@ -233,12 +316,14 @@ def test_parity(spark):
 
 
 def test_images(spark, tmp_path):
-    pytest.importorskip("PIL")
-    from PIL import Image
-
-    Image.new("RGB", (3, 2), (10, 20, 30)).save(tmp_path / "a.png")
+    row = bytes([30, 20, 10] * 3) + bytes(3)  # blue first, rows end on four bytes
+    header = b"BM" + struct.pack("<IHHI", 54 + 24, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 3, 2, 1, 24, 0, 24, 0, 0, 0, 0)
+    (tmp_path / "a.bmp").write_bytes(header + row * 2)
     r = sources.read_images(spark, str(tmp_path)).first()
-    assert (r.width, r.height, bytes(r.rgb)[:3]) == (3, 2, bytes([10, 20, 30]))
+    assert (r.width, r.height, r.channels, bytes(r.rgb)) == (3, 2, 3, bytes([10, 20, 30] * 6))
+    (tmp_path / "b.bmp").write_bytes(b"BM, but nothing else")
+    with pytest.raises(Exception, match="can't be read"):
+        sources.read_images(spark, str(tmp_path)).collect()
 
 
 def test_streamed_frames(spark, tmp_path):
@@ -255,4 +340,75 @@ def test_streamed_frames(spark, tmp_path):
 def test_writing_by_video(spark, tmp_path):
     df = spark.createDataFrame(pd.DataFrame({"video_id": [1, 1, 2], "frame_idx": [0, 1, 0]}))
     sources.write_frames(df, str(tmp_path / "f"))
-    assert spark.read.parquet(str(tmp_path / "f")).count() == 3
+    got = spark.read.parquet(str(tmp_path / "f"))
+    assert sorted((r.video_id, r.frame_idx, r.cache_name) for r in got.collect()) == [(1, 0, "00000.jpg"), (1, 1, "00001.jpg"), (2, 0, "00000.jpg")]
+
+
+class Held:
+    """A group's state as Spark keeps it between batches."""
+
+    def __init__(self):
+        self.value, self.hasTimedOut, self.duration = None, False, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.duration = ms
+
+
+def test_clicks_wait_for_earlier_ones():
+    from framewright.streaming.frames import _clicked
+
+    state, out = Held(), []
+    for part in ([(0, "left", None), (3, "right", None)], [(1, "next", None), (2, "digit", 7)], [(5, "left", None)]):
+        out += [tuple(r) for x in _clicked((9,), iter([pd.DataFrame(part, columns=["seq", "action", "digit"])]), state, 4, 1000) for r in x.itertuples(index=False)]
+    assert out == [(9, 0, 4, 1, "left"), (9, 3, 7, 0, "right")] and state.duration == 1000
+    state.hasTimedOut = True
+    assert [r.seq for x in _clicked((9,), iter([]), state, 4, 1000) for r in x.itertuples()] == [5] and not state.exists
+
+
+def test_a_video_that_misses_a_frame_ends():
+    from framewright.streaming.frames import _propagated
+
+    state, out = Held(), []
+    rows = lambda *frames: iter([pd.DataFrame([(f, [1], [[float(f)]], f == 3) for f in frames], columns=["frame_idx", "objs", "xyxys", "ended"])])
+    for part in (rows(3, 0), rows(2)):
+        out += [(r.frame_idx, r.xyxy) for x in _propagated((9,), part, state, 1000) for r in x.itertuples()]
+    assert out == [(0, [0.0])] and state.exists
+    state.hasTimedOut = True
+    assert [(r.frame_idx, r.xyxy) for x in _propagated((9,), iter([]), state, 1000) for r in x.itertuples()] == [(2, [2.0]), (3, [3.0])]
+    assert not state.exists
+    state.hasTimedOut = False
+    for part in (rows(3, 1), rows(0, 2)):
+        list(_propagated((9,), part, state, 1000))
+    assert not state.exists  # the last frame came first
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from framewright import shared
+
+    class Java:
+        def sc(self):
+            return self
+
+        getCheckpointDir = sc
+        isDefined = lambda self: False
+
+    class Context:
+        master, _jsc = "spark://host:7077", Java()
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_dir(Session())
