@@ -7,24 +7,26 @@ seen under a longer context is excluded from the shorter one. Below the empty co
 equally likely. The end of a text is a symbol too, so that the probabilities of all texts add up to 1.
 
 The model is a distributed table of all contexts of the training texts with their followers, of which none is pruned; it
-grows with the corpus. Texts are put together to pieces of 16 MB. The different contexts with a follower of all pieces are
-dealt out by the last two symbols of the context, so that a part holds all longer contexts that end in them and works
-out the probabilities of its own; only the counts of the orders 0 and 1 (at most 257 x 257) are broadcast. The
-probabilities are joined to the pieces that hold them, and each piece's texts are scored with just those.
-
-The base score is that of single words, with 0.1 added to each count. Counts of words meet the documents that hold
-them in a shuffle join; each row carries a word's list of documents of one piece of 8 MB, so that a common word
-brings a row for each piece, which the join may split.
-
-Edge cases: a null or empty text has just its end; without training rows every symbol is equally likely; rows with a
-null id are left out; repeated rows of one id are scored each; other columns are ignored; an empty table gives an
-empty result.
+grows with the corpus. Texts are put together to pieces of 16 MB. The different contexts with a follower of a piece are
+dealt out, as packed arrays, by the last two symbols of the context, so that a part holds all longer contexts that end in them and
+works out the probabilities of its own; only the counts of the orders 0 and 1 (at most 257 x 257) are broadcast. Arrays of
+many pieces are added up in a tree of `FAN` at a time. The probabilities are joined to the pieces that hold them, `JOINED`
+pieces of a part at a time, and each piece's texts are scored with just those.
+
+The base score is that of single words, with 0.1 added to each count. The different words of a piece, told apart by hashes
+of 64 bits, take the same way: to parts of their own, which add up the counts, and back to the pieces.
+
+Edge cases: a null or empty text has just its end; without training rows every symbol is equally likely; rows for which
+is_training is null, as with a null id, are held out and scored like others; repeated rows of one id are scored each; a
+text longer than a piece is a piece of its own; equal texts have equal scores; other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ from framewright.llm._words import NOT_SPACE, Words, mix, utf8
 END = 256
 _BITS = 9
 _TABLE = 22
+#: Pieces that a step of the tree adds up, and that meet a part's probabilities at a time.
+FAN, JOINED = 64, 512
 
 
 def _codes(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,29 +65,6 @@ def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return code[new], np.add.reduceat(n, new) if len(new) else n
 
 
-def _gram_counts(order: int):
-    def run(batches):
-        codes, counts, held = [], [], 0
-        for batch in slices(batches, "text", 1 << 20):
-            c = np.sort(_codes(batch.column("text"), order)[0])
-            new = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-            codes.append(c[new])
-            counts.append(np.diff(np.append(new, len(c))))
-            held += len(new)
-            if held > 2_000_000:
-                c, n = _summed(codes, counts)
-                codes, counts, held = [c], [n], 0
-                if len(c) > 1_000_000:  # many different ones: let Spark add them up
-                    yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], names=["code", "n"])
-                    codes, counts = [], []
-        if codes:
-            c, n = _summed(codes, counts)
-            for i in range(0, len(c), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]), pa.array(n[i : i + 100_000])], names=["code", "n"])
-
-    return run
-
-
 class _Places:
     """Where numbers stand among sorted ones: by a hash table, by bisection where two collide."""
 
@@ -130,20 +111,6 @@ class Trie:
         context = np.searchsorted(self.contexts[-1], code >> _BITS)
         self.log = np.log10((2 * n - 1) / (2 * self.total[-1][context])) if len(code) else np.empty(0)
 
-    @classmethod
-    def of_longest(cls, code: np.ndarray, n: np.ndarray, order: int) -> Trie:
-        grams = [_summed([code], [n])]
-        for j in range(order, 0, -1):
-            c, m = grams[0]
-            grams.insert(0, _summed([c & ((1 << (_BITS * j)) - 1)], [m]))
-        return cls(grams)
-
-    def _place(self, code: np.ndarray) -> np.ndarray:
-        """Where each number stands among the longest ones, or -1."""
-        if not hasattr(self, "_places"):
-            self._places = _Places(self.grams[-1][0])
-        return self._places.of(code)
-
     def _backed_off(self, code: np.ndarray) -> np.ndarray:
         """Of symbols not seen under their longest context."""
         out, todo = np.zeros(len(code)), np.ones(len(code), bool)
@@ -167,23 +134,6 @@ class Trie:
         return out
 
 
-def train(texts: DataFrame, *, order: int = 5, max_grams: int = 4_000_000) -> Trie:
-    """A model on the driver, bounded to max_grams contexts with a follower an order by leaving out the rarest; score() uses
-    none of it. texts: a column text."""
-    counted = materialise(texts.select("text").mapInArrow(_gram_counts(order), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")), "grams")
-    size = counted.count()
-    if size <= max_grams:
-        rows = counted.toArrow()
-        return Trie.of_longest(np.array(rows["code"]), np.array(rows["n"]), order)
-    grams = []
-    for j in range(order + 1):
-        own = counted.groupBy(F.col("code").bitwiseAND((1 << (_BITS * (j + 1))) - 1).alias("code")).agg(F.sum("n").alias("n"))
-        least = counted.agg(F.percentile_approx("n", 1 - max_grams / size, 100_000)).first()[0] + 1  # the same at all orders: a shorter context's counts are larger
-        rows = own.filter(F.col("n") >= least).toArrow()
-        grams.append(_summed([np.array(rows["code"])], [np.array(rows["n"])]))
-    return Trie(grams)
-
-
 def _pieces(batches):
     """The texts as compressed batches of about 1 MB, with the piece of 16 MB that they belong to."""
     from pyspark import TaskContext
@@ -194,79 +144,183 @@ def _pieces(batches):
             out = pa.BufferOutputStream()
             with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_batch(part)
-            yield pa.RecordBatch.from_arrays([pa.array([task << 32 | number]), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["piece", "texts"])
+            yield pa.RecordBatch.from_arrays([pa.array([task << 32 | number]), pa.array([part.column("text").nbytes]), pa.array([pc.sum(part.column("train")).as_py() or 0], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["piece", "n_bytes", "n_train", "texts"])
 
 
 def _unpacked(blob: pa.Scalar) -> pa.RecordBatch:
     return pa.ipc.open_stream(blob.as_buffer()).read_next_batch()
 
 
-def _piece_codes(order: int):
-    """The different codes of each piece and how often they are in training texts."""
+def _packed(values: np.ndarray, ordered: bool = False) -> bytes:
+    """Numbers of eight bytes, byte by byte, compressed; of sorted ones the differences."""
+    values = np.diff(values, prepend=0) if ordered else values
+    return pa.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def _opened(data: bytes, size: int, kind=np.int64, ordered: bool = False) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, 8 * size, "zstd", asbytes=True), np.uint8)
+    values = np.ascontiguousarray(raw.reshape(8, size).T).reshape(-1).view(kind)
+    return np.cumsum(values) if ordered else values
+
+
+def _all_of(rows: pa.Table, column: str, kind=np.int64, ordered: bool = False) -> np.ndarray:
+    """A column of packed numbers as one array."""
+    parts = [_opened(x, n, kind, ordered) for x, n in zip(rows[column].to_pylist(), rows["size"].to_pylist(), strict=True)]
+    return np.concatenate([np.empty(0, kind), *parts])
+
+
+#: A row of numbers (sorted) with counts: how many, and both packed.
+_ROW = "piece bigint, part bigint, size bigint, codes binary, n binary"
+
+
+def _row(piece: int, part: int, codes: np.ndarray, n: np.ndarray) -> tuple:
+    return piece, part, len(codes), _packed(codes, True), _packed(n)
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "binary": pa.binary()}
+    names = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, names, strict=True)], names=[x for x, _ in names])
+
+
+def _counted(code: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers, sorted, and how often they are in training texts."""
+    by = np.argsort(code, kind="stable")
+    code, train = code[by], train[by].astype(np.int64)
+    new = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.empty(0, np.int64)
+    return code[new], np.add.reduceat(train, new) if len(new) else train
+
+
+class _Sum:
+    """Numbers with counts, added up from time to time."""
+
+    def __init__(self):
+        self.codes, self.counts = [], []
+
+    def add(self, code: np.ndarray, n: np.ndarray) -> None:
+        self.codes.append(code)
+        self.counts.append(n)
+        if sum(map(len, self.codes[1:])) > 500_000:
+            c, n = _summed(self.codes, self.counts)
+            self.codes, self.counts = [c], [n]
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        return _summed(self.codes, self.counts)
+
+
+def _piece_codes(order: int, parts: int):
+    """For each piece and part of the model a row with the piece's different codes, sorted, and how often they are in training
+    texts; from part `parts` on the same of words by their hashes; in part -1 the codes of order 1 (or less)."""
+    short = (1 << (_BITS * (min(order, 1) + 1))) - 1
+
+    def dealt(piece, c, n, by, first_part):
+        part = (mix(by.view(np.uint64)) % np.uint64(parts)).astype(np.int64) + first_part
+        at = np.argsort(part, kind="stable")
+        part, c, n = part[at], c[at], n[at]
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+        for i in range(0, len(first), 64):
+            ends = np.append(first, len(c))[i : i + 65]
+            yield _batch([_row(piece, int(part[x]), c[x:y], n[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)], _ROW)
 
     def run(batches):
-        piece, codes, counts = None, [], []
+        piece, codes, words = None, _Sum(), _Sum()
 
         def done():
-            c, n = _summed(codes, counts)
-            for i in range(0, len(c), 100_000):
-                m = min(100_000, len(c) - i)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, piece)), pa.array(c[i : i + m]), pa.array(n[i : i + m])], names=["piece", "code", "n"])
+            c, n = codes.all()
+            low = _summed([c[n > 0] & short], [n[n > 0]])
+            yield _batch([_row(piece, -1, *low)], _ROW)
+            yield from dealt(piece, c, n, c >> _BITS & (1 << (2 * _BITS)) - 1, 0)
+            c, n = words.all()
+            yield from dealt(piece, c, n, c, parts)
 
         for batch in batches:
             for of, blob in zip(batch.column("piece").to_pylist(), batch.column("texts"), strict=True):
-                if of != piece and codes:
+                if of != piece and codes.codes:
                     yield from done()
-                    codes, counts = [], []
-                piece, part = of, _unpacked(blob)
-                code, first = _codes(part.column("text"), order)
-                train = np.array(part.column("train").to_pylist(), np.int64)
-                c = np.sort(code << 1 | np.repeat(train, np.diff(first)))
-                new = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-                code, n = c[new] >> 1, np.diff(np.append(new, len(c))) * (c[new] & 1)
-                new = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-                codes.append(code[new])
-                counts.append(np.add.reduceat(n, new))
-                if sum(map(len, codes[1:])) > 500_000:
-                    c, n = _summed(codes, counts)
-                    codes, counts = [c], [n]
-        if codes:
+                    codes, words = _Sum(), _Sum()
+                piece, text = of, _unpacked(blob)
+                code, first = _codes(text.column("text"), order)
+                train = np.array(text.column("train").to_pylist(), bool)
+                codes.add(*_counted(code, np.repeat(train, np.diff(first))))
+                w = Words(text.column("text"), NOT_SPACE)
+                words.add(*_counted(w.hashes().view(np.int64), np.repeat(train, w.counts())))
+        if codes.codes:
             yield from done()
 
     return run
 
 
-def _logs(low, order: int):
-    """log10 of the probabilities of a part's codes; those with a count are the part's share of the model."""
+def _numbers(batches):
+    """The numbers of packed rows and their counts, one a row."""
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        yield pa.RecordBatch.from_arrays([pa.array(_all_of(rows, "codes", ordered=True)), pa.array(_all_of(rows, "n"))], names=["code", "n"])
+
+
+def _added(rows: pa.Table) -> pa.Table:
+    """The rows of some pieces of a part as one."""
+    code, n = _summed([_all_of(rows, "codes", ordered=True)], [_all_of(rows, "n")])
+    return pa.Table.from_batches([_batch([_row(rows["piece"][0].as_py(), rows["part"][0].as_py(), code, n)], _ROW)])
+
+
+#: A part of the model: its numbers and what is known of each; of words also how many there are, and different ones.
+_MODEL = "part bigint, size bigint, codes binary, logs binary, total bigint, distinct bigint"
+
+
+def _logs(low, order: int, parts: int):
+    """log10 of the probabilities of a part's codes; those with a count are the part's share of the model. Of words, from part
+    `parts` on, the counts."""
 
     def run(rows: pa.Table) -> pa.Table:
-        code, n = _summed([np.array(rows["code"])], [np.array(rows["n"])])
-        seen = n > 0
-        grams = list(low.value)
-        for j in range(2, order + 1):
-            grams.append(_summed([code[seen] & ((1 << (_BITS * (j + 1))) - 1)], [n[seen]]))
-        trie = Trie(grams)
-        out = np.zeros(len(code))
-        out[seen] = trie.log[np.searchsorted(trie.grams[-1][0], code[seen])]
-        out[~seen] = trie._backed_off(code[~seen])
-        return pa.table({"code": code, "log": out})
+        code, n = _summed([_all_of(rows, "codes", ordered=True)], [_all_of(rows, "n")])
+        part, seen, total, distinct = rows["part"][0].as_py(), n > 0, 0, 0
+        if part >= parts:
+            out, total, distinct = n.astype(np.float64), int(n.sum()), int(seen.sum())
+        else:
+            grams = list(low.value)
+            for j in range(2, order + 1):
+                grams.append(_summed([code[seen] & ((1 << (_BITS * (j + 1))) - 1)], [n[seen]]))
+            trie = Trie(grams)
+            out = np.zeros(len(code))
+            out[seen] = trie.log[np.searchsorted(trie.grams[-1][0], code[seen])]
+            out[~seen] = trie._backed_off(code[~seen])
+        return pa.Table.from_batches([_batch([(part, len(code), _packed(code, True), _packed(out), total, distinct)], _MODEL)])
 
     return run
 
 
-def _scored(order: int):
-    """A piece's texts, with the logarithms of its codes."""
+_FOUND = "piece bigint, part bigint, size bigint, codes binary, logs binary"
+
+
+def _of_pieces(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    """Rows of pieces with what is known of their numbers, from those of the whole part."""
+    own, logs, out = _all_of(right, "codes", ordered=True), _all_of(right, "logs", np.float64), []
+    for piece, part, size, codes in zip(*(left[c].to_pylist() for c in ("piece", "part", "size", "codes")), strict=True):
+        out.append((piece, part, size, codes, _packed(logs[np.searchsorted(own, _opened(codes, size, ordered=True))])))
+    return pa.Table.from_batches([_batch(out, _FOUND)])
+
+
+def _scored(order: int, parts: int):
+    """A piece's texts, with the logarithms of its codes and the counts of its words."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        own, logs = np.array(right["code"]), np.array(right["log"])
-        by = np.argsort(own, kind="stable")
-        places, logs, out = _Places(own[by]), logs[by], []
+        found, out = [], []
+        for rows in (right.filter(pc.less(right["part"], parts)), right.filter(pc.greater_equal(right["part"], parts))):
+            own, values = _all_of(rows, "codes", ordered=True), _all_of(rows, "logs", np.float64)
+            by = np.argsort(own, kind="stable")
+            found.append((_Places(own[by]), values[by]))
+        (places, logs), (word_places, counts) = found
         for blob in left["texts"]:
             part = _unpacked(blob)
             code, first = _codes(part.column("text"), order)
             score = np.add.reduceat(logs[places.of(code)], first[:-1])
-            words = Words(part.column("text"), NOT_SPACE).counts()
-            out.append(pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), part.column("train"), pa.array(words, pa.int64()), pa.array(score)], names=["id", "key", "train", "n_words", "score"]))
+            words = Words(part.column("text"), NOT_SPACE)
+            c = counts[word_places.of(words.hashes().view(np.int64))] if len(words.starts) else np.empty(0)
+            of = np.repeat(np.arange(part.num_rows), words.counts())
+            base, known = np.bincount(of, np.log10(c + 0.1), part.num_rows).astype(np.float64), np.bincount(of, c > 0, part.num_rows).astype(np.int64)
+            columns = [part.column("id"), part.column("train"), pa.array(words.counts(), pa.int64()), pa.array(known), pa.array(base), pa.array(score)]
+            out.append(pa.RecordBatch.from_arrays(columns, names=["id", "train", "n_words", "known", "base", "score"]))
         return pa.Table.from_batches(out)
 
     return run
@@ -285,84 +339,35 @@ def _gathered(batches, max_bytes: int = 16 << 20, max_rows: int = 1 << 15):
         yield pa.concat_batches(held)
 
 
-def _word_lists(batches):
-    """For each piece of texts a row without a word, with the keys of its texts, and one for each word: n (in training
-    texts) and the texts that hold it, as place << 16 | times (over 65,535 times: several entries)."""
-    from pyspark import TaskContext
-
-    names = ["piece", "word", "n", "at", "keys"]
-    task = TaskContext.get().partitionId() if TaskContext.get() else 0
-    for number, batch in enumerate(_gathered(batches, 8 << 20)):
-        piece = task << 32 | number
-        words = Words(batch.column("text"), NOT_SPACE)
-        key, train = np.array(batch.column("key")), np.array(batch.column("train").to_pylist(), bool)
-        yield pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([None], pa.binary()), pa.array([0]), pa.array([None], pa.list_(pa.int32())), pa.array([key.tolist()], pa.list_(pa.int64()))], names=names)
-        if not len(words.starts):
-            continue
-        _, one, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        doc = np.repeat(np.arange(len(key)), words.counts())
-        pair, times = np.unique(back * len(key) + doc, return_counts=True)
-        n = np.bincount(pair // len(key), np.where(train[pair % len(key)], times, 0), len(one)).astype(np.int64)
-        over = times >> 16
-        if over.any():
-            pair, times = np.repeat(pair, over + 1), np.repeat(times, over + 1)
-            later = np.r_[False, pair[1:] == pair[:-1]]
-            times = np.where(later, 65_535, times - 65_535 * np.repeat(over, over + 1))
-        word, at = pair // len(key), (pair % len(key)) << 16 | times
-        start = np.searchsorted(word, np.arange(len(one) + 1)).astype(np.int32)
-        size = words.ends[one] - words.starts[one]
-        offsets = np.zeros(len(one) + 1, np.int64)
-        np.cumsum(size, out=offsets[1:])
-        text = words.buf[np.repeat(words.starts[one] - offsets[:-1], size) + np.arange(offsets[-1])]
-        strings = pa.Array.from_buffers(pa.large_binary(), len(one), [None, pa.py_buffer(offsets), pa.py_buffer(text)]).cast(pa.binary())
-        lists = pa.ListArray.from_arrays(pa.array(start), pa.array(at.astype(np.int32)))
-        for i in range(0, len(one), 50_000):
-            m = min(50_000, len(one) - i)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, piece)), strings.slice(i, m), pa.array(n[i : i + m]), lists.slice(i, m), pa.nulls(m, pa.list_(pa.int64()))], names=names)
-
-
 def score(docs: DataFrame, is_training, *, id_col: str = "doc_id", text_col: str = "text", order: int = 5) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; is_training: a condition."""
-    docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(is_training, F.lit(False)).alias("train"))
-    docs = docs.withColumn("key", F.xxhash64("id", "text"))
+    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(is_training, F.lit(False)).alias("train"))
     spark = docs.sparkSession
     kind = docs.schema["id"].dataType.simpleString()
-    texts = materialise(docs.select("id", "key", "train", "text").mapInArrow(_pieces, "piece bigint, texts binary"), "texts")
-    codes = materialise(texts.mapInArrow(_piece_codes(order), "piece bigint, code bigint, n bigint"), "codes")
-    model = materialise(codes.groupBy("code").agg(F.sum("n").alias("n")), "model")
+    texts = materialise(docs.select("id", "train", "text").mapInArrow(_pieces, "piece bigint, n_bytes bigint, n_train bigint, texts binary"), "texts")
+    size = texts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count_distinct("piece"), F.coalesce(F.sum("n_train"), F.lit(0))).first()
+    parts, pieces, ends = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size[0] >> 22), size[1], size[2]
+    codes = materialise(texts.mapInArrow(_piece_codes(order, parts), _ROW), "codes")
     short = min(order, 1)
-    low = model.filter("n > 0").groupBy(F.col("code").bitwiseAND((1 << (_BITS * (short + 1))) - 1).alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    low = codes.filter("part = -1").mapInArrow(_numbers, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     code, n = np.array(low["code"], np.int64), np.array(low["n"], np.int64)
     shared = spark.sparkContext.broadcast([_summed([code & ((1 << (_BITS * (j + 1))) - 1)], [n]) for j in range(short + 1)])  # of at most 257 x 257 rows
-    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), model.count() // 250_000)
-    ends_in = F.shiftright("code", _BITS).bitwiseAND((1 << (2 * _BITS)) - 1)
-    logs = model.groupBy(F.pmod(F.xxhash64(ends_in), F.lit(parts)).alias("part")).applyInArrow(_logs(shared, order), "code bigint, log double")
-    of_piece = codes.select("piece", "code").join(logs, "code")
-    scored = texts.groupBy("piece").cogroup(of_piece.groupBy("piece")).applyInArrow(_scored(order), f"id {kind}, key bigint, train boolean, n_words bigint, score double")
-
-    lists = materialise(docs.select("key", "train", "text").mapInArrow(_word_lists, "piece bigint, word binary, n bigint, at array<int>, keys array<bigint>"), "words")
-    words = lists.filter("word is not null")
-    counts = words.groupBy("word").agg(F.sum("n").alias("c"), F.min("piece").alias("first"))
-    ends = docs.filter("train").count()
-    places = lists.filter("word is null").select("piece", F.posexplode("keys").alias("place", "key"))
-    times = F.col("x").bitwiseAND(65_535)
-    once = (F.col("piece") == F.col("first")) & (F.col("i") == 0) & (F.col("c") > 0)  # counts each training word at one text
-    of_text = (
-        words.select("piece", "word", "at").join(counts, "word")
-        .select("piece", "first", "c", F.posexplode("at").alias("i", "x"))
-        .groupBy("piece", F.shiftrightunsigned("x", 16).alias("place"))
-        .agg(F.sum(F.log10(F.col("c") + 0.1) * times).alias("logs"), F.sum(F.when(F.col("c") > 0, times).otherwise(0)).alias("known"), F.sum(times).alias("times"), F.sum(F.when(once, F.col("c")).otherwise(0)).alias("n"), F.sum(F.when(once, 1).otherwise(0)).alias("v"))
-        .join(places, ["piece", "place"])
-        .groupBy("key").agg(*[F.sum(c).alias(c) for c in ("logs", "known", "times", "n", "v")])
-    )
-    of_text = materialise(of_text, "sums")
-    found = of_text.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    n, v = found[0] + ends, found[1] + (ends > 0)
+    codes = codes.filter("part >= 0")
+    summed, blocks = codes, pieces
+    while blocks > FAN:
+        blocks = -(-blocks // FAN)
+        summed = summed.groupBy("part", F.pmod(F.xxhash64("piece"), F.lit(blocks)).alias("block")).applyInArrow(_added, _ROW)
+    logs = materialise(summed.groupBy("part").applyInArrow(_logs(shared, order, parts), _MODEL), "model")
+    n, v = logs.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    n, v = n + ends, v + (ends > 0)
     below = float(np.log10(n + 0.1 * (v + 1)))
-    joined = scored.join(of_text.select("key", "logs", "known", "times"), "key", "left")
-    share = F.col("n_words") / F.col("times")  # rows that are repeated were counted together
-    return joined.select(
-        F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), (F.col("n_words") + 1).alias("n_tokens"),
-        (F.coalesce(F.round(F.col("known") * share), F.lit(0)).cast("bigint") + int(ends > 0)).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.coalesce(F.col("logs") * share, F.lit(0.0)) + float(np.log10(ends + 0.1)) - (F.col("n_words") + 1) * below).alias("base_score"), "score",
+    blocks = max(1, -(-pieces // JOINED))
+    logs = logs.select("part", "size", "codes", "logs").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    placed = codes.select("piece", "part", "size", "codes", F.pmod(F.xxhash64("piece"), F.lit(blocks)).cast("bigint").alias("block"))
+    of_piece = placed.groupBy("part", "block").cogroup(logs.groupBy("part", "block")).applyInArrow(_of_pieces, _FOUND)
+    scored = texts.select("piece", "texts").groupBy("piece").cogroup(of_piece.groupBy("piece")).applyInArrow(_scored(order, parts), f"id {kind}, train boolean, n_words bigint, known bigint, base double, score double")
+    tokens = F.col("n_words") + 1
+    return scored.select(
+        F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), tokens.alias("n_tokens"), (F.col("known") + int(ends > 0)).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
+        (F.col("base") + float(np.log10(ends + 0.1)) - tokens * below).alias("base_score"), "score",
     )
