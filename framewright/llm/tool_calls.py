@@ -4,64 +4,91 @@ Calls and results meet in a hash join on conversation and call id. A call may de
 its level is one more than the highest level of those, found for all conversations at once, one join a level, and
 calls are ordered by level, then by their own order. Calls in a circle, or depending on such, never get a level and
 are reported with status `cycle`. Arguments are parsed as variants and checked against the tool's schema. JSON is
-canonical: fixed keys in alphabetic order, arguments by sorted keys, no spaces.
+canonical: fixed keys in alphabetic order, arguments as an object by sorted keys, no spaces; arguments that aren't JSON are
+kept as text.
 
 All of it is DataFrame expressions.
 
 Edge cases: a call without a result has status `pending`, results without a call are returned by orphans(); of several
 results of one call the one that sorts first counts, of several calls of one id the one with the least order;
-dependencies on unknown calls are ignored and listed in `missing`; arguments that aren't a JSON object, unknown tools,
-missing or unknown fields, wrong types and values out of bounds are named in `errors`; rows with a null conversation
-or call id are left out; other columns are ignored; empty tables give empty results.
+dependencies on unknown calls are ignored and listed in `missing`; arguments that aren't a JSON object, or hold a key
+twice, unknown tools, missing or unknown fields, wrong types and values out of bounds are named in `errors`; arguments
+longer than a variant may be (128 MB) aren't a JSON object; repeated rows count once; rows with a null conversation or
+call id are left out; other columns, whatever their names, are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.llm._common import materialise
 
-#: JSON schema types and the names that Spark gives variants of them.
-TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL"), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",), "null": ("VOID",)}
+#: JSON schema types and the names that Spark gives variants of them; an integer may also be a number without a fraction.
+TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",), "null": ("VOID",)}
+#: What of JSON schema is checked; a schema with anything else is an error.
+KEYWORDS = {"type", "enum", "minimum", "maximum", "minLength", "maxLength", "pattern", "items", "minItems", "maxItems", "required", "properties", "additionalProperties"}
+
 
+def _none() -> Column:
+    return F.array().cast("array<string>")
 
-def _field_errors(name: str, rule: dict, value: Column) -> Column:
-    at = F.variant_get(value, f"$['{name}']", "variant")
-    kind = F.regexp_extract(F.schema_of_variant(at), r"^(\w+)", 1)
+
+def _value_errors(name: str, rule: dict, value: Column) -> Column:
+    """array<string>: what is wrong with a value (a variant, not a missing one); parts of it are named name.part and name[]."""
+    if unknown := set(rule) - KEYWORDS:
+        raise ValueError(f"not checked: {', '.join(sorted(unknown))}")
+    kind = F.regexp_extract(F.schema_of_variant(value), r"^(\w+)", 1)
+    number, text = F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string")
+    is_number, is_text, is_list, is_object = (kind.isin(*TYPES[t]) for t in ("number", "string", "array", "object"))
     types = rule.get("type", [])
-    allowed = [k for t in ([types] if isinstance(types, str) else types) for k in TYPES[t]]
-    checks = [F.when(~kind.isin(allowed), f"{name}: type")] if allowed else []
-    if "minimum" in rule:
-        checks.append(F.when(F.try_variant_get(value, f"$['{name}']", "double") < rule["minimum"], f"{name}: minimum"))
-    if "maximum" in rule:
-        checks.append(F.when(F.try_variant_get(value, f"$['{name}']", "double") > rule["maximum"], f"{name}: maximum"))
+    types = [types] if isinstance(types, str) else types
+    fits = kind.isin([k for t in types for k in TYPES[t]])
+    if "integer" in types:
+        fits |= is_number & (number == F.floor(number))
+    checks = [F.when(~fits, f"{name}: type")] if types else []
     if "enum" in rule:
-        checks.append(F.when(~F.try_variant_get(value, f"$['{name}']", "string").isin([str(x) for x in rule["enum"]]), f"{name}: enum"))
-    if "minLength" in rule:
-        checks.append(F.when(F.length(F.try_variant_get(value, f"$['{name}']", "string")) < rule["minLength"], f"{name}: minLength"))
-    return F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
+        checks.append(F.when(~F.to_json(value).isin([json.dumps(x, separators=(",", ":"), ensure_ascii=False, sort_keys=True) for x in rule["enum"]]), f"{name}: enum"))
+    for word, when, wrong in (("minimum", is_number, lambda x: number < x), ("maximum", is_number, lambda x: number > x), ("minLength", is_text, lambda x: F.length(text) < x), ("maxLength", is_text, lambda x: F.length(text) > x), ("pattern", is_text, lambda x: ~text.rlike(x))):
+        if word in rule:
+            checks.append(F.when(when & wrong(rule[word]), f"{name}: {word}"))
+    found = [F.array_compact(F.array(*checks))] if checks else []
+    if {"items", "minItems", "maxItems"} & set(rule):
+        parts = F.coalesce(F.when(is_list, F.try_variant_get(value, "$", "array<variant>")), F.array().cast("array<variant>"))
+        size = F.when(is_list, F.size(parts))
+        found += [F.array_compact(F.array(F.when(wrong(size, rule[w]), f"{name}: {w}"))) for w, wrong in (("minItems", lambda a, b: a < b), ("maxItems", lambda a, b: a > b)) if w in rule]
+        if "items" in rule:
+            found.append(F.array_distinct(F.flatten(F.transform(parts, lambda v: _value_errors(f"{name}[]", rule["items"], v)))))
+    if {"properties", "required", "additionalProperties"} & set(rule):
+        found.append(F.when(is_object, _object_errors(f"{name}.", rule, value)).otherwise(_none()))
+    return F.concat(*found) if found else _none()
+
+
+def _object_errors(prefix: str, schema: dict, value: Column) -> Column:
+    if unknown := set(schema) - KEYWORDS:
+        raise ValueError(f"not checked: {', '.join(sorted(unknown))}")
+    props, keys = schema.get("properties", {}), F.coalesce(F.json_object_keys(F.to_json(value)), _none())
+    required = [F.when(~F.array_contains(keys, f), f"{prefix}{f}: missing") for f in sorted(schema.get("required", []))]
+    extra = F.transform(F.array_sort(F.array_except(keys, F.array(*[F.lit(p) for p in props]).cast("array<string>"))), lambda k: F.concat(F.lit(prefix), k, F.lit(": unknown")))
+    return F.concat(
+        F.array_compact(F.array(*required)) if required else _none(),
+        _none() if schema.get("additionalProperties", True) else extra,
+        *[F.when(F.array_contains(keys, p), _value_errors(prefix + p, rule, F.variant_get(value, f"$['{p}']", "variant"))).otherwise(_none()) for p, rule in sorted(props.items())],
+    )
 
 
 def schema_errors(tool: Column, arguments: Column, schemas: dict[str, dict]) -> Column:
-    """array<string>: what is wrong with the arguments (JSON text) of a call by the tools' JSON schemas
-    (type, required, properties with type, minimum, maximum, enum, minLength; additionalProperties)."""
+    """array<string>: what is wrong with the arguments (JSON text) of a call by the tools' JSON schemas (KEYWORDS)."""
     value = F.try_parse_json(arguments)
-    keys = F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>"))
     out = F.array(F.lit("unknown tool"))
     for name, schema in sorted(schemas.items()):
-        props = schema.get("properties", {})
-        required = [F.when(~F.array_contains(keys, f), f"{f}: missing") for f in sorted(schema.get("required", []))]
-        extra = F.transform(F.array_sort(F.array_except(keys, F.array(*[F.lit(p) for p in props]).cast("array<string>"))), lambda k: F.concat(k, F.lit(": unknown")))
-        found = F.concat(
-            F.array_compact(F.array(*required)) if required else F.array().cast("array<string>"),
-            F.array().cast("array<string>") if schema.get("additionalProperties", True) else extra,
-            *[F.when(F.array_contains(keys, p), _field_errors(p, rule, value)).otherwise(F.array().cast("array<string>")) for p, rule in sorted(props.items())],
-        )
-        out = F.when(tool == name, found).otherwise(out)
-    is_object = value.isNotNull() & F.startswith(F.ltrim(arguments), F.lit("{"))
-    return F.when(~F.coalesce(is_object, F.lit(False)), F.array(F.lit("not a JSON object"))).otherwise(out)
+        out = F.when(tool == name, _object_errors("", schema, value)).otherwise(out)
+    is_object = F.coalesce(value.isNotNull() & F.startswith(F.ltrim(arguments), F.lit("{")), F.lit(False))
+    again = value.isNull() & F.json_object_keys(arguments).isNotNull()
+    return F.when(again, F.array(F.lit("repeated keys"))).when(~is_object, F.array(F.lit("not a JSON object"))).otherwise(out)
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -114,7 +141,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     full = full.withColumn("position", F.when(F.col("level").isNotNull(), F.row_number().over(W.partitionBy("conv_id").orderBy(F.col("level").asc_nulls_last(), "ord", "call_id"))).cast("int"))
     status = F.when(F.col("level").isNull(), "cycle").when(F.size("errors") > 0, "invalid").when(F.col("answered").isNull(), "pending").otherwise("ok")
     canonical = F.to_json(
-        F.struct(F.coalesce(F.to_json(F.try_parse_json("arguments")), F.col("arguments")).alias("arguments"), F.array_sort(F.coalesce("depends_on", F.array().cast("array<string>"))).alias("depends_on"), F.col("call_id").alias("id"), F.col("tool").alias("name"), F.col("content").alias("result")),
+        F.struct(F.coalesce(F.try_parse_json("arguments"), F.col("arguments").cast("variant")).alias("arguments"), F.array_sort(F.coalesce("depends_on", F.array().cast("array<string>"))).alias("depends_on"), F.col("call_id").alias("id"), F.col("tool").alias("name"), F.col("content").alias("result")),
         {"ignoreNullFields": "false"},
     )
     return full.select("conv_id", "call_id", "position", "level", status.alias("status"), "errors", "missing", canonical.alias("json"))
