@@ -80,8 +80,8 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
-    model = string_kernel.fit(docs.filter(fold != 1))
-    return string_kernel.with_language(docs.withColumn("held_out", fold == 1), model).select("doc_id", "held_out", "lang_pred", "score")
+    model = string_kernel.fit(docs.filter(fold != 1))  # rows with a null id don't train either: they are held out
+    return string_kernel.with_language(docs.withColumn("held_out", F.coalesce(fold == 1, F.lit(True))), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 #: Fixed by the query's contract.

@@ -6,11 +6,12 @@ texts. Landmarks drawn from each language give the Nyström map z(x) = K(x, land
 on it one-versus-rest ridge regression with targets +1 and -1 is solved in closed form. Texts are scored in batches
 by matrix products, each over all its bytes.
 
-The classifier is fitted on a bounded sample: at most `max_rows` labelled rows, spread evenly over the languages by a
-hash of their ids. Everything else covers all rows.
+The classifier is fitted on a bounded sample: at most `max_rows` labelled rows of at most `max_bytes` each, spread evenly over
+the languages by a hash of their ids. Everything else covers all rows and whole texts.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; rows without a language don't train; without
-any training rows all are `und`; ties go to the language that sorts first; other columns pass through and columns
+any training rows all are `und`; ties go to the language that sorts first; repeated rows are judged alike; a very long
+text is judged whole, alone; other columns pass through and columns
 named like a result are replaced; an empty table gives an empty result.
 """
 
@@ -98,9 +99,9 @@ def _sample(labelled: DataFrame, id_col: str, lang_col: str, max_rows: int) -> l
     return out
 
 
-def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 1200, landmarks: int = 96, ridge: float = 0.1) -> KernelModel:
-    """labelled: rows to learn from. The sample of max_rows texts is gathered on the driver."""
-    rows = _sample(_usable(labelled, id_col, text_col, lang_col), id_col, lang_col, max_rows)
+def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 1200, max_bytes: int = 1 << 16, landmarks: int = 96, ridge: float = 0.1) -> KernelModel:
+    """labelled: rows to learn from. The sample of max_rows texts of max_bytes at most is gathered on the driver."""
+    rows = _sample(_usable(labelled, id_col, text_col, lang_col, max_bytes), id_col, lang_col, max_rows)
     langs = sorted({lang for lang, _ in rows})
     if not langs:
         return KernelModel([], np.empty(0, np.int64), np.empty((0, 0), np.float32), np.empty((0, 0), np.float32))
@@ -130,15 +131,16 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 SIZES = [64, 256]
 
 
-def _usable(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+def _usable(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, max_bytes: int) -> DataFrame:
+    labelled = labelled.filter(F.octet_length(F.col(text_col).cast("string")) <= max_bytes)
     return labelled.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), F.col(lang_col)).filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col("text").rlike(r"\p{L}"))
 
 
-def least_scores(model: KernelModel, held_out: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 2000) -> list[float]:
+def least_scores(model: KernelModel, held_out: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 2000, max_bytes: int = 1 << 16) -> list[float]:
     """For each class of SIZES (and what is longer) a low threshold of the score: 0.95 times the least that a bounded sample
     of labelled rows that the model hasn't seen reaches, at most 0.5 (where the best language is as likely not it); 0
     without such rows."""
-    texts = pa.array([t for _, t in _sample(_usable(held_out, id_col, text_col, lang_col), id_col, lang_col, max_rows)], pa.string())
+    texts = pa.array([t for _, t in _sample(_usable(held_out, id_col, text_col, lang_col, max_bytes), id_col, lang_col, max_rows)], pa.string())
     scores = np.array(model.predict(texts)[1] if len(texts) else [])
     sizes = np.searchsorted(SIZES, [len(t.encode()) for t in texts.to_pylist()], "right")
     return [min(0.5, 0.95 * float(scores[sizes == i].min())) if (sizes == i).any() else 0.0 for i in range(len(SIZES) + 1)]

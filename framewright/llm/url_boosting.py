@@ -9,7 +9,7 @@ Suffix statistics (how often labelled URLs of a suffix are blocked, smoothed) co
 
 Edge cases: null, empty and `://`-less URLs have an empty host and path and are judged by the trees on what features
 they have; where no labelled URL exists, or all agree, that one verdict (`allow` without any) holds for the rest;
-equal URLs get equal verdicts; other columns pass through and columns named like a result are replaced; an empty
+equal URLs get equal verdicts, and repeated rows each their own; very long URLs are read whole; other columns pass through and columns named like a result are replaced; an empty
 table gives an empty result.
 """
 
@@ -66,6 +66,13 @@ def with_features(df: DataFrame, url_col: str = "url") -> DataFrame:
     )
 
 
+def suffix_statistics(labelled: DataFrame, blocked: float, total: float) -> DataFrame:
+    """suffix, suffix_blocked (the share that is blocked, drawn to that of all by 20 rows) and suffix_share, of labelled URLs
+    (suffix, label), of which there are `total`, `blocked` among them."""
+    prior = blocked / total
+    return labelled.groupBy("suffix").agg(((F.sum("label") + 20 * prior) / (F.count("*") + 20)).alias("suffix_blocked"), (F.count("*") / total).alias("suffix_share"))
+
+
 def judge(df: DataFrame, rules: list[str], *, url_col: str = "url", max_rows: int = 20_000, trees: int = 20, depth: int = 3, seed: int = 7) -> DataFrame:
     """df with host, path, rule, verdict and block_score (the trees' probability of block; null where a rule judges)."""
     kept = [c for c in df.columns if c not in {"host", "path", "rule", "verdict", "block_score"}]
@@ -79,7 +86,7 @@ def judge(df: DataFrame, rules: list[str], *, url_col: str = "url", max_rows: in
         only = "block" if total.n and total.b else "allow"
         return base.select("_row.*", "host", "path", "rule", F.coalesce("said", F.lit(only)).alias("verdict"), F.when(F.col("said").isNull(), float(only == "block")).alias("block_score"))
     prior = total.b / total.n
-    stats = labelled.groupBy("suffix").agg(((F.sum("label") + 20 * prior) / (F.count("*") + 20)).alias("suffix_blocked"), (F.count("*") / total.n).alias("suffix_share"))
+    stats = suffix_statistics(labelled, total.b, total.n)
     unit = 1 << 20
     bound = int(unit * min(1.0, max_rows / total.n))
     sample = labelled.filter(F.pmod(F.xxhash64("_url"), F.lit(unit)) < bound).limit(2 * max_rows)

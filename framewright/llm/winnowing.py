@@ -11,8 +11,9 @@ A bit map of fixed size (2 MB) of the items' fingerprints keeps other fingerprin
 many items it fills up and only saves less. No side of the join is broadcast by request.
 
 Edge cases: a null or empty text has no words and isn't contaminated; items without words are left out; item_ids
-count once however often an item is repeated; repeated rows of one doc_id give one row, with the hits of all and
-the largest word count; other columns are ignored; empty tables give empty results.
+count once however often an item is repeated; every row of the documents gives one of its own, whether its doc_id is
+null or occurs again; items with a null id are ids of no one and left out of item_ids, their hits count; a long text is
+read whole, a very long one alone; other columns, whatever their names, are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -113,15 +114,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     prints = sized.select(F.col("id").alias("item"), F.explode("cands").alias("c")).select("item", *[F.col(f"c.{x}").alias(x) for x in ("h", "need", "lead", "ctx")])
     scanned = _scanned(docs, id_col, text_col, span, k, sorted(short), _bit_map(prints))
     # Documents without a candidate meet no item; a key of their own keeps them from meeting in one task.
-    cands = scanned.select("id", "n_words", F.explode_outer("cands").alias("c")).select("id", "n_words", "c.need", "c.pos", "c.lead", "c.ctx", F.coalesce("c.h", F.xxhash64("id")).alias("h"))
+    scanned = scanned.withColumn("row", F.monotonically_increasing_id())
+    cands = scanned.select("row", "id", "n_words", F.explode_outer("cands").alias("c")).select("row", "id", "n_words", "c.need", "c.pos", "c.lead", "c.ctx", F.coalesce("c.h", F.xxhash64("row")).alias("h"))
     met = cands.alias("d").join(prints.alias("i"), "h", "left")
     size = F.when(F.col("d.need") == span, k).otherwise(F.col("d.need"))
     left = F.expr("coalesce(array_max(filter(sequence(0, least(d.lead, i.lead)), j -> slice(d.ctx, d.lead - j + 1, j) = slice(i.ctx, i.lead - j + 1, j))), 0)")
     right = F.expr("coalesce(array_max(filter(sequence(0, least(size(d.ctx) - d.lead, size(i.ctx) - i.lead)), j -> slice(d.ctx, d.lead + 1, j) = slice(i.ctx, i.lead + 1, j))), 0)")
-    met = met.select("id", "n_words", "item", "d.pos", "d.need", left.alias("l"), right.alias("r"), size.alias("k"), (F.col("d.need") == F.col("i.need")).alias("same"))
+    met = met.select("row", "id", "n_words", "item", "d.pos", "d.need", left.alias("l"), right.alias("r"), size.alias("k"), (F.col("d.need") == F.col("i.need")).alias("same"))
     hit = F.col("same") & (F.col("r") >= F.col("k")) & (F.col("l") + F.col("r") >= F.col("need"))
-    per = met.groupBy("id").agg(
-        F.max("n_words").alias("n_words"),
+    per = met.groupBy("row").agg(
+        F.max("id").alias("id"), F.max("n_words").alias("n_words"),
         F.collect_set(F.when(hit, F.struct((F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b")))).alias("s"),
         F.sort_array(F.collect_set(F.when(hit, F.col("item").cast("string")))).alias("item_ids"),
     )
