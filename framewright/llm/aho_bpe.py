@@ -40,6 +40,7 @@ class ByteBPE:
             self.auto.add_word(token.decode("latin-1"), rank)
         self.auto.make_automaton()
         self.length = [len(b) for b in self.bytes]
+        self.most = max(self.length)
         self.shorter = [next((self.ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ranks), -1) for t in self.bytes]
         self.pattern = regex.compile(pattern)
         self.pairs: dict[int, bool] = {}
@@ -114,7 +115,7 @@ class ByteBPE:
                 pos += length[token]
                 if pos == n:
                     return out
-                token = next(longest(text, pos))[1]
+                token = next(longest(text[pos : pos + self.most]))[1]  # from here on; what lies before isn't read again
             elif out:
                 dead[pos] = 1
                 token = out.pop()
@@ -180,7 +181,7 @@ def with_decoded(df: DataFrame, path: str, pattern: str) -> DataFrame:
     return df.withColumn("decoded", decode(F.col("ids"), path, pattern))
 
 
-def with_round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
+def with_round_trip(df: DataFrame, path: str, pattern: str, *, text_col: str = "text") -> DataFrame:
     """with_ids and with_decoded in one pass, with digests of both in place of the ids and bytes:
     n_tokens, ids_sha256 (of the decimal ids joined by one space) and decoded_sha256."""
     import hashlib
@@ -193,4 +194,5 @@ def with_round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
             out.append({"n_tokens": len(ids), "ids_sha256": hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), "decoded_sha256": hashlib.sha256(b.decode(ids)).hexdigest()})
         return pa.array(out, pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
 
-    return df.withColumn("_d", digests(F.col("text").cast("string"))).select(*[c for c in df.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")], "_d.*")
+    kept = [c for c in df.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256", "_digests")]
+    return df.withColumn("_digests", digests(F.col(text_col).cast("string"))).select(*kept, "_digests.*")
