@@ -1,7 +1,7 @@
 """Token counts by rank-synchronous array merging.
 
 The pre-tokens of a batch that aren't known yet lie in one ragged numpy array. In each round every sequence finds
-the lowest rank among its adjacent pairs and merges all its pairs of that rank, from left to right where they
+the lowest rank among its adjacent pairs (only those that changed are looked up anew) and merges all its pairs of that rank, from left to right where they
 overlap; sequences without a pair leave. The surviving symbols are the tokens. Counts of pre-tokens are kept in a
 table of bounded size for each Python worker.
 
@@ -60,29 +60,35 @@ class RankMerger:
         sizes = np.array([len(r) for r in raw])
         seq = np.repeat(np.arange(len(raw)), sizes)
         counts = sizes.copy()
+        rank = self._ranks(sym, seq, np.arange(len(sym)))
         while len(sym) > 1:
-            inside = seq[1:] == seq[:-1]
-            keys = sym[:-1] * self.size + sym[1:]
-            found = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            rank = np.where(inside & (self.pairs[found] == keys), self.ranks[found], self.size)
-            heads = np.flatnonzero(np.r_[True, ~inside])  # each sequence's first symbol
-            rank = np.append(rank, self.size)
+            heads = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])  # each sequence's first symbol
             least = np.minimum.reduceat(rank, heads)
             lens = np.diff(np.append(heads, len(sym)))
-            low = np.repeat(least, lens)
-            hit = (rank == low) & (rank < self.size)
-            if not hit.any():
+            at = np.flatnonzero((rank == np.repeat(least, lens)) & (rank < self.size))
+            if not len(at):
                 break
-            at = np.flatnonzero(hit)
             run = np.flatnonzero(np.r_[True, np.diff(at) > 1])  # of overlapping pairs every second one merges
             at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
             sym[at] = self.into[rank[at]]
-            np.subtract.at(counts, seq[at], 1)
+            counts -= np.bincount(seq[at], minlength=len(counts))
             keep = np.repeat(least < self.size, lens)
             keep[at + 1] = False
-            sym, seq = sym[keep], seq[keep]
+            new = np.cumsum(keep)[at] - 1
+            sym, seq, rank = sym[keep], seq[keep], rank[keep]
+            changed = np.concatenate([new, new[new > 0] - 1])  # only these pairs are looked up again
+            rank[changed] = self._ranks(sym, seq, changed)
         return counts
 
+    def _ranks(self, sym: np.ndarray, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The ranks of the pairs that begin at these places; self.size where there is none."""
+        out, pair = np.full(len(at), self.size), at < len(sym) - 1
+        pair[pair] = seq[at[pair]] == seq[at[pair] + 1]
+        keys = sym[at[pair]] * self.size + sym[at[pair] + 1]
+        found = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        out[pair] = np.where(self.pairs[found] == keys, self.ranks[found], self.size)
+        return out
+
     def count(self, texts: list[str | None]) -> list[int]:
         split, extra = [], []
         for t in texts:
