@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,30 +10,22 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.shared import fresh_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts travel to Python in Arrow batches of at most this many rows."""
+    """Whole texts travel to Python in Arrow batches of at most this many rows. The session keeps the setting: results are lazy
+    and read it when they run."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        given = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = given.get() if given.isDefined() else "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(path)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: the lineage is cut and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -74,7 +64,5 @@ def sieve(ids: DataFrame, column: str) -> Callable[[Column], Column]:
 
 def without_ids(df: DataFrame, gone: DataFrame, column: str) -> DataFrame:
     """df without the rows whose id is in gone: only rows that may be among them are shuffled, not all texts."""
-    maybe = sieve(gone, column)
-    flagged = df.withColumn("_maybe", maybe(F.col(column)))
-    kept = flagged.filter("not _maybe").drop("_maybe")
-    return kept.unionByName(flagged.filter("_maybe").drop("_maybe").join(gone.select(column).distinct(), column, "left_anti").select(*df.columns))
+    maybe = sieve(gone, column)(F.col(column))
+    return df.filter(~maybe).unionByName(df.filter(maybe).join(gone.select(column).distinct(), column, "left_anti").select(*df.columns))

@@ -12,18 +12,21 @@ A document is its set of k-word shingles; the Jaccard distance between sets is a
 3. Regions of up to `sketched` classes first meet as sketches: numbers of shingles by hash in about n / 8 buckets, whose
    smaller ones add up to a bound of the intersection. That bound gives a distance below the true one, so only
    groups that it holds together go on, each with its smallest id as the pivot.
-4. A region of up to `leaf` classes is joined exactly in one task. A larger one is cut again: by the exact distances to
-   its pivot into shells of width r / 2, and these by hash into cells of about `leaf` classes. Classes within r of the
-   pivot are linked by it and need no comparing among themselves; by the triangle inequality only cells whose
-   distances differ by r at most are replicated to each other; each such pair of cells is joined exactly.
+4. A region is joined recursively. Some of its classes are pivots, and the exact distances of all to them make Voronoi
+   cells: by the triangle inequality two linked classes both lie in the cell of the pivot next to one of them if a cell
+   takes in all whose distance to its pivot is at most 2 r over that to their own nearest. Classes within r of a pivot
+   are linked by it; a cell without others is done, the rest is cut again by pivots of its own. Regions and cells of up
+   to `leaf` classes are cut within one task, larger ones by Spark, a level a round; a cell that keeps nearly all of its
+   region is joined in blocks of `leaf`, by shells of their distances to the pivot that differ by r at most.
 5. Components of the links by alternating large-star and small-star rounds.
 
 The order of shingles comes from a table of counts of fixed size (2 ** 18 slots for all shingles of the corpus). It
 steers the work only, any order gives the same links.
 
 Edge cases: a null or empty text has no shingles and links with nothing; a text of fewer than k words is one shingle,
-its whole sequence; rows with a null id take part in no link and have a null component; rows of one id count as
-copies when equal; other columns are ignored; empty tables give empty results.
+its whole sequence; rows with a null id take part in no link and have a null component; rows of one id are one
+document, which is linked with all that any of its texts links with, while n_shingles is each row's own; texts are read
+whole, a very long one alone; other columns, whatever their names, are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -85,7 +88,8 @@ def _anchored(k: int, share: int, levels):
                 bands = range(int(np.log(n) / width), int((np.log(n * 100 / share) + 1e-9) / width) + 1) if n else []
                 anchors.append(np.concatenate([mix(first + np.uint64(b << 1)) for b in bands] or [first]).view(np.int64))
                 size = 1 << max(3, (n // 8).bit_length())
-                sketches.append(np.minimum(np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes())
+                held = np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size)
+                sketches.append(held.astype(np.uint8 if held.max() < 256 else np.uint32).tobytes())
             offsets = np.zeros(len(sets) + 1, np.int32)
             np.cumsum([len(a) for a in anchors], out=offsets[1:])
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(anchors) if anchors else np.empty(0, np.int64)))
@@ -94,6 +98,11 @@ def _anchored(k: int, share: int, levels):
     return run
 
 
+def _sketch(n: int, data: bytes) -> np.ndarray:
+    """A set's counts: of one byte, or of four where one doesn't do."""
+    return np.frombuffer(data, np.uint8 if len(data) == 1 << max(3, (n // 8).bit_length()) else np.uint32)
+
+
 def _may_link(n: np.ndarray, sketches: list[np.ndarray], share: int) -> np.ndarray:
     """The square matrix of pairs whose sketches allow a link. Sketches have sizes of powers of two; where two differ by
     one power the larger is folded, where by more the sets' sizes rule out a link."""
@@ -101,7 +110,7 @@ def _may_link(n: np.ndarray, sketches: list[np.ndarray], share: int) -> np.ndarr
     size = np.array([len(x) for x in sketches])
     for b in np.unique(size):
         at = np.flatnonzero((size == b) | (size == 2 * b))
-        rows = np.array([sketches[i] if size[i] == b else sketches[i].reshape(2, -1).sum(0) for i in at], np.int32)
+        rows = np.array([sketches[i] if size[i] == b else sketches[i].reshape(2, -1).sum(0) for i in at], np.int64)
         for j in np.flatnonzero(size[at] == b):
             most = np.minimum(rows[j], rows).sum(1)
             ok = 100 * most >= share * (n[at[j]] + n[at] - most)
@@ -119,7 +128,7 @@ def _sifted(share: int):
         def close():
             if len(held) > 1:
                 ids = np.array([x[0] for x in held], np.int64)
-                edges = _stars(ids, _may_link(np.array([x[1] for x in held]), [np.frombuffer(x[2], np.uint8) for x in held], share))
+                edges = _stars(ids, _may_link(np.array([x[1] for x in held]), [_sketch(x[1], x[2]) for x in held], share))
                 out.extend((v, u) for u, v in edges)
                 out.extend((v, v) for v in {v for _, v in edges})
 
@@ -187,6 +196,36 @@ def _stars(ids: np.ndarray, links: np.ndarray) -> list[tuple[int, int]]:
     return [(int(ids[i]), int(ids[j])) for i, j in enumerate(label) if i != j]
 
 
+def _overlaps(sets: list[np.ndarray], pivots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the intersections and unions of sets (none empty) with each of the pivots."""
+    flat, n = np.concatenate(sets), np.array([len(s) for s in sets])
+    starts = np.r_[0, np.cumsum(n)[:-1]]
+    both = [np.add.reduceat((p[np.minimum(np.searchsorted(p, flat), len(p) - 1)] == flat).astype(np.int64), starts) for p in pivots]
+    both = np.stack(both, 1)
+    return both, n[:, None] + np.array([len(p) for p in pivots])[None] - both
+
+
+def _cells(both: np.ndarray, union: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets each pivot links, and which lie in its Voronoi cell or the window around it."""
+    d = 1 - both / union
+    return 100 * both >= share * union, d <= d.min(1, keepdims=True) + (100 - share) / 50 + 1e-9
+
+
+def _recursive(ids: np.ndarray, sets: list[np.ndarray], share: int, few: int = 16) -> list[tuple[int, int]]:
+    """Links of distinct sets, enough of them to connect all that link: by pivots and their cells, down to `few` sets."""
+    at = range(0, len(sets), max(1, len(sets) // 8))
+    if len(sets) > few:
+        linked, cell = _cells(*_overlaps(sets, [sets[i] for i in at]), share)
+        if all(cell[:, j].sum() <= 0.9 * len(sets) or linked[cell[:, j], j].all() for j in range(len(at))):
+            out = [(int(ids[x]), int(ids[i])) for j, i in enumerate(at) for x in np.flatnonzero(linked[:, j]) if x != i]
+            for j in range(len(at)):
+                own = np.flatnonzero(cell[:, j])
+                if not linked[own, j].all():
+                    out += _recursive(ids[own], [sets[x] for x in own], share, few)
+            return out
+    return _stars(ids, _linked(sets, share)) if len(sets) > 1 else []
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     """Rows (g, id, text), sorted by g, as ids and shingle sets of one g at a time."""
     now, ids, sets = None, [], []
@@ -211,8 +250,7 @@ def _joined(k: int, share: int):
     def run(batches):
         out: list[tuple[int, int]] = []
         for ids, sets in _grouped(batches, k):
-            if len(ids) > 1:
-                out += _stars(np.array(ids, np.int64), _linked(sets, share))
+            out += _recursive(np.array(ids, np.int64), sets, share)
             if len(out) > 10_000:
                 yield _edges(out, ["u", "v"])
                 out = []
@@ -221,21 +259,44 @@ def _joined(k: int, share: int):
     return run
 
 
-def _distances(k: int):
-    """Of each row's text to its pivot's: both, union; rows of one pivot follow each other."""
+def _placed(k: int, share: int):
+    """Rows (g, salt, pivot, id, text), sorted by g and salt, pivots first, to (g, at, id, both, union): the members with each
+    pivot `at` in whose cell or window they lie."""
 
     def run(batches):
-        now, pivot = None, None
+        now, pivots, sets = None, [], []
         for batch in slices(batches, "text"):
-            both, union = [], []
-            at = batch.column("g").to_pylist()
-            for i, (g, s) in enumerate(zip(at, shingle_sets(batch.column("text"), k), strict=True)):
-                if g != now:
-                    now, pivot = g, shingle_sets(batch.column("pivot_text").slice(i, 1), k)[0]
-                x = len(np.intersect1d(s, pivot, assume_unique=True))
-                both.append(x)
-                union.append(len(s) + len(pivot) - x)
-            yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("id"), pa.array(both, pa.int64()), pa.array(union, pa.int64())], names=["g", "id", "both", "union"])
+            rows, members = [], []
+
+            def measured(rows=rows, members=members):
+                both, union = _overlaps([m[1] for m in members], sets)
+                cell = _cells(both, union, share)[1]
+                rows.extend((now[0], pivots[j], members[i][0], int(both[i, j]), int(union[i, j])) for i, j in zip(*np.nonzero(cell), strict=True))
+                members.clear()
+
+            of = zip(*(batch.column(c).to_pylist() for c in ("g", "salt", "pivot", "id")), shingle_sets(batch.column("text"), k), strict=True)
+            for g, salt, is_pivot, i, own in of:
+                if (g, salt) != now:
+                    if members:
+                        measured()
+                    now, pivots, sets = (g, salt), [], []
+                if is_pivot:
+                    pivots.append(i)
+                    sets.append(own)
+                else:
+                    members.append((i, own))
+            if members:
+                measured()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names=["g", "at", "id", "both", "union"])
+
+    return run
+
+
+def _signed(k: int):
+    def run(batches):
+        for batch in slices(batches, "text"):
+            sig = [xxhash.xxh3_128_digest(h) if len(h) else None for h in shingle_sets(batch.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sig, pa.binary()), batch.column("text")], names=["id", "sig", "text"])
 
     return run
 
@@ -266,48 +327,87 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         raise ValueError("share must be over 50 (sketches of sets that differ by more than a factor of two aren't compared)")
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = materialise(docs.mapInArrow(_anchored(k, share, _levels(docs, k)), "id bigint, n bigint, sig binary, anchors array<bigint>, sketch binary"), "sets")
-    classes = sets.filter("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.any_value("anchors").alias("anchors"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
-    held = classes.select(F.col("rep").alias("id"), F.explode("anchors").alias("anchor"))
+    named = sets.filter("sig is not null and id is not null")
+    classes = named.groupBy("sig").agg(F.min("id").alias("rep"), F.any_value("anchors").alias("anchors"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")).withColumn("node", F.col("rep"))
+    # An id with several texts is in several classes: those that it stands for get numbers over all ids, and are linked with it.
+    several = materialise(named.groupBy("id").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).filter("a <> b").select("id"), "several")
+    apart = edges = None
+    if not several.isEmpty():
+        over = F.lit(named.agg(F.max("id")).first()[0] + 1)
+        apart = materialise(classes.select("sig", "rep").join(several.withColumnRenamed("id", "rep"), "rep", "left_semi").withColumn("own", over + F.monotonically_increasing_id()), "apart")
+        classes = classes.join(apart.select("sig", "own"), "sig", "left").withColumn("node", F.coalesce("own", "rep")).drop("own")
+        edges = named.join(several, "id", "left_semi").join(classes.select("sig", "node"), "sig").select(F.col("id").alias("u"), F.col("node").alias("v"))
+    held = classes.select(F.col("node").alias("id"), F.explode("anchors").alias("anchor"))
     pivots = held.groupBy("anchor").agg(F.min("id").alias("g"), F.count("*").alias("c")).filter("c > 1").select("anchor", "g")
     regions = materialise(held.join(pivots, "anchor").select("g", "id").distinct(), "regions")
     large = regions.groupBy("g").agg(F.count("*").alias("size")).filter(F.col("size") > sketched).select("g")
-    meet = regions.join(large, "g", "left_anti").join(classes.select(F.col("rep").alias("id"), "n", "sketch"), "id").select("g", "id", "n", "sketch")
+    meet = regions.join(large, "g", "left_anti").join(classes.select(F.col("node").alias("id"), "n", "sketch"), "id").select("g", "id", "n", "sketch")
     sifted = meet.repartition("g").sortWithinPartitions("g").mapInArrow(_sifted(share), "g bigint, id bigint")
     regions = materialise(sifted.unionByName(regions.join(large, "g", "left_semi")).distinct(), "regions")
-    sized = regions.groupBy("g").agg(F.count("*").alias("size"))
     needed = regions.select("id").distinct()
     maybe = sieve(needed, "id")
-    texts = materialise(docs.filter(maybe(F.col("id"))).join(needed, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = docs.filter(maybe(F.col("id"))).join(needed, "id", "left_semi")
+    if apart is not None:
+        signed = docs.join(several, "id", "left_semi").mapInArrow(_signed(k), "id bigint, sig binary, text string").withColumnRenamed("id", "rep")
+        texts = texts.join(several, "id", "left_anti").unionByName(signed.join(apart, ["rep", "sig"]).select(F.col("own").alias("id"), "text"))
+    texts = materialise(texts.dropDuplicates(["id"]), "texts")
 
-    small = regions.join(sized.filter(F.col("size") <= leaf).select("g"), "g", "left_semi")
-    local = _local(small.join(texts, "id").select("g", "id", "text"), k, share)
-
-    big = regions.join(sized.filter(F.col("size") > leaf).select("g"), "g", "left_semi")
-    edges = local
-    if big.limit(1).count():
-        pivot_texts = texts.select(F.col("id").alias("g"), F.col("text").alias("pivot_text"))
-        rows = big.filter("id <> g").join(texts, "id").join(pivot_texts, "g").select("g", "id", "text", "pivot_text")
-        apart = materialise(rows.mapInArrow(_distances(k), "g bigint, id bigint, both bigint, union bigint"), "distances")
+    rest, depth = regions.select("g", "id"), 0
+    while True:
+        sized = rest.groupBy("g").agg(F.count("*").alias("size"))
+        small = rest.join(sized.filter(F.col("size") <= leaf).select("g"), "g", "left_semi")
+        found = _local(small.join(texts, "id").select("g", "id", "text"), k, share)
+        edges = found if edges is None else edges.unionByName(found)
+        big = rest.join(sized.filter(F.col("size") > leaf), "g")
+        if big.isEmpty():
+            break
+        cells = _cut(materialise(big, "large"), texts, k, share, leaf, depth)
         near = F.expr(f"100 * both >= {share} * union")
-        width = (100 - share) / 200
-        apart = apart.select("g", "id", near.alias("near"), F.floor((1 - F.col("both") / F.col("union")) / width).cast("int").alias("shell"))
-        cells = apart.groupBy("g", "near", "shell").agg(F.ceil(F.count("*") / leaf).cast("int").alias("parts"))
-        one = cells.select("g", "near", "shell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        key = F.struct("near", "shell", "part")
-        one = one.select("g", key.alias("c"))
-        pairs = one.alias("a").join(one.alias("b"), "g").filter("a.c <= b.c and abs(a.c.shell - b.c.shell) <= 3 and not (a.c.near and b.c.near)").select("g", F.col("a.c").alias("a"), F.col("b.c").alias("b"))
-        pairs = pairs.withColumn("pair", F.xxhash64("g", "a", "b"))
-        both = pairs.select("g", "pair", F.explode(F.array_distinct(F.array("a", "b"))).alias("c")).select("g", "pair", "c.near", "c.shell", "c.part")
-        placed = apart.join(cells, ["g", "near", "shell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        meets = placed.join(both, ["g", "near", "shell", "part"]).select(F.col("pair").alias("g"), "id").distinct()
-        edges = local.unionByName(apart.filter("near").select(F.col("id").alias("u"), F.col("g").alias("v"))).unionByName(_local(meets.join(texts, "id").select("g", "id", "text"), k, share))
+        edges = edges.unionByName(cells.filter(near & (F.col("id") != F.col("at"))).select(F.col("id").alias("u"), F.col("at").alias("v")))
+        told = cells.groupBy("g", "at").agg(F.count("*").alias("c"), F.max("size").alias("size"), F.min(near).alias("done")).filter("not done")
+        shrunk = (F.col("c") <= 0.9 * F.col("size")) | (F.col("c") <= leaf)
+        stuck = cells.join(told.filter(~shrunk).select("g", "at"), ["g", "at"], "left_semi")
+        if not stuck.isEmpty():
+            edges = edges.unionByName(_in_blocks(stuck.withColumn("near", near), texts, k, share, leaf))
+        rest = materialise(cells.join(told.filter(shrunk).select("g", "at"), ["g", "at"], "left_semi").select(F.xxhash64("g", "at", F.lit(depth)).alias("g"), "id").distinct(), "cells")
+        depth += 1
 
     found = components(edges)
-    of_class = classes.select("sig", "rep").join(found, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("component"))
-    full = sets.filter("sig is not null and id is not null").join(of_class, "sig").select("id", "n", "component")
+    of_class = classes.select("sig", "rep", "node").join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("sig", F.coalesce("component", "rep").alias("component"))
+    full = named.join(of_class, "sig").select("id", "n", "component")
     rest = sets.filter("sig is null or id is null").select("id", "n", F.col("id").alias("component"))
     return full.unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def _cut(big: DataFrame, texts: DataFrame, k: int, share: int, leaf: int, depth: int) -> DataFrame:
+    """One level of large regions (g, id, size): g, size, at (a pivot), id, both, union for all cells. About eight classes of a
+    region, chosen by hash, and its smallest id are pivots; its members meet them in tasks of about `leaf`."""
+    chosen = F.pmod(F.xxhash64("id", F.lit(depth)), F.ceil(F.col("size") / 8)) == 0
+    least = big.groupBy("g").agg(F.min("id").alias("id"), F.max("size").alias("size"))
+    pivots = big.filter(chosen).select("g", "id", "size").unionByName(least).distinct()
+    salts = F.ceil(F.col("size") / leaf).cast("int")
+    first = pivots.select("g", "id", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("pivot"))
+    rows = first.unionByName(big.select("g", "id", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), F.lit(False).alias("pivot"))).join(texts, "id")
+    rows = rows.select("g", "salt", "pivot", "id", "text").repartition("g", "salt").sortWithinPartitions("g", "salt", F.col("pivot").desc())
+    placed = rows.mapInArrow(_placed(k, share), "g bigint, at bigint, id bigint, both bigint, union bigint")
+    return materialise(placed.join(big.select("g", "size").distinct(), "g"), "placed")
+
+
+def _in_blocks(cells: DataFrame, texts: DataFrame, k: int, share: int, leaf: int) -> DataFrame:
+    """Links within cells (g, at, id, both, union, near) that pivots can't part: blocks of `leaf` classes by their distance to the
+    pivot, in shells of width r / 2, and by hash; pairs of blocks that a link can join meet, but none of classes that the
+    pivot itself links."""
+    width = (100 - share) / 200
+    apart = cells.select(F.xxhash64("g", "at").alias("g"), "id", "near", F.floor((1 - F.col("both") / F.col("union")) / width).cast("int").alias("shell"))
+    sizes = apart.groupBy("g", "near", "shell").agg(F.ceil(F.count("*") / leaf).cast("int").alias("parts"))
+    one = sizes.select("g", "near", "shell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("g", F.struct("near", "shell", "part").alias("c"))
+    pairs = one.alias("a").join(one.alias("b"), "g").filter("a.c <= b.c and abs(a.c.shell - b.c.shell) <= 3 and not (a.c.near and b.c.near)").select("g", F.col("a.c").alias("a"), F.col("b.c").alias("b"))
+    pairs = pairs.withColumn("pair", F.xxhash64("g", "a", "b"))
+    both = pairs.select("g", "pair", F.explode(F.array_distinct(F.array("a", "b"))).alias("c")).select("g", "pair", "c.near", "c.shell", "c.part")
+    placed = apart.join(sizes, ["g", "near", "shell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    meets = placed.join(both, ["g", "near", "shell", "part"]).select(F.col("pair").alias("g"), "id").distinct()
+    return _local(meets.join(texts, "id").select("g", "id", "text"), k, share)
+
+
 def _local(rows: DataFrame, k: int, share: int) -> DataFrame:
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_joined(k, share), "u bigint, v bigint")

@@ -4,7 +4,7 @@ Reading: one partition for each group of files of up to `partition_bytes`; a fil
 for each record. Each member tells its compressed size in its extra field (the `sl` field of the WARC standard's
 annex), so that a reader which has inflated only the headers can pass over the rest. Predicates on record_type and
 on the other header columns are pushed down and decide before a payload is inflated; without the payload column
-(option payload=false) none is. Members without that field are inflated in full.
+(option payload=false) none is. Members without that field, or with several records, are inflated in full.
 
 Writing: each task writes one file under a name that its partition fixes, first under a temporary name; a task that
 is run again replaces the file by an equal one, so that lost executors do no harm. Files are reached by
@@ -14,7 +14,8 @@ Duplicates: of records with equal payloads the one with the least id is the resp
 
 Edge cases: null payloads are empty ones; null URLs have no Target-URI; line ends in a URL are percent-encoded; with
 `min_bytes` over 0 shorter payloads are all responses; rows with a null id are responses and get no record id;
-repeated rows of one id are the response again; an empty table gives an archive without records.
+repeated rows of one id are the response again; a very long payload is written and read whole, alone; other columns,
+whatever their names, are ignored; an empty table gives an archive without records.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from framewright.llm._common import shared_dir
+from framewright.llm._common import materialise, sieve
+from framewright.shared import fresh_path
 
 SCHEMA = "record_type string, record_id string, target_uri string, payload_digest string, refers_to string, payload_bytes bigint, payload binary"
 #: Fixed header names of the format; the length of a payload that a revisit leaves out is a header of our own.
@@ -79,7 +81,8 @@ def records(stream, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], by
             data += stream.read(1 << 16)
         if not data:
             return
-        size = struct.unpack("<I", data[16:20])[0] if data[3] & 4 and data[12:14] == b"sl" else 0
+        size = struct.unpack("<I", data[16:20])[0] if len(data) >= 24 and data[3] & 4 and data[12:14] == b"sl" else 0
+        extra = data[16:24]
         inflate = zlib.decompressobj(31)
         text, rest = inflate.decompress(data, _FIRST), inflate.unconsumed_tail
         past = len(data)  # bytes of this member taken from the stream so far, the next one's among them
@@ -95,24 +98,36 @@ def records(stream, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], by
         head, _, body = text.partition(b"\r\n\r\n")
         fields = parse_headers(head)
         ok = wanted(fields)
-        if size and not (ok and payloads):  # on to the next member without inflating this one
+        alone = size and struct.unpack("<I", extra[4:])[0] == len(head) + 8 + int(fields["content-length"])
+        if alone and not (ok and payloads):  # on to the next member without inflating this one
             if data and size <= len(data):
                 data = data[size:]
             else:
                 stream.seek(stream.tell() + size - past)
                 data = b""
-        else:
-            parts = [body]
-            while not inflate.eof:
+            if ok:
+                yield fields, None
+            continue
+        parts = [body]
+        while not inflate.eof:
+            if not rest:
+                rest = stream.read(1 << 18)
                 if not rest:
-                    rest = stream.read(1 << 18)
-                    if not rest:
-                        raise ValueError("a record is cut off")
-                parts.append(inflate.decompress(rest))
-                rest = b""
-            data, body = inflate.unused_data, b"".join(parts)
-        if ok:
-            yield fields, body[: int(fields["content-length"])] if payloads else None
+                    raise ValueError("a record is cut off")
+            parts.append(inflate.decompress(rest))
+            rest = b""
+        data, body = inflate.unused_data, b"".join(parts)
+        while True:  # a member may hold several records
+            end = int(fields["content-length"])
+            if len(body) < end:
+                raise ValueError("a record is cut off")
+            if ok:
+                yield fields, body[:end] if payloads else None
+            head, there, body = body[end:].lstrip(b"\r\n").partition(b"\r\n\r\n")
+            if not there:
+                break
+            fields = parse_headers(head)
+            ok = wanted(fields)
 
 
 class _Files(InputPartition):
@@ -124,7 +139,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict, schema):
         self.path, self.columns = options["path"], [f.name for f in schema.fields]
         self.payloads = options.get("payload", "true").lower() == "true" and "payload" in self.columns
-        self.per = int(options.get("partition_bytes", 64 << 20))
+        self.per = int(options.get("partition_bytes", 16 << 20))
         self.wanted: list[tuple[str, frozenset]] = []
         if "record_type" in options:
             self.wanted.append((HEADERS["record_type"].lower(), frozenset([options["record_type"]])))
@@ -226,7 +241,11 @@ def as_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("target_uri"), F.coalesce(F.col(payload_col).cast("string").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("payload_digest", base32_sha1(F.col("payload")))
     first = rows.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("id").alias("first"), F.count("*").alias("c")).filter("c > 1").select("payload_digest", "payload_bytes", "first")
-    met = rows.join(first, ["payload_digest", "payload_bytes"], "left")
+    first = materialise(first, "first")
+    maybe = sieve(first, "payload_digest")  # payloads that occur once aren't shuffled
+    rows = rows.withColumn("_maybe", maybe(F.col("payload_digest")))
+    some = rows.filter("_maybe").join(first, ["payload_digest", "payload_bytes"], "left")
+    met = some.unionByName(rows.filter("not _maybe").withColumn("first", F.lit(None).cast("bigint")))
     again = F.col("first").isNotNull() & (F.col("id") != F.col("first"))
     return met.select(
         F.when(again, "revisit").otherwise("response").alias("record_type"), F.concat(F.lit("<urn:page:"), F.col("id").cast("string"), F.lit(">")).alias("record_id"),
@@ -252,11 +271,14 @@ def page_number(record_id: Column) -> Column:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Archives pages in the shared folder and reads them back: page_id, payload_bytes, payload_digest, record_type,
-    refers_to. Digest and length of a response come from the payload that was read, a revisit's from its headers."""
+    refers_to. Digest and length of a response come from the payload that was read, a revisit's from its headers; both
+    scans push their record type down."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "warc")
     write(as_records(pages), path)
-    back = read(spark, path)
+    responses = read(spark, path).filter("record_type = 'response'")
+    revisits = read(spark, path, payload=False).filter("record_type = 'revisit'")  # from headers alone
+    back = responses.unionByName(revisits)
     is_response = F.col("record_type") == "response"
     return back.select(
         page_number(F.col("record_id")).alias("page_id"), F.when(is_response, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("bigint").alias("payload_bytes"),

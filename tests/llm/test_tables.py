@@ -6,6 +6,8 @@ import base64
 import gzip
 import hashlib
 import json
+import random
+import re
 
 import duckdb
 import numpy as np
@@ -145,11 +147,114 @@ def test_tool_calls(spark):
     assert [c for _, c in sorted((r.position, c) for c, r in got.items() if r.position)] == ["1", "4", "2", "3", "8"]
     assert {c: r.errors for c, r in got.items()} == {"1": [], "2": ["a: maximum"], "3": ["z: unknown", "a: type"], "4": ["not a JSON object"], "5": ["not a JSON object"], "6": ["b: enum"], "7": [], "8": ["unknown tool"]}
     assert got["1"].status == "ok" and got["2"].status == "invalid" and got["7"].status == "cycle" and got["4"].missing == ["9"]
-    assert json.loads(got["1"].json) == {"arguments": '{"a":3}', "depends_on": [], "id": "1", "name": "f", "result": "later"}
+    assert json.loads(got["1"].json) == {"arguments": {"a": 3}, "depends_on": [], "id": "1", "name": "f", "result": "later"}
     assert [(r.conv_id, r.content) for r in tool_calls.orphans(calls, results).collect()] == [(2, "lost")]
     assert tool_calls.link(calls.limit(0), results, SCHEMAS).count() == 0
 
 
+RULES = [
+    {"type": "integer"}, {"type": ["number", "null"], "minimum": -1, "maximum": 3}, {"enum": [1, "1", None, True, [1], {"a": "é"}]}, {"type": "string", "minLength": 2, "maxLength": 3}, {"pattern": "^a.*b$"},
+    {"type": "array", "items": {"type": "integer", "maximum": 5}, "minItems": 1, "maxItems": 2}, {"type": "object", "required": ["y"], "properties": {"y": {"type": "boolean"}, "z": {"items": {"enum": ["q"]}}}, "additionalProperties": False}, {},
+]
+VALUES = [None, True, 0, 1, 3.0, 3.5, -2, 7, "", "1", "ab", "axxb", "é", [], [1], ["1", 6], [1, 2, 3], {}, {"y": True}, {"y": 1, "z": ["q", "r", "s"], "w": 2}, {"a": "é"}]
+
+
+def brute_errors(name, rule, v):
+    """What is wrong with a value, by plain Python."""
+    number, out = isinstance(v, int | float) and not isinstance(v, bool), []
+    is_a = {"string": isinstance(v, str), "integer": number and v == int(v), "number": number, "boolean": isinstance(v, bool), "array": isinstance(v, list), "object": isinstance(v, dict), "null": v is None}
+    types = rule.get("type", [])
+    if types and not any(is_a[t] for t in ([types] if isinstance(types, str) else types)):
+        out.append(f"{name}: type")
+    if "enum" in rule and json.dumps(v) not in [json.dumps(x) for x in rule["enum"]]:
+        out.append(f"{name}: enum")
+    for word, wrong in (("minimum", lambda x: number and v < x), ("maximum", lambda x: number and v > x), ("minLength", lambda x: is_a["string"] and len(v) < x), ("maxLength", lambda x: is_a["string"] and len(v) > x), ("pattern", lambda x: is_a["string"] and not re.search(x, v)), ("minItems", lambda x: is_a["array"] and len(v) < x), ("maxItems", lambda x: is_a["array"] and len(v) > x)):
+        if word in rule and wrong(rule[word]):
+            out.append(f"{name}: {word}")
+    if "items" in rule and is_a["array"]:
+        out += [e for x in v for e in brute_errors(f"{name}[]", rule["items"], x)]
+    if is_a["object"]:
+        out += [f"{name}.{k}: missing" for k in rule.get("required", []) if k not in v]
+        out += [f"{name}.{k}: unknown" for k in v if not rule.get("additionalProperties", True) and k not in rule.get("properties", {})]
+        out += [e for k, r in rule.get("properties", {}).items() if k in v for e in brute_errors(f"{name}.{k}", r, v[k])]
+    return sorted(set(out))
+
+
+def test_schemas_against_plain_python(spark):
+    schemas = {f"t{i}": {"properties": {"x": r}} for i, r in enumerate(RULES)}
+    rows = [(f"t{i}", json.dumps({"x": v}), n) for i in range(len(RULES)) for n, v in enumerate(VALUES)]
+    df = spark.createDataFrame(rows, "tool string, arguments string, n int")
+    for r in df.select("tool", "n", tool_calls.schema_errors(F.col("tool"), F.col("arguments"), schemas).alias("e")).collect():
+        assert sorted(set(r.e)) == brute_errors("x", RULES[int(r.tool[1:])], VALUES[r.n]), (r.tool, VALUES[r.n])
+    odd = spark.createDataFrame([("t0", a, 0) for a in ('{"x":1,"x":2}', "[]", None, "", " {}")], "tool string, arguments string, n int")
+    assert [r.e for r in odd.select(tool_calls.schema_errors(F.col("tool"), F.col("arguments"), schemas).alias("e")).collect()] == [["repeated keys"], ["not a JSON object"], ["not a JSON object"], ["not a JSON object"], []]
+    with pytest.raises(ValueError, match="oneOf"):
+        tool_calls.schema_errors(F.lit("a"), F.lit("{}"), {"a": {"properties": {"x": {"oneOf": []}}}})
+
+
+def test_levels_against_plain_python(spark):
+    draw = random.Random(4)
+    needs = {c: [f"c{draw.randrange(c)}" for _ in range(draw.randint(0, 3))] if c and draw.random() < 0.9 else [] for c in range(40)}
+    needs[7], needs[9] = ["c9"], ["c7"]
+    level: dict[str, int] = {}
+    for _ in needs:
+        level |= {f"c{c}": 1 + max([level[d] for d in n], default=-1) for c, n in needs.items() if all(d in level for d in n)}
+    calls = spark.createDataFrame([(1, f"c{c}", c, "f", "{}", n) for c, n in needs.items()] * 2, "conv_id bigint, call_id string, ord int, tool string, arguments string, depends_on array<string>")
+    got = tool_calls.link(calls, spark.createDataFrame([], "conv_id bigint, call_id string, content string"), {"f": {}}).collect()
+    assert {r.call_id: r.level for r in got} == {f"c{c}": level.get(f"c{c}") for c in needs} and len(got) == 40
+    order = [r.call_id for r in sorted((r for r in got if r.position), key=lambda r: r.position)]
+    assert order == sorted(level, key=lambda c: (level[c], int(c[1:])))
+
+
+def test_url_features_against_plain_python(spark):
+    urls = [u or "" for u in URLS] + ["https://x-y.Example.com:8/a//b1/?q=1&&r=2#f", "http://é.de/ü?%41", "a" * 3000]
+    df = url_boosting.with_features(url_boosting.with_parts(spark.createDataFrame([(u,) for u in urls], "url string")))
+    for r in df.collect():
+        u, (host, path, _, _) = r.url, brute_rule(r.url)
+        n = max(1, len(u))
+        query = u.partition("?")[2].partition("#")[0] if "?" in u else ""
+        assert (r.url_length, r.host_length, r.path_length) == (len(u), len(host), len(path))
+        assert (r.depth, r.labels, r.hyphens) == (len([x for x in path.split("/") if x]), len(host.split(".")), host.count("-"))
+        assert r.digit_ratio == pytest.approx(sum(c in "0123456789" for c in u) / n)
+        assert (r.params, r.fragment, r.secure) == (len([x for x in query.split("&") if x]), "#" in u, u.startswith("https://"))
+        assert r.entropy == pytest.approx(-sum(u.count(c) / n * np.log2(u.count(c) / n) for c in set(u)))
+
+
+def test_suffix_statistics(spark):
+    rows = [("com", 1.0)] * 7 + [("com", 0.0)] * 3 + [("org", 0.0)] * 5
+    got = {r.suffix: r for r in url_boosting.suffix_statistics(spark.createDataFrame(rows, "suffix string, label double"), 7, 15).collect()}
+    assert got["com"].suffix_blocked == pytest.approx((7 + 20 * 7 / 15) / 30) and got["org"].suffix_blocked == pytest.approx((20 * 7 / 15) / 25)
+    assert got["com"].suffix_share == pytest.approx(10 / 15)
+
+
+def test_trees_learn_the_rules(spark, sf_dir):
+    """URLs that look like those a rule blocks are blocked; the same URL always gets the same verdict."""
+    urls = [f"http://h{i}.bad.com/de/{i}?a=1" for i in range(200)] + [f"https://h{i}.good.org/x" for i in range(200)]
+    asked = ["http://h1.bad.com/xx/1?a=1"] * 3 + ["https://h1.other.net/x"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls + asked)], "page_id bigint, url string")
+    got = [r.verdict for r in url_boosting.judge(df, queries.URL_RULES).filter("page_id >= 400").orderBy("page_id").collect()]
+    assert got == ["block"] * 3 + ["allow"]
+
+
+def test_a_member_of_several_records(spark, tmp_path):
+    row = lambda n, kind="response": {"record_type": kind, "record_id": f"<urn:page:{n}>", "target_uri": "u", "payload_digest": None, "refers_to": None, "payload_bytes": 3 * n, "payload": b"abc" * n}
+    several = b"".join(warc.record(row(n)) for n in (1, 2))
+    path = tmp_path / "w"
+    path.mkdir()
+    blocks = [warc.member(warc.record(row(3, "request"))), gzip.compress(several), warc.member(several), warc.member(warc.record(row(4) | {"payload": bytes(200_000)})), gzip.compress(warc.record(row(5)))]
+    (path / "a.warc.gz").write_bytes(b"".join(blocks))
+    ids = lambda df: sorted(warc_id for (warc_id,) in df.select("record_id").collect())
+    assert ids(warc.read(spark, str(path))) == [f"<urn:page:{n}>" for n in (1, 1, 2, 2, 3, 4, 5)]
+    assert ids(warc.read(spark, str(path), payload=False).filter("record_type = 'response'")) == [f"<urn:page:{n}>" for n in (1, 1, 2, 2, 4, 5)]
+    assert {len(r.payload) for r in warc.read(spark, str(path)).collect()} == {3, 6, 9, 200_000, 15}
+
+
+def test_pages_without_an_id_or_twice(spark):
+    pages = spark.createDataFrame([(None, "u", "x"), (1, "u", "x"), (1, "u", "x"), (2, "v" * 9000, "x")], "page_id bigint, url string, html string")
+    got = sorted(((r.page_id or 0), r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
+    assert [g for g in got if g[0]] == [(1, "response", None), (1, "response", None), (2, "revisit", 1)] and len(got) == 4
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, sf_dir, name):
     from tests.test_oracle import rows, twin
@@ -182,6 +287,22 @@ def test_language_stage_without_labels(spark, sf_dir):
     assert kept == {r.doc_id for r in docs.filter(F.col("text").rlike(r"\p{L}")).collect()} != set()
 
 
+def test_stages_on_odd_tables(spark, sf_dir):
+    """Null ids and texts, repeated rows, clashing names, no labels, no rows: each stage keeps the columns and its own rules."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id bigint, text string, lang string, source string, n_chars int, _maybe int, lang_pred string, score double, ids int"
+    long = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, t, None, "s", 1, 7, "x", 0.5, 3) for i, t in [(None, long), (1, long), (1, long), (2, long + " end"), (3, ""), (4, None), (5, "!!"), (6, "one"), (5, "other words")]]
+    docs = spark.createDataFrame(rows, schema)
+    kept = {"language": [0, 1, 1, 2, 5, 6], "near_copies": [0, 1, 1, 3, 4, 5, 5, 6], "leaks": [0, 1, 1, 2, 3, 4, 5, 5, 6]}
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert name == "tokens" or out.columns == docs.columns
+        got = sorted(r.doc_id or 0 for r in out.collect())
+        assert got == kept.get(name, kept["leaks"]), name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
 def test_pipeline(spark, sf_dir):
     """run() against its decisions worked out apart."""
     pipeline = pytest.importorskip("corpus_pipeline")

@@ -77,6 +77,36 @@ def test_winnowing(spark, docs):
     assert any(r.n_hit for r in got.values())
 
 
+def test_winnowing_of_rows_without_an_id_or_twice(spark):
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(None, "x " + " ".join(words[:12])), (None, "y"), (1, " ".join(words[3:13])), (1, "q " + " ".join(words[5:18])), (1, None)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(words)), (None, " ".join(words[:11]))], "item_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.item_ids) for r in winnowing.decontaminate(docs, items).collect())
+    assert got == [(0, 1, 0, []), (0, 13, 12, ["7"]), (1, 0, 0, []), (1, 10, 10, ["7"]), (1, 14, 13, ["7"])]
+
+
+def test_long_pre_tokens():
+    """Whole texts of one pre-token against the libraries; time follows the length."""
+    import random
+    import time
+
+    draw = random.Random(2)
+    text = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(160_000))
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    merger, bpe = rank_merge.RankMerger(P.path("byte_bpe_50k.json"), P.PATTERN), aho_bpe.ByteBPE(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    ranks = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    for t in (text[:20_000], "a" * 20_000, "ab" * 7000 + text[:999]):
+        assert merger.count([t]) == [len(library.encode(t, add_special_tokens=False).ids)]
+        assert bpe.encode(t).tolist() == ranks.encode_ordinary(t)
+    for f in (lambda t: merger.merged([t]), lambda t: bpe.encode_bytes(t.encode())):
+        took = []
+        for n in (40_000, 160_000):
+            began = time.process_time()
+            f(text[:n])
+            took.append(time.process_time() - began)
+        assert took[1] <= 8 * took[0] + 0.5, took
+
+
 def brute_components(own, k, share):
     def shingles(t):
         w = WORDS.findall(lower(t).encode())
@@ -101,6 +131,49 @@ def test_metric_join(docs, k, share, leaf, sketched):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(texts(docs), k, share)
 
 
+def test_metric_join_of_ids_with_several_texts(spark):
+    df = spark.createDataFrame([(2, "a b c d e f"), (2, "p q r s t u"), (1, "p q r s t u v"), (3, "a b c d e f g"), (4, "z"), (5, "p q r s t u"), (5, "z y")], "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in metric_join.near_duplicates(df, k=1, share=80).collect())
+    assert got == [(1, 7, 1), (2, 6, 1), (2, 6, 1), (3, 7, 1), (4, 1, 4), (5, 2, 1), (5, 6, 1)]
+
+
+def test_large_regions_are_cut(spark):
+    """Groups of near copies far over `leaf`: through pivots, cells and blocks as by comparing all."""
+    draw = __import__("random").Random(8)
+    own = {}
+    for g in range(3):
+        base = [f"{g}w{i}" for i in range(60)]
+        for n in range(40):
+            t = list(base)
+            for _ in range(draw.randint(0, 3 + 4 * g)):
+                t[draw.randrange(60)] = f"x{draw.randrange(4)}"
+            own[1000 * g + n] = " ".join(t) + " common passage of several words that all of them share in this table"
+    df = spark.createDataFrame(list(own.items()), "doc_id bigint, text string")
+    brute = brute_components(own, 3, 80)
+    for leaf, sketched in ((4, 2), (10, 2), (10, 2048), (30, 2)):
+        found = metric_join.near_duplicates(df, k=3, share=80, leaf=leaf, sketched=sketched).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute
+    sets = metric_join.shingle_sets(metric_join.pa.array(list(own.values())), 3)
+    ids = metric_join.np.array(list(own))
+    label = {i: i for i in own}
+    for _ in own:
+        for a, b in metric_join._recursive(ids, sets, 80, few=3):
+            label[a] = label[b] = min(label[a], label[b])
+    assert label == {i: c for i, (_, c) in brute.items()}
+
+
+def test_full_sketches_stay_exact():
+    """Counts over 255 in a bucket: the bound may not fall below the true intersection."""
+    import numpy as np
+
+    h = np.arange(3000, dtype=np.uint64) << np.uint64(20)  # all in one bucket
+    size = 1 << max(3, (3000 // 8).bit_length())
+    counts = np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    data = counts.astype(np.uint32).tobytes()
+    assert metric_join._sketch(3000, data).sum() == 3000
+    assert metric_join._may_link(np.array([3000, 3000]), [metric_join._sketch(3000, data)] * 2, 99).all()
+
+
 def test_metric_join_without_ids(spark):
     df = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (2, "a b c d"), (2, "a b c d")], "doc_id bigint, text string")
     got = sorted((r.doc_id or 0, r.component_id) for r in metric_join.near_duplicates(df).collect())
@@ -159,34 +232,45 @@ def test_ppm_against_a_plain_trie(docs):
         assert r.score == pytest.approx(sum(log(s[i - order : i], s[i]) for i in range(order, len(s))))
 
 
-def test_pruned_trie_still_adds_up(spark, docs):
+def test_probabilities_add_up(spark, docs):
+    """Texts of one word that end in any of all symbols: the probabilities of a context's followers are 1 together."""
     import numpy as np
 
-    trie = ppm.train(docs.filter("text is not null"), order=3, max_grams=300)
+    own = [t for t in texts(docs).values() if t]
+    grams = []
+    for j in range(4):
+        code = np.concatenate([ppm._codes(ppm.pa.array(own), 3)[0]]) & ((1 << (9 * (j + 1))) - 1)
+        grams.append(ppm._summed([code], [np.ones(len(code), np.int64)]))
+    trie = ppm.Trie(grams)
     for context in (b"abc", b"zzz", b"\n\n\n"):
         code = np.array([((context[0] << 9 | context[1]) << 9 | context[2]) << 9 | x for x in range(257)])
-        at = trie._place(code)
-        assert (10 ** np.where(at >= 0, trie.log[at], trie._backed_off(code))).sum() == pytest.approx(1)
+        seen = np.isin(code, trie.grams[-1][0])
+        logs = np.where(seen, trie.log[np.searchsorted(trie.grams[-1][0], code) % len(trie.log)], trie._backed_off(code))
+        assert (10**logs).sum() == pytest.approx(1)
 
 
-def test_no_part_of_the_model_is_broadcast_whole(spark, docs, monkeypatch):
-    """Scores are those of the whole model however large it is: nothing prunes it or gathers it on the driver."""
+def test_the_model_split_finer(spark, docs, monkeypatch):
+    """Scores are those of the whole model however its pieces are added up and joined."""
     df = docs.filter("text is not null").select("doc_id", "text")
     train = F.col("doc_id") % 2 == 0
     whole = {r.doc_id: r.score for r in ppm.score(df, train).collect()}
-
-    def never(*args, **options):
-        raise AssertionError("the model is gathered")
-
-    monkeypatch.setattr(ppm, "train", never)
     spark.conf.set("spark.sql.shuffle.partitions", "3")
+    monkeypatch.setattr(ppm, "FAN", 2)
+    monkeypatch.setattr(ppm, "JOINED", 2)
     try:
-        split = {r.doc_id: r.score for r in ppm.score(df, train).collect()}
+        split = {r.doc_id: r.score for r in ppm.score(df.repartition(9), train).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert split == pytest.approx(whole)
 
 
+def test_scores_of_rows_without_an_id(spark):
+    df = spark.createDataFrame([(1, "a b c"), (None, "a b c"), (None, None), (2, "b")], "doc_id bigint, text string")
+    got = ppm.score(df, F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) != 0).collect()
+    assert len(got) == 4 and [r.held_out for r in got if r.doc_id is None] == [True, True]
+    assert {(r.n_tokens, round(r.score, 9)) for r in got if r.n_tokens == 4} == {(4, round(next(r.score for r in got if r.doc_id == 1), 9))}
+
+
 def test_language(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
@@ -197,6 +281,37 @@ def test_language(spark, sf_dir):
     assert held.filter("score < 0 or score > 1").count() == 0
 
 
+def test_language_against_plain_kernels(spark, sf_dir):
+    """Kernel, Nystrom map and ridge solution by sets and plain formulas."""
+    import numpy as np
+
+    rows = [(r.lang, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang is not null and length(text) between 50 and 400").orderBy("doc_id").limit(60).collect()]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    model = string_kernel.fit(df, landmarks=12)
+    grams = lambda t: {b[i : i + n] for b in [lower(t).encode()] for n in (1, 2, 3) for i in range(len(b) - n + 1)}
+    langs = sorted({lang for lang, _ in rows})
+    own = sorted(rows)
+    marks = [grams(t) for lang in langs for t in (lambda x: x[:: max(1, len(x) // max(2, 12 // len(langs)))][: max(2, 12 // len(langs))])([t for k, t in own if k == lang])]
+    known = set().union(*marks)
+    kernel = np.array([[len(grams(t) & m) / np.sqrt(len(m) * max(1, len(grams(t) & known))) for m in marks] for _, t in own])
+    both = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(both)
+    root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
+    z, y = kernel @ root, np.array([[1.0 if k == lang else -1.0 for lang in langs] for k, _ in own])
+    w = np.sqrt(1 / np.array([sum(k == x for x, _ in own) for k, _ in own]))[:, None]
+    weights = np.linalg.solve((z * w).T @ (z * w) + 0.1 / len(own) * np.eye(len(marks)), (z * w).T @ (y * w))
+    expected = z @ weights
+    got = model.kernel(*string_kernel.utf8(string_kernel.pa.array([t for _, t in own]))) @ model.weights
+    assert model.langs == langs and np.allclose(got, expected, atol=2e-2)
+    assert (got.argmax(1) == expected.argmax(1)).mean() >= 0.95
+
+
+def test_language_ties_and_long_texts(spark):
+    model = string_kernel.KernelModel(["a", "b"], *[getattr(string_kernel.fit(spark.createDataFrame([(1, "xyz", "a"), (2, "xyz", "b")], "doc_id bigint, text string, lang string")), n) for n in ("grams", "held", "weights")])
+    model.weights[:] = model.weights[:, :1]
+    assert model.predict(string_kernel.pa.array(["xyz", "xyz " * 400_000, "xyz"]))[0] == ["a", "a", "a"]
+
+
 def test_language_of_odd_texts(docs):
     model = string_kernel.fit(docs)
     for r in string_kernel.with_language(docs, model).collect():
