@@ -16,8 +16,9 @@ A document is its set of k-word shingles; the Jaccard distance between sets is a
    cells: by the triangle inequality two linked classes both lie in the cell of the pivot next to one of them if a cell
    takes in all whose distance to its pivot is at most 2 r over that to their own nearest. Classes within r of a pivot
    are linked by it; a cell without others is done, the rest is cut again by pivots of its own. Regions and cells of up
-   to `leaf` classes are cut within one task, larger ones by Spark, a level a round; a cell that keeps nearly all of its
-   region is joined in blocks of `leaf`, by shells of their distances to the pivot that differ by r at most.
+   to `leaf` classes are cut within one task, larger ones by Spark, a level a round. A region whose cells hold over half as
+   many pairs as itself is joined directly: a small one at once, a large one in blocks of `leaf`, by shells of their
+   distances to the pivot that differ by r at most.
 5. Components of the links by alternating large-star and small-star rounds.
 
 The order of shingles comes from a table of counts of fixed size (2 ** 18 slots for all shingles of the corpus). It
@@ -216,12 +217,11 @@ def _recursive(ids: np.ndarray, sets: list[np.ndarray], share: int, few: int = 1
     at = range(0, len(sets), max(1, len(sets) // 8))
     if len(sets) > few:
         linked, cell = _cells(*_overlaps(sets, [sets[i] for i in at]), share)
-        if all(cell[:, j].sum() <= 0.9 * len(sets) or linked[cell[:, j], j].all() for j in range(len(at))):
+        rest = [np.flatnonzero(cell[:, j]) for j in range(len(at)) if not linked[cell[:, j], j].all()]
+        if sum(len(own) ** 2 for own in rest) <= len(sets) ** 2 / 2:  # else cutting saves nothing against all pairs
             out = [(int(ids[x]), int(ids[i])) for j, i in enumerate(at) for x in np.flatnonzero(linked[:, j]) if x != i]
-            for j in range(len(at)):
-                own = np.flatnonzero(cell[:, j])
-                if not linked[own, j].all():
-                    out += _recursive(ids[own], [sets[x] for x in own], share, few)
+            for own in rest:
+                out += _recursive(ids[own], [sets[x] for x in own], share, few)
             return out
     return _stars(ids, _linked(sets, share)) if len(sets) > 1 else []
 
@@ -260,8 +260,8 @@ def _joined(k: int, share: int):
 
 
 def _placed(k: int, share: int):
-    """Rows (g, salt, pivot, id, text), sorted by g and salt, pivots first, to (g, at, id, both, union): the members with each
-    pivot `at` in whose cell or window they lie."""
+    """Rows (g, salt, pivot, id, text), sorted by g and salt, pivots first by id, to (g, at, id, both, union, inside, first): the
+    members with each pivot `at` in whose cell or window they lie (inside), and with the first pivot."""
 
     def run(batches):
         now, pivots, sets = None, [], []
@@ -271,7 +271,9 @@ def _placed(k: int, share: int):
             def measured(rows=rows, members=members):
                 both, union = _overlaps([m[1] for m in members], sets)
                 cell = _cells(both, union, share)[1]
-                rows.extend((now[0], pivots[j], members[i][0], int(both[i, j]), int(union[i, j])) for i, j in zip(*np.nonzero(cell), strict=True))
+                told = cell.copy()
+                told[:, 0] = True
+                rows.extend((now[0], pivots[j], members[i][0], int(both[i, j]), int(union[i, j]), int(cell[i, j]), int(j == 0)) for i, j in zip(*np.nonzero(told), strict=True))
                 members.clear()
 
             of = zip(*(batch.column(c).to_pylist() for c in ("g", "salt", "pivot", "id")), shingle_sets(batch.column("text"), k), strict=True)
@@ -287,7 +289,7 @@ def _placed(k: int, share: int):
                     members.append((i, own))
             if members:
                 measured()
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names=["g", "at", "id", "both", "union"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 7)], names=["g", "at", "id", "both", "union", "inside", "first"])
 
     return run
 
@@ -361,15 +363,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         big = rest.join(sized.filter(F.col("size") > leaf), "g")
         if big.isEmpty():
             break
-        cells = _cut(materialise(big, "large"), texts, k, share, leaf, depth)
-        near = F.expr(f"100 * both >= {share} * union")
-        edges = edges.unionByName(cells.filter(near & (F.col("id") != F.col("at"))).select(F.col("id").alias("u"), F.col("at").alias("v")))
-        told = cells.groupBy("g", "at").agg(F.count("*").alias("c"), F.max("size").alias("size"), F.min(near).alias("done")).filter("not done")
-        shrunk = (F.col("c") <= 0.9 * F.col("size")) | (F.col("c") <= leaf)
-        stuck = cells.join(told.filter(~shrunk).select("g", "at"), ["g", "at"], "left_semi")
+        placed = _cut(materialise(big, "large"), texts, k, share, leaf, depth)
+        edges = edges.unionByName(placed.filter("near and id <> at").select(F.col("id").alias("u"), F.col("at").alias("v")))
+        cells = placed.filter("inside = 1")
+        told = cells.groupBy("g", "at").agg(F.count("*").alias("c"), F.max("size").alias("size"), F.min("near").alias("done")).filter("not done")
+        cost = told.groupBy("g").agg(F.sum(F.pow("c", F.lit(2.0))).alias("pairs"), F.max("size").alias("size"))
+        stuck = materialise(cost.filter("pairs > pow(size, 2) / 2").select("g"), "stuck")  # cutting saves nothing against all pairs
         if not stuck.isEmpty():
-            edges = edges.unionByName(_in_blocks(stuck.withColumn("near", near), texts, k, share, leaf))
-        rest = materialise(cells.join(told.filter(shrunk).select("g", "at"), ["g", "at"], "left_semi").select(F.xxhash64("g", "at", F.lit(depth)).alias("g"), "id").distinct(), "cells")
+            edges = edges.unionByName(_in_blocks(placed.filter("first = 1").join(stuck, "g", "left_semi"), texts, k, share, leaf))
+        rest = cells.join(told.join(stuck, "g", "left_anti").select("g", "at"), ["g", "at"], "left_semi")
+        rest = materialise(rest.select(F.xxhash64("g", "at", F.lit(depth)).alias("g"), "id").distinct(), "cells")
         depth += 1
 
     found = components(edges)
@@ -380,25 +383,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def _cut(big: DataFrame, texts: DataFrame, k: int, share: int, leaf: int, depth: int) -> DataFrame:
-    """One level of large regions (g, id, size): g, size, at (a pivot), id, both, union for all cells. About eight classes of a
-    region, chosen by hash, and its smallest id are pivots; its members meet them in tasks of about `leaf`."""
+    """One level of large regions (g, id, size): g, size and what _placed tells, with near: whether the pivot links. About eight
+    classes of a region, chosen by hash, and its smallest id are pivots; its members meet them in tasks of about `leaf`."""
     chosen = F.pmod(F.xxhash64("id", F.lit(depth)), F.ceil(F.col("size") / 8)) == 0
     least = big.groupBy("g").agg(F.min("id").alias("id"), F.max("size").alias("size"))
     pivots = big.filter(chosen).select("g", "id", "size").unionByName(least).distinct()
     salts = F.ceil(F.col("size") / leaf).cast("int")
     first = pivots.select("g", "id", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("pivot"))
     rows = first.unionByName(big.select("g", "id", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), F.lit(False).alias("pivot"))).join(texts, "id")
-    rows = rows.select("g", "salt", "pivot", "id", "text").repartition("g", "salt").sortWithinPartitions("g", "salt", F.col("pivot").desc())
-    placed = rows.mapInArrow(_placed(k, share), "g bigint, at bigint, id bigint, both bigint, union bigint")
-    return materialise(placed.join(big.select("g", "size").distinct(), "g"), "placed")
+    rows = rows.select("g", "salt", "pivot", "id", "text").repartition("g", "salt").sortWithinPartitions("g", "salt", F.col("pivot").desc(), "id")
+    placed = rows.mapInArrow(_placed(k, share), "g bigint, at bigint, id bigint, both bigint, union bigint, inside bigint, first bigint")
+    return materialise(placed.withColumn("near", F.expr(f"100 * both >= {share} * union")).join(big.select("g", "size").distinct(), "g"), "placed")
 
 
 def _in_blocks(cells: DataFrame, texts: DataFrame, k: int, share: int, leaf: int) -> DataFrame:
-    """Links within cells (g, at, id, both, union, near) that pivots can't part: blocks of `leaf` classes by their distance to the
-    pivot, in shells of width r / 2, and by hash; pairs of blocks that a link can join meet, but none of classes that the
-    pivot itself links."""
+    """Links within regions that pivots can't part (g, id; both, union, near with the first pivot): blocks of `leaf` classes by their
+    distance to it, in shells of width r / 2, and by hash; pairs of blocks that a link can join meet, but none of classes that
+    the pivot itself links."""
     width = (100 - share) / 200
-    apart = cells.select(F.xxhash64("g", "at").alias("g"), "id", "near", F.floor((1 - F.col("both") / F.col("union")) / width).cast("int").alias("shell"))
+    apart = cells.select("g", "id", "near", F.floor((1 - F.col("both") / F.col("union")) / width).cast("int").alias("shell"))
     sizes = apart.groupBy("g", "near", "shell").agg(F.ceil(F.count("*") / leaf).cast("int").alias("parts"))
     one = sizes.select("g", "near", "shell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("g", F.struct("near", "shell", "part").alias("c"))
     pairs = one.alias("a").join(one.alias("b"), "g").filter("a.c <= b.c and abs(a.c.shell - b.c.shell) <= 3 and not (a.c.near and b.c.near)").select("g", F.col("a.c").alias("a"), F.col("b.c").alias("b"))
