@@ -240,13 +240,17 @@ def as_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     """Rows of SCHEMA for pages: responses and revisits."""
     rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("target_uri"), F.coalesce(F.col(payload_col).cast("string").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("payload_digest", base32_sha1(F.col("payload")))
-    first = rows.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("id").alias("first"), F.count("*").alias("c")).filter("c > 1").select("payload_digest", "payload_bytes", "first")
-    first = materialise(first, "first")
-    maybe = sieve(first, "payload_digest")  # payloads that occur once aren't shuffled
-    rows = rows.withColumn("_maybe", maybe(F.col("payload_digest")))
-    some = rows.filter("_maybe").join(first, ["payload_digest", "payload_bytes"], "left")
+    # Which ids revisit which is found without payloads. Those ids, and not digests, then meet the payloads: ids are nearly all
+    # different, while a page that is everywhere has one digest. Rows that can't be revisits aren't shuffled.
+    key = ["payload_digest", "payload_bytes"]
+    told = materialise(rows.filter(F.col("id").isNotNull() & (F.col("payload_bytes") >= min_bytes)).select("id", *key), "digests")
+    first = told.groupBy(*key).agg(F.min("id").alias("first"), F.count("*").alias("c")).filter("c > 1").select(*key, "first")
+    later = materialise(told.join(first, key).filter("id <> first").distinct(), "revisits")
+    maybe = sieve(later, "id")
+    rows = rows.withColumn("_maybe", maybe(F.col("id")))
+    some = rows.filter("_maybe").join(later, ["id", *key], "left")
     met = some.unionByName(rows.filter("not _maybe").withColumn("first", F.lit(None).cast("bigint")))
-    again = F.col("first").isNotNull() & (F.col("id") != F.col("first"))
+    again = F.col("first").isNotNull()
     return met.select(
         F.when(again, "revisit").otherwise("response").alias("record_type"), F.concat(F.lit("<urn:page:"), F.col("id").cast("string"), F.lit(">")).alias("record_id"),
         "target_uri", F.concat(F.lit("sha1:"), "payload_digest").alias("payload_digest"), F.when(again, F.concat(F.lit("<urn:page:"), F.col("first").cast("string"), F.lit(">"))).alias("refers_to"),
