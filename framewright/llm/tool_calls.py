@@ -125,6 +125,21 @@ def levels(calls: DataFrame) -> DataFrame:
     return state.filter("level is not null").select(*key, "level")
 
 
+def _positions(calls: DataFrame, level: DataFrame) -> DataFrame:
+    """conv_id, call_id, level, position (from 1, by level, ord and call_id) of the calls with a level.
+
+    All are sorted at once, so that a long conversation spans tasks: a place in it is one in its part plus the sizes of the
+    parts before."""
+    by = ["level", "ord", "call_id"]
+    placed = level.join(calls.select("conv_id", "call_id", "ord"), ["conv_id", "call_id"]).repartitionByRange("conv_id", *by)
+    placed = materialise(placed.withColumn("_part", F.spark_partition_id()), "sorted")
+    sizes = placed.groupBy("conv_id", "_part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("conv_id").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select("conv_id", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(W.partitionBy("conv_id", "_part").orderBy(*by))
+    return placed.withColumn("_place", place).join(sizes, ["conv_id", "_part"]).select("conv_id", "call_id", "level", (F.col("_before") + F.col("_place")).cast("int").alias("position"))
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """calls: conv_id, call_id, ord, tool, arguments (JSON text), depends_on; results: conv_id, call_id, content.
 
@@ -136,9 +151,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     results = results.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("call_id").cast("string").alias("call_id"), "content").groupBy("conv_id", "call_id").agg(F.min("content").alias("content"), F.lit(True).alias("answered"))
     known = calls.select("conv_id", F.col("call_id").alias("d")).withColumn("there", F.lit(True))
     missing = calls.select("conv_id", "call_id", F.explode("depends_on").alias("d")).join(known, ["conv_id", "d"], "left_anti").groupBy("conv_id", "call_id").agg(F.array_sort(F.collect_set("d")).alias("missing"))
-    full = calls.join(levels(calls), ["conv_id", "call_id"], "left").join(results, ["conv_id", "call_id"], "left").join(missing, ["conv_id", "call_id"], "left")
+    full = calls.join(_positions(calls, levels(calls)), ["conv_id", "call_id"], "left").join(results, ["conv_id", "call_id"], "left").join(missing, ["conv_id", "call_id"], "left")
     full = full.withColumn("errors", schema_errors(F.col("tool"), F.col("arguments"), schemas)).withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
-    full = full.withColumn("position", F.when(F.col("level").isNotNull(), F.row_number().over(W.partitionBy("conv_id").orderBy(F.col("level").asc_nulls_last(), "ord", "call_id"))).cast("int"))
     status = F.when(F.col("level").isNull(), "cycle").when(F.size("errors") > 0, "invalid").when(F.col("answered").isNull(), "pending").otherwise("ok")
     canonical = F.to_json(
         F.struct(F.coalesce(F.try_parse_json("arguments"), F.col("arguments").cast("variant")).alias("arguments"), F.array_sort(F.coalesce("depends_on", F.array().cast("array<string>"))).alias("depends_on"), F.col("call_id").alias("id"), F.col("tool").alias("name"), F.col("content").alias("result")),
