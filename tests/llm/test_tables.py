@@ -206,6 +206,20 @@ def test_levels_against_plain_python(spark):
     assert order == sorted(level, key=lambda c: (level[c], int(c[1:])))
 
 
+def test_positions_of_a_long_conversation(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that it does span tasks
+    try:
+        calls = spark.range(3000).select(F.when(F.col("id") < 2900, 7).otherwise(F.col("id") % 3).cast("bigint").alias("conv_id"), F.col("id").cast("string").alias("call_id"), (F.col("id") * 37 % 50).alias("ord"), F.lit("f").alias("tool"), F.lit("{}").alias("arguments"), F.when(F.col("id") % 4 == 1, F.array((F.col("id") - 1).cast("string"))).alias("depends_on"))
+        got = tool_calls.link(calls, spark.createDataFrame([], "conv_id bigint, call_id string, content string"), {"f": {}}).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    place = lambda r: (r.level, int(r.call_id) * 37 % 50, r.call_id)
+    for conv in (0, 1, 2, 7):
+        of = sorted((r for r in got if r.conv_id == conv), key=place)
+        assert of and [r.position for r in of] == list(range(1, len(of) + 1))
+    assert len(got) == 3000 and {r.level for r in got} == {0, 1}
+
+
 def test_url_features_against_plain_python(spark):
     urls = [u or "" for u in URLS] + ["https://x-y.Example.com:8/a//b1/?q=1&&r=2#f", "http://é.de/ü?%41", "a" * 3000]
     df = url_boosting.with_features(url_boosting.with_parts(spark.createDataFrame([(u,) for u in urls], "url string")))
@@ -253,6 +267,8 @@ def test_pages_without_an_id_or_twice(spark):
     pages = spark.createDataFrame([(None, "u", "x"), (1, "u", "x"), (1, "u", "x"), (2, "v" * 9000, "x")], "page_id bigint, url string, html string")
     got = sorted(((r.page_id or 0), r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
     assert [g for g in got if g[0]] == [(1, "response", None), (1, "response", None), (2, "revisit", 1)] and len(got) == 4
+    pages = spark.createDataFrame([(1, "u", "x"), (3, "u", "x"), (3, "u", "y"), (3, "u", "x"), (5, "u", "y")], "page_id bigint, url string, html string")
+    assert sorted((r.page_id, r.record_type, r.refers_to or 0) for r in warc.round_trip(pages).collect()) == [(1, "response", 0), (3, "response", 0), (3, "revisit", 1), (3, "revisit", 1), (5, "revisit", 3)]
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
