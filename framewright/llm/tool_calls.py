@@ -147,7 +147,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     errors, missing, json."""
     one = W.partitionBy("conv_id", "call_id")
     calls = calls.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("call_id").cast("string").alias("call_id"), F.col("ord").cast("bigint").alias("ord"), "tool", "arguments", "depends_on").filter("conv_id is not null and call_id is not null")
-    calls = calls.withColumn("_n", F.row_number().over(one.orderBy("ord", "tool", "arguments"))).filter("_n = 1").drop("_n")
+    calls = materialise(calls.withColumn("_n", F.row_number().over(one.orderBy("ord", "tool", "arguments"))).filter("_n = 1").drop("_n"), "single")
     results = results.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("call_id").cast("string").alias("call_id"), "content").groupBy("conv_id", "call_id").agg(F.min("content").alias("content"), F.lit(True).alias("answered"))
     known = calls.select("conv_id", F.col("call_id").alias("d")).withColumn("there", F.lit(True))
     missing = calls.select("conv_id", "call_id", F.explode("depends_on").alias("d")).join(known, ["conv_id", "d"], "left_anti").groupBy("conv_id", "call_id").agg(F.array_sort(F.collect_set("d")).alias("missing"))
