@@ -21,6 +21,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm._common import materialise
+
 SALTS = 32
 FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "params", "fragment", "secure", "suffix_blocked", "suffix_share"]
 
@@ -80,7 +82,7 @@ def judge(df: DataFrame, rules: list[str], *, url_col: str = "url", max_rows: in
     base = with_parts(base, "_url")
     name, said = rule_for(rules, F.col("host"), F.col("path"))
     base = base.withColumn("rule", name).withColumn("said", said).withColumn("suffix", F.element_at(F.split("host", r"\."), -1))
-    labelled = base.filter("said is not null").select("_url", "host", "path", "suffix", F.when(F.col("said") == "block", 1.0).otherwise(0.0).alias("label"))
+    labelled = materialise(base.filter("said is not null").select("_url", "host", "path", "suffix", F.when(F.col("said") == "block", 1.0).otherwise(0.0).alias("label")), "labelled")
     total = labelled.agg(F.count("*").alias("n"), F.sum("label").alias("b")).first()
     if not total.n or total.b in (0, total.n):
         only = "block" if total.n and total.b else "allow"
