@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import aho_bpe, metric_join, multiprobe_lsh, ppm, rank_merge, string_kernel, tool_calls, url_boosting, warc, winnowing
+from framewright.llm import aho_bpe, best_fit, filter_audit, heap_kmeans, metric_join, multiprobe_lsh, ppm, rank_merge, string_kernel, tool_calls, url_boosting, warc, winnowing
 from framewright.llm._common import small_batches, table
 
 
@@ -133,6 +133,57 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aho_bpe.with_round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    pieces = best_fit.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
+    return best_fit.pack(pieces, window=2048)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+f AS (SELECT doc_id, part, CAST(len(words) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INT) + 4 * CAST(100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * len(text) AS INT)
+      + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(least < doc_id, false) AS INT) AS bits FROM w),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, bits, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, bits),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT array_to_string(o, '') AS filter_order, i AS step, 1 << (ascii(o[i]) - 65) AS bit, CAST(coalesce(list_sum(list_transform(o[1 : i - 1], lambda y: 1 << (ascii(y) - 65))), 0) AS INT) AS before FROM o, unnest(range(1, 6)) AS r(i))
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(sum(n) FILTER ((bits & (bit | before)) = 0), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER ((bits & before) = 0 AND (bits & bit) > 0), 0) AS BIGINT) AS removed,
+       CAST(coalesce(sum(n) FILTER ((bits & before) > 0 AND (bits & bit) > 0), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (bits = bit), 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(sum(good) FILTER ((bits & before) = 0 AND (bits & bit) > 0), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER ((bits & before) = 0 AND (bits & bit) > 0), 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(n * 120 // greatest(1, bit_count(bits))) FILTER ((bits & bit) > 0), 0) AS BIGINT) AS shapley
+FROM c, s GROUP BY part, filter_order, step
+"""
+
+
+def op13_heap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_kmeans.cluster(table(spark, sf_dir, "embeddings"), clusters=8, rounds=10, size=64, scale=1024, seed="3")[0]
+
+
+def _clusters_sql(rounds: int = 10) -> str:
+    """A pair of steps for each round, as plain SQL has no loop over aggregates."""
+    steps = [
+        "WITH e AS (SELECT vec_id, list_transform(embedding, lambda c: c::DOUBLE) AS x FROM embeddings WHERE len(embedding) = 64)",
+        "v AS MATERIALIZED (SELECT vec_id, list_transform(x, lambda c: CAST(floor(1024 * c) AS BIGINT)) AS v FROM e WHERE len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('3:' || vec_id) AS h, v FROM v ORDER BY h LIMIT 8))",
+    ]
+    far = "list_sum(list_transform(list_zip(v.v, k.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, v, arg_min(c, (d, c)) AS c, CAST(min(d) AS BIGINT) AS d FROM (SELECT v.vec_id, v.v, k.c, {far} AS d FROM v, c{r} k) GROUP BY vec_id, v)")
+        if r < rounds:
+            steps.append(f"p{r} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(0, 64)) AS i FROM a{r}) GROUP BY c, i)")
+            steps.append(f"m{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM p{r} GROUP BY c)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, k.v) AS v FROM c{r} k LEFT JOIN m{r} m USING (c))")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, CAST(a.c AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} k ON a.c = k.c"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multiprobe_lsh": op1_multiprobe_lsh,
     "op2_tool_calls": op2_tool_calls,
@@ -144,6 +195,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_metric_join": op9_metric_join,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_best_fit": op11_best_fit,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_heap_clusters": op13_heap_clusters,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_winnowing": OP5_SQL, "op8_warc": OP8_SQL, "op9_metric_join": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_winnowing": OP5_SQL, "op8_warc": OP8_SQL, "op9_metric_join": OP9_SQL, "op12_filter_audit": OP12_SQL, "op13_heap_clusters": _clusters_sql()}
