@@ -528,6 +528,10 @@ def step_backend(spark, sf_dir):
 _STEPPED = _CARRY + ", s AS (SELECT g.video_id, g.frame_idx, g.obj_id, last_value(b.x IGNORE NULLS) OVER w AS x, last_value(b.y IGNORE NULLS) OVER w AS y FROM g LEFT JOIN b USING (video_id, frame_idx, obj_id) WINDOW w AS (PARTITION BY g.video_id, g.obj_id ORDER BY g.frame_idx ROWS UNBOUNDED PRECEDING))"
 
 
+#: Rows are dealt out in no order of time: no row is late, no video or session idle.
+_LATE, _IDLE = "3650 days", 3650 * 86_400_000
+
+
 def _written_stream(spark: SparkSession, df: DataFrame, files: int = 6) -> DataFrame:
     """A table as files in the shared folder, its rows dealt out to them in turn, read as a stream of two files a batch."""
     path = fresh_path(spark, "arriving")
@@ -537,26 +541,25 @@ def _written_stream(spark: SparkSession, df: DataFrame, files: int = 6) -> DataF
 
 @query(_STEPPED + ", m AS (SELECT user_id AS video_id, seq AS frame_idx FROM e) SELECT m.video_id, m.frame_idx, s.obj_id, s.x, s.y FROM m LEFT JOIN (SELECT * FROM s WHERE x IS NOT NULL) s USING (video_id, frame_idx)")
 def propagate_stream(spark, sf_dir):
-    """ST1-ST3: frames in any order of arrival"""
-    f = views.frames(spark, sf_dir).select("video_id", "frame_idx")
-    told = _boxes(spark, sf_dir).groupBy("video_id", "frame_idx").agg(F.collect_list("obj_id").alias("objs"), F.collect_list("xyxy").alias("xyxys"))
+    """ST1-ST3: frames in any order of arrival; prompts are the first state of their videos"""
+    f = views.frames(spark, sf_dir).select("video_id", "frame_idx", F.col("ts").cast("timestamp").alias("ts"))
     last = f.groupBy("video_id").agg(F.max("frame_idx").alias("last"))
-    rows = f.join(told, ["video_id", "frame_idx"], "left").join(last, "video_id").select("video_id", "frame_idx", F.coalesce("objs", F.array().cast("array<bigint>")).alias("objs"), F.coalesce("xyxys", F.array().cast("array<array<double>>")).alias("xyxys"), (F.col("frame_idx") == F.col("last")).alias("ended"))
-    out = streams.finish(streams.propagate_stream(_written_stream(spark, rows)))
+    rows = f.join(last, "video_id").select("video_id", "frame_idx", "ts", (F.col("frame_idx") == F.col("last")).alias("ended"))
+    out = streams.finish(streams.propagate_stream(_written_stream(spark, rows), _boxes(spark, sf_dir), _LATE, _IDLE))
     return out.select("video_id", "frame_idx", "obj_id", F.get("xyxy", 0).alias("x"), F.get("xyxy", 1).alias("y"))
 
 
 @query(_CLICKS + "SELECT session, seq, CAST(active AS BIGINT) AS obj_id, CASE WHEN action = 'left' THEN 1 ELSE 0 END AS label FROM a WHERE action IN ('left', 'right')")
 def active_object_stream(spark, sf_dir):
     """ST4: a session's events are spread over three batches at least"""
-    log = views.click_log(spark, sf_dir).select("session", "seq", "action", "digit")
-    out = streams.finish(streams.active_object_stream(_written_stream(spark, log)))
+    log = views.click_log(spark, sf_dir).select("session", "seq", F.col("ts").cast("timestamp").alias("ts"), "action", "digit")
+    out = streams.finish(streams.active_object_stream(_written_stream(spark, log), 1, _LATE, _IDLE))
     gone = out.filter("action = 'escape'").select("session")
     return out.filter("obj_id is not null").join(gone, "session", "left_anti").select("session", "seq", "obj_id", "label")
 
 
 @query(_SUMMARY + "SELECT run_id, frames, round(total_s, 9) AS total_s, round(avg_fps_all, 9) AS avg_fps_all, warmup, kept_frames, round(avg_fps_post_warmup, 9) AS avg_fps_post_warmup FROM s")
 def fps_stream(spark, sf_dir):
-    """ST5"""
-    counters = streams.finish(streams.fps_stream(_written_stream(spark, views.timings(spark, sf_dir)), WARMUP), "complete")
+    """ST5: each batch writes the runs that it touched"""
+    counters = streams.finish(streams.fps_stream(_written_stream(spark, views.timings(spark, sf_dir)), WARMUP), ["run_id"])
     return metrics.fps_of(counters, WARMUP).select("run_id", "frames", _r("total_s"), _r("avg_fps_all"), "warmup", "kept_frames", _r("avg_fps_post_warmup"))

@@ -1,110 +1,260 @@
-"""Structured Streaming forms of the stateful operators. Each runs over what is there and stops (availableNow) in finish()."""
+"""Structured Streaming forms of the stateful operators. Each runs over what is there and stops (availableNow) in finish().
+
+The stateful ones keep maps by frame or event number, so that an arrival touches its own entry only, and event-time timers, so
+that state goes by the watermark. Rows that come later than `late` behind the newest are dropped by the watermark, as in
+any Spark stream. The state store is RocksDB, which `stateful` sets for the session.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from framewright.operators.metrics import fps_counters
 from framewright.shared import fresh_path
 
+#: Rows of a result at a time.
+CHUNK = 10_000
+
+
+def stateful(spark: SparkSession) -> None:
+    """Streams of this session keep their state in RocksDB, on the executors' disks and in the checkpoint."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-def finish(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a streaming DataFrame over the input that is there, and reads what it wrote. Complete results, which a file sink
-    can't take, are written batch by batch, each in place of the one before."""
+
+def finish(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Runs a streaming DataFrame over the input that is there, and reads what it wrote. With keys it runs in update mode: each
+    batch writes just the rows of the keys that it touched, under its own number, and of a key the latest row counts."""
     spark = stream.sparkSession
     root = fresh_path(spark, "stream")
-    writer = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").outputMode(mode).trigger(availableNow=True)
-    idle = "spark.sql.streaming.noDataMicroBatches.enabled"  # with a timeout, batches without data would follow for ever
-    before = spark.conf.get(idle)
-    spark.conf.set(idle, "false")
-    if mode == "append":
-        query = writer.format("parquet").option("path", f"{root}/out").start()
-    else:
-        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{root}/out")).start()
-    spark.conf.set(idle, before)
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
-
-
-def _after(batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """No rows come with a timeout."""
-    return iter(()) if state.hasTimedOut else batches
-
-
-def _propagated(key, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int) -> Iterator[pd.DataFrame]:
-    following, boxes, waiting = state.get if state.exists else (0, [], [])
-    held = {int(f): (list(o), list(b), bool(e)) for f, o, b, e in waiting}
-    carried = {int(o): list(b) for o, b in boxes}
-    for pdf in _after(batches, state):
-        for f, o, b, end in zip(pdf.frame_idx, pdf.objs, pdf.xyxys, pdf.ended, strict=True):
-            held[int(f)] = ([int(x) for x in o], [list(map(float, x)) for x in b], bool(end))
-    out, ended = [], False
-    while held and (following in held or state.hasTimedOut):  # what is missing after so long won't come
-        following = following if following in held else min(held)
-        objs, new, ended = held.pop(following)
-        carried |= dict(zip(objs, new, strict=True))
-        out += [(key[0], following, o, carried[o]) for o in sorted(carried)] or [(key[0], following, None, None)]
-        following += 1
-    if state.hasTimedOut or (ended and not held):
-        state.remove()
-    else:
-        state.update((following, [(o, b) for o, b in sorted(carried.items())], [(f, *v) for f, v in sorted(held.items())]))
-        state.setTimeoutDuration(idle_ms)
-    yield pd.DataFrame(out, columns=["video_id", "frame_idx", "obj_id", "xyxy"])
-
-
-def propagate_stream(frames: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
-    """ST1-ST3: frames (video_id, frame_idx, objs, xyxys: the boxes prompted on it, ended: true on a video's last) in any order
-    of arrival to one result for each frame and object, in frame order: the object's latest box (a frame before any box
-    has one result without an object). Frames that come too early wait in the state, which is dropped at the end. A video
-    of which nothing comes for idle_ms is ended: what waits is given out over the gaps, and its state is dropped."""
-    state = "following bigint, boxes array<struct<obj:bigint,xyxy:array<double>>>, waiting array<struct<frame:bigint,objs:array<bigint>,xyxys:array<array<double>>,ended:boolean>>"
-    step = lambda key, batches, held: _propagated(key, batches, held, idle_ms)
-    return frames.groupBy("video_id").applyInPandasWithState(step, "video_id bigint, frame_idx bigint, obj_id bigint, xyxy array<double>", state, "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def _clicked(key, batches: Iterator[pd.DataFrame], state: GroupState, start: int, idle_ms: int) -> Iterator[pd.DataFrame]:
-    active, following, done, waiting = state.get if state.exists else (start, 0, False, [])
-    held = {int(n): (a, d) for n, a, d in waiting}
-    for pdf in _after(batches, state):
-        for n, action, digit in zip(pdf.seq, pdf.action, pdf.digit, strict=True):
-            held[int(n)] = (action, None if pd.isna(digit) else int(digit))
-    out = []
-    while held and not done and (following in held or state.hasTimedOut):
-        following = following if following in held else min(held)
-        action, digit = held.pop(following)
+    writer = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    if keys is None:
+        writer.outputMode("append").format("parquet").option("path", f"{root}/out").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+    def upsert(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{root}/out/_batch={batch}")  # a batch that is run again replaces its own rows
+
+    writer.outputMode("update").foreachBatch(upsert).start().awaitTermination()
+    return latest(upserts(stream, f"{root}/out"), keys)
+
+
+def upserts(stream: DataFrame, path: str) -> DataFrame:
+    """All rows that batches in update mode have written, with the number of the batch."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+    return stream.sparkSession.read.schema(f"{kinds}, _batch bigint").option("basePath", path).parquet(path)
+
+
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key the row of the latest batch: a partial aggregate."""
+    others = [c for c in rows.columns if c not in (*keys, "_batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("_row")).select(*keys, "_row.*")
+
+
+class _Ordered(StatefulProcessor):
+    """Rows of a key by number, in their order: early ones wait in a map by number, until the missing ones have come or the
+    key's timer fires, `idle_ms` of event time after its newest row; then what waits counts over the gaps, and all state goes."""
+
+    waits: str  # what is kept of a row that waits
+    columns: list[str]  # of the result
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "following bigint, waiting bigint, timer bigint, done boolean")
+        self.waiting = handle.getMapState("waiting", "number bigint", self.waits)
+        self.prepare(handle)
+
+    def prepare(self, handle: StatefulProcessorHandle) -> None:
+        """More states."""
+
+    def rows(self, pdf: pd.DataFrame) -> Iterator[tuple[int, tuple]]:
+        """Number of each row, and what is kept of it."""
+        raise NotImplementedError
+
+    def count(self, key: tuple, number: int, row: tuple) -> tuple[list[tuple], bool]:
+        """Result rows of the row whose turn it is, and whether its key ends with it."""
+        raise NotImplementedError
+
+    def forget(self, ended: bool) -> bool:
+        """Drops the states of prepare(); returns whether an ended key must be remembered until its timer fires."""
+        raise NotImplementedError
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=self.columns)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        following, waiting, timer, done = self.place.get() if self.place.exists() else (0, 0, None, False)
+        arrived, newest = {}, timerValues.getCurrentWatermarkInMs()
+        for pdf in rows:
+            if pd.notna(at := pdf.ts.max()):
+                newest = max(newest, int(at.timestamp() * 1000))
+            if not done:
+                arrived |= {n: row for n, row in self.rows(pdf) if n >= following}  # a number that has counted doesn't again
+        out = []
+        while not done:
+            if following in arrived:
+                row = arrived.pop(following)
+            elif waiting and self.waiting.containsKey((following,)):
+                row = tuple(self.waiting.getValue((following,)))
+                self.waiting.removeKey((following,))
+                waiting -= 1
+            else:
+                break
+            found, done = self.count(key, following, row)
+            out += found
+            following += 1
+            if len(out) >= CHUNK:
+                yield self._frame(out)
+                out = []
+        if done:
+            self.waiting.clear()
+            remembered = self.forget(True)
+            waiting = 0
+        else:
+            remembered = True
+            for n, row in arrived.items():
+                waiting += not (waiting and self.waiting.containsKey((n,)))
+                self.waiting.updateValue((n,), row)
+        after = max(newest + self.idle_ms, timer or 0)
+        if timer is not None and (after != timer or not remembered):
+            self.handle.deleteTimer(timer)
+        if remembered:
+            if after != timer:
+                self.handle.registerTimer(after)
+            self.place.update((following, waiting, after, done))
+        else:
+            self.place.clear()
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out, done = [], self.place.exists() and self.place.get()[3]
+        for n in sorted(k[0] for k in self.waiting.keys()):
+            if done:
+                break
+            found, done = self.count(key, n, tuple(self.waiting.getValue((n,))))
+            out += found
+            if len(out) >= CHUNK:
+                yield self._frame(out)
+                out = []
+        self.waiting.clear()
+        self.forget(False)
+        self.place.clear()
+        yield self._frame(out)
+
+    def close(self) -> None:
+        pass
+
+
+class _Propagate(_Ordered):
+    waits, columns = "ended boolean", ["video_id", "frame_idx", "obj_id", "xyxy"]
+
+    def prepare(self, handle: StatefulProcessorHandle) -> None:
+        self.prompts = handle.getMapState("prompts", "frame bigint", "objs array<bigint>, xyxys array<array<double>>")
+        self.boxes = handle.getMapState("boxes", "obj bigint", "xyxy array<double>")
+        self.held: tuple = None, {}, []  # a key's boxes and the frames of its prompts, while its rows are counted
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for frame, objs, xyxys in zip(initialState.frame_idx, initialState.objs, initialState.xyxys, strict=True):
+            self.prompts.updateValue((int(frame),), ([int(o) for o in objs], [[float(v) for v in box] for box in xyxys]))
+
+    def rows(self, pdf: pd.DataFrame) -> Iterator[tuple[int, tuple]]:
+        return ((int(f), (bool(e),)) for f, e in zip(pdf.frame_idx, pdf.ended, strict=True))
+
+    def _of(self, key: tuple) -> tuple[dict, list]:
+        return {k[0]: list(v[0]) for k, v in self.boxes.iterator()}, sorted((k[0] for k in self.prompts.keys()), reverse=True)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        self.held = self._of(key)
+        yield from super().handleInputRows(key, rows, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held = self._of(key)
+        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+
+    def count(self, key: tuple, number: int, row: tuple) -> tuple[list[tuple], bool]:
+        boxes, ahead = self.held
+        while ahead and ahead[-1] <= number:  # prompts of frames up to this one
+            frame = ahead.pop()
+            objs, xyxys = self.prompts.getValue((frame,))
+            self.prompts.removeKey((frame,))
+            for o, box in zip(objs, xyxys, strict=True):
+                boxes[o] = list(box)
+                self.boxes.updateValue((o,), (boxes[o],))
+        return [(key[0], number, o, boxes[o]) for o in sorted(boxes)] or [(key[0], number, None, None)], row[0]
+
+    def forget(self, ended: bool) -> bool:
+        self.prompts.clear()
+        self.boxes.clear()
+        return False
+
+
+def propagate_stream(frames: DataFrame, prompts: DataFrame, late: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
+    """ST1-ST3: frames (video_id, frame_idx, ts, ended: true on a video's last) in any order of arrival to one result for each frame
+    and object, in frame order: the object's latest box at or before it (a frame before any box has one result without an
+    object). prompts (as tidy_prompts gives them, with video_id) are a batch table: the boxes in it are the state with which
+    their videos begin, and never pass through the stream.
+
+    Frames that come too early wait in the state; one whose number has had its result is ignored. At its end a video's state
+    goes, and so it does idle_ms of event time after its newest frame: what waits is then given out over the gaps."""
+    stateful(frames.sparkSession)
+    boxes = prompts.filter("kind = 'box'").groupBy("video_id", "frame_idx", "obj_id").agg(F.max_by("xyxy", "seq").alias("xyxy"))
+    each = boxes.groupBy("video_id", "frame_idx").agg(F.collect_list(F.struct("obj_id", "xyxy")).alias("b"))
+    first = each.select("video_id", "frame_idx", F.transform("b", lambda b: b["obj_id"]).alias("objs"), F.transform("b", lambda b: b["xyxy"]).alias("xyxys"))
+    rows = frames.select("video_id", "frame_idx", "ts", "ended").withWatermark("ts", late)
+    schema = "video_id bigint, frame_idx bigint, obj_id bigint, xyxy array<double>"
+    return rows.groupBy("video_id").transformWithStateInPandas(_Propagate(idle_ms), schema, "append", "EventTime", initialState=first.groupBy("video_id"))
+
+
+class _Clicks(_Ordered):
+    waits, columns = "action string, digit int", ["session", "seq", "obj_id", "label", "action"]
+
+    def __init__(self, start: int, idle_ms: int):
+        super().__init__(idle_ms)
+        self.start = start
+
+    def prepare(self, handle: StatefulProcessorHandle) -> None:
+        self.active = handle.getValueState("active", "obj_id bigint")
+
+    def rows(self, pdf: pd.DataFrame) -> Iterator[tuple[int, tuple]]:
+        return ((int(n), (a, None if pd.isna(d) else int(d))) for n, a, d in zip(pdf.seq, pdf.action, pdf.digit, strict=True))
+
+    def count(self, key: tuple, number: int, row: tuple) -> tuple[list[tuple], bool]:
+        action, digit = row
         if action in ("enter", "escape"):
-            done = True
-            out.append((key[0], following, None, None, action))
-        elif action == "digit":
-            active = digit
+            return [(key[0], number, None, None, action)], True
+        if action == "digit":
+            self.active.update((digit,))
         elif action == "next":
-            active += 1
+            self.active.update((self._active() + 1,))
         elif action in ("left", "right"):
-            out.append((key[0], following, int(active), int(action == "left"), action))
-        following += 1
-    if state.hasTimedOut:
-        state.remove()
-    else:
-        state.update((int(active), following, done, [] if done else [(n, *v) for n, v in sorted(held.items())]))
-        state.setTimeoutDuration(idle_ms)
-    yield pd.DataFrame(out, columns=["session", "seq", "obj_id", "label", "action"])
-
-
-def active_object_stream(log: DataFrame, start: int = 1, idle_ms: int = 3_600_000) -> DataFrame:
-    """ST4: the points of click logs (session, seq from 0 without gaps, action, digit), and the event that ended each; a reader
+            return [(key[0], number, self._active(), int(action == "left"), action)], False
+        return [], False
+
+    def _active(self) -> int:
+        return self.active.get()[0] if self.active.exists() else self.start
+
+    def forget(self, ended: bool) -> bool:
+        self.active.clear()
+        return ended  # later events of an ended session must find that it has ended
+
+
+def active_object_stream(log: DataFrame, start: int = 1, late: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
+    """ST4: the points of click logs (session, seq from 0 without gaps, ts, action, digit), and the event that ended each; a reader
     drops sessions that end by escape. Events count in the order of seq, whichever batch they come in: early ones wait in
-    the state. Of an ended session only that it ended is kept. A session of which nothing comes for idle_ms is dropped
-    after what waits has counted."""
-    step = lambda key, batches, held: _clicked(key, batches, held, start, idle_ms)
-    state = "active bigint, following bigint, done boolean, waiting array<struct<seq:bigint,action:string,digit:int>>"
-    return log.groupBy("session").applyInPandasWithState(step, "session bigint, seq bigint, obj_id bigint, label int, action string", state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    the state. Of an ended session only that it ended is kept, until idle_ms of event time after its newest event; one that
+    hasn't ended by then is dropped after what waits has counted."""
+    stateful(log.sparkSession)
+    rows = log.select("session", "seq", "ts", "action", "digit").withWatermark("ts", late)
+    return rows.groupBy("session").transformWithStateInPandas(_Clicks(start, idle_ms), "session bigint, seq bigint, obj_id bigint, label int, action string", "append", "EventTime")
 
 
 def fps_stream(timings: DataFrame, warmup: int = 0) -> DataFrame:
-    """ST5: running counters of fps_summary, one row a run; metrics.fps_of finishes them."""
+    """ST5: running counters of fps_summary, one row a run, for update mode; metrics.fps_of finishes them."""
     return fps_counters(timings, warmup)

@@ -83,7 +83,7 @@ def click_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks are left, views right, purchases next, signups a digit; errors from the fourth event on end the log."""
     kind, ends = F.col("event_type"), (F.col("event_type") == "error") & (F.col("seq") >= 4)
     action = F.when(kind == "click", "left").when(kind == "view", "right").when(kind == "purchase", "next").when(kind == "signup", "digit").when(ends & (F.col("k") % 5 == 0), "escape").when(ends, "enter").otherwise("other")
-    return events(spark, sf_dir).select(F.col("user_id").alias("session"), "seq", action.alias("action"), F.when(kind == "signup", F.col("k") % 9 + 1).alias("digit"), F.col("value").alias("x"), F.col("k").cast("double").alias("y"))
+    return events(spark, sf_dir).select(F.col("user_id").alias("session"), "seq", "ts", action.alias("action"), F.when(kind == "signup", F.col("k") % 9 + 1).alias("digit"), F.col("value").alias("x"), F.col("k").cast("double").alias("y"))
 
 
 def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

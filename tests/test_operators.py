@@ -344,53 +344,6 @@ def test_writing_by_video(spark, tmp_path):
     assert sorted((r.video_id, r.frame_idx, r.cache_name) for r in got.collect()) == [(1, 0, "00000.jpg"), (1, 1, "00001.jpg"), (2, 0, "00000.jpg")]
 
 
-class Held:
-    """A group's state as Spark keeps it between batches."""
-
-    def __init__(self):
-        self.value, self.hasTimedOut, self.duration = None, False, None
-
-    exists = property(lambda self: self.value is not None)
-    get = property(lambda self: self.value)
-
-    def update(self, value):
-        self.value = value
-
-    def remove(self):
-        self.value = None
-
-    def setTimeoutDuration(self, ms):
-        self.duration = ms
-
-
-def test_clicks_wait_for_earlier_ones():
-    from framewright.streaming.frames import _clicked
-
-    state, out = Held(), []
-    for part in ([(0, "left", None), (3, "right", None)], [(1, "next", None), (2, "digit", 7)], [(5, "left", None)]):
-        out += [tuple(r) for x in _clicked((9,), iter([pd.DataFrame(part, columns=["seq", "action", "digit"])]), state, 4, 1000) for r in x.itertuples(index=False)]
-    assert out == [(9, 0, 4, 1, "left"), (9, 3, 7, 0, "right")] and state.duration == 1000
-    state.hasTimedOut = True
-    assert [r.seq for x in _clicked((9,), iter([]), state, 4, 1000) for r in x.itertuples()] == [5] and not state.exists
-
-
-def test_a_video_that_misses_a_frame_ends():
-    from framewright.streaming.frames import _propagated
-
-    state, out = Held(), []
-    rows = lambda *frames: iter([pd.DataFrame([(f, [1], [[float(f)]], f == 3) for f in frames], columns=["frame_idx", "objs", "xyxys", "ended"])])
-    for part in (rows(3, 0), rows(2)):
-        out += [(r.frame_idx, r.xyxy) for x in _propagated((9,), part, state, 1000) for r in x.itertuples()]
-    assert out == [(0, [0.0])] and state.exists
-    state.hasTimedOut = True
-    assert [(r.frame_idx, r.xyxy) for x in _propagated((9,), iter([]), state, 1000) for r in x.itertuples()] == [(2, [2.0]), (3, [3.0])]
-    assert not state.exists
-    state.hasTimedOut = False
-    for part in (rows(3, 1), rows(0, 2)):
-        list(_propagated((9,), part, state, 1000))
-    assert not state.exists  # the last frame came first
-
-
 def test_a_cluster_needs_a_shared_folder(monkeypatch):
     from framewright import shared
 
