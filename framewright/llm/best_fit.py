@@ -27,7 +27,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from framewright.llm._common import materialise, slices
 
 #: Texts are split into stretches of about so many bytes; a worker keeps two generations of words of about so many bytes.
-STRETCH, KEPT = 1 << 20, 80 << 20
+STRETCH, KEPT = 1 << 20, 128 << 20
 _SPACE = re.compile(rb"[ \t-\r]")
 #: A digit is a token of its own: between it and another plain letter or digit nothing spans.
 _AFTER_DIGIT = re.compile(rb"(?<=[0-9])(?=[0-9A-Za-z])")
@@ -57,10 +57,11 @@ class _WordIds(dict):
         return ids
 
     def _found(self, word: bytes) -> bytes:
-        if word.isascii() and b"<" not in word:  # no special token
-            if (lower := word.lower()) != word:  # case doesn't matter
+        if b"<" not in word:  # no special token
+            lower = word.lower() if word.isascii() else word[:1].lower() + word[1:] if word[1:2].isascii() else word
+            if lower != word:  # case doesn't matter, and nothing beyond ASCII composes with what is turned
                 return self[lower]
-            if word[-1:] in b".,;:!?" and word[-2:-1].isalnum():  # a token of its own after a letter or digit
+            if word[-1:] in b".,;:!?" and word[-2:-1].isalnum():  # a token of its own after a plain letter or digit
                 return self[word[:-1]] + self[word[-1:]]
         ids = array("I")
         for part in _parts(word, _AFTER_DIGIT):
