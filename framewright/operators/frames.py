@@ -5,16 +5,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.functions.scalar import default_fps, depth_to_uint8, frame_name
+from framewright.operators.ranges import first_missing, ranked
 
 
-def assign_frame_idx(frames: DataFrame, order: list[str], video: str = "video_id") -> DataFrame:
-    """The zero-based place in the given order (for files by name, as text), and the cache name of F2."""
-    numbered = frames.withColumn("frame_idx", (F.row_number().over(W.partitionBy(video).orderBy(*order)) - 1).cast("bigint"))
-    return numbered.withColumn("cache_name", frame_name(F.col("frame_idx")))
+def assign_frame_idx(frames: DataFrame, order: list[str], video: str = "video_id", parts: int | None = None) -> DataFrame:
+    """The zero-based place in the given order (for files by name, as text), and the cache name of F2. All columns are
+    written once, in ranges of the order, so that one long video spans tasks: give names, and join contents to them."""
+    return ranked(frames, [video], order, "frame_idx", parts).withColumn("cache_name", frame_name(F.col("frame_idx")))
 
 
 def first_frame(frames: DataFrame, video: str = "video_id") -> DataFrame:
@@ -84,15 +84,20 @@ def join_results(results: DataFrame, frames: DataFrame, masks: DataFrame | None
     return joined if masks is None else joined.join(masks, ["video_id", "frame_idx"], "left")
 
 
+def first_gaps(frames: DataFrame) -> DataFrame:
+    """video_id and _stop, the first index of each video that can't be read; from keys alone."""
+    return first_missing(frames.select("video_id", "frame_idx"), "video_id", "frame_idx", "_stop")
+
+
 def join_sequential(results: DataFrame, frames: DataFrame, frame_count: DataFrame | None = None) -> DataFrame:
     """Like reading a video forward: results count only before the first frame that can't be read.
 
-    frame_count: video_id, frame_count, how many frames the results may ask for; without it as many as were read. A frame
-    whose place among its video's frames is its index has no gap before it: one window, then one join."""
-    place = F.row_number().over(W.partitionBy("video_id").orderBy("frame_idx")) - 1
-    readable = frames.withColumn("_place", place).filter(F.col("_place") == F.col("frame_idx")).drop("_place")
-    kept = results.join(readable, ["video_id", "frame_idx"])
-    return kept if frame_count is None else kept.join(frame_count, "video_id").filter(F.col("frame_idx") < F.col("frame_count")).drop("frame_count")
+    frame_count: video_id, frame_count, how many frames the results may ask for; without it as many as were read. The gap is found
+    from frames' keys, and results are cut by it before they meet the frames, whose other columns move in that join alone."""
+    kept = results.join(first_gaps(frames), "video_id").filter((F.col("frame_idx") < F.col("_stop")) & (F.col("frame_idx") >= 0)).drop("_stop")
+    if frame_count is not None:
+        kept = kept.join(frame_count, "video_id").filter(F.col("frame_idx") < F.col("frame_count")).drop("frame_count")
+    return kept.join(frames, ["video_id", "frame_idx"])
 
 
 def chronological(results: DataFrame) -> DataFrame:

@@ -52,7 +52,8 @@ def bbox_of_runs(r: Column, w: Column) -> Column:
 def masks_of_logits(logits: DataFrame, threshold: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """UD4: video_id, frame_idx, obj_id, w, h, runs and the columns to keep; masks without a pixel stay, as results with an empty
     mask."""
-    return logits.select("video_id", "frame_idx", "obj_id", "w", "h", *keep, runs(mask_threshold(F.col("logits"), threshold)).alias("runs"))
+    told = logits.withColumn("_mask", mask_threshold(F.col("logits"), threshold))  # a column: within runs() it would be worked out for each pixel
+    return told.select("video_id", "frame_idx", "obj_id", "w", "h", *keep, runs(F.col("_mask")).alias("runs"))
 
 
 def mask_boxes(masks: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.functions.scalar import box_of_roi, get_or
+from framewright.operators.ranges import in_ranges, ranked, with_carried, within
 from framewright.schemas import PROMPT_FILE
 
 
@@ -72,21 +73,27 @@ def registration_order(prompts: DataFrame) -> DataFrame:
 
 def roi_boxes(rois: DataFrame, start: int = 1) -> DataFrame:
     """Ids in draw order (video_id, ord, x, y, w, h), counting ROIs without an area, which then go."""
-    numbered = rois.withColumn("obj_id", F.lit(start).cast("bigint") + F.row_number().over(W.partitionBy("video_id").orderBy("ord")) - 1)
+    numbered = ranked(rois, ["video_id"], ["ord"], "_place").withColumn("obj_id", F.lit(start).cast("bigint") + F.col("_place"))
     return numbered.filter("w <> 0 and h <> 0").select("video_id", "obj_id", F.lit(0).cast("bigint").alias("frame_idx"), box_of_roi(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("xyxy"))
 
 
-def active_objects(log: DataFrame, start: int = 1) -> DataFrame:
+def active_objects(log: DataFrame, start: int = 1, parts: int | None = None) -> DataFrame:
     """For each event (session, seq, action: left, right, next, digit, enter, escape; digit) the active object after it.
 
-    A digit starts a segment; the active object is its digit (the start id before the first) plus the `next`s since."""
-    order = W.partitionBy("session").orderBy("seq")
-    segment = F.sum(F.when(F.col("action") == "digit", 1).otherwise(0)).over(order)
-    log = log.withColumn("_segment", segment)
-    within = W.partitionBy("session", "_segment").orderBy("seq")
-    base = F.coalesce(F.max(F.when(F.col("action") == "digit", F.col("digit"))).over(within), F.lit(start))
-    steps = F.sum(F.when(F.col("action") == "next", 1).otherwise(0)).over(within)
-    return log.withColumn("active", (base + steps).cast("bigint")).drop("_segment")
+    A digit starts a segment; the active object is its digit (the start id before the first) plus the `next`s since. A session is
+    dealt to ranges of seq: each tells its last digit and the `next`s after it, and begins with what those before it leave."""
+    placed = in_ranges(log, ["session"], ["seq"], parts)
+    is_digit, is_next = F.col("action") == "digit", F.col("action") == "next"
+    rows = placed.withColumn("_segment", F.sum(F.when(is_digit, 1).otherwise(0)).over(within(["session"])))
+    own = within(["session", "_segment"])
+    rows = rows.withColumn("_base", F.max(F.when(is_digit, F.col("digit"))).over(own)).withColumn("_steps", F.sum(F.when(is_next, 1).otherwise(0)).over(own))
+    # of each range what its last event leaves: a digit, if it has one, and the steps after it
+    last = rows.groupBy("session", "_part").agg(F.max_by(F.struct("_base", "_steps"), "_at").alias("s")).select("session", "_part", "s.*")
+    chain = last.withColumn("_number", F.sum(F.when(F.col("_base").isNotNull(), 1).otherwise(0)).over(W.partitionBy("session").orderBy("_part")))
+    chain = chain.withColumn("_sum", F.sum("_steps").over(W.partitionBy("session", "_number").orderBy("_part"))).withColumn("_from", F.max("_base").over(W.partitionBy("session", "_number").orderBy("_part")))
+    left = F.coalesce(F.lag(F.coalesce("_from", F.lit(start)) + F.col("_sum")).over(W.partitionBy("session").orderBy("_part")), F.lit(start))
+    carried = with_carried(rows, chain.select("session", "_part", left.alias("_carried")), ["session"])
+    return carried.withColumn("active", (F.coalesce("_base", "_carried") + F.col("_steps")).cast("bigint")).drop("_segment", "_base", "_steps", "_carried", "_part", "_at")
 
 
 def terminated(log: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ from functools import lru_cache
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.operators.masks import masks_of_logits
+from framewright.operators.ranges import latest
 from framewright.schemas import BACKENDS
 
 Backend = Callable[..., DataFrame]
@@ -57,8 +57,8 @@ def carry_backend(frames: DataFrame, prompts: DataFrame) -> DataFrame:
     boxes = prompts.filter("kind = 'box'").groupBy("video_id", "frame_idx", "obj_id").agg(F.max_by("xyxy", "seq").alias("xyxy"))
     objects = boxes.select("video_id", "obj_id").distinct()
     grid = frames.select("video_id", "frame_idx").join(objects, "video_id")
-    latest = F.last("xyxy", ignorenulls=True).over(W.partitionBy("video_id", "obj_id").orderBy("frame_idx").rowsBetween(W.unboundedPreceding, 0))
-    return grid.join(boxes, ["video_id", "frame_idx", "obj_id"], "left").select("video_id", "frame_idx", "obj_id", latest.alias("xyxy"))
+    rows = grid.join(boxes, ["video_id", "frame_idx", "obj_id"], "left").withColumnRenamed("xyxy", "_box")
+    return latest(rows, ["video_id", "obj_id"], "frame_idx", "_box", "xyxy").select("video_id", "frame_idx", "obj_id", "xyxy")
 
 
 @register_backend("unsupported")
@@ -128,4 +128,4 @@ def run_steps(frames: DataFrame, prompts: DataFrame, backend: Callable[[], StepB
             if begun:
                 model.reset(state)
 
-    return mixed.mapInPandas(run, "video_id bigint, frame_idx bigint, obj_id bigint, logits array<double>")
+    return mixed.mapInPandas(run, f"video_id {frames.schema['video_id'].dataType.simpleString()}, frame_idx bigint, obj_id bigint, logits array<double>")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright import views
@@ -15,6 +15,7 @@ from framewright.plans import annotate as flagship
 from framewright.plans.backends import StepBackend, build_backend, run_steps
 from framewright.shared import fresh_path
 from framewright.sources import frames as sources
+from framewright.sources.prompts import write_prompt_files
 from framewright.streaming import frames as streams
 
 WARMUP = 3
@@ -107,20 +108,39 @@ def depth_to_uint8(spark, sf_dir):
     return fr.to_uint8(views.raw_frames(spark, sf_dir)).select("video_id", "frame_idx", "is_float", "lo", "hi", F.array_join("px8", ",").alias("px"))
 
 
-@query(_PX8 + "SELECT video_id, frame_idx, 8 AS width, 8 AS height, 16 AS bits, string_agg(CAST(p AS VARCHAR), ',' ORDER BY pos) AS px FROM px8 WHERE NOT is_float GROUP BY ALL")
-def frame_files(spark, sf_dir):
-    """Frames written as files, scanned by folder and name, decoded and reduced"""
+def _frame_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of folders, one a video, of 16-bit frames as files."""
     raw = views.raw_frames(spark, sf_dir).filter("not is_float")
     path = fresh_path(spark, "files")
     shifted = F.transform("px", lambda v: (v + 32768).cast("int"))  # samples of 16 bits aren't negative
     low_first = F.flatten(F.transform(shifted, lambda v: F.array(v % 256, F.floor(v / 256).cast("int"))))
     named = raw.select("video_id", F.format_string("frame_%06d.pgm", "frame_idx").alias("name"), bytes_of(low_first).alias("px"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("channels"), "bits")
     sources.write_frame_files(named, path)
-    files = sources.scan_frames(spark, f"{path}/*", "*.pgm")
+    return path
+
+
+def _reduced(files: DataFrame) -> DataFrame:
+    """Decoded frames (video_id, frame_idx, width, height, bits) with px8, one byte a pixel."""
     decoded = sources.decode_frames(files, sources.netpbm, ["video_id", "frame_idx"])
     px8 = fr.samples_to_uint8(F.col("px"), F.col("bits"), F.col("is_float"))
+    return decoded.select(F.col("video_id").cast("bigint").alias("video_id"), "frame_idx", "width", "height", "bits", px8.alias("px8"))
+
+
+@query(_PX8 + "SELECT video_id, frame_idx, 8 AS width, 8 AS height, 16 AS bits, string_agg(CAST(p AS VARCHAR), ',' ORDER BY pos) AS px FROM px8 WHERE NOT is_float GROUP BY ALL")
+def frame_files(spark, sf_dir):
+    """Frames written as files, scanned by folder and name, decoded and reduced"""
+    decoded = _reduced(sources.scan_frames(spark, f"{_frame_files(spark, sf_dir)}/*", "*.pgm"))
     values = F.transform(F.sequence(F.lit(0), F.octet_length("px8") - 1), lambda i: byte_at(F.col("px8"), i))
-    return decoded.withColumn("px8", px8).select(F.col("video_id").cast("bigint").alias("video_id"), "frame_idx", "width", "height", "bits", F.array_join(values, ",").alias("px"))
+    return decoded.select("video_id", "frame_idx", "width", "height", "bits", F.array_join(values, ",").alias("px"))
+
+
+@query(_PX8 + ", m AS (SELECT video_id, frame_idx, pos, p FROM px8 WHERE NOT is_float AND p > 128) SELECT video_id, frame_idx, 0::BIGINT AS obj_id, count(*) AS area, CAST(min(pos % 8) AS INT) AS x1, CAST(min(pos // 8) AS INT) AS y1, CAST(max(pos % 8) AS INT) AS x2, CAST(max(pos // 8) AS INT) AS y2 FROM m GROUP BY ALL")
+def streamed_files(spark, sf_dir):
+    """S1, S2, P6, A4 on a stream: frame files to decoded frames, to the box of their bright pixels"""
+    rows = _reduced(sources.stream_frames(spark, f"{_frame_files(spark, sf_dir)}/*", "*.pgm"))
+    bright = F.transform(F.sequence(F.lit(0), F.octet_length("px8") - 1), lambda i: byte_at(F.col("px8"), i) > 128)
+    seen = rows.select("video_id", "frame_idx", F.lit(0).cast("bigint").alias("obj_id"), F.col("width").alias("w"), masks.runs(bright).alias("runs"))
+    return streams.finish(masks.mask_boxes(seen))
 
 
 _TIMES_100 = "CAST(floor(embedding[{}]::DOUBLE * 100) AS INT)"
@@ -135,19 +155,27 @@ def pixel_order(spark, sf_dir):
     return e.select("vec_id", "skip", px[0].alias("r"), px[1].alias("g"), px[2].alias("b"), F.size(tail).cast("bigint").alias("n"), F.round(F.aggregate(tail, F.lit(0.0), lambda a, v: a + v), 9).alias("total"))
 
 
-def _overlay_sql(when: str = "true", cte: str = "") -> str:
-    """Pixels of all frames, in s5. when: which masks count."""
+_LOGITS_SQL = "SELECT vec_id // 100 AS video_id, (vec_id // 5) % 20 AS frame_idx, vec_id % 5 + 1 AS obj_id, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS pos FROM embeddings"
+
+
+def _overlay_sql(when: str = "true", cte: str = "", drawn: str = "false", logits: str = _LOGITS_SQL) -> str:
+    """Pixels of all frames, in s5. when: which masks count; drawn: on which frames the boxes are drawn, each after its mask."""
     flags = ", ".join(f"bool_or(obj_id = {o} AND v > 0 AND {when}) AS o{o}" for o in range(1, 6))
+    edge = lambda o: ", ".join(f"{f}(pos {p}) FILTER (obj_id = {o} AND v > 0 AND {when}) AS {c}_{o}" for f, p, c in (("min", "% 8", "x1"), ("min", "// 8", "y1"), ("max", "% 8", "x2"), ("max", "// 8", "y2")))
     steps, last = [], "base"
     for o in range(1, 6):
-        cols = ", ".join(f"CASE WHEN o{o} THEN floor(0.5 * {PALETTE_BGR[o - 1][2 - i]} + (1 - 0.5) * {c}) ELSE {c} END AS {c}" for i, c in enumerate("rgb"))
-        steps.append(f"s{o} AS (SELECT video_id, frame_idx, pos, o1, o2, o3, o4, o5, {cols} FROM {last})")
+        near = lambda at, a, b: f"{at} BETWEEN {a}_{o} - 1 AND {b}_{o} + 1"  # noqa: E731, B023
+        on = lambda at, a, b: f"{at} IN ({a}_{o} - 1, {a}_{o}, {b}_{o}, {b}_{o} + 1)"  # noqa: E731, B023
+        line = f"{drawn} AND {near('pos % 8', 'x1', 'x2')} AND {near('pos // 8', 'y1', 'y2')} AND ({on('pos % 8', 'x1', 'x2')} OR {on('pos // 8', 'y1', 'y2')})"
+        cols = ", ".join(f"CASE WHEN {line} THEN {PALETTE_BGR[o - 1][2 - i]} WHEN o{o} THEN floor(0.5 * {PALETTE_BGR[o - 1][2 - i]} + (1 - 0.5) * {c}) ELSE {c} END AS {c}" for i, c in enumerate("rgb"))
+        steps.append(f"s{o} AS (SELECT * REPLACE ({cols}) FROM {last})")
         last = f"s{o}"
     return (
         _PX8
-        + f""", lg AS (SELECT vec_id // 100 AS video_id, (vec_id // 5) % 20 AS frame_idx, vec_id % 5 + 1 AS obj_id, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS pos FROM embeddings),
+        + f""", lg AS ({logits}),
 {cte}fl AS (SELECT video_id, frame_idx, pos, {flags} FROM lg GROUP BY ALL),
-base AS (SELECT video_id, frame_idx, pos, o1, o2, o3, o4, o5, CAST(p AS DOUBLE) AS r, CAST(p AS DOUBLE) AS g, CAST(p AS DOUBLE) AS b FROM px8 JOIN fl USING (video_id, frame_idx, pos) WHERE NOT is_float),
+bo AS (SELECT video_id, frame_idx, {", ".join(map(edge, range(1, 6)))} FROM lg GROUP BY ALL),
+base AS (SELECT fl.*, bo.* EXCLUDE (video_id, frame_idx), CAST(p AS DOUBLE) AS r, CAST(p AS DOUBLE) AS g, CAST(p AS DOUBLE) AS b FROM px8 JOIN fl USING (video_id, frame_idx, pos) JOIN bo USING (video_id, frame_idx) WHERE NOT is_float),
 """
         + ",\n".join(steps)
     )
@@ -177,27 +205,70 @@ def annotations(spark, sf_dir):
 
 _PROMPTED = "pr AS (SELECT video_id, obj_id, min(frame_idx) + obj_id AS since FROM (SELECT DISTINCT video_id, frame_idx, obj_id FROM lg) GROUP BY video_id, obj_id),\n"
 _RUN_SQL = (
-    _overlay_sql("frame_idx >= (SELECT since FROM pr WHERE pr.video_id = lg.video_id AND pr.obj_id = lg.obj_id)", _PROMPTED)
+    _overlay_sql("frame_idx >= (SELECT since FROM pr WHERE pr.video_id = lg.video_id AND pr.obj_id = lg.obj_id)", _PROMPTED, _DRAWN)
     + f""", res AS (SELECT DISTINCT lg.video_id, lg.frame_idx FROM lg JOIN pr USING (video_id, obj_id) WHERE lg.frame_idx >= since),
 px AS (SELECT video_id, frame_idx, string_agg(printf('%02X%02X%02X', CAST(r AS INT), CAST(g AS INT), CAST(b AS INT)), '' ORDER BY pos) AS px FROM s5 JOIN res USING (video_id, frame_idx) GROUP BY ALL),
 b AS (SELECT video_id, frame_idx, obj_id, min(pos % 8) AS x1, min(pos // 8) AS y1, max(pos % 8) AS x2, max(pos // 8) AS y2 FROM lg JOIN pr USING (video_id, obj_id) WHERE v > 0 AND frame_idx >= since GROUP BY ALL),
 bx AS (SELECT video_id, frame_idx, string_agg(obj_id || ':' || x1 || ',' || y1 || ',' || x2 || ',' || y2 || CASE WHEN {_DRAWN} THEN ' id=' || obj_id ELSE '' END, ' ' ORDER BY obj_id) AS boxes FROM b GROUP BY ALL),
 tm AS (SELECT video_id, frame_idx, (video_id * 7 + frame_idx * 3) % 5 / 1000 + 0.01 AS dt FROM (SELECT DISTINCT video_id, frame_idx FROM lg WHERE obj_id = 1)),
 fp AS (SELECT video_id, count(*) AS frames, round(count(*) / sum(dt), 6) AS avg_fps_all, round(count(*) FILTER (frame_idx >= least({WARMUP}, n - 1)) / sum(dt) FILTER (frame_idx >= least({WARMUP}, n - 1)), 6) AS avg_fps_post_warmup FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM tm) GROUP BY video_id)
-SELECT video_id, frame_idx, px, coalesce(boxes, '') AS boxes, frames, avg_fps_all, avg_fps_post_warmup FROM px LEFT JOIN bx USING (video_id, frame_idx) LEFT JOIN fp USING (video_id)
+SELECT video_id, frame_idx, row_number() OVER (ORDER BY video_id, frame_idx) - 1 AS place, px, coalesce(boxes, '') AS boxes, frames, avg_fps_all, avg_fps_post_warmup FROM px LEFT JOIN bx USING (video_id, frame_idx) LEFT JOIN fp USING (video_id)
 """
 )
 
 
+def _boxes_as_text() -> Column:
+    text = lambda b: F.concat(b["obj_id"].cast("string"), F.lit(":"), F.concat_ws(",", b["x1"], b["y1"], b["x2"], b["y2"]), F.coalesce(F.concat(F.lit(" "), b["label"]), F.lit("")))
+    return F.coalesce(F.array_join(F.transform("boxes", text), " "), F.lit("")).alias("boxes")
+
+
 @query(_RUN_SQL)
 def annotate(spark, sf_dir):
-    """The flagship: prompts, frames and a backend to rendered pixels, boxes and timing, through the sink"""
+    """The flagship: prompts, frames and a backend to rendered pixels with outlines, boxes and timing, through the sink; place: where
+    a row stands in the files"""
     told = views.mask_prompts(spark, sf_dir)
-    run = flagship.annotate(views.rgb_frames(spark, sf_dir), told, views.render_timings(spark, sf_dir), inputs={"logits": views.logits(spark, sf_dir), "prompts": told}, draw=F.expr(_DRAWN), warmup=WARMUP)
+    run = flagship.annotate(views.rgb_frames(spark, sf_dir), told, views.render_timings(spark, sf_dir), inputs={"logits": views.logits(spark, sf_dir), "prompts": told}, draw=F.expr(_DRAWN), warmup=WARMUP, size=32)
     path = fresh_path(spark, "annotated")
     flagship.write_run(run, path)
-    text = F.transform("boxes", lambda b: F.concat(b["obj_id"].cast("string"), F.lit(":"), F.concat_ws(",", b["x1"], b["y1"], b["x2"], b["y2"]), F.coalesce(F.concat(F.lit(" "), b["label"]), F.lit(""))))
-    return spark.read.parquet(path).select("video_id", "frame_idx", F.hex("rgb").alias("px"), F.coalesce(F.array_join(text, " "), F.lit("")).alias("boxes"), "frames", _r("avg_fps_all", 6), _r("avg_fps_post_warmup", 6))
+    return sources.read_results(spark, path).select("video_id", "frame_idx", "place", F.hex("rgb").alias("px"), _boxes_as_text(), "frames", _r("avg_fps_all", 6), _r("avg_fps_post_warmup", 6))
+
+
+class _Bright(StepBackend):
+    """UD2: of each object the pixels over 128 within its box, from the frame of its prompt on."""
+
+    def init(self, video_id, prompts):
+        return [(int(p.obj_id), int(p.frame_idx), [int(v) for v in p.xyxy]) for p in prompts.itertuples()]
+
+    def step(self, state, frame):
+        out = []
+        for obj_id, since, (x1, y1, x2, y2) in state:
+            if frame.frame_idx >= since:
+                inside = [x1 <= i % frame.width < x2 and y1 <= i // frame.width < y2 for i in range(len(frame.px8))]
+                out.append((obj_id, [float(v - 128) if yes else -1.0 for v, yes in zip(frame.px8, inside, strict=True)]))
+        return state, out
+
+
+_FILES_SQL = (
+    _overlay_sql(drawn="true", logits="SELECT video_id, frame_idx, o AS obj_id, CASE WHEN p > 128 AND pos % 8 >= o - 1 AND pos % 8 < o + 4 AND pos // 8 < o + 4 THEN 1 ELSE -1 END AS v, pos FROM px8, (VALUES (1), (2), (3)) t(o) WHERE NOT is_float AND frame_idx >= o")
+    + """, px AS (SELECT video_id, frame_idx, string_agg(printf('%02X%02X%02X', CAST(r AS INT), CAST(g AS INT), CAST(b AS INT)), '' ORDER BY pos) AS px FROM s5 GROUP BY ALL),
+b AS (SELECT video_id, frame_idx, obj_id, min(pos % 8) AS x1, min(pos // 8) AS y1, max(pos % 8) AS x2, max(pos // 8) AS y2 FROM lg WHERE v > 0 GROUP BY ALL),
+bx AS (SELECT video_id, frame_idx, string_agg(obj_id || ':' || x1 || ',' || y1 || ',' || x2 || ',' || y2 || ' id=' || obj_id, ' ' ORDER BY obj_id) AS boxes FROM b GROUP BY ALL)
+SELECT video_id, frame_idx, row_number() OVER (ORDER BY video_id, frame_idx) - 1 AS place, px, coalesce(boxes, '') AS boxes FROM px LEFT JOIN bx USING (video_id, frame_idx)"""
+)
+
+
+@query(_FILES_SQL)
+def annotate_files(spark, sf_dir):
+    """A whole run: a folder of frame files for each video and a prompt file for each, a backend that steps through the frames, and the
+    ordered sink"""
+    videos = views.logits(spark, sf_dir).select("video_id").distinct()
+    box = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda o: F.struct(o.alias("obj_id"), o.alias("frame_idx"), F.array(o - 1, F.lit(0), o + 4, o + 4).alias("xyxy")))
+    told = fresh_path(spark, "told")
+    write_prompt_files(videos.select(F.concat("video_id", F.lit(".json")).alias("name"), F.to_json(F.struct(box.alias("boxes"))).alias("text")), told)
+    run = flagship.run_files(spark, f"{_frame_files(spark, sf_dir)}/*", told, _Bright, pattern="*.pgm", size=40)
+    path = fresh_path(spark, "run")
+    flagship.write_run(run, path)
+    return sources.read_results(spark, path).select(F.col("video_id").cast("bigint").alias("video_id"), "frame_idx", "place", F.hex("rgb").alias("px"), _boxes_as_text())
 
 
 _TIMINGS = "WITH t AS MATERIALIZED (SELECT l_suppkey AS run_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) - 1 AS frame_idx, l_quantity / 1000 AS dt FROM lineitem)"
@@ -488,12 +559,12 @@ def write_frames(spark, sf_dir):
     return spark.read.parquet(path).select(F.col("video_id").cast("bigint").alias("video_id"), "frame_idx", "name", "width", "height", "cache_name")
 
 
-@query(_FRAMES + " SELECT video_id, frame_idx, name, width, height, width <> 640 OR height <> 480 AS size_mismatch FROM f")
+@query(_FRAMES + " SELECT video_id, frame_idx, name, width, height, width <> 640 OR height <> 480 AS size_mismatch, row_number() OVER (ORDER BY video_id, frame_idx) - 1 AS place FROM f")
 def write_results(spark, sf_dir):
-    """Flagged, written in order and read back"""
-    path = fresh_path(spark, "results")
-    sources.write_results(sources.with_size_mismatch(views.frames(spark, sf_dir).select("video_id", "frame_idx", "name", "width", "height"), views.videos(spark, sf_dir)), path)
-    return spark.read.parquet(path)
+    """Flagged, written in order and read back; place: where a row stands in the files"""
+    path, catalog = fresh_path(spark, "results"), views.videos(spark, sf_dir)
+    sources.write_results(sources.with_size_mismatch(views.frames(spark, sf_dir).select("video_id", "frame_idx", "name", "width", "height"), catalog), path, catalog, 500)
+    return sources.read_results(spark, path)
 
 
 class _Smooth(StepBackend):

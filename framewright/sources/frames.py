@@ -13,27 +13,44 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.scalar import frame_name
-from framewright.operators.frames import SAMPLES, assign_frame_idx, chronological
+from framewright.operators.frames import SAMPLES, assign_frame_idx
+from framewright.operators.ranges import cuts, part_of, ranked
 
 BINARY = "path string, modificationTime timestamp, length bigint, content binary"
+#: Frames of a part of results.
+FRAMES = 4096
 
 
-def scan_frames(spark: SparkSession, path: str, pattern: str = "*.tif*", names_only: bool = False) -> DataFrame:
-    """video_id (the folder's name), name, frame_idx (in name order), and content unless only names are asked for, in which
-    case no file is read. A folder without a match is an error. Names that begin with . or _ are never seen."""
+def _named(files: DataFrame, *others: str) -> DataFrame:
+    parts = F.split("path", "/")
+    return files.select(F.element_at(parts, -2).alias("video_id"), F.element_at(parts, -1).alias("name"), "path", *others)
+
+
+def number_in(name: Column) -> Column:
+    """The number before a name's suffix; null without one."""
+    return F.nullif(F.regexp_extract(name, r"(\d+)\.[^.]*$", 1), F.lit("")).cast("bigint")
+
+
+def scan_frames(spark: SparkSession, path: str, pattern: str = "*.tif*", names_only: bool = False, numbered: bool = False) -> DataFrame:
+    """video_id (the folder's name), name, path, frame_idx, cache_name, and content unless only names are asked for, in which
+    case no file is read. frame_idx is the place in name order or, if the files are numbered, the number in the name, as in
+    stream_frames. Only names are put in order; contents meet their index by path. A folder without a match is an error.
+    Names that begin with . or _ are never seen."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    if not files.limit(1).count():
+    if not files.select("path").limit(1).count():
         raise FileNotFoundError(f"no file matches {pattern} in {path}")
-    parts = F.split("path", "/")
-    named = files.select(F.element_at(parts, -2).alias("video_id"), F.element_at(parts, -1).alias("name"), "path", *([] if names_only else ["content"]))
-    return assign_frame_idx(named, ["name"])
+    if numbered:
+        named = _named(files, *([] if names_only else ["content"])).withColumn("frame_idx", number_in(F.col("name")))
+        return named.withColumn("cache_name", frame_name(F.col("frame_idx")))
+    placed = assign_frame_idx(_named(files), ["name"])
+    return placed if names_only else placed.join(files.select("path", "content"), "path").select("video_id", "name", "path", "content", "frame_idx", "cache_name")
 
 
 def stream_frames(spark: SparkSession, path: str, pattern: str = "*.tif*") -> DataFrame:
-    """S1 for files that still arrive: name and content; the index is the number in the name."""
+    """S1 for numbered files that still arrive: video_id, name, frame_idx and content. What is to come isn't known, so that the index
+    is the number in the name, as scan_frames has it with `numbered`."""
     files = spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", pattern).load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(F.element_at(F.split("path", "/"), -2).alias("video_id"), name.alias("name"), F.regexp_extract(name, r"(\d+)\.[^.]*$", 1).cast("bigint").alias("frame_idx"), "content")
+    return _named(files, "content").select("video_id", "name", number_in(F.col("name")).alias("frame_idx"), "content")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -41,10 +58,10 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     values. The source gives blue, green, red (and alpha) per pixel and the low byte of deeper samples: those need
     decode_frames. A file that can't be read is an error."""
     images = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
-    return images.select(F.col("origin"), "width", "height", F.col("nChannels").alias("channels"), _rgb_of(F.col("origin"), F.col("data"), F.col("nChannels")).alias("rgb"))
+    return images.select(F.col("origin"), "width", "height", F.col("nChannels").alias("channels"), rgb_of(F.col("origin"), F.col("data"), F.col("nChannels")).alias("rgb"))
 
 
-def _rgb_of(origin: Column, data: Column, channels: Column) -> Column:
+def rgb_of(origin: Column, data: Column, channels: Column) -> Column:
     """F7, F8 on whole frames: gray, or blue, green, red (and alpha), to red, green, blue."""
 
     @F.arrow_udf("binary")
@@ -105,23 +122,30 @@ def decode_frames(files: DataFrame, decoder: Callable[[bytes], tuple], keys: lis
     return kept.mapInPandas(run, schema)
 
 
-def write_frame_files(frames: DataFrame, path: str) -> None:
-    """A netpbm file for each frame (video_id, name, px, width, height, channels, bits) under its video's folder. A task that is
-    run again replaces its files by equal ones."""
+def write_files(rows: DataFrame, path: str, named: Callable[[tuple], tuple[str, str, bytes]]) -> None:
+    """A file for each row: named() tells folder (below path, may be empty), name and content. A task that is run again replaces its
+    files by equal ones."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = pafs.FileSystem.from_uri(path)
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                folder = f"{root}/{r.video_id}"
+                below, name, content = named(r)
+                folder = f"{root}/{below}".rstrip("/")
                 fs.create_dir(folder, recursive=True)
                 hidden = f"{folder}/.{uuid.uuid4().hex}"
                 with fs.open_output_stream(hidden) as out:
-                    out.write(to_netpbm(r.px, r.width, r.height, r.channels, r.bits))
-                fs.move(hidden, f"{folder}/{r.name}")
+                    out.write(content)
+                fs.move(hidden, f"{folder}/{name}")
             yield pd.DataFrame({"n": [len(pdf)]})
 
-    frames.select("video_id", "name", "px", "width", "height", "channels", "bits").mapInPandas(run, "n bigint").agg(F.sum("n")).collect()
+    rows.mapInPandas(run, "n bigint").agg(F.sum("n")).collect()
+
+
+def write_frame_files(frames: DataFrame, path: str) -> None:
+    """A netpbm file for each frame (video_id, name, px, width, height, channels, bits) under its video's folder."""
+    rows = frames.select("video_id", "name", "px", "width", "height", "channels", "bits")
+    write_files(rows, path, lambda r: (str(r.video_id), r.name, to_netpbm(r.px, r.width, r.height, r.channels, r.bits)))
 
 
 def write_frames(frames: DataFrame, path: str) -> None:
@@ -137,6 +161,27 @@ def with_size_mismatch(results: DataFrame, videos: DataFrame) -> DataFrame:
     return results.join(sizes, "video_id", "left").withColumn("size_mismatch", (F.col("width") != F.col("_w")) | (F.col("height") != F.col("_h"))).drop("_w", "_h")
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    """Rendered frames in order: files hold ranges of video and index, so that a long video spreads over tasks."""
-    chronological(results).write.mode("overwrite").parquet(path)
+def frame_counts(frames: DataFrame) -> DataFrame:
+    """A catalog from frames' keys: video_id and frame_count, one more than the last index."""
+    return frames.groupBy("video_id").agg((F.max("frame_idx") + 1).alias("frame_count"))
+
+
+def in_order(rows: DataFrame, catalog: DataFrame, size: int = FRAMES, *then: str) -> DataFrame:
+    """O1: rows (video_id, frame_idx) in order over all partitions and in each, a part of `size` frame numbers in each partition. Where
+    parts begin follows from the catalog (video_id, frame_count): rows move once, straight to their part, and none is sampled.
+    then: columns that order rows of the same frame."""
+    begins = cuts(catalog, "video_id", "frame_count", size)
+    part = part_of(begins)(F.col("video_id"), F.col("frame_idx"))
+    return rows.repartitionById(len(begins) + 1, part).sortWithinPartitions("video_id", "frame_idx", *then)
+
+
+def write_results(results: DataFrame, path: str, catalog: DataFrame | None = None, size: int = FRAMES) -> None:
+    """Rendered frames in order, within files and over them: a file for each `size` frame numbers of the catalog (video_id,
+    frame_count; without one, of the results' own keys), so that a long video spreads over tasks."""
+    in_order(results, frame_counts(results) if catalog is None else catalog, size).write.mode("overwrite").parquet(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """Results with `place`, where each row stands in the files, in the order of their names and of their rows."""
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return ranked(rows, [], ["_file", "_row"], "place").drop("_file", "_row")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.operators.prompts import tidy_prompts
 from framewright.schemas import PROMPT_FILE
+from framewright.sources.frames import write_files
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
@@ -17,3 +18,8 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     if not prompts.limit(1).count():
         raise ValueError(f"no prompts in {path}")
     return prompts
+
+
+def write_prompt_files(texts: DataFrame, path: str) -> None:
+    """A prompt file for each row: name and text (JSON)."""
+    write_files(texts.select("name", "text"), path, lambda r: ("", r.name, r.text.encode()))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.functions.scalar import bytes_of, gray_to_rgb
-from framewright.operators.frames import assign_frame_idx, to_uint8
+from framewright.operators.frames import to_uint8
 from framewright.operators.metrics import frame_dt
 from framewright.schemas import BACKENDS
 
@@ -64,9 +64,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A frame for each event of a user, by name order; sizes vary."""
+    """A frame for each event of a user, numbered by its name; sizes vary."""
     rows = events(spark, sf_dir).select(F.col("user_id").alias("video_id"), F.format_string("frame_%06d.tiff", "seq").alias("name"), (F.col("k") % 3 + 640).cast("int").alias("width"), (F.col("k") % 2 + 480).cast("int").alias("height"), "ts", "value", "k")
-    return assign_frame_idx(rows, ["name"])
+    return rows.withColumn("frame_idx", F.regexp_extract("name", r"(\d+)", 1).cast("bigint"))
 
 
 def event_timings(spark: SparkSession, sf_dir: str) -> DataFrame:

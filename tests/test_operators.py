@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import struct
 
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -191,7 +192,8 @@ def test_blending_a_frame_is_blending_its_pixels(spark, values, layers, alpha):
     rgb = bytes(values[: len(values) // 3 * 3])
     n = len(rgb) // 3
     layers = [{"runs": [{"start": s, "len": min(k, n - s)}], "colour": one(spark, scalar.colour_rgb(F.lit(o)))} for o, s, k in layers if s < n]
-    got = overlay.blended(rgb, layers, alpha)
+    runs = [(np.array([x["runs"][0]["start"]]), np.array([x["runs"][0]["len"]])) for x in layers]
+    got = overlay.blended(rgb, runs, [np.array(x["colour"]) for x in layers], alpha)
     for p in range(n):
         for c in range(3):
             v = rgb[3 * p + c]
