@@ -288,7 +288,12 @@ def fps_summary(spark, sf_dir):
     return metrics.fps_summary(views.timings(spark, sf_dir), WARMUP).select("run_id", "frames", _r("total_s"), _r("avg_fps_all"), "warmup", "kept_frames", _r("avg_fps_post_warmup"))
 
 
-@query(_SUMMARY + "SELECT run_id, frame_idx, round(CASE WHEN dt > 0 THEN 1 / dt ELSE 0 END, 9) AS fps, CASE WHEN warmup > 0 THEN -0.5::DOUBLE END AS span_lo, CASE WHEN warmup > 0 THEN (warmup - 0.5)::DOUBLE END AS span_hi, CASE WHEN avg_fps_post_warmup > 0 THEN round(avg_fps_post_warmup, 9) END AS avg_line FROM t JOIN s USING (run_id)")
+@query(
+    _TIMINGS.replace(" MATERIALIZED", "")
+    + f""", n AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS n FROM t), w AS (SELECT *, CASE WHEN n > 1 THEN greatest(0, least({WARMUP}, n - 1)) ELSE 0 END AS w FROM n),
+k AS (SELECT *, sum(CASE WHEN frame_idx >= w THEN dt END) OVER (PARTITION BY run_id) AS kept FROM w)
+SELECT run_id, frame_idx, round(CASE WHEN dt > 0 THEN 1 / dt ELSE 0 END, 9) AS fps, CASE WHEN w > 0 THEN -0.5::DOUBLE END AS span_lo, CASE WHEN w > 0 THEN (w - 0.5)::DOUBLE END AS span_hi, CASE WHEN kept > 0 THEN round((n - w) / kept, 9) END AS avg_line FROM k"""
+)
 def fps_series(spark, sf_dir):
     """S10, P10"""
     return metrics.fps_series(views.timings(spark, sf_dir), WARMUP).select("run_id", "frame_idx", _r("fps"), F.col("span_lo").cast("double").alias("span_lo"), F.col("span_hi").cast("double").alias("span_hi"), _r("avg_line"))
