@@ -74,7 +74,7 @@ def _slot_counts(k: int):
 def _anchored(k: int, share: int, levels):
     """id, n, sig, anchors, sketch. An anchor is a shingle and a band of sizes; the first shingles of the global order,
     level of commonness, then hash, give a set's anchors."""
-    width = 4 * np.log(100 / share)
+    width = 4 * np.log(100 / share) or 1.0  # at 100 sets link only within their class, and no anchor decides anything
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -339,6 +339,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         apart = materialise(classes.select("sig", "rep").join(several.withColumnRenamed("id", "rep"), "rep", "left_semi").withColumn("own", over + F.monotonically_increasing_id()), "apart")
         classes = classes.join(apart.select("sig", "own"), "sig", "left").withColumn("node", F.coalesce("own", "rep")).drop("own")
         edges = named.join(several, "id", "left_semi").join(classes.select("sig", "node"), "sig").select(F.col("id").alias("u"), F.col("node").alias("v"))
+    if share == 100:  # equal sets are one class already
+        found = components(edges) if edges is not None else None
+        return _named_components(sets, named, classes, found, id_col)
     held = classes.select(F.col("node").alias("id"), F.explode("anchors").alias("anchor"))
     pivots = held.groupBy("anchor").agg(F.min("id").alias("g"), F.count("*").alias("c")).filter("c > 1").select("anchor", "g")
     regions = materialise(held.join(pivots, "anchor").select("g", "id").distinct(), "regions")
@@ -375,8 +378,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         rest = materialise(rest.select(F.xxhash64("g", "at", F.lit(depth)).alias("g"), "id").distinct(), "cells")
         depth += 1
 
-    found = components(edges)
-    of_class = classes.select("sig", "rep", "node").join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("sig", F.coalesce("component", "rep").alias("component"))
+    return _named_components(sets, named, classes, components(edges), id_col)
+
+
+def _named_components(sets: DataFrame, named: DataFrame, classes: DataFrame, found: DataFrame | None, id_col: str) -> DataFrame:
+    """The rows of near_duplicates, from the components of classes that links join (node, component)."""
+    of_class = classes.select("sig", F.col("rep").alias("component"))
+    if found is not None:
+        joined = classes.select("sig", "rep", "node").join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+        of_class = joined.select("sig", F.coalesce("component", "rep").alias("component"))
     full = named.join(of_class, "sig").select("id", "n", "component")
     rest = sets.filter("sig is null or id is null").select("id", "n", F.col("id").alias("component"))
     return full.unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

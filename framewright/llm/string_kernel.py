@@ -51,6 +51,9 @@ class KernelModel:
     held: np.ndarray  # n-grams x landmarks, 1 where present, over the root of the landmark's number of n-grams
     weights: np.ndarray  # landmarks x languages
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_place"}  # a table of 67 MB that each worker makes for itself
+
     def kernel(self, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Texts x landmarks."""
         if not hasattr(self, "_place"):
@@ -136,14 +139,16 @@ def _usable(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, max_
     return labelled.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), F.col(lang_col)).filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col("text").rlike(r"\p{L}"))
 
 
-def least_scores(model: KernelModel, held_out: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 2000, max_bytes: int = 1 << 16) -> list[float]:
-    """For each class of SIZES (and what is longer) a low threshold of the score: 0.95 times the least that a bounded sample
-    of labelled rows that the model hasn't seen reaches, at most 0.5 (where the best language is as likely not it); 0
-    without such rows."""
-    texts = pa.array([t for _, t in _sample(_usable(held_out, id_col, text_col, lang_col, max_bytes), id_col, lang_col, max_rows)], pa.string())
-    scores = np.array(model.predict(texts)[1] if len(texts) else [])
-    sizes = np.searchsorted(SIZES, [len(t.encode()) for t in texts.to_pylist()], "right")
-    return [min(0.5, 0.95 * float(scores[sizes == i].min())) if (sizes == i).any() else 0.0 for i in range(len(SIZES) + 1)]
+def least_scores(model: KernelModel, held_out: DataFrame, *, text_col: str = "text", lang_col: str = "lang", share: float = 0.0001) -> list[float]:
+    """For each class of SIZES (and what is longer) a low threshold of the score: 0.95 times the quantile `share` of the scores of all
+    labelled rows that the model hasn't seen, at most 0.5 (where the best language is as likely not it); 0 without such rows.
+    One pass over them, with quantiles of bounded size; no row goes to the driver."""
+    rows = held_out.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    size = F.octet_length("text")
+    kind = sum((F.when(size >= most, 1).otherwise(0) for most in SIZES), F.lit(0))
+    found = with_language(rows.withColumn("_kind", kind), model).groupBy("_kind").agg(F.percentile_approx("score", share, 100_000).alias("low")).collect()  # a row a class
+    low = {r["_kind"]: r["low"] for r in found}
+    return [min(0.5, 0.95 * low[i]) if i in low else 0.0 for i in range(len(SIZES) + 1)]
 
 
 def predicted(text: Column, model: KernelModel, spark) -> Column:

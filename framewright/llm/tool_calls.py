@@ -102,12 +102,12 @@ def levels(calls: DataFrame) -> DataFrame:
     edges = calls.select(*key, F.explode(F.array_distinct("depends_on")).alias("needs"))
     edges = materialise(edges.join(calls.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"]), "needs")
     fan = edges.groupBy(*key).agg(F.count("*").alias("k"), F.min("needs").alias("needs"))
-    state = calls.select(*key).join(fan, key, "left").select(*key, F.when(F.col("k") == 1, F.col("needs")).alias("to"), F.when(F.col("k") == 1, 1).alias("far"), F.when(F.col("k").isNull(), 0).alias("level"))
+    state = calls.select(*key).join(fan, key, "left").select(*key, F.when(F.col("k") == 1, F.col("needs")).alias("to"), F.when(F.col("k") == 1, F.lit(1).cast("bigint")).alias("far"), F.when(F.col("k").isNull(), 0).alias("level"))
     state = materialise(state, "levels")
     many = edges.join(fan.filter("k > 1").select(*key), key, "left_semi")
     any_many = bool(many.limit(1).count())
     longest = calls.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    idle, before = 0, None
+    idle, before, rounds = 0, None, 0
     while idle <= longest.bit_length():
         left = state.filter("level is null").count()
         idle = idle + 1 if left == before else 0
@@ -117,7 +117,10 @@ def levels(calls: DataFrame) -> DataFrame:
         other = state.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("to2"), F.col("far").alias("far2"), F.col("level").alias("level2"))
         moved = state.join(other, ["conv_id", "to"], "left")
         level = F.coalesce(F.col("level"), F.col("level2") + F.col("far"))
-        state = moved.select(*key, F.coalesce("to2", "to").alias("to"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), level.alias("level"))
+        # after as many rounds as the longest chain could need, pointers that still move go round in a circle: they stay
+        doubling, rounds = rounds <= longest.bit_length(), rounds + 1
+        to, far = (F.coalesce("to2", "to"), F.col("far") + F.coalesce("far2", F.lit(0).cast("bigint"))) if doubling else (F.col("to"), F.col("far"))
+        state = moved.select(*key, to.alias("to"), far.alias("far"), level.cast("int").alias("level"))
         if any_many:
             ready = many.join(moved.filter("level is not null").select("conv_id", F.col("call_id").alias("needs"), F.col("level").alias("l")), ["conv_id", "needs"], "left").groupBy(*key).agg(F.max("l").alias("l"), F.min(F.col("l").isNotNull()).alias("all")).filter("all").select(*key, (F.col("l") + 1).alias("own"))
             state = state.join(ready, key, "left").select(*key, "to", "far", F.coalesce("level", "own").cast("int").alias("level"))

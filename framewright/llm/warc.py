@@ -1,13 +1,16 @@
 """WARC archives as a PySpark Python data source, for reading and writing.
 
-Reading: one partition for each group of files of up to `partition_bytes`; a file is one stream of gzip members, one
-for each record. Each member tells its compressed size in its extra field (the `sl` field of the WARC standard's
-annex), so that a reader which has inflated only the headers can pass over the rest. Predicates on record_type and
-on the other header columns are pushed down and decide before a payload is inflated; without the payload column
-(option payload=false) none is. Members without that field, or with several records, are inflated in full.
-
-Writing: each task writes one file under a name that its partition fixes, first under a temporary name; a task that
-is run again replaces the file by an equal one, so that lost executors do no harm. Files are reached by
+Reading: archives (.warc.gz and .warc) of a folder and those below it, or a single one; one partition for each group of files
+of up to `partition_bytes`. A compressed file is one stream of gzip members, one for each record. Each member tells its
+compressed size in its extra field (the `sl` field of the WARC standard's annex), so that a reader which has inflated only
+the headers can pass over the rest; in a plain file the record's length does. Predicates on record_type and on the other
+header columns are pushed down and decide before a payload is inflated; without the payload column (option
+payload=false) none is. Members without that field, or with several records, are inflated in full. Header names are
+taken in any case, values with or without white space around them, in UTF-8 or Latin-1.
+
+Writing: each task writes files of up to `file_bytes` under names that no other write has, hidden until the write is
+committed; appending leaves the archives that are there, overwriting replaces them. A task that is run again writes other
+hidden files, and only those of one attempt are published, so that lost executors do no harm. Files are reached by
 pyarrow.fs, so that any store that it knows will do.
 
 Duplicates: of records with equal payloads the one with the least id is the response, the others revisit it.
@@ -24,6 +27,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -45,6 +49,16 @@ def _store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
+def _archives(fs: pafs.FileSystem, path: str) -> list[pafs.FileInfo]:
+    """Archives in a folder and the folders below it, or the one at the path; hidden names, and what is in hidden folders, are left out."""
+    info = fs.get_file_info(path)
+    if info.type == pafs.FileType.File:
+        return [info]
+    found = fs.get_file_info(pafs.FileSelector(path, recursive=True, allow_not_found=True))
+    shown = lambda i: not any(p[0] in "._" for p in i.path[len(path.rstrip("/")) + 1 :].split("/"))
+    return sorted((i for i in found if i.is_file and i.base_name.endswith((".warc.gz", ".warc")) and shown(i)), key=lambda i: i.path)
+
+
 def member(record: bytes, level: int = 1) -> bytes:
     """A gzip member whose extra field holds its own size and the record's."""
     deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
@@ -69,8 +83,54 @@ def record(row: dict) -> bytes:
 
 
 def parse_headers(head: bytes) -> dict[str, str]:
-    lines = head.decode().split("\r\n")[1:]
-    return {k.lower(): v for k, _, v in (line.partition(": ") for line in lines if line)}
+    """Fields of a record's head by lower-case name: in UTF-8 or, where it isn't that, Latin-1; white space around values goes, lines that
+    begin with it carry the one before on."""
+    try:
+        text = head.decode()
+    except UnicodeDecodeError:
+        text = head.decode("latin-1")
+    fields, name = {}, ""
+    for line in text.split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            fields[name] += " " + line.strip()
+        elif line:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            fields[name] = value.strip()
+    return fields
+
+
+def _length(fields: dict[str, str]) -> int:
+    try:
+        return int(fields["content-length"])
+    except (KeyError, ValueError):
+        raise ValueError(f"a record without a length: {fields}") from None
+
+
+def plain_records(stream, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """records() of an archive that isn't compressed: what isn't wanted is passed over without being read."""
+    data, size = b"", stream.size()
+    while True:
+        data = data.lstrip(b"\r\n")
+        while (end := data.find(b"\r\n\r\n")) < 0:
+            more = stream.read(1 << 16)
+            if not more:
+                if data.strip():
+                    raise ValueError("a record ends within its headers")
+                return
+            data = (data + more).lstrip(b"\r\n")
+        fields, body = parse_headers(data[:end]), data[end + 4 :]
+        n, ok = _length(fields), wanted(fields)
+        data, missing = body[n:], n - len(body)
+        if missing > 0:
+            if stream.tell() + missing > size:
+                raise ValueError("a record is cut off")
+            if ok and payloads:
+                body += stream.read(missing)
+            else:
+                stream.seek(missing, 1)
+        if ok:
+            yield fields, body[:n] if payloads else None
 
 
 def records(stream, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
@@ -98,7 +158,7 @@ def records(stream, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], by
         head, _, body = text.partition(b"\r\n\r\n")
         fields = parse_headers(head)
         ok = wanted(fields)
-        alone = size and struct.unpack("<I", extra[4:])[0] == len(head) + 8 + int(fields["content-length"])
+        alone = size and struct.unpack("<I", extra[4:])[0] == len(head) + 8 + _length(fields)
         if alone and not (ok and payloads):  # on to the next member without inflating this one
             if data and size <= len(data):
                 data = data[size:]
@@ -118,7 +178,7 @@ def records(stream, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], by
             rest = b""
         data, body = inflate.unused_data, b"".join(parts)
         while True:  # a member may hold several records
-            end = int(fields["content-length"])
+            end = _length(fields)
             if len(body) < end:
                 raise ValueError("a record is cut off")
             if ok:
@@ -155,7 +215,9 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         fs, path = _store(self.path)
-        infos = sorted((i for i in fs.get_file_info(pafs.FileSelector(path)) if i.is_file and i.base_name.endswith(".warc.gz") and i.base_name[0] not in "._"), key=lambda i: i.path)
+        infos = _archives(fs, path)
+        if not infos and fs.get_file_info(path).type == pafs.FileType.NotFound:
+            raise FileNotFoundError(self.path)
         groups, size = [], 0
         for i in infos:
             if not groups or size + i.size > self.per:
@@ -172,9 +234,11 @@ class WarcReader(DataSourceReader):
         rows, held = [], 0
         for path in partition.paths:
             with fs.open_input_file(path) as stream:
-                for fields, payload in records(stream, takes, self.payloads):
+                packed = stream.read(2) == b"\x1f\x8b"
+                stream.seek(0)
+                for fields, payload in (records if packed else plain_records)(stream, takes, self.payloads):
                     row = {c: fields.get(name.lower()) for c, name in HEADERS.items()}
-                    row["payload_bytes"] = int(row["payload_bytes"] or fields["content-length"])
+                    row["payload_bytes"] = int(row["payload_bytes"] or _length(fields))
                     rows.append(row | {"payload": payload})
                     held += len(payload or b"")
                     if held > 4 << 20 or len(rows) >= 5000:
@@ -187,33 +251,62 @@ class WarcReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds.get(c, pa.string())) for c in self.columns], names=self.columns)
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    """Files of a task: hidden names that become visible when the write is committed."""
+
+    hidden: list[str]
+
+
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.path, self.level = options["path"], int(options.get("level", 1))
+    """Files are named by the write, the task and a number. They are hidden until all tasks are done: commit() publishes those
+    of the attempts that count, for an overwrite in place of all archives that were there, and deletes what other
+    attempts of this write left; abort() deletes all of them that are there by then. What a task writes that is killed later
+    stays hidden and is never read."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.level, self.overwrite = options["path"], int(options.get("level", 1)), overwrite
+        self.most, self.run = int(options.get("file_bytes", 256 << 20)), uuid.uuid4().hex
 
     def write(self, batches):
         from pyspark import TaskContext
 
         fs, path = _store(self.path)
         fs.create_dir(path, recursive=True)
-        final = f"{path}/part-{TaskContext.get().partitionId():06d}.warc.gz"
-        hidden = f"{path}/.{uuid.uuid4().hex}"
-        with fs.open_output_stream(hidden) as out:
-            for batch in batches:
-                for i in range(0, batch.num_rows, 64):
-                    for row in batch.slice(i, 64).to_pylist():
-                        out.write(member(record(row), self.level))
-        if fs.get_file_info(final).type != pafs.FileType.NotFound:
-            fs.delete_file(final)
-        fs.move(hidden, final)
-        return WriterCommitMessage()
+        attempt, hidden = uuid.uuid4().hex, []
+        rows = (row for batch in batches for i in range(0, batch.num_rows, 64) for row in batch.slice(i, 64).to_pylist())
+        row = next(rows, None)
+        while row is not None or not hidden:
+            hidden.append(f".{self.run}-{attempt}-part-{TaskContext.get().partitionId():05d}-{len(hidden):03d}-{self.run}.warc.gz")
+            with fs.open_output_stream(f"{path}/{hidden[-1]}", compression=None) as out:
+                while row is not None and out.tell() < self.most:
+                    out.write(member(record(row), self.level))
+                    row = next(rows, None)
+        return _Written(hidden)
+
+    def _own(self, fs, path: str) -> list[str]:
+        found = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
+        return [i.path for i in found if i.base_name.startswith(f".{self.run}-")]
+
+    def commit(self, messages):
+        fs, path = _store(self.path)
+        fs.create_dir(path, recursive=True)
+        for i in _archives(fs, path) if self.overwrite else []:
+            fs.delete_file(i.path)
+        for m in messages:
+            for name in m.hidden if m is not None else []:
+                fs.move(f"{path}/{name}", f"{path}/{name.split('-', 2)[2]}")
+        for left in self._own(fs, path):
+            fs.delete_file(left)
 
     def abort(self, messages):
-        """Files under temporary names are never read."""
+        fs, path = _store(self.path)
+        for left in self._own(fs, path):
+            fs.delete_file(left)
 
 
 class WarcSource(DataSource):
-    """spark.read.format("warc").load(path) and df.write.format("warc").mode("append").save(path)."""
+    """spark.read.format("warc").load(path) and df.write.format("warc").mode("append" or "overwrite").save(path)."""
 
     @classmethod
     def name(cls) -> str:
@@ -226,7 +319,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options, schema)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -258,9 +351,9 @@ def as_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     )
 
 
-def write(records_df: DataFrame, path: str) -> None:
+def write(records_df: DataFrame, path: str, mode: str = "append") -> None:
     records_df.sparkSession.dataSource.register(WarcSource)
-    records_df.write.format("warc").mode("append").save(path)
+    records_df.write.format("warc").mode(mode).save(path)
 
 
 def read(spark: SparkSession, path: str, *, payload: bool = True) -> DataFrame:

@@ -6,15 +6,19 @@ import base64
 import gzip
 import hashlib
 import json
+import math
+import pickle
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.llm import multiprobe_lsh, queries, tool_calls, url_boosting, warc
+from framewright.llm import multiprobe_lsh, queries, string_kernel, tool_calls, url_boosting, warc
 
 
 def test_neighbours_recall_and_order(spark, sf_dir):
@@ -319,6 +323,20 @@ def test_stages_on_odd_tables(spark, sf_dir):
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
 
 
+def _by_score(spark, sf_dir, docs):
+    """What the language stage keeps, by the model's scores and plain thresholds."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    model = string_kernel.fit(rows.filter(~held_out))
+    langs, scores = model.predict(pa.array(list(docs.values()), pa.string()))
+    lang = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{sf_dir}/documents.parquet'").fetchall())
+    kind = lambda t: sum(len(t.encode()) >= most for most in string_kernel.SIZES)
+    judged = {i: (pred, score, kind(t or "")) for (i, t), pred, score in zip(docs.items(), langs, scores, strict=True)}
+    seen = [[score for i, (pred, score, k) in judged.items() if k == c and lang[i] is not None and pred != "und" and zlib.crc32(str(i).encode()) % 3 == 1] for c in range(3)]
+    needed = [min(0.5, 0.95 * sorted(x)[max(0, math.ceil(0.0001 * len(x)) - 1)]) if x else 0.0 for x in seen]
+    return {i: docs[i] for i, (pred, score, k) in judged.items() if pred != "und" and score >= needed[k] - 1e-9}
+
+
 def test_pipeline(spark, sf_dir):
     """run() against its decisions worked out apart."""
     pipeline = pytest.importorskip("corpus_pipeline")
@@ -329,10 +347,77 @@ def test_pipeline(spark, sf_dir):
     items = [LETTERS.findall(lower(t)) for (t,) in con.sql(f"SELECT text FROM '{sf_dir}/benchmark.parquet'").fetchall()]
     windows = {tuple(w[i : i + 10]) for w in items for i in range(len(w) - 9)}
     assert all(len(w) >= 10 for w in items)
-    kept = {i: t for i, t in docs.items() if any(c.isalpha() for c in t or "")}
+    kept = _by_score(spark, sf_dir, docs)
     kept = {i: t for i, t in kept.items() if brute[i][1] == i} if (brute := brute_components(kept, 5, 80)) else {}
     clean = {i for i, t in kept.items() if not any(tuple(w[j : j + 10]) in windows for w in [LETTERS.findall(lower(t))] for j in range(len(w) - 9))}
     got = pipeline.run(spark, sf_dir).toPandas()
     assert set(got.doc_id) == clean and len(got) == len(clean)
     for r in got.itertuples():
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def test_archives_are_appended_and_overwritten(spark, tmp_path):
+    pages = lambda a, b: spark.range(a, b).select(F.col("id").alias("page_id"), F.lit("http://a/").alias("url"), F.concat(F.lit("page "), F.col("id").cast("string")).alias("html")).repartition(3)
+    path = f"{tmp_path}/w"
+    ids = lambda: sorted(r.i for r in warc.read(spark, path).select(warc.page_number(F.col("record_id")).alias("i")).collect())
+    warc.write(warc.as_records(pages(0, 10)), path)
+    warc.write(warc.as_records(pages(10, 20)), path)
+    assert ids() == list(range(20))
+    warc.write(warc.as_records(pages(30, 34)), path, "overwrite")
+    assert ids() == [30, 31, 32, 33]
+    (tmp_path / "w" / "sub").mkdir()
+    (tmp_path / "w" / "_hidden").mkdir()
+    next((tmp_path / "w").glob("*.warc.gz")).rename(tmp_path / "w" / "sub" / "x.warc.gz")
+    assert ids() == [30, 31, 32, 33] and not list((tmp_path / "w").glob(".*"))
+
+
+def test_an_aborted_write_leaves_nothing(spark, tmp_path):
+    path = f"{tmp_path}/w"
+    bad = spark.range(40).repartition(4).select(F.lit("response").alias("record_type"), F.when(F.col("id") < 39, "<urn:x>").otherwise(F.raise_error(F.lit("stop"))).alias("record_id"), *[F.lit(None).cast("string").alias(c) for c in ("target_uri", "payload_digest", "refers_to")], F.lit(1).cast("bigint").alias("payload_bytes"), F.lit(b"x").alias("payload"))
+    with pytest.raises(Exception, match="stop"):
+        warc.write(bad, path)
+    assert not list((tmp_path / "w").glob("[!.]*")) and not warc.read(spark, path).count()
+
+
+def test_small_files_when_asked(spark, tmp_path):
+    rows = warc.as_records(spark.range(30).select(F.col("id").alias("page_id"), F.lit("http://a/").alias("url"), F.sha2(F.col("id").cast("string"), 512).alias("html")).coalesce(1))
+    rows.sparkSession.dataSource.register(warc.WarcSource)
+    rows.write.format("warc").option("file_bytes", 1000).mode("append").save(f"{tmp_path}/w")
+    assert len(list((tmp_path / "w").glob("*.warc.gz"))) > 5 and warc.read(spark, f"{tmp_path}/w").count() == 30
+
+
+def test_archives_of_others(spark, tmp_path):
+    def raw(n, head, body):
+        return b"\r\n".join([b"WARC/1.0", *head, b"Content-Length:%d" % len(body), b"", body]) + b"\r\n\r\n"
+
+    blocks = [raw(1, [b"warc-type:response", b"WARC-Record-ID:  <urn:page:1> ", b"WARC-Target-URI: http://x/", b"\t?q=1"], b"one"), raw(2, ["WARC-Type: request".encode(), "WARC-Record-ID:<urn:page:2>".encode(), "WARC-Target-URI: http://é/".encode("latin-1")], b"x" * 200_000), raw(3, [b"WARC-TYPE:response", b"WARC-Record-ID:<urn:page:3>"], b"")]
+    for name, data in (("a/plain.warc", b"".join(blocks)), ("packed.warc.gz", b"".join(gzip.compress(b) for b in blocks)), ("also.warc.gz", b"".join(blocks))):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    for path, times in ((f"{tmp_path}", 3), (f"{tmp_path}/a/plain.warc", 1), (f"{tmp_path}/packed.warc.gz", 1)):
+        got = sorted((r.record_id, r.target_uri or "", r.payload_bytes, len(r.payload)) for r in warc.read(spark, path).collect())
+        assert got == sorted([("<urn:page:1>", "http://x/ ?q=1", 3, 3), ("<urn:page:2>", "http://é/", 200_000, 200_000), ("<urn:page:3>", "", 0, 0)] * times)
+        assert warc.read(spark, path, payload=False).filter("record_type = 'response'").count() == 2 * times
+    (tmp_path / "bad.warc").write_bytes(blocks[1][:-100_000])
+    for payload in (True, False):
+        with pytest.raises(Exception, match="cut off"):
+            warc.read(spark, f"{tmp_path}/bad.warc", payload=payload).collect()
+    with pytest.raises(Exception, match="nowhere"):
+        warc.read(spark, f"{tmp_path}/nowhere").collect()
+
+
+def test_a_circle_beside_a_deep_ladder(spark):
+    rows = [(1, "a", ["b"]), (1, "b", ["a"]), (1, "c", ["a", None])]
+    for i in range(40):  # each rung needs both calls of the one below
+        rows += [(2, f"{i:02d}{x}", [f"{i - 1:02d}l", f"{i - 1:02d}r"] if i else None) for x in "lr"]
+    rows += [(3, f"{i:03d}", [f"{i - 1:03d}"] if i else []) for i in range(100)]
+    calls = spark.createDataFrame(rows, "conv_id bigint, call_id string, depends_on array<string>")
+    got = {(r.conv_id, r.call_id): r.level for r in tool_calls.levels(calls).collect()}
+    assert got == {(2, f"{i:02d}{x}"): i for i in range(40) for x in "lr"} | {(3, f"{i:03d}"): i for i in range(100)}
+
+
+def test_the_broadcast_model_is_small(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = string_kernel.fit(rows)
+    model.predict(pa.array(["some text"]))
+    assert len(pickle.dumps(model)) < 5 << 20

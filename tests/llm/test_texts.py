@@ -125,7 +125,7 @@ def brute_components(own, k, share):
     return {i: (len(sets[i]), label[i]) for i in own}
 
 
-@pytest.mark.parametrize(("k", "share", "leaf", "sketched"), [(3, 90, 256, 2048), (5, 80, 2, 2), (2, 60, 3, 2048)])
+@pytest.mark.parametrize(("k", "share", "leaf", "sketched"), [(3, 90, 256, 2048), (5, 80, 2, 2), (2, 60, 3, 2048), (3, 100, 256, 2048)])
 def test_metric_join(docs, k, share, leaf, sketched):
     found = metric_join.near_duplicates(docs, k=k, share=share, leaf=leaf, sketched=sketched).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(texts(docs), k, share)
