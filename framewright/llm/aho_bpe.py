@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Pre-tokens, and pairs of tokens, that a worker remembers; beyond it each table starts anew.
 KEPT = 300_000
+#: Longer ones aren't kept, so that what is kept is bounded in bytes.
+LONGEST = 64
 NEVER = 1 << 60
 
 
@@ -40,6 +42,7 @@ class ByteBPE:
             self.auto.add_word(token.decode("latin-1"), rank)
         self.auto.make_automaton()
         self.length = [len(b) for b in self.bytes]
+        self.spelt = [b or None for b in self.bytes]  # null where ranks have a hole
         self.most = max(self.length)
         self.shorter = [next((self.ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ranks), -1) for t in self.bytes]
         self.pattern = regex.compile(pattern)
@@ -132,10 +135,19 @@ class ByteBPE:
             known.clear()
         for w in set(words).difference(known):
             known[w] = array("i", self.encode_bytes(w.encode())).tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
+        ids = np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
+        for w in {w for w in words if len(w) > LONGEST}:
+            del known[w]
+        return ids
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+        """The bytes of ids; one that the vocabulary doesn't have, or null, is an error."""
+        try:
+            if ids and min(ids) < 0:
+                raise IndexError
+            return b"".join(map(self.spelt.__getitem__, ids))
+        except (IndexError, TypeError):
+            raise ValueError("an id that the vocabulary doesn't have") from None
 
 
 @lru_cache(4)

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Pre-tokens whose counts a worker keeps; beyond it the table starts anew.
 KEPT = 400_000
+#: Longer ones aren't kept, so that what is kept is bounded in bytes.
+LONGEST = 64
 
 
 @lru_cache(1)
@@ -105,7 +107,11 @@ class RankMerger:
             part = new[i : i + 50_000]
             self.known.update(zip(part, self.merged(part).tolist(), strict=True))
         known = self.known.__getitem__
-        return [sum(map(known, s)) + n for s, n in zip(split, extra, strict=True)]
+        counts = [sum(map(known, s)) + n for s, n in zip(split, extra, strict=True)]
+        for w in new:
+            if len(w) > LONGEST:
+                del self.known[w]
+        return counts
 
 
 @lru_cache(4)

@@ -111,7 +111,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     """Per document: id_col, n_words, n_hit, item_ids (sorted as strings), spans (of hit words, [start, stop))."""
     sized = _scanned(items, item_col, text_col, span, k, list(range(1, span)), None).filter("n_words > 0")
     short = [r[0] for r in sized.filter(F.col("n_words") < span).select("n_words").distinct().collect()]  # at most span - 1 lengths
-    prints = sized.select(F.col("id").alias("item"), F.explode("cands").alias("c")).select("item", *[F.col(f"c.{x}").alias(x) for x in ("h", "need", "lead", "ctx")])
+    prints = sized.select(F.col("id").alias("item"), F.explode("cands").alias("c")).select("item", *[F.col(f"c.{x}").alias(x) for x in ("h", "need", "lead", "ctx")]).distinct()
     scanned = _scanned(docs, id_col, text_col, span, k, sorted(short), _bit_map(prints))
     # Documents without a candidate meet no item; a key of their own keeps them from meeting in one task.
     scanned = scanned.withColumn("row", F.monotonically_increasing_id())

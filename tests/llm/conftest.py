@@ -9,7 +9,7 @@ ODD = [None, "", " \t\n", "a", "two words", "TWO words", "日本語 ñandú ß",
 
 @pytest.fixture(scope="session")
 def docs(spark):
-    """Small documents with odd texts, near and exact copies, a repeated row and columns whose names clash."""
+    """Small documents with odd texts, near and exact copies and columns whose names clash."""
     draw = random.Random(5)
     words = ["".join(draw.choice("abcdefgh") for _ in range(draw.randint(1, 6))) for _ in range(60)]
     texts = list(ODD)

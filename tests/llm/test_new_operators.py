@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import itertools
 import random
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from framewright.llm import best_fit, filter_audit, heap_kmeans
+from framewright.llm import aho_bpe, best_fit, filter_audit, heap_kmeans, rank_merge, string_kernel, winnowing
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -184,3 +185,41 @@ def test_far_vectors_are_exact_and_too_far_an_error(spark):
 
 def test_no_vectors(spark):
     assert heap_kmeans.cluster(spark.createDataFrame([], "vec_id bigint, embedding array<float>"))[0].count() == 0
+
+
+def test_repeated_rows_are_rows_of_their_own(spark, docs):
+    bpe_json, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = docs.filter("doc_id in (4, 12, 25)")
+    model = string_kernel.fit(docs)
+    for made in (
+        lambda d: rank_merge.with_token_counts(d, bpe_json, public_tokenizers.PATTERN).select("doc_id", "n_bytes", "n_tokens", "over_limit"),
+        lambda d: aho_bpe.with_round_trip(d, ranks, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"),
+        lambda d: string_kernel.with_language(d, model).select("doc_id", "lang_pred", "score"),
+    ):
+        assert sorted(map(str, made(rows.unionByName(rows)).collect())) == sorted(2 * list(map(str, made(rows).collect())))
+
+
+def test_ids_that_the_vocabulary_lacks(tmp_path):
+    ranks = tmp_path / "ranks"
+    ranks.write_text("".join(f"{base64.b64encode(bytes([i])).decode()} {i if i < 200 else i + 5}\n" for i in range(256)))
+    bpe = aho_bpe.ByteBPE(str(ranks), public_tokenizers.PATTERN)
+    assert bpe.decode([65, 255 + 5]) == b"A\xff" and bpe.decode([]) == b""
+    for bad in (-1, None, 202, 10**6):
+        with pytest.raises(ValueError, match="vocabulary"):
+            bpe.decode([65, bad])
+
+
+def test_long_pre_tokens_are_not_kept():
+    bpe = aho_bpe.ByteBPE(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    merger = rank_merge.RankMerger(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    text = "short " + "x" * 5000 + " short"
+    assert len(bpe.encode(text)) == len(bpe.encode(text)) == merger.count([text])[0] == merger.count([text, text])[1]
+    assert max(map(len, bpe.known)) <= 64 and max(map(len, merger.known)) <= 64
+
+
+def test_items_that_repeat_themselves(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j a b c d e f g h i j"), (2, "x " * 40)], "doc_id bigint, text string")
+    once = [(1, "a b c d e f g h i j"), (2, "x " * 12)]
+    many = [(i, t) for i, t in [(1, ("a b c d e f g h i j " * 30)), (2, "x " * 500)]]
+    got = [sorted((r.doc_id, r.n_hit, tuple(r.item_ids)) for r in winnowing.decontaminate(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()) for items in (once, many)]
+    assert got[0] == got[1] == [(1, 20, ("1",)), (2, 40, ("2",))]
