@@ -9,9 +9,13 @@ equally likely. The end of a text is a symbol too, so that the probabilities of
 The model is a distributed table of all contexts of the training texts with their followers, of which none is pruned; it
 grows with the corpus. Texts are put together to pieces of 16 MB. The different contexts with a follower of a piece are
 dealt out, as packed arrays, by the last two symbols of the context, so that a part holds all longer contexts that end in them and
-works out the probabilities of its own; only the counts of the orders 0 and 1 (at most 257 x 257) are broadcast. Arrays of
-many pieces are added up in a tree of `FAN` at a time. The probabilities are joined to the pieces that hold them, `JOINED`
-pieces of a part at a time, and each piece's texts are scored with just those.
+works out the probabilities of its own. Two symbols that more than one in `SPLIT` of these contexts end in (by measured sizes)
+are dealt out by three, such three by four: by proof at most 257 x 257 different contexts with a follower end in four
+symbols at order 5. What isn't in a part is broadcast: the counts of the orders 0 and 1 (at most 257 x 257) and the
+followers of the suffixes that were split (at most `SPLIT` x 257 of either length). Arrays of many pieces are added up in a
+tree of `FAN` at a time. The probabilities are joined to the pieces that hold them. A part that many pieces hold meets them
+in blocks of no fewer contexts than it has itself (and than `MET`), so that all copies of parts together are no more
+than what the pieces hold: the join grows as the corpus. Each piece's texts are scored with just its own.
 
 The base score is that of single words, with 0.1 added to each count. The different words of a piece, told apart by hashes
 of 64 bits, take the same way: to parts of their own, which add up the counts, and back to the pieces.
@@ -36,8 +40,10 @@ from framewright.llm._words import NOT_SPACE, Words, mix, utf8
 END = 256
 _BITS = 9
 _TABLE = 22
-#: Pieces that a step of the tree adds up, and that meet a part's probabilities at a time.
-FAN, JOINED = 64, 512
+#: Pieces that a step of the tree adds up; numbers of pieces that meet a part's probabilities at a time.
+FAN, MET = 64, 4 << 20
+#: A suffix with more than this share of the numbers is split. Numbers in a row before they are dealt out; most parts.
+SPLIT, CHUNK, PARTS = 2048, 1 << 20, 1 << 17
 
 
 def _codes(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,12 +175,14 @@ def _all_of(rows: pa.Table, column: str, kind=np.int64, ordered: bool = False) -
     return np.concatenate([np.empty(0, kind), *parts])
 
 
-#: A row of numbers (sorted) with counts: how many, and both packed.
-_ROW = "piece bigint, part bigint, size bigint, codes binary, n binary"
+#: A row of numbers (sorted) with counts: how many, both packed, and how many there were before equal ones were added up.
+_ROW = "piece bigint, part bigint, size bigint, codes binary, n binary, held bigint"
+#: What the rows are of before they are dealt out to parts: counts of order 1 (or less), sizes of suffixes, codes, words.
+LOW, SIZES, CODES, WORDS = range(4)
 
 
-def _row(piece: int, part: int, codes: np.ndarray, n: np.ndarray) -> tuple:
-    return piece, part, len(codes), _packed(codes, True), _packed(n)
+def _row(piece: int, part: int, codes: np.ndarray, n: np.ndarray, held: int | None = None) -> tuple:
+    return piece, part, len(codes), _packed(codes, True), _packed(n), len(codes) if held is None else held
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -209,30 +217,27 @@ class _Sum:
         return _summed(self.codes, self.counts)
 
 
-def _piece_codes(order: int, parts: int):
-    """For each piece and part of the model a row with the piece's different codes, sorted, and how often they are in training
-    texts; from part `parts` on the same of words by their hashes; in part -1 the codes of order 1 (or less)."""
-    short = (1 << (_BITS * (min(order, 1) + 1))) - 1
+def _symbols(n: int) -> int:
+    """A mask of n symbols."""
+    return (1 << (_BITS * n)) - 1
 
-    def dealt(piece, c, n, by, first_part):
-        part = (mix(by.view(np.uint64)) % np.uint64(parts)).astype(np.int64) + first_part
-        at = np.argsort(part, kind="stable")
-        part, c, n = part[at], c[at], n[at]
-        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
-        for i in range(0, len(first), 64):
-            ends = np.append(first, len(c))[i : i + 65]
-            yield _batch([_row(piece, int(part[x]), c[x:y], n[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)], _ROW)
+
+def _piece_codes(order: int):
+    """The piece's different codes, sorted, and how often they are in training texts; the same of words by their hashes; the
+    codes of order 1 (or less); how many codes there are for the last three symbols of a context."""
 
     def run(batches):
         piece, codes, words = None, _Sum(), _Sum()
 
         def done():
             c, n = codes.all()
-            low = _summed([c[n > 0] & short], [n[n > 0]])
-            yield _batch([_row(piece, -1, *low)], _ROW)
-            yield from dealt(piece, c, n, c >> _BITS & (1 << (2 * _BITS)) - 1, 0)
-            c, n = words.all()
-            yield from dealt(piece, c, n, c, parts)
+            yield _batch([_row(piece, LOW, *_summed([c[n > 0] & _symbols(min(order, 1) + 1)], [n[n > 0]]))], _ROW)
+            suffix = np.sort((c >> _BITS & _symbols(3)).astype(np.int32)).astype(np.int64)
+            first = np.flatnonzero(np.r_[True, suffix[1:] != suffix[:-1]])
+            yield _batch([_row(piece, SIZES, suffix[first], np.diff(np.append(first, len(suffix))))], _ROW)
+            for kind, (c, n) in ((CODES, (c, n)), (WORDS, words.all())):
+                for i in range(0, len(c), CHUNK):
+                    yield _batch([_row(piece, kind, c[i : i + CHUNK], n[i : i + CHUNK])], _ROW)
 
         for batch in batches:
             for of, blob in zip(batch.column("piece").to_pylist(), batch.column("texts"), strict=True):
@@ -251,24 +256,102 @@ def _piece_codes(order: int, parts: int):
     return run
 
 
-def _numbers(batches):
-    """The numbers of packed rows and their counts, one a row."""
+def _opened_rows(batches):
+    """The rows' columns but for `size`, numbers and counts unpacked."""
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        yield pa.RecordBatch.from_arrays([pa.array(_all_of(rows, "codes", ordered=True)), pa.array(_all_of(rows, "n"))], names=["code", "n"])
+        for piece, part, size, codes, n in zip(*(batch.column(c).to_pylist() for c in ("piece", "part", "size", "codes", "n")), strict=True):
+            yield piece, part, _opened(codes, size, ordered=True), _opened(n, size)
+
+
+_NUMBERS = "depth int, code bigint, n bigint"
+
+
+def _totals(sums: dict[int, _Sum]):
+    """Numbers and counts, one a row."""
+    for depth, added in sums.items():
+        code, n = added.all() if added.codes else (np.empty(0, np.int64),) * 2
+        for i in range(0, len(code), 1 << 16):
+            c = code[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), depth, np.int32)), pa.array(c), pa.array(n[i : i + (1 << 16)])], names=["depth", "code", "n"])
+
+
+def _numbers(batches):
+    """The numbers of all rows and their counts, added up (orders 0 and 1, or suffixes of three symbols: a bounded number)."""
+    out = _Sum()
+    for _, _, code, n in _opened_rows(batches):
+        out.add(code, n)
+    yield from _totals({0: out})
+
+
+def _among(own: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values are among own, sorted."""
+    if not len(own):
+        return np.zeros(len(values), bool)
+    return own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+
+
+class _Units:
+    """How contexts are dealt out: by their last two symbols, or by three or four where those before were split."""
+
+    def __init__(self, split: dict[int, np.ndarray]):
+        self.split = split  # by length, sorted
+        self.pairs = np.zeros(_symbols(2) + 1, bool)
+        self.pairs[split[2]] = True
+
+    def of(self, code: np.ndarray) -> np.ndarray:
+        context = code >> _BITS
+        unit = context & _symbols(2)
+        at = np.flatnonzero(self.pairs[unit])
+        triple = context[at] & _symbols(3)
+        unit[at] = triple | 1 << 60
+        more = np.flatnonzero(_among(self.split[3], triple))
+        unit[at[more]] = context[at[more]] & _symbols(4) | 1 << 61
+        return unit
+
+    def followers(self, order: int):
+        """Codes of the contexts that were split, with their counts: not all of them are in any one part."""
+
+        def run(batches):
+            sums = {2: _Sum(), 3: _Sum()}
+            for _, _, code, n in _opened_rows(batches):
+                code, n = code[n > 0], n[n > 0]
+                for depth in range(2, min(order, 3) + 1):
+                    hot = _among(self.split[depth], code >> _BITS & _symbols(depth))
+                    sums[depth].add(*_summed([code[hot] & _symbols(depth + 1)], [n[hot]]))
+            yield from _totals(sums)
+
+        return run
+
+    def dealt(self, parts: int, counts: bool):
+        """Rows of codes and of words as rows for each part; words have parts of their own, from `parts` on."""
+
+        def run(batches):
+            for piece, kind, code, n in _opened_rows(batches):
+                by = code if kind == WORDS else self.of(code)
+                part = (mix(by.view(np.uint64)) % np.uint64(parts)).astype(np.int64) + (parts if kind == WORDS else 0)
+                at = np.argsort(part, kind="stable")
+                part, code, n = part[at], code[at], n[at]
+                first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                for i in range(0, len(first), 64):
+                    ends = np.append(first, len(code))[i : i + 65]
+                    rows = [_row(piece, int(part[x]), code[x:y], n[x : y if counts else x]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                    yield _batch(rows, _ROW)
+
+        return run
 
 
 def _added(rows: pa.Table) -> pa.Table:
     """The rows of some pieces of a part as one."""
     code, n = _summed([_all_of(rows, "codes", ordered=True)], [_all_of(rows, "n")])
-    return pa.Table.from_batches([_batch([_row(rows["piece"][0].as_py(), rows["part"][0].as_py(), code, n)], _ROW)])
+    return pa.Table.from_batches([_batch([_row(rows["piece"][0].as_py(), rows["part"][0].as_py(), code, n, pc.sum(rows["held"]).as_py())], _ROW)])
 
 
-#: A part of the model: its numbers and what is known of each; of words also how many there are, and different ones.
-_MODEL = "part bigint, size bigint, codes binary, logs binary, total bigint, distinct bigint"
+#: A part of the model: its numbers and what is known of each; of words also how many there are, and different ones; how many
+#: numbers of pieces the part is of.
+_MODEL = "part bigint, size bigint, codes binary, logs binary, total bigint, distinct bigint, held bigint"
 
 
-def _logs(low, order: int, parts: int):
+def _logs(low, split: dict[int, np.ndarray], order: int, parts: int):
     """log10 of the probabilities of a part's codes; those with a count are the part's share of the model. Of words, from part
     `parts` on, the counts."""
 
@@ -278,14 +361,22 @@ def _logs(low, order: int, parts: int):
         if part >= parts:
             out, total, distinct = n.astype(np.float64), int(n.sum()), int(seen.sum())
         else:
-            grams = list(low.value)
-            for j in range(2, order + 1):
-                grams.append(_summed([code[seen] & ((1 << (_BITS * (j + 1))) - 1)], [n[seen]]))
+            orders, grams = low.value, []
+            for j in range(order + 1):
+                if j < 2:
+                    grams.append(orders[j])
+                    continue
+                own, m = _summed([code[seen] & _symbols(j + 1)], [n[seen]])
+                if j in split:  # contexts that were split have followers elsewhere
+                    whole, (others, k) = ~_among(split[j], own >> _BITS), orders[j]
+                    here = _among(np.unique(code >> _BITS & _symbols(j)), others >> _BITS)
+                    own, m = _summed([own[whole], others[here]], [m[whole], k[here]])
+                grams.append((own, m))
             trie = Trie(grams)
             out = np.zeros(len(code))
             out[seen] = trie.log[np.searchsorted(trie.grams[-1][0], code[seen])]
             out[~seen] = trie._backed_off(code[~seen])
-        return pa.Table.from_batches([_batch([(part, len(code), _packed(code, True), _packed(out), total, distinct)], _MODEL)])
+        return pa.Table.from_batches([_batch([(part, len(code), _packed(code, True), _packed(out), total, distinct, pc.sum(rows["held"]).as_py())], _MODEL)])
 
     return run
 
@@ -339,6 +430,22 @@ def _gathered(batches, max_bytes: int = 16 << 20, max_rows: int = 1 << 15):
         yield pa.concat_batches(held)
 
 
+def _arrays(numbers: DataFrame, *depths: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Numbers with their counts by depth, added up and sorted."""
+    found = numbers.groupBy("depth", "code").agg(F.sum("n").alias("n")).toArrow()
+    depth, code, n = (np.array(found[c], np.int64) for c in ("depth", "code", "n"))
+    return {d: _summed([code[depth == d]], [n[depth == d]]) for d in depths or (0,)}
+
+
+def _units(codes: DataFrame) -> _Units:
+    """Suffixes of two and three symbols that more than one in SPLIT codes have are split: fewer than SPLIT of either."""
+    total = codes.filter(F.col("part") == CODES).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    sizes = codes.filter(F.col("part") == SIZES).mapInArrow(_numbers, _NUMBERS).groupBy("code").agg(F.sum("n").alias("n"))
+    large = sizes.rollup(F.col("code").bitwiseAND(_symbols(2)).alias("pair"), "code").agg(F.sum("n").alias("n"), F.grouping_id().alias("all")).filter((F.col("n") * SPLIT > total) & (F.col("all") < 3))
+    found = large.select(F.when(F.col("all") == 1, F.col("pair")).otherwise(F.col("code")).alias("suffix"), F.when(F.col("all") == 1, 2).otherwise(3).alias("length")).collect()
+    return _Units({n: np.array(sorted(r.suffix for r in found if r.length == n), np.int64) for n in (2, 3)})
+
+
 def score(docs: DataFrame, is_training, *, id_col: str = "doc_id", text_col: str = "text", order: int = 5) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; is_training: a condition."""
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(is_training, F.lit(False)).alias("train"))
@@ -346,24 +453,31 @@ def score(docs: DataFrame, is_training, *, id_col: str = "doc_id", text_col: str
     kind = docs.schema["id"].dataType.simpleString()
     texts = materialise(docs.select("id", "train", "text").mapInArrow(_pieces, "piece bigint, n_bytes bigint, n_train bigint, texts binary"), "texts")
     size = texts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count_distinct("piece"), F.coalesce(F.sum("n_train"), F.lit(0))).first()
-    parts, pieces, ends = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size[0] >> 22), size[1], size[2]
-    codes = materialise(texts.mapInArrow(_piece_codes(order, parts), _ROW), "codes")
-    short = min(order, 1)
-    low = codes.filter("part = -1").mapInArrow(_numbers, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    code, n = np.array(low["code"], np.int64), np.array(low["n"], np.int64)
-    shared = spark.sparkContext.broadcast([_summed([code & ((1 << (_BITS * (j + 1))) - 1)], [n]) for j in range(short + 1)])  # of at most 257 x 257 rows
-    codes = codes.filter("part >= 0")
-    summed, blocks = codes, pieces
+    parts, pieces, ends = min(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size[0] >> 22), PARTS), size[1], size[2]
+    codes = materialise(texts.mapInArrow(_piece_codes(order), _ROW), "codes")
+    units = _units(codes)
+    low = _arrays(codes.filter(F.col("part") == LOW).mapInArrow(_numbers, _NUMBERS))  # at most 257 x 257 rows
+    orders = {j: _summed([low[0][0] & _symbols(j + 1)], [low[0][1]]) for j in range(min(order, 1) + 1)}
+    split = {j: units.split[j] for j in range(2, min(order, 3) + 1)}
+    if split and len(units.split[2]):
+        orders |= _arrays(codes.filter(F.col("part") == CODES).mapInArrow(units.followers(order), _NUMBERS), *split)  # at most SPLIT x 257 each
+    else:
+        split = {}
+    shared = spark.sparkContext.broadcast(orders)
+    rows = codes.filter(F.col("part") >= CODES)
+    summed, blocks = rows.mapInArrow(units.dealt(parts, True), _ROW), pieces
     while blocks > FAN:
         blocks = -(-blocks // FAN)
         summed = summed.groupBy("part", F.pmod(F.xxhash64("piece"), F.lit(blocks)).alias("block")).applyInArrow(_added, _ROW)
-    logs = materialise(summed.groupBy("part").applyInArrow(_logs(shared, order, parts), _MODEL), "model")
+    logs = materialise(summed.groupBy("part").applyInArrow(_logs(shared, split, order, parts), _MODEL), "model")
     n, v = logs.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     n, v = n + ends, v + (ends > 0)
     below = float(np.log10(n + 0.1 * (v + 1)))
-    blocks = max(1, -(-pieces // JOINED))
-    logs = logs.select("part", "size", "codes", "logs").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    placed = codes.select("piece", "part", "size", "codes", F.pmod(F.xxhash64("piece"), F.lit(blocks)).cast("bigint").alias("block"))
+    logs = logs.withColumn("blocks", F.ceil(F.col("held") / F.greatest(F.col("size"), F.lit(MET))))
+    many = logs.filter("blocks > 1").select("part", "blocks")
+    logs = logs.select("part", "size", "codes", "logs", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+    placed = rows.mapInArrow(units.dealt(parts, False), _ROW).select("piece", "part", "size", "codes").join(many, "part", "left")
+    placed = placed.select("piece", "part", "size", "codes", F.pmod(F.xxhash64("piece"), F.coalesce("blocks", F.lit(1).cast("bigint"))).alias("block"))
     of_piece = placed.groupBy("part", "block").cogroup(logs.groupBy("part", "block")).applyInArrow(_of_pieces, _FOUND)
     scored = texts.select("piece", "texts").groupBy("piece").cogroup(of_piece.groupBy("piece")).applyInArrow(_scored(order, parts), f"id {kind}, train boolean, n_words bigint, known bigint, base double, score double")
     tokens = F.col("n_words") + 1

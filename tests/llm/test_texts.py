@@ -256,12 +256,41 @@ def test_the_model_split_finer(spark, docs, monkeypatch):
     whole = {r.doc_id: r.score for r in ppm.score(df, train).collect()}
     spark.conf.set("spark.sql.shuffle.partitions", "3")
     monkeypatch.setattr(ppm, "FAN", 2)
-    monkeypatch.setattr(ppm, "JOINED", 2)
+    monkeypatch.setattr(ppm, "MET", 1)
+    monkeypatch.setattr(ppm, "CHUNK", 50)
     try:
-        split = {r.doc_id: r.score for r in ppm.score(df.repartition(9), train).collect()}
+        for share in (1, 30, 1 << 30):  # no suffix, some suffixes and all of them are split
+            monkeypatch.setattr(ppm, "SPLIT", share)
+            split = {r.doc_id: r.score for r in ppm.score(df.repartition(9), train).collect()}
+            assert split == pytest.approx(whole)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
-    assert split == pytest.approx(whole)
+
+
+@pytest.mark.parametrize("order", [0, 2, 3])
+def test_short_orders_split(spark, docs, monkeypatch, order):
+    df, train = docs.select("doc_id", "text"), F.col("doc_id") % 2 == 0
+    scores = []
+    for share in (1, 1 << 30):
+        monkeypatch.setattr(ppm, "SPLIT", share)
+        scores.append({r.doc_id: r.score for r in ppm.score(df, train, order=order).collect()})
+    assert scores[1] == pytest.approx(scores[0])
+
+
+def test_large_suffixes_are_dealt_out_by_more_symbols(spark, docs, monkeypatch):
+    """What is dealt out together is under the share, or ends in the same four symbols."""
+    import numpy as np
+
+    monkeypatch.setattr(ppm, "SPLIT", 200)
+    pieces = docs.selectExpr("doc_id as id", "coalesce(text, '') as text", "doc_id % 2 = 0 as train").coalesce(1).mapInArrow(ppm._pieces, "piece bigint, n_bytes bigint, n_train bigint, texts binary")
+    rows = pieces.mapInArrow(ppm._piece_codes(5), ppm._ROW)
+    units = ppm._units(rows)
+    code = np.concatenate([ppm._opened(r.codes, r.size, ordered=True) for r in rows.filter(F.col("part") == ppm.CODES).collect()])
+    assert len(units.split[2]) and len(units.split[3])
+    unit = units.of(code)
+    for u in np.unique(unit):
+        own = code[unit == u]
+        assert len(own) * 200 <= len(code) or len(np.unique(own >> 9 & ppm._symbols(4))) == 1
 
 
 def test_scores_of_rows_without_an_id(spark):
