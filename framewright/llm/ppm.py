@@ -474,9 +474,9 @@ def score(docs: DataFrame, is_training, *, id_col: str = "doc_id", text_col: str
     n, v = n + ends, v + (ends > 0)
     below = float(np.log10(n + 0.1 * (v + 1)))
     logs = logs.withColumn("blocks", F.ceil(F.col("held") / F.greatest(F.col("size"), F.lit(MET))))
-    many = logs.filter("blocks > 1").select("part", "blocks")
+    many = logs.filter("blocks > 1").select("part", "blocks")  # 2 * PARTS rows at most
     logs = logs.select("part", "size", "codes", "logs", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
-    placed = rows.mapInArrow(units.dealt(parts, False), _ROW).select("piece", "part", "size", "codes").join(many, "part", "left")
+    placed = rows.mapInArrow(units.dealt(parts, False), _ROW).select("piece", "part", "size", "codes").join(F.broadcast(many), "part", "left")
     placed = placed.select("piece", "part", "size", "codes", F.pmod(F.xxhash64("piece"), F.coalesce("blocks", F.lit(1).cast("bigint"))).alias("block"))
     of_piece = placed.groupBy("part", "block").cogroup(logs.groupBy("part", "block")).applyInArrow(_of_pieces, _FOUND)
     scored = texts.select("piece", "texts").groupBy("piece").cogroup(of_piece.groupBy("piece")).applyInArrow(_scored(order, parts), f"id {kind}, train boolean, n_words bigint, known bigint, base double, score double")
