@@ -9,15 +9,15 @@ A document is its set of k-word shingles; the Jaccard distance between sets is a
    each set, each for the set's band of sizes (and for the next if a link can reach it). Linked sets share an anchor.
    The pivot of an anchor is the smallest id that holds it, a pivot's region all classes that share an anchor with
    it; so linked classes meet in a region.
-3. Regions of up to `sketched` classes first meet as sketches: numbers of shingles by hash in about n / 8 buckets, whose
+3. Regions of up to `sketched` classes (and a bounded number of shingles) first meet as sketches: numbers of shingles by hash in about n / 8 buckets, whose
    smaller ones add up to a bound of the intersection. That bound gives a distance below the true one, so only
    groups that it holds together go on, each with its smallest id as the pivot.
 4. A region is joined recursively. Some of its classes are pivots, and the exact distances of all to them make Voronoi
    cells: by the triangle inequality two linked classes both lie in the cell of the pivot next to one of them if a cell
    takes in all whose distance to its pivot is at most 2 r over that to their own nearest. Classes within r of a pivot
    are linked by it; a cell without others is done, the rest is cut again by pivots of its own. Regions and cells of up
-   to `leaf` classes are cut within one task, larger ones by Spark, a level a round. A region whose cells hold over half as
-   many pairs as itself is joined directly: a small one at once, a large one in blocks of `leaf`, by shells of their
+   to `leaf` classes and `most` shingles are cut within one task, larger ones by Spark, a level a round. A region whose cells hold over half as
+   many pairs as itself is joined directly: a small one at once, a large one in blocks of the same bounds, by shells of their
    distances to the pivot that differ by r at most.
 5. Components of the links by alternating large-star and small-star rounds.
 
@@ -44,6 +44,8 @@ from framewright.llm._common import materialise, sieve, slices
 from framewright.llm._words import NOT_SPACE, Words, grams, mix
 
 _SLOTS = 18
+#: Shingles of a region that one task holds: about 50 bytes each as sets, 2 each as sketches.
+SET_SHINGLES, SKETCH_SHINGLES = 1 << 22, 1 << 24
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -121,7 +123,7 @@ def _may_link(n: np.ndarray, sketches: list[np.ndarray], share: int) -> np.ndarr
 
 
 def _sifted(share: int):
-    """Rows (g, id, n, sketch), sorted by g, to (g, id) of what may link, g being the smallest id of its group."""
+    """Rows (g, id, n, sketch), sorted by g, to (g, id, n) of what may link, g being the smallest id of its group."""
 
     def run(batches):
         now, held, out = None, [], []
@@ -130,8 +132,9 @@ def _sifted(share: int):
             if len(held) > 1:
                 ids = np.array([x[0] for x in held], np.int64)
                 edges = _stars(ids, _may_link(np.array([x[1] for x in held]), [_sketch(x[1], x[2]) for x in held], share))
-                out.extend((v, u) for u, v in edges)
-                out.extend((v, v) for v in {v for _, v in edges})
+                sizes = {x[0]: x[1] for x in held}
+                out.extend((v, u, sizes[u]) for u, v in edges)
+                out.extend((v, v, sizes[v]) for v in {v for _, v in edges})
 
         for batch in batches:
             for g, *row in zip(*(batch.column(c).to_pylist() for c in ("g", "id", "n", "sketch")), strict=True):
@@ -140,10 +143,10 @@ def _sifted(share: int):
                     now, held = g, []
                 held.append(row)
             if len(out) > 10_000:
-                yield _edges(out, ["g", "id"])
+                yield _edges(out, ["g", "id", "n"])
                 out = []
         close()
-        yield _edges(out, ["g", "id"])
+        yield _edges(out, ["g", "id", "n"])
 
     return run
 
@@ -241,9 +244,8 @@ def _grouped(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list[i
         yield ids, sets
 
 
-def _edges(pairs: list[tuple[int, int]], names: list[str]) -> pa.RecordBatch:
-    u, v = zip(*pairs, strict=True) if pairs else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=names)
+def _edges(rows: list[tuple[int, ...]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(names))], names=names)
 
 
 def _joined(k: int, share: int):
@@ -260,7 +262,7 @@ def _joined(k: int, share: int):
 
 
 def _placed(k: int, share: int):
-    """Rows (g, salt, pivot, id, text), sorted by g and salt, pivots first by id, to (g, at, id, both, union, inside, first): the
+    """Rows (g, salt, pivot, id, text), sorted by g and salt, pivots first by id, to (g, at, id, n, both, union, inside, first): the
     members with each pivot `at` in whose cell or window they lie (inside), and with the first pivot."""
 
     def run(batches):
@@ -273,7 +275,7 @@ def _placed(k: int, share: int):
                 cell = _cells(both, union, share)[1]
                 told = cell.copy()
                 told[:, 0] = True
-                rows.extend((now[0], pivots[j], members[i][0], int(both[i, j]), int(union[i, j]), int(cell[i, j]), int(j == 0)) for i, j in zip(*np.nonzero(told), strict=True))
+                rows.extend((now[0], pivots[j], members[i][0], len(members[i][1]), int(both[i, j]), int(union[i, j]), int(cell[i, j]), int(j == 0)) for i, j in zip(*np.nonzero(told), strict=True))
                 members.clear()
 
             of = zip(*(batch.column(c).to_pylist() for c in ("g", "salt", "pivot", "id")), shingle_sets(batch.column("text"), k), strict=True)
@@ -289,7 +291,7 @@ def _placed(k: int, share: int):
                     members.append((i, own))
             if members:
                 measured()
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 7)], names=["g", "at", "id", "both", "union", "inside", "first"])
+            yield _edges(rows, ["g", "at", "id", "n", "both", "union", "inside", "first"])
 
     return run
 
@@ -321,10 +323,11 @@ def components(edges: DataFrame) -> DataFrame:
         edges = materialise(small.filter("u > v").distinct(), "edges")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: int = 80, leaf: int = 256, sketched: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: int = 80, leaf: int = 256, sketched: int = 2048, most: int = SET_SHINGLES, most_sketched: int = SKETCH_SHINGLES) -> DataFrame:
     """id_col, n_shingles, component_id (smallest id that links reach, the row's own included) for every row.
 
-    share: the least similarity in hundredths, over 50."""
+    share: the least similarity in hundredths, over 50. A task compares regions of up to leaf classes and most shingles (or of two
+    classes) as sets, of up to sketched classes and most_sketched shingles as sketches; larger ones are cut over tasks."""
     if not 50 < share <= 100:
         raise ValueError("share must be over 50 (sketches of sets that differ by more than a factor of two aren't compared)")
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -342,12 +345,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if share == 100:  # equal sets are one class already
         found = components(edges) if edges is not None else None
         return _named_components(sets, named, classes, found, id_col)
-    held = classes.select(F.col("node").alias("id"), F.explode("anchors").alias("anchor"))
+    held = classes.select(F.col("node").alias("id"), "n", F.explode("anchors").alias("anchor"))
     pivots = held.groupBy("anchor").agg(F.min("id").alias("g"), F.count("*").alias("c")).filter("c > 1").select("anchor", "g")
-    regions = materialise(held.join(pivots, "anchor").select("g", "id").distinct(), "regions")
-    large = regions.groupBy("g").agg(F.count("*").alias("size")).filter(F.col("size") > sketched).select("g")
-    meet = regions.join(large, "g", "left_anti").join(classes.select(F.col("node").alias("id"), "n", "sketch"), "id").select("g", "id", "n", "sketch")
-    sifted = meet.repartition("g").sortWithinPartitions("g").mapInArrow(_sifted(share), "g bigint, id bigint")
+    regions = materialise(held.join(pivots, "anchor").select("g", "id", "n").distinct(), "regions")
+    large = regions.groupBy("g").agg(F.count("*").alias("size"), F.sum("n").alias("held")).filter((F.col("size") > sketched) | (F.col("held") > most_sketched)).select("g")
+    meet = regions.join(large, "g", "left_anti").join(classes.select(F.col("node").alias("id"), "sketch"), "id").select("g", "id", "n", "sketch")
+    sifted = meet.repartition("g").sortWithinPartitions("g").mapInArrow(_sifted(share), "g bigint, id bigint, n bigint")
     regions = materialise(sifted.unionByName(regions.join(large, "g", "left_semi")).distinct(), "regions")
     needed = regions.select("id").distinct()
     maybe = sieve(needed, "id")
@@ -357,13 +360,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         texts = texts.join(several, "id", "left_anti").unionByName(signed.join(apart, ["rep", "sig"]).select(F.col("own").alias("id"), "text"))
     texts = materialise(texts.dropDuplicates(["id"]), "texts")
 
-    rest, depth = regions.select("g", "id"), 0
+    rest, depth = regions.select("g", "id", "n"), 0
+    small_enough = (F.col("size") <= leaf) & ((F.col("held") <= most) | (F.col("size") <= 2))
     while True:
-        sized = rest.groupBy("g").agg(F.count("*").alias("size"))
-        small = rest.join(sized.filter(F.col("size") <= leaf).select("g"), "g", "left_semi")
+        sized = rest.groupBy("g").agg(F.count("*").alias("size"), F.sum("n").alias("held"))
+        small = rest.join(sized.filter(small_enough).select("g"), "g", "left_semi")
         found = _local(small.join(texts, "id").select("g", "id", "text"), k, share)
         edges = found if edges is None else edges.unionByName(found)
-        big = rest.join(sized.filter(F.col("size") > leaf), "g")
+        big = rest.join(sized.filter(~small_enough).select("g", "size"), "g")
         if big.isEmpty():
             break
         placed = _cut(materialise(big, "large"), texts, k, share, leaf, depth)
@@ -373,9 +377,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         cost = told.groupBy("g").agg(F.sum(F.pow("c", F.lit(2.0))).alias("pairs"), F.max("size").alias("size"))
         stuck = materialise(cost.filter("pairs > pow(size, 2) / 2").select("g"), "stuck")  # cutting saves nothing against all pairs
         if not stuck.isEmpty():
-            edges = edges.unionByName(_in_blocks(placed.filter("first = 1").join(stuck, "g", "left_semi"), texts, k, share, leaf))
+            edges = edges.unionByName(_in_blocks(placed.filter("first = 1").join(stuck, "g", "left_semi"), texts, k, share, leaf, most))
         rest = cells.join(told.join(stuck, "g", "left_anti").select("g", "at"), ["g", "at"], "left_semi")
-        rest = materialise(rest.select(F.xxhash64("g", "at", F.lit(depth)).alias("g"), "id").distinct(), "cells")
+        rest = materialise(rest.select(F.xxhash64("g", "at", F.lit(depth)).alias("g"), "id", "n").distinct(), "cells")
         depth += 1
 
     return _named_components(sets, named, classes, components(edges), id_col)
@@ -402,17 +406,17 @@ def _cut(big: DataFrame, texts: DataFrame, k: int, share: int, leaf: int, depth:
     first = pivots.select("g", "id", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("pivot"))
     rows = first.unionByName(big.select("g", "id", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), F.lit(False).alias("pivot"))).join(texts, "id")
     rows = rows.select("g", "salt", "pivot", "id", "text").repartition("g", "salt").sortWithinPartitions("g", "salt", F.col("pivot").desc(), "id")
-    placed = rows.mapInArrow(_placed(k, share), "g bigint, at bigint, id bigint, both bigint, union bigint, inside bigint, first bigint")
+    placed = rows.mapInArrow(_placed(k, share), "g bigint, at bigint, id bigint, n bigint, both bigint, union bigint, inside bigint, first bigint")
     return materialise(placed.withColumn("near", F.expr(f"100 * both >= {share} * union")).join(big.select("g", "size").distinct(), "g"), "placed")
 
 
-def _in_blocks(cells: DataFrame, texts: DataFrame, k: int, share: int, leaf: int) -> DataFrame:
-    """Links within regions that pivots can't part (g, id; both, union, near with the first pivot): blocks of `leaf` classes by their
-    distance to it, in shells of width r / 2, and by hash; pairs of blocks that a link can join meet, but none of classes that
+def _in_blocks(cells: DataFrame, texts: DataFrame, k: int, share: int, leaf: int, most: int) -> DataFrame:
+    """Links within regions that pivots can't part (g, id, n; both, union, near with the first pivot): blocks of `leaf` classes and
+    `most` shingles by their distance to it, in shells of width r / 2, and by hash; pairs of blocks that a link can join meet, but none of classes that
     the pivot itself links."""
     width = (100 - share) / 200
-    apart = cells.select("g", "id", "near", F.floor((1 - F.col("both") / F.col("union")) / width).cast("int").alias("shell"))
-    sizes = apart.groupBy("g", "near", "shell").agg(F.ceil(F.count("*") / leaf).cast("int").alias("parts"))
+    apart = cells.select("g", "id", "n", "near", F.floor((1 - F.col("both") / F.col("union")) / width).cast("int").alias("shell"))
+    sizes = apart.groupBy("g", "near", "shell").agg(F.ceil(F.greatest(F.count("*") / leaf, F.sum("n") / most)).cast("int").alias("parts"))
     one = sizes.select("g", "near", "shell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("g", F.struct("near", "shell", "part").alias("c"))
     pairs = one.alias("a").join(one.alias("b"), "g").filter("a.c <= b.c and abs(a.c.shell - b.c.shell) <= 3 and not (a.c.near and b.c.near)").select("g", F.col("a.c").alias("a"), F.col("b.c").alias("b"))
     pairs = pairs.withColumn("pair", F.xxhash64("g", "a", "b"))

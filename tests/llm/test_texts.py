@@ -150,8 +150,9 @@ def test_large_regions_are_cut(spark):
             own[1000 * g + n] = " ".join(t) + " common passage of several words that all of them share in this table"
     df = spark.createDataFrame(list(own.items()), "doc_id bigint, text string")
     brute = brute_components(own, 3, 80)
-    for leaf, sketched in ((4, 2), (10, 2), (10, 2048), (30, 2)):
-        found = metric_join.near_duplicates(df, k=3, share=80, leaf=leaf, sketched=sketched).collect()
+    many = metric_join.SET_SHINGLES
+    for leaf, sketched, most, most_sketched in ((4, 2, many, many), (10, 2, many, many), (10, 2048, many, many), (30, 2, many, many), (256, 2048, 300, 500), (256, 2048, 30, 1)):
+        found = metric_join.near_duplicates(df, k=3, share=80, leaf=leaf, sketched=sketched, most=most, most_sketched=most_sketched).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute
     sets = metric_join.shingle_sets(metric_join.pa.array(list(own.values())), 3)
     ids = metric_join.np.array(list(own))
@@ -162,6 +163,34 @@ def test_large_regions_are_cut(spark):
     assert label == {i: c for i, (_, c) in brute.items()}
 
 
+def test_a_region_of_thousands_goes_through_pivots(spark, monkeypatch):
+    """Regions of over a thousand different texts at the production `leaf`: through pivots, cells and windows as by comparing all. One has
+    40 clusters under a pair of words that is rarer than what else they hold, in another the pivots link all."""
+    draw = __import__("random").Random(5)
+    common = [f"w{i}" for i in range(40)]
+    own = {i: " ".join([*common, f"own{i}"]) for i in range(10_000, 11_500)}
+    for g in range(40):
+        base = draw.sample(common, 20)
+        for n in range(30):
+            t = list(base)
+            t[draw.randrange(20)] = draw.choice(common)
+            own[100 * g + n] = " ".join(["rare", "pair", *t])
+    sizes = []
+    cut = metric_join._cut
+
+    def told(big, *rest):
+        sizes.extend(r["size"] for r in big.select("g", "size").distinct().collect())
+        return cut(big, *rest)
+
+    monkeypatch.setattr(metric_join, "_cut", told)
+    df = spark.createDataFrame(list(own.items()), "doc_id bigint, text string")
+    found = metric_join.near_duplicates(df, k=1, share=90, sketched=2).collect()
+    ids = metric_join.np.array(list(own))
+    stars = dict(metric_join._stars(ids, metric_join._linked(metric_join.shingle_sets(metric_join.pa.array(list(own.values())), 1), 90)))
+    assert {r.doc_id: r.component_id for r in found} == {i: stars.get(i, i) for i in own}
+    assert sum(size > 1000 for size in sizes) > 1
+
+
 def test_full_sketches_stay_exact():
     """Counts over 255 in a bucket: the bound may not fall below the true intersection."""
     import numpy as np
