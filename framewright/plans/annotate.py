@@ -90,13 +90,16 @@ def annotate(frames: DataFrame, prompts: DataFrame | None, timings: DataFrame |
 def run_files(
     spark: SparkSession, frames: str, prompts: str, backend: Callable[[], StepBackend], *, pattern: str = "*.tif*", decoder: Callable[[bytes], tuple] = netpbm,
     threshold: float = 0.0, alpha: float = 0.5, draw: Column | None = None, timings: DataFrame | None = None, warmup: int = 0, fps: float = 30.0, size: int = FRAMES,
+    video: Callable[[Column], Column] = lambda name: name,
 ) -> DataFrame:
     """A run from files: annotate() over a folder of frame files for each video (video_id is its name) and a prompt file for each
-    (its name without the suffix). Frames are decoded and reduced to eight bits once and written; the backend sees them in order with
+    (its name without the suffix). video: what makes a video_id of that name, as videos stand in the order of their ids: folders
+    named by numbers want a number, or 10 comes before 2. Frames are decoded and reduced to eight bits once and written; the backend sees them in order with
     frame.px8 (a byte for each sample), width, height and channels, and gives logits. Without a prompt or a frame it is an error."""
-    rows = decode_frames(scan_frames(spark, frames, pattern), decoder, ["video_id", "frame_idx"])
+    files = scan_frames(spark, frames, pattern).withColumn("video_id", video(F.col("video_id")))
+    rows = decode_frames(files, decoder, ["video_id", "frame_idx"])
     rows = written(rows.select("video_id", "frame_idx", "width", "height", "channels", samples_to_uint8(F.col("px"), F.col("bits"), F.col("is_float")).alias("px8")), "decoded")
-    told = read_prompts(spark, prompts).withColumn("video_id", F.regexp_replace("file", r"\.[^.]*$", ""))
+    told = read_prompts(spark, prompts).withColumn("video_id", video(F.regexp_replace("file", r"\.[^.]*$", "")))
     catalog = sequence_catalog(rows, fps)
     logits = run_steps(rows, told, backend, ["px8", "width", "height", "channels"]).join(catalog.select("video_id", F.col("width").alias("w"), F.col("height").alias("h")), "video_id")
     seen = rows.select("video_id", "frame_idx", rgb_of(F.concat_ws("/", "video_id", "frame_idx"), F.col("px8"), F.col("channels")).alias("rgb"))

@@ -265,10 +265,10 @@ def annotate_files(spark, sf_dir):
     box = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda o: F.struct(o.alias("obj_id"), o.alias("frame_idx"), F.array(o - 1, F.lit(0), o + 4, o + 4).alias("xyxy")))
     told = fresh_path(spark, "told")
     write_prompt_files(videos.select(F.concat("video_id", F.lit(".json")).alias("name"), F.to_json(F.struct(box.alias("boxes"))).alias("text")), told)
-    run = flagship.run_files(spark, f"{_frame_files(spark, sf_dir)}/*", told, _Bright, pattern="*.pgm", size=40)
+    run = flagship.run_files(spark, f"{_frame_files(spark, sf_dir)}/*", told, _Bright, pattern="*.pgm", size=40, video=lambda name: name.cast("bigint"))
     path = fresh_path(spark, "run")
     flagship.write_run(run, path)
-    return sources.read_results(spark, path).select(F.col("video_id").cast("bigint").alias("video_id"), "frame_idx", "place", F.hex("rgb").alias("px"), _boxes_as_text())
+    return sources.read_results(spark, path).select("video_id", "frame_idx", "place", F.hex("rgb").alias("px"), _boxes_as_text())
 
 
 _TIMINGS = "WITH t AS MATERIALIZED (SELECT l_suppkey AS run_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) - 1 AS frame_idx, l_quantity / 1000 AS dt FROM lineitem)"

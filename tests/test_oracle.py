@@ -40,3 +40,14 @@ def test_query(spark, sf_dir, name):
     assert sorted(got.columns) == sorted(expected.columns)
     assert rows(got) == rows(expected)
     assert len(got)
+
+
+def test_videos_stand_by_number_in_a_run_from_files(spark, sf_dir, tmp_path):
+    for t in TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
+    (tmp_path / "embeddings.parquet").unlink()
+    few = pd.read_parquet(f"{sf_dir}/embeddings.parquet").query("vec_id < 10")
+    pd.concat([few.assign(vec_id=few.vec_id + 100 * n) for n in (1, 2, 10)]).to_parquet(tmp_path / "embeddings.parquet", index=False)
+    got = QUERIES["annotate_files"](spark, str(tmp_path)).toPandas()
+    assert got.sort_values("place").video_id.tolist() == [1, 2, 10]
+    assert rows(got) == rows(twin(ORACLE_SQL["annotate_files"], str(tmp_path)))
