@@ -1,7 +1,7 @@
 """Structured Streaming forms of the stateful operators. Each runs over what is there and stops (availableNow) in finish().
 
-The stateful ones keep maps by frame or event number, so that an arrival touches its own entry only, and event-time timers, so
-that state goes by the watermark. Rows that come later than `late` behind the newest are dropped by the watermark, as in
+The stateful ones keep what waits in blocks of frame or event numbers, so that an arrival touches its own block only and a batch
+makes a few calls to the state for a key, however many rows it brings, and event-time timers, so that state goes by the watermark. Rows that come later than `late` behind the newest are dropped by the watermark, as in
 any Spark stream. The state store is RocksDB, which `stateful` sets for the session.
 """
 
@@ -19,6 +19,8 @@ from framewright.shared import fresh_path
 
 #: Rows of a result at a time.
 CHUNK = 10_000
+#: Numbers whose rows wait in one entry of a state.
+BLOCK = 256
 
 
 def stateful(spark: SparkSession) -> None:
@@ -56,10 +58,15 @@ def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 class _Ordered(StatefulProcessor):
-    """Rows of a key by number, in their order: early ones wait in a map by number, until the missing ones have come or the
-    key's timer fires, `idle_ms` of event time after its newest row; then what waits counts over the gaps, and all state goes."""
+    """Rows of a key by number, in their order: early ones wait in blocks of BLOCK numbers, until the missing ones have come or the
+    key's timer fires, `idle_ms` of event time after its newest row; then what waits counts over the gaps, and all state goes.
 
-    waits: str  # what is kept of a row that waits
+    Every call to the state is a round trip to the JVM. A key's place, with the rows that wait in the block whose turn it is, is
+    therefore one value, read and written once a batch; of later blocks only those are touched that rows arrive for. A timer stays
+    where it is until it fires, and is then set again if newer rows have come."""
+
+    waits: str  # what is kept of a row that waits: fields of a struct
+    kept: str  # what is kept of a key besides: columns
     columns: list[str]  # of the result
 
     def __init__(self, idle_ms: int):
@@ -67,8 +74,9 @@ class _Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.place = handle.getValueState("place", "following bigint, waiting bigint, timer bigint, done boolean")
-        self.waiting = handle.getMapState("waiting", "number bigint", self.waits)
+        waiting = f"waiting array<struct<number:bigint,{self.waits}>>"
+        self.place = handle.getValueState("place", f"following bigint, blocks bigint, until bigint, timer bigint, done boolean, {waiting}, {self.kept}")
+        self.ahead = handle.getMapState("ahead", "block bigint", waiting)
         self.prepare(handle)
 
     def prepare(self, handle: StatefulProcessorHandle) -> None:
@@ -78,10 +86,18 @@ class _Ordered(StatefulProcessor):
         """Number of each row, and what is kept of it."""
         raise NotImplementedError
 
+    def begin(self, following: int, own: tuple | None, gaps: bool = False) -> None:
+        """Before rows of a key count: the number whose turn it is, what own() gave last, and whether numbers may be left out."""
+        raise NotImplementedError
+
     def count(self, key: tuple, number: int, row: tuple) -> tuple[list[tuple], bool]:
         """Result rows of the row whose turn it is, and whether its key ends with it."""
         raise NotImplementedError
 
+    def own(self, following: int) -> tuple:
+        """What is kept of the key, as the columns of `kept`, after all before `following` has counted."""
+        raise NotImplementedError
+
     def forget(self, ended: bool) -> bool:
         """Drops the states of prepare(); returns whether an ended key must be remembered until its timer fires."""
         raise NotImplementedError
@@ -89,109 +105,145 @@ class _Ordered(StatefulProcessor):
     def _frame(self, out: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(out, columns=self.columns)
 
+    def _block(self, block: int) -> dict[int, tuple]:
+        """The rows that wait in a later block."""
+        found = self.ahead.getValue((block,))
+        return {} if found is None else _by_number(found[0])
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        following, waiting, timer, done = self.place.get() if self.place.exists() else (0, 0, None, False)
+        found = self.place.get()
+        following, blocks, until, timer, done, held, *own = found or (0, 0, 0, None, False, ())
+        ended, waiting = done, _by_number(held)
         arrived, newest = {}, timerValues.getCurrentWatermarkInMs()
         for pdf in rows:
             if pd.notna(at := pdf.ts.max()):
                 newest = max(newest, int(at.timestamp() * 1000))
             if not done:
                 arrived |= {n: row for n, row in self.rows(pdf) if n >= following}  # a number that has counted doesn't again
+        self.begin(following, own or None)
         out = []
         while not done:
-            if following in arrived:
-                row = arrived.pop(following)
-            elif waiting and self.waiting.containsKey((following,)):
-                row = tuple(self.waiting.getValue((following,)))
-                self.waiting.removeKey((following,))
-                waiting -= 1
-            else:
+            row, early = arrived.pop(following, None), waiting.pop(following, None)
+            if row is None and early is None:
                 break
-            found, done = self.count(key, following, row)
-            out += found
+            found_now, done = self.count(key, following, early if row is None else row)
+            out += found_now
             following += 1
+            if blocks and following % BLOCK == 0 and (waiting := self._block(following // BLOCK)):
+                self.ahead.removeKey((following // BLOCK,))
+                blocks -= 1
             if len(out) >= CHUNK:
                 yield self._frame(out)
                 out = []
-        if done:
-            self.waiting.clear()
-            remembered = self.forget(True)
-            waiting = 0
+        remembered = True
+        if ended:
+            pass
+        elif done:
+            if blocks:
+                self.ahead.clear()
+            blocks, waiting, remembered = 0, {}, self.forget(True)
         else:
-            remembered = True
+            later: dict[int, dict[int, tuple]] = {}
             for n, row in arrived.items():
-                waiting += not (waiting and self.waiting.containsKey((n,)))
-                self.waiting.updateValue((n,), row)
-        after = max(newest + self.idle_ms, timer or 0)
-        if timer is not None and (after != timer or not remembered):
-            self.handle.deleteTimer(timer)
+                if n // BLOCK == following // BLOCK:
+                    waiting[n] = row
+                else:
+                    later.setdefault(n // BLOCK, {})[n] = row
+            for block, new in later.items():
+                known = self._block(block) if blocks else {}
+                blocks += not known
+                self.ahead.updateValue((block,), ([(n, *row) for n, row in (known | new).items()],))
         if remembered:
-            if after != timer:
-                self.handle.registerTimer(after)
-            self.place.update((following, waiting, after, done))
-        else:
+            until = max(newest + self.idle_ms, until)
+            if timer is None:
+                self.handle.registerTimer(timer := until)
+            self.place.update((following, blocks, until, timer, done, [(n, *row) for n, row in waiting.items()], *self.own(following)))
+        elif found is not None:
+            self.handle.deleteTimer(timer)
             self.place.clear()
-        yield self._frame(out)
+        if out:
+            yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out, done = [], self.place.exists() and self.place.get()[3]
-        for n in sorted(k[0] for k in self.waiting.keys()):
-            if done:
-                break
-            found, done = self.count(key, n, tuple(self.waiting.getValue((n,))))
-            out += found
-            if len(out) >= CHUNK:
-                yield self._frame(out)
-                out = []
-        self.waiting.clear()
+        found = self.place.get()
+        if found is None:
+            return
+        following, blocks, until, timer, done, held, *own = found
+        if until > max(timer, timerValues.getCurrentWatermarkInMs()):  # newer rows have come
+            self.handle.registerTimer(until)
+            self.place.update((following, blocks, until, until, done, held, *own))
+            return
+        self.begin(following, own, True)
+        out = []
+        for block in [None, *(sorted(k[0] for k in self.ahead.keys()) if blocks else [])]:
+            waiting = _by_number(held) if block is None else self._block(block)
+            for n in sorted(waiting):
+                if done:
+                    break
+                found, done = self.count(key, n, waiting[n])
+                out += found
+                if len(out) >= CHUNK:
+                    yield self._frame(out)
+                    out = []
+        if blocks:
+            self.ahead.clear()
         self.forget(False)
         self.place.clear()
-        yield self._frame(out)
+        if out:
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
 
 
+def _by_number(rows: list[tuple] | None) -> dict[int, tuple]:
+    return {r[0]: tuple(r[1:]) for r in rows or ()}
+
+
 class _Propagate(_Ordered):
-    waits, columns = "ended boolean", ["video_id", "frame_idx", "obj_id", "xyxy"]
+    waits, kept, columns = "ended:boolean", "objs array<bigint>, xyxys array<array<double>>", ["video_id", "frame_idx", "obj_id", "xyxy"]
 
     def prepare(self, handle: StatefulProcessorHandle) -> None:
-        self.prompts = handle.getMapState("prompts", "frame bigint", "objs array<bigint>, xyxys array<array<double>>")
-        self.boxes = handle.getMapState("boxes", "obj bigint", "xyxy array<double>")
-        self.held: tuple = None, {}, []  # a key's boxes and the frames of its prompts, while its rows are counted
+        self.prompts = handle.getMapState("prompts", "block bigint", "frames array<bigint>, objs array<bigint>, xyxys array<array<double>>")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        for frame, objs, xyxys in zip(initialState.frame_idx, initialState.objs, initialState.xyxys, strict=True):
-            self.prompts.updateValue((int(frame),), ([int(o) for o in objs], [[float(v) for v in box] for box in xyxys]))
+        for block, frames, objs, xyxys in zip(*(initialState[c] for c in ("block", "frames", "objs", "xyxys")), strict=True):
+            self.prompts.updateValue((int(block),), ([int(f) for f in frames], [int(o) for o in objs], [[float(v) for v in box] for box in xyxys]))
 
     def rows(self, pdf: pd.DataFrame) -> Iterator[tuple[int, tuple]]:
-        return ((int(f), (bool(e),)) for f, e in zip(pdf.frame_idx, pdf.ended, strict=True))
+        return ((n, (e,)) for n, e in zip(pdf.frame_idx.astype(int).tolist(), pdf.ended.astype(bool).tolist(), strict=True))
 
-    def _of(self, key: tuple) -> tuple[dict, list]:
-        return {k[0]: list(v[0]) for k, v in self.boxes.iterator()}, sorted((k[0] for k in self.prompts.keys()), reverse=True)
+    def begin(self, following: int, own: tuple | None, gaps: bool = False) -> None:
+        self.boxes = {o: list(box) for o, box in zip(*own, strict=True)} if own else {}
+        self.since, self.block, self.due = following, None, []  # of the block whose turn it is the boxes that are still due, the next one last
+        self.todo = sorted(k[0] for k in self.prompts.keys()) if gaps else None
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        self.held = self._of(key)
-        yield from super().handleInputRows(key, rows, timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.held = self._of(key)
-        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+    def _read(self, block: int) -> None:
+        if told := self.prompts.getValue((block,)):
+            due = [x for x in zip(*told, strict=True) if x[0] >= self.since or not self.since]
+            self.due = sorted(due, key=lambda x: -x[0]) + self.due
 
     def count(self, key: tuple, number: int, row: tuple) -> tuple[list[tuple], bool]:
-        boxes, ahead = self.held
-        while ahead and ahead[-1] <= number:  # prompts of frames up to this one
-            frame = ahead.pop()
-            objs, xyxys = self.prompts.getValue((frame,))
-            self.prompts.removeKey((frame,))
-            for o, box in zip(objs, xyxys, strict=True):
-                boxes[o] = list(box)
-                self.boxes.updateValue((o,), (boxes[o],))
-        return [(key[0], number, o, boxes[o]) for o in sorted(boxes)] or [(key[0], number, None, None)], row[0]
+        block = number // BLOCK
+        if self.todo is None and block != self.block:
+            if self.block is not None:
+                self.prompts.removeKey((self.block,))
+            self._read(block)
+            self.block = block
+        while self.todo and self.todo[0] <= block:
+            self._read(self.todo.pop(0))
+        while self.due and self.due[-1][0] <= number:  # prompts of frames up to this one
+            _, o, box = self.due.pop()
+            self.boxes[o] = list(box)
+        return [(key[0], number, o, self.boxes[o]) for o in sorted(self.boxes)] or [(key[0], number, None, None)], row[0]
+
+    def own(self, following: int) -> tuple:
+        if self.block is not None and self.block != following // BLOCK:
+            self.prompts.removeKey((self.block,))
+        return list(self.boxes), list(self.boxes.values())
 
     def forget(self, ended: bool) -> bool:
         self.prompts.clear()
-        self.boxes.clear()
         return False
 
 
@@ -205,43 +257,42 @@ def propagate_stream(frames: DataFrame, prompts: DataFrame, late: str = "1 hour"
     goes, and so it does idle_ms of event time after its newest frame: what waits is then given out over the gaps."""
     stateful(frames.sparkSession)
     boxes = prompts.filter("kind = 'box'").groupBy("video_id", "frame_idx", "obj_id").agg(F.max_by("xyxy", "seq").alias("xyxy"))
-    each = boxes.groupBy("video_id", "frame_idx").agg(F.collect_list(F.struct("obj_id", "xyxy")).alias("b"))
-    first = each.select("video_id", "frame_idx", F.transform("b", lambda b: b["obj_id"]).alias("objs"), F.transform("b", lambda b: b["xyxy"]).alias("xyxys"))
+    each = boxes.groupBy("video_id", F.expr(f"greatest(frame_idx, 0) div {BLOCK}").alias("block")).agg(F.collect_list(F.struct("frame_idx", "obj_id", "xyxy")).alias("b"))
+    first = each.select("video_id", "block", F.col("b.frame_idx").alias("frames"), F.col("b.obj_id").alias("objs"), F.col("b.xyxy").alias("xyxys"))
     rows = frames.select("video_id", "frame_idx", "ts", "ended").withWatermark("ts", late)
     schema = "video_id bigint, frame_idx bigint, obj_id bigint, xyxy array<double>"
     return rows.groupBy("video_id").transformWithStateInPandas(_Propagate(idle_ms), schema, "append", "EventTime", initialState=first.groupBy("video_id"))
 
 
 class _Clicks(_Ordered):
-    waits, columns = "action string, digit int", ["session", "seq", "obj_id", "label", "action"]
+    waits, kept, columns = "action:string,digit:int", "active bigint", ["session", "seq", "obj_id", "label", "action"]
 
     def __init__(self, start: int, idle_ms: int):
         super().__init__(idle_ms)
         self.start = start
 
-    def prepare(self, handle: StatefulProcessorHandle) -> None:
-        self.active = handle.getValueState("active", "obj_id bigint")
-
     def rows(self, pdf: pd.DataFrame) -> Iterator[tuple[int, tuple]]:
-        return ((int(n), (a, None if pd.isna(d) else int(d))) for n, a, d in zip(pdf.seq, pdf.action, pdf.digit, strict=True))
+        return ((int(n), (a, None if pd.isna(d) else int(d))) for n, a, d in zip(pdf.seq.tolist(), pdf.action.tolist(), pdf.digit.tolist(), strict=True))
+
+    def begin(self, following: int, own: tuple | None, gaps: bool = False) -> None:
+        self.active = own[0] if own else self.start
 
     def count(self, key: tuple, number: int, row: tuple) -> tuple[list[tuple], bool]:
         action, digit = row
         if action in ("enter", "escape"):
             return [(key[0], number, None, None, action)], True
         if action == "digit":
-            self.active.update((digit,))
+            self.active = digit
         elif action == "next":
-            self.active.update((self._active() + 1,))
+            self.active += 1
         elif action in ("left", "right"):
-            return [(key[0], number, self._active(), int(action == "left"), action)], False
+            return [(key[0], number, self.active, int(action == "left"), action)], False
         return [], False
 
-    def _active(self) -> int:
-        return self.active.get()[0] if self.active.exists() else self.start
+    def own(self, following: int) -> tuple:
+        return (self.active,)
 
     def forget(self, ended: bool) -> bool:
-        self.active.clear()
         return ended  # later events of an ended session must find that it has ended
 
 
