@@ -557,11 +557,11 @@ def parity_worst(spark, sf_dir):
 
 @query(_FRAMES + " SELECT video_id, frame_idx, name, width, height, printf('%05d.jpg', frame_idx) AS cache_name FROM f")
 def write_frames(spark, sf_dir):
-    """Written under a partition for each video and read back"""
+    """Written in the order of video and index and read back"""
     path = fresh_path(spark, "frames")
     small = views.frames(spark, sf_dir).select("video_id", "frame_idx", "name", "width", "height")
     sources.write_frames(small, path)
-    return spark.read.parquet(path).select(F.col("video_id").cast("bigint").alias("video_id"), "frame_idx", "name", "width", "height", "cache_name")
+    return spark.read.parquet(path).select("video_id", "frame_idx", "name", "width", "height", "cache_name")
 
 
 @query(_FRAMES + " SELECT video_id, frame_idx, name, width, height, width <> 640 OR height <> 480 AS size_mismatch, row_number() OVER (ORDER BY video_id, frame_idx) - 1 AS place FROM f")

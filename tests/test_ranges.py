@@ -191,3 +191,11 @@ def test_outlines():
     edge = np.zeros((3, 3, 3), np.uint8)
     overlay.outline(edge, (0, 0, 2, 2), np.array([1, 1, 1], np.uint8))
     assert not edge[1, 1].any() and edge.any(2).sum() == 8
+
+
+def test_files_of_frames_grow_with_frames_and_not_with_videos(spark, tmp_path):
+    df = spark.range(2000).select(F.col("id").alias("video_id"), F.lit(0).cast("bigint").alias("frame_idx"))
+    sources.write_frames(df, str(tmp_path / "f"))
+    assert len(list((tmp_path / "f").rglob("*.parquet"))) <= 8
+    got = spark.read.parquet(str(tmp_path / "f"))
+    assert sorted((r.video_id, r.frame_idx, r.cache_name) for r in got.collect()) == [(i, 0, "00000.jpg") for i in range(2000)]
