@@ -81,13 +81,16 @@ def latest(rows: DataFrame, keys: list[str], order: str, value: str, name: str,
     return with_carried(placed, ranges, keys).withColumn(name, F.coalesce(own, "_before")).drop("_before", "_part", "_at")
 
 
-def cuts(catalog: DataFrame, key: str, count: str, size: int) -> list[tuple]:
+def cuts(catalog: DataFrame, key: str, count: str, size: int, most: int | None = None) -> list[tuple]:
     """Where parts of `size` numbers begin, but for the first, when all keys' numbers (from 0 up to their count) stand in order: one
-    (key, number) for each part. catalog: a row for each key."""
+    (key, number) for each part. most: how many parts there may be; where there would be more, a part is as many times as long as
+    it takes. catalog: a row for each key."""
     placed = in_ranges(catalog.select(F.col(key).alias("_key"), F.col(count).cast("bigint").alias("_count")).filter("_key is not null and _count > 0"), [], ["_key"])
-    ranges = placed.groupBy("_part").agg(F.sum("_count").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(earlier([])), F.lit(0)).alias("_before"))
+    ranges = placed.groupBy("_part").agg(F.sum("_count").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier([])), F.lit(0)))
     upto = F.sum("_count").over(within([])) + F.col("_before")
-    spans = with_carried(placed, ranges, []).select("_key", (upto - F.col("_count")).alias("_from"), upto.alias("_to"))
+    spans = with_carried(placed, ranges.drop("_n"), []).select("_key", (upto - F.col("_count")).alias("_from"), upto.alias("_to"))
+    if most and (total := ranges.agg(F.sum("_n")).first()[0]):
+        size *= -(-total // (size * most))
     last = F.ceil(F.col("_to") / size).cast("bigint") - 1
     marks = spans.withColumn("_first", F.greatest(F.lit(1), F.ceil(F.col("_from") / size)).cast("bigint")).filter(F.col("_first") <= last)
     found = marks.select("_key", "_from", F.explode(F.sequence(F.col("_first"), last)).alias("_mark")).select("_key", (F.col("_mark") * size - F.col("_from")).alias("_number")).collect()  # one row a part

@@ -199,3 +199,12 @@ def test_files_of_frames_grow_with_frames_and_not_with_videos(spark, tmp_path):
     assert len(list((tmp_path / "f").rglob("*.parquet"))) <= 8
     got = spark.read.parquet(str(tmp_path / "f"))
     assert sorted((r.video_id, r.frame_idx, r.cache_name) for r in got.collect()) == [(i, 0, "00000.jpg") for i in range(2000)]
+
+
+def test_parts_are_bounded_in_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "PARTS", 5)
+    df = spark.range(178).select((F.col("id") % 3).alias("video_id"), F.expr("id div 3").alias("frame_idx")).repartition(4)
+    sources.write_results(df, str(tmp_path / "out"), None, 16)
+    assert len(list((tmp_path / "out").glob("*.parquet"))) == 4  # parts of 48 frames
+    got = sources.read_results(spark, str(tmp_path / "out")).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(178)) and [(r.video_id, r.frame_idx) for r in got] == sorted((i % 3, i // 3) for i in range(178))
