@@ -103,3 +103,9 @@ def run_update(stream, tmp_path):
 def test_the_latest_row_of_a_key_counts(spark):
     rows = spark.createDataFrame(pd.DataFrame({"k": [1, 1, 2], "v": ["a", "b", "c"], "_batch": [0, 4, 2]}))
     assert sorted((r.k, r.v) for r in streams.latest(rows, ["k"]).collect()) == [(1, "b"), (2, "c")]
+
+
+def test_what_waits_takes_few_entries(spark, arriving, tmp_path):
+    frames = arriving([[(1, i, 10, False) for i in range(1, 700)]], FRAMES)
+    rows, left, _ = run(streams.propagate_stream(frames, spark.createDataFrame([], PROMPTS)), tmp_path)
+    assert rows == [] and left <= 8
