@@ -8,6 +8,7 @@ import itertools
 import random
 import re
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -223,3 +224,20 @@ def test_items_that_repeat_themselves(spark):
     many = [(i, t) for i, t in [(1, ("a b c d e f g h i j " * 30)), (2, "x " * 500)]]
     got = [sorted((r.doc_id, r.n_hit, tuple(r.item_ids)) for r in winnowing.decontaminate(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()) for items in (once, many)]
     assert got[0] == got[1] == [(1, 20, ("1",)), (2, 40, ("2",))]
+
+
+def test_plain_words_and_signs_take_the_model_alone():
+    from framewright.llm import best_fit
+
+    words = best_fit._WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    library, asked = words.library, []
+
+    class Library:
+        def encode(self, text, **kw):
+            asked.append(text)
+            return library.encode(text, **kw)
+
+    words.library = Library()
+    for text in ("plain", "Plain$$$", "für,", "straße", "naïve.***", "éa%%%", "İstanbul", "don't", "x1#", "…,", "aª.", "a<|endoftext|>b", "日本;"):
+        assert best_fit.token_ids(text.encode(), words) == array("I", library.encode(text, add_special_tokens=False).ids).tobytes(), text
+    assert not {"plain", "plain$$$", "für,", "für", "straße", "naïve.***"} & set(asked)
